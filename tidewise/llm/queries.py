@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tidewise.llm.byte_bpe import decode_bpe, encode_bpe
 from tidewise.llm.near_duplicates import near_duplicate_classes
 
 
@@ -14,7 +16,20 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every whole text and the bytes they decode to, as digests."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    coded = decode_bpe(encode_bpe(docs).drop("text"))
+    return coded.select(
+        "doc_id",
+        F.floor(F.length("ids") / 4).alias("n_tokens"),
+        F.sha2("ids", 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op8_byte_bpe": op8_byte_bpe,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
 }
 
