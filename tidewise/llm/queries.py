@@ -9,6 +9,14 @@ from pyspark.sql import functions as F
 
 from tidewise.llm.byte_bpe import decode_bpe, encode_bpe
 from tidewise.llm.near_duplicates import near_duplicate_classes
+from tidewise.llm.quality_classifier import held_out, score_quality, train
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score of every document, learned from the labels of those that are not held out."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return score_quality(docs, model, threshold=0.3, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -30,6 +38,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
+    "op1_quality_classifier": op1_quality_classifier,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
 }
 
