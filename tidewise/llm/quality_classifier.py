@@ -99,7 +99,7 @@ class Model:
 _TRAINED = ("W", "b", "V", "U", "w", "c", "d")
 
 
-def fit(x: np.ndarray, bags: np.ndarray, labels: np.ndarray, hidden: int = 24, attention: int = 12, epochs: int = 40, rate: float = 0.01, decay: float = 1e-4, seed: int = 11) -> Model:
+def fit(x: np.ndarray, bags: np.ndarray, labels: np.ndarray, hidden: int = 24, attention: int = 12, epochs: int = 16, rate: float = 0.01, decay: float = 1e-4, seed: int = 11) -> Model:
     """Adam on the log loss of bags; the same rows in the same order give the same model."""
     rng = np.random.default_rng(seed)
     draw = lambda *shape: (rng.standard_normal(shape) / np.sqrt(shape[0])).astype(np.float32)

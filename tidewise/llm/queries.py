@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewise.llm.byte_bpe import decode_bpe, encode_bpe
+from tidewise.llm.licence_scan import scan_licences
 from tidewise.llm.near_duplicates import near_duplicate_classes
 from tidewise.llm.quality_classifier import held_out, score_quality, train
 
@@ -19,6 +20,11 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, threshold=0.3, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and covered template spans of every document."""
+    return scan_licences(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document: five-word shingles, similarity of 0.8 or more."""
     return near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -39,6 +45,7 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op1_quality_classifier": op1_quality_classifier,
+    "op3_licence_scan": op3_licence_scan,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
 }
 
