@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import base64
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -27,9 +27,9 @@ from tidewise.llm.words import chunks
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
 #: Encoded pre-tokens that a Python worker remembers, in each of two generations; longer ones than KEPT_CHARS leave with theirs.
-REMEMBERED, KEPT_CHARS = 400_000, 32
-#: Bytes of text encoded together.
-ENCODED_BYTES = 4 << 20
+REMEMBERED, KEPT_CHARS = 150_000, 32
+#: Bytes of a column worked on together.
+TOGETHER = 2 << 20
 
 
 class RankQueue:
@@ -71,7 +71,7 @@ class RankQueue:
 
 
 class Encoder:
-    """One vocabulary file; `cache` maps a pre-token to the bytes of its ids."""
+    """One vocabulary file; `cache` and `old` map pre-tokens to the bytes of their ids."""
 
     def __init__(self, path: str, pattern: str):
         with open(path, "rb") as lines:
@@ -83,15 +83,17 @@ class Encoder:
         self.single = [ranks[bytes([b])] for b in range(256)]
         self.split = regex.compile(pattern).findall
         self.queue = RankQueue(len(self.tokens))
-        #: (left id, right id) as one number -> the rank of the merged token
-        self.pairs = {ranks[t[:k]] << 32 | ranks[t[k:]]: r for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks}
-        keys = np.fromiter(self.pairs, np.int64, len(self.pairs))
-        order = np.argsort(keys)
-        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
-        self.of_keys = np.append(np.fromiter(self.pairs.values(), np.int64, len(keys))[order], -1)
+        #: (left id, right id) as one number, ascending, and the rank of the merged token
+        pairs = np.array(sorted((ranks[t[:k]] << 32 | ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks), np.int64).reshape(-1, 2)
+        self.keys = np.append(pairs[:, 0], np.iinfo(np.int64).max)
+        self.of_keys = np.append(pairs[:, 1], -1)
         self.singles = np.array(self.single, np.int64)
         self.cache, self.old = {}, {}
 
+    @cached_property
+    def pairs(self) -> dict[int, int]:
+        return dict(zip(self.keys.tolist(), self.of_keys.tolist(), strict=True))
+
     def merge(self, piece: bytes) -> list[int]:
         """The ids of one pre-token: always the lowest rank first, the leftmost of equal ones."""
         if (whole := self.ranks.get(piece)) is not None:
@@ -233,13 +235,16 @@ def encoder(path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) ->
     return Encoder(path, pattern)
 
 
-def _with_binary(df: DataFrame, name: str, make) -> DataFrame:
-    """df with the binary column made by make(batch), a list of bytes; a column of that name is replaced."""
+def _with_binary(df: DataFrame, of: str, name: str, make) -> DataFrame:
+    """df with the binary column make(values) of the values of column `of`; a column of that name is replaced."""
     df = df.drop(name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(make(batch), pa.binary())], [*batch.schema.names, name])
+            for lo, hi, _, _ in chunks(batch.column(of), TOGETHER):
+                part = batch.slice(lo, hi - lo)
+                made = make(part.column(of).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], [*part.schema.names, name])
 
     return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())]))
 
@@ -247,20 +252,17 @@ def _with_binary(df: DataFrame, name: str, make) -> DataFrame:
 def encode_bpe(docs: DataFrame, text: str = "text", to: str = "ids", path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """docs with the ids of each whole text."""
 
-    def make(batch: pa.RecordBatch) -> list[bytes]:
-        encode, column, out = encoder(path, pattern).encode_all, batch.column(text), []
-        for lo, hi, _, _ in chunks(column, ENCODED_BYTES):
-            out += encode([x or "" for x in column.slice(lo, hi - lo).to_pylist()])
-        return out
+    def make(texts: list[str | None]) -> list[bytes]:
+        return encoder(path, pattern).encode_all([t or "" for t in texts])
 
-    return _with_binary(docs, to, make)
+    return _with_binary(docs, text, to, make)
 
 
 def decode_bpe(df: DataFrame, ids: str = "ids", to: str = "decoded", path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """df with the bytes that the ids stand for; null ids count as none."""
 
-    def make(batch: pa.RecordBatch) -> list[bytes]:
+    def make(coded: list[bytes | None]) -> list[bytes]:
         decode = encoder(path, pattern).decode
-        return [decode(x.as_py() or b"") for x in batch.column(ids)]
+        return [decode(x or b"") for x in coded]
 
-    return _with_binary(df, to, make)
+    return _with_binary(df, ids, to, make)

@@ -24,8 +24,9 @@ _P = 0x9E3779B97F4A7C15 | 1
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column: row i is bytes[offsets[i]:offsets[i + 1]]."""
-    column = pc.fill_null(column.cast(pa.large_string()), "")
+    """(bytes, offsets) of a string or binary column: row i is bytes[offsets[i]:offsets[i + 1]]."""
+    binary = pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)
+    column = pc.fill_null(column.cast(pa.large_binary() if binary else pa.large_string()), b"" if binary else "")
     _, ends, data = column.buffers()
     if len(column) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
