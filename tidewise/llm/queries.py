@@ -11,6 +11,7 @@ from tidewise.llm.byte_bpe import decode_bpe, encode_bpe
 from tidewise.llm.licence_scan import scan_licences
 from tidewise.llm.near_duplicates import near_duplicate_classes
 from tidewise.llm.quality_classifier import held_out, score_quality, train
+from tidewise.llm.telephony import read_media, store_media
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,6 +26,24 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
 
 
+def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text stored as a telephony file, read back and described."""
+    stored = store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+    stored = stored.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+    read = read_media(stored, ["doc_id", "n_bytes", "media_bytes", "media_sha256"], pcm=False)
+    return read.select(
+        "doc_id",
+        "n_bytes",
+        F.length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+        "media_bytes",
+        "media_sha256",
+        "feature",
+        "codec",
+    )
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document: five-word shingles, similarity of 0.8 or more."""
     return near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -46,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op1_quality_classifier": op1_quality_classifier,
     "op3_licence_scan": op3_licence_scan,
+    "op4_telephony_audio": op4_telephony_audio,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
 }
 
