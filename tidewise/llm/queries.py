@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewise.llm import mixing
 from tidewise.llm.byte_bpe import decode_bpe, encode_bpe
 from tidewise.llm.licence_scan import scan_licences
 from tidewise.llm.near_duplicates import near_duplicate_classes
@@ -44,6 +45,11 @@ def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a mix with weights 1, 2, 3 by source takes of every document."""
+    return mixing.mix_sources(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and number of links of every document: five-word shingles, similarity of 0.8 or more."""
     return near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -66,8 +72,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op3_licence_scan": op3_licence_scan,
     "op4_telephony_audio": op4_telephony_audio,
+    "op5_mixing_sources": op5_mixing_sources,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op5_mixing_sources": mixing.ORACLE_SQL,
+}
