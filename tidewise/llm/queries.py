@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewise.llm import mixing
+from tidewise.llm import mixing, quality_rules
 from tidewise.llm.byte_bpe import decode_bpe, encode_bpe
 from tidewise.llm.licence_scan import scan_licences
 from tidewise.llm.near_duplicates import near_duplicate_classes
@@ -67,16 +67,23 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and the frequency of lines across the documents of a source, for every document."""
+    return quality_rules.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op1_quality_classifier": op1_quality_classifier,
     "op3_licence_scan": op3_licence_scan,
     "op4_telephony_audio": op4_telephony_audio,
     "op5_mixing_sources": op5_mixing_sources,
+    "op9_quality_rules": op9_quality_rules,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {
     "op5_mixing_sources": mixing.ORACLE_SQL,
+    "op9_quality_rules": quality_rules.ORACLE_SQL,
 }
