@@ -12,6 +12,7 @@ from tidewise.llm.byte_bpe import decode_bpe, encode_bpe
 from tidewise.llm.licence_scan import scan_licences
 from tidewise.llm.near_duplicates import near_duplicate_classes
 from tidewise.llm.quality_classifier import held_out, score_quality, train
+from tidewise.llm.secret_scan import scan_secrets
 from tidewise.llm.telephony import read_media, store_media
 
 
@@ -72,6 +73,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of secrets in every document, by patterns and by tests of randomness."""
+    found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_byte_bpe": op8_byte_bpe,
     "op1_quality_classifier": op1_quality_classifier,
@@ -79,6 +86,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_telephony_audio": op4_telephony_audio,
     "op5_mixing_sources": op5_mixing_sources,
     "op9_quality_rules": op9_quality_rules,
+    "op10_secret_scan": op10_secret_scan,
     "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
 }
 
