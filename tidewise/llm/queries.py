@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewise.llm import mixing, quality_rules
+from tidewise.llm import chat_format, mixing, quality_rules
 from tidewise.llm.byte_bpe import decode_bpe, encode_bpe
 from tidewise.llm.licence_scan import scan_licences
 from tidewise.llm.near_duplicates import near_duplicate_classes
 from tidewise.llm.quality_classifier import held_out, score_quality, train
 from tidewise.llm.secret_scan import scan_secrets
+from tidewise.llm.shared import shared_dir
 from tidewise.llm.telephony import read_media, store_media
+from tidewise.llm.training_order import write_training_order
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +26,14 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_quality(docs, model, threshold=0.3, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation as chosen, the same with a weaker last reply as rejected."""
+    chosen = chat_format.conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    pairs = chat_format.format_pairs(chosen.select("conv_id", F.col("turns").alias("c"), chat_format.weaker_reply(F.col("turns")).alias("r")))
+    text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
+    return pairs.withColumns({c: text(c) for c in ("chosen_mask", "rejected_mask")})
+
+
 def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Licence phrases and covered template spans of every document."""
     return scan_licences(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
@@ -56,6 +67,12 @@ def op6_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_classes(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards of all documents' sequences in training order, written in the shared folder; the index of every sequence."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return write_training_order(docs, f"{shared_dir(spark)}/tidewise/order-{uuid.uuid4().hex}")
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the bytes they decode to, as digests."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -80,18 +97,24 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op8_byte_bpe": op8_byte_bpe,
-    "op1_quality_classifier": op1_quality_classifier,
-    "op3_licence_scan": op3_licence_scan,
-    "op4_telephony_audio": op4_telephony_audio,
-    "op5_mixing_sources": op5_mixing_sources,
-    "op9_quality_rules": op9_quality_rules,
-    "op10_secret_scan": op10_secret_scan,
-    "op6_ngram_jaccard_join": op6_ngram_jaccard_join,
+    q.__name__: q
+    for q in (
+        op1_quality_classifier,
+        op2_preference_format,
+        op3_licence_scan,
+        op4_telephony_audio,
+        op5_mixing_sources,
+        op6_ngram_jaccard_join,
+        op7_training_order,
+        op8_byte_bpe,
+        op9_quality_rules,
+        op10_secret_scan,
+    )
 }
 
 #: DuckDB SQL of the queries that SQL can express.
 ORACLE: dict[str, str] = {
+    "op2_preference_format": chat_format.ORACLE_SQL,
     "op5_mixing_sources": mixing.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
 }
