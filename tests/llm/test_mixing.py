@@ -4,7 +4,7 @@ import re
 import duckdb
 import pytest
 
-from tidewise.llm.mixing import ORACLE_SQL, apportion, mix_sources
+from tidewise.llm.mixing import ORACLE_SQL, apportion, mix_sources, sample_mix
 
 
 def brute_targets(sizes):
@@ -84,3 +84,12 @@ def test_apportionment_equals_listing_quotients(spark):
             want[key] = sum(q[1] == key for q in quotients)
     got = apportion(spark.createDataFrame(parties, "g long, key long, votes long, seats long"), ["g"], "key", "votes", "seats", "won")
     assert {r.key: r.won for r in got.collect()} == want
+
+
+def test_sample_repeats_rows(spark):
+    rows = [(i, s, t, "x") for i, s, t in corpus(2)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string, size string")
+    want = sorted(str(r.doc_id) for r in mix_sources(df).collect() if r.size for _ in range(int(r.taken / r.size + 0.5)))
+    got = sample_mix(df)
+    assert got.columns == df.columns and sorted(str(r.doc_id) for r in got.collect()) == want
+    assert {tuple(r) for r in got.collect()} <= set(rows)

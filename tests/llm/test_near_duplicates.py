@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tidewise.llm.near_duplicates import _sets, components, near_duplicate_classes, prune_table
+from tidewise.llm.near_duplicates import _sets, components, drop_near_duplicates, near_duplicate_classes, prune_table
 import pyarrow as pa
 
 
@@ -91,3 +91,13 @@ def test_sets_are_exact():
     texts = ["A b c d e f", "a B, c d e\nf", "x", ""]
     s = _sets(pa.array(texts))
     assert (s[0] == s[1]).all() and len(s[0]) == 2 and len(s[2]) == 1 and len(s[3]) == 0
+
+
+def test_one_row_of_each_class_stays(spark):
+    rows = corpus()
+    df = spark.createDataFrame([(d, t, 1.5) for d, t in rows], "doc_id long, text string, class_id double")
+    got = drop_near_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted(r.doc_id for r in got.collect()) == sorted({c for _, c, _ in brute(rows)})
+    nameless = spark.createDataFrame([(None, t) for _, t in rows], "doc_id long, text string")
+    assert drop_near_duplicates(nameless).count() == len({c for _, c, _ in brute(rows)})

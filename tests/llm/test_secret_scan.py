@@ -7,7 +7,7 @@ import string
 
 import pytest
 
-from tidewise.llm.secret_scan import battery, scan_secrets
+from tidewise.llm.secret_scan import battery, redact_secrets, scan_secrets
 
 ASSIGN = re.compile(r"""((?:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]+")
@@ -88,3 +88,19 @@ def test_many_spans_in_one_text(spark):
     text = "secret=abcdefg " * 30_000
     (r,) = scan_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert r.n_assign == 30_000 and hashlib.md5(r.base_spans.encode()).digest() == hashlib.md5(",".join(x[2] for x in brute(text)).encode()).digest()
+
+
+def test_redaction(spark):
+    rows = [(i, t, i) for i, t in enumerate(texts())]
+    df = spark.createDataFrame(rows, "doc_id long, text string, start int")
+    spans = {r.doc_id: [tuple(map(int, x.split(":")[1:])) for x in r.spans.split(",") if x] for r in scan_secrets(df).collect()}
+    got = redact_secrets(df)
+    assert got.columns == df.columns
+    for r in got.collect():
+        want, at = "", 0
+        t = rows[r.doc_id][1]
+        for a, b in sorted(spans[r.doc_id]):
+            if a >= at:
+                want += t[at:a] + "[SECRET]"
+            at = max(at, b)
+        assert r.text == (t if not spans[r.doc_id] else want + t[at:]) and r.start == r.doc_id

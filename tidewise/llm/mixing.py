@@ -80,14 +80,27 @@ def source_targets(sizes: DataFrame, repeats: int) -> DataFrame:
     return per.select("source", "source_no", "n_docs", "source_size", "total", target.alias("target"))
 
 
-def mix_sources(docs: DataFrame, blocks: int = 1_000_000, shard_words: int = 1 << 16, repeats: int = 3, seed: int = 17, size: Column | None = None) -> DataFrame:
+def mix_sources(docs: DataFrame, blocks: int = 1_000_000, shard_words: int = 1 << 16, repeats: int = 3, seed: int = 17) -> DataFrame:
     """One row per document of (doc_id, source, text): doc_id, size, source_size, target, taken, source, shard.
 
     taken: words that the mix takes of the document, repeats counted; at most `repeats` times its size.
     """
-    rows = docs.select("doc_id", "source", (word_count() if size is None else size).alias("size"))
-    rows = materialise(rows)
-    sources = source_targets(rows, repeats)
+    rows = materialise(docs.select("doc_id", "source", word_count().alias("size")))
+    return _mixed(rows, rows, ["doc_id", "size"], blocks, shard_words, repeats, seed).select("doc_id", "size", "source_size", "target", "taken", "source", "shard")
+
+
+def sample_mix(docs: DataFrame, blocks: int = 1_000_000, shard_words: int = 1 << 16, repeats: int = 3, seed: int = 17) -> DataFrame:
+    """docs with every row as often as the mix takes its words, to the nearest whole number: 0 to `repeats` times."""
+    rows = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64(*docs.columns).alias("tie"), F.struct(*docs.columns).alias("row"))
+    sized = materialise(rows.select("doc_id", "source", "size"))
+    mixed = _mixed(sized, rows, ["doc_id", "size", "tie"], blocks, shard_words, repeats, seed)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
+    return mixed.withColumn("time", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
+
+
+def _mixed(sized: DataFrame, rows: DataFrame, order: list[str], blocks: int, shard_words: int, repeats: int, seed: int) -> DataFrame:
+    """rows with source_size, target, shard and taken; sized are the same rows without what need not be read twice."""
+    sources = source_targets(sized, repeats)
     sources = sources.withColumns(
         {
             "block": F.greatest(F.lit(1), F.ceil(F.col("total") / blocks)),
@@ -98,22 +111,25 @@ def mix_sources(docs: DataFrame, blocks: int = 1_000_000, shard_words: int = 1 <
     sources = materialise(apportion(sources, ["one"], "source_no", "target", "seats", "quota").drop("one", "seats"))
 
     at = sources.select(F.col("source").alias("of"), "source_no", "shards", "source_size", "target")
-    placed = rows.withColumn("place", seeded(seed, F.col("doc_id"))).join(at, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    placed = placed.withColumn("shard", F.col("place") % F.col("shards")).withColumn("shard_key", F.shiftleft("source_no", 32) + F.col("shard"))
-    shards = placed.groupBy("shard_key", "source_no").agg(F.sum("size").alias("shard_size"))
+
+    def placed(some: DataFrame) -> DataFrame:
+        out = some.withColumn("place", seeded(seed, F.col("doc_id"))).join(at, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+        return out.withColumn("shard", (F.col("place") % F.col("shards")).cast("long")).withColumn("shard_key", F.shiftleft("source_no", 32) + F.col("shard"))
+
+    shards = placed(sized).groupBy("shard_key", "source_no").agg(F.sum("size").alias("shard_size"))
     shards = apportion(shards.join(sources.select("source_no", "quota", "block"), "source_no"), ["source_no"], "shard_key", "shard_size", "quota", "shard_quota")
     words = F.least(F.col("shard_quota") * F.col("block"), repeats * F.col("shard_size"))
     first = seeded(seed, F.col("shard_key")) % F.greatest(F.lit(1), F.ceil(F.col("shard_size") / F.col("block"))) * F.col("block")
     rounds = F.when(F.col("shard_size") > 0, F.floor(words / F.greatest("shard_size", F.lit(1)))).otherwise(0)
     shards = shards.select("shard_key", "shard_size", rounds.alias("rounds"), (words - rounds * F.col("shard_size")).alias("rest"), first.alias("first"))
 
-    line = Window.partitionBy("shard_key").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = placed.join(shards, "shard_key").withColumn("end", F.sum("size").over(line))
+    line = Window.partitionBy("shard_key").orderBy("place", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    laid = placed(rows).join(shards, "shard_key").withColumn("end", F.sum("size").over(line))
     begin, until = F.col("end") - F.col("size"), F.col("first") + F.col("rest")
     over = lambda lo, hi: F.greatest(F.lit(0), F.least("end", hi) - F.greatest(begin, lo))
     part = over(F.col("first"), F.least(until, F.col("shard_size"))) + over(F.lit(0), until - F.col("shard_size"))
     taken = (F.col("rounds") * F.col("size") + part).cast("long")
-    return laid.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "source", F.col("shard").cast("long"))
+    return laid.withColumn("taken", taken)
 
 
 #: The same rows, with all quotients listed and ranked.

@@ -213,18 +213,11 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-7, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row per document: doc_id, class_id, text_class, n_links, is_kept.
-
-    class_id is the smallest doc_id among all documents linked directly or through others, text_class the smallest among
-    those with the same text, n_links the number of different texts that link to this one, and is_kept tells the one row of a class
-    to keep when duplicates go (the one with doc_id = class_id; of repeated rows with one id, all).
-    """
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    rows = rows.withColumn("node", F.xxhash64("text"))
+def _classes(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
+    """(doc_id, node, class_id, text_class, n_links, is_kept) of rows (doc_id, text, node)."""
     signed = materialise(rows.mapInArrow(_sign, "doc_id long, node long, n_shingles long, sig binary"))
-    named = signed.groupBy("node").agg(F.min("doc_id").alias("text_class"), F.max("n_shingles").alias("n_shingles"))
-    nodes = materialise(signed.where("n_shingles > 0").select("node", "sig").dropDuplicates(["node"]).join(named.drop("n_shingles"), "node"))
+    named = signed.groupBy("node").agg(F.min("doc_id").alias("text_class"))
+    nodes = materialise(signed.where("n_shingles > 0").select("node", "sig").dropDuplicates(["node"]).join(named, "node"))
 
     band = F.explode(F.array(*[F.struct(F.lit(b).alias("band_no"), F.xxhash64(F.substring("sig", 2 * BAND * b + 1, 2 * BAND), F.lit(b)).alias("band")) for b in range(BANDS)]))
     bands = nodes.select("node", band.alias("b")).select("node", "b.*")
@@ -240,10 +233,39 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, tolerance: f
     found = pairs.join(texts, "node").repartition("task").sortWithinPartitions("task", "node")
     links = materialise(found.mapInArrow(_verified(threshold), "node long, root long, n_links long"))
 
-    labels = components(links)
-    linked = labels.join(links.groupBy("node").agg(F.sum("n_links").alias("n_links")), "node")
-    linked = linked.join(named.select("node", "text_class"), "node")
-    classes = linked.groupBy("label").agg(F.min("text_class").alias("class_id"))
-    known = named.select("node", "text_class").join(linked.join(classes, "label").select("node", "class_id", "n_links"), "node", "left")
-    known = materialise(known.select("node", "text_class", F.coalesce("class_id", "text_class").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links")))
-    return signed.select("doc_id", "node").join(known, "node").select("doc_id", "class_id", "text_class", "n_links", F.col("doc_id").eqNullSafe(F.col("class_id")).alias("is_kept"))
+    linked = components(links).join(links.groupBy("node").agg(F.sum("n_links").alias("n_links")), "node").join(named, "node")
+    best = F.min(F.struct(F.col("text_class").isNull(), "text_class", "node")).alias("best")
+    classes = linked.groupBy("label").agg(best).select("label", F.col("best.text_class").alias("class_id"), F.col("best.node").alias("first_node"))
+    of_linked = linked.join(classes, "label").select("node", "class_id", "first_node", "n_links")
+    known = named.join(of_linked, "node", "left").select(
+        "node",
+        "text_class",
+        F.when(F.col("first_node").isNull(), F.col("text_class")).otherwise(F.col("class_id")).alias("class_id"),
+        F.coalesce("first_node", "node").alias("first_node"),
+        F.coalesce("n_links", F.lit(0)).alias("n_links"),
+    )
+    kept = (F.col("node") == F.col("first_node")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return signed.select("doc_id", "node").join(materialise(known), "node").select("doc_id", "node", "class_id", "text_class", "n_links", kept.alias("is_kept"))
+
+
+def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.withColumn("node", F.xxhash64("text"))
+
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-7, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per document: doc_id, class_id, text_class, n_links, is_kept.
+
+    class_id is the smallest doc_id among all documents linked directly or through others, text_class the smallest among
+    those with the same text, n_links the number of different texts that link to this one, and is_kept tells the document of
+    a class to keep when duplicates go: the one with doc_id = class_id (every row of it, if its row is repeated).
+    """
+    return _classes(_rows(docs, doc_id, text), threshold, tolerance).drop("node")
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-7, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with one row of each class."""
+    classes = _classes(_rows(docs, doc_id, text), threshold, tolerance)
+    kept = classes.where("is_kept").select(F.col("node").alias("_kept"), F.col("doc_id").alias("_kept_id")).distinct()
+    noded = docs.withColumn("_node", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    return noded.join(kept, (F.col("_node") == F.col("_kept")) & F.col(doc_id).eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["_node", doc_id]).drop("_node")

@@ -146,3 +146,20 @@ def scan_secrets(docs: DataFrame, alpha: float = 0.05) -> DataFrame:
         text(F.filter(found, lambda x: x["kind_no"] < 3)).alias("base_spans"),
         text(found).alias("spans"),
     )
+
+
+def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", alpha: float = 0.05) -> DataFrame:
+    """docs with every span of `text` replaced by mark; overlapping spans by one."""
+    hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
+    spans = find_spans(hashed.select(F.col("_hash").alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text")), alpha)
+    listed = spans.groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    both = hashed.join(listed, F.col("_hash") == F.col("text_hash"), "left")
+    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
+    until = lambda state, end: F.substr(F.col(text), (state["at"] + 1).cast("int"), F.greatest(F.lit(0), end - state["at"]).cast("int"))
+
+    def step(state: Column, x: Column) -> Column:
+        parts = F.when(x["start"] >= state["at"], F.concat(state["parts"], F.array(until(state, x["start"]), F.lit(mark)))).otherwise(state["parts"])
+        return F.struct(F.greatest(state["at"], x["end"]).alias("at"), parts.alias("parts"))
+
+    redacted = F.aggregate("_spans", start, step, lambda state: F.array_join(F.concat(state["parts"], F.array(until(state, F.length(text)))), ""))
+    return both.withColumn(text, F.when(F.col("_spans").isNull(), F.col(text)).otherwise(redacted)).select(docs.columns)
