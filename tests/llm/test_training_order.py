@@ -18,23 +18,33 @@ def texts():
     return [(1, "hello world " * 70), (2, ""), (None, None), (3, "a"), (3, "a"), (4, "é" * 333), *((10 + i, f"text {i} " * i) for i in range(60))]
 
 
-def test_shards_hold_every_sequence_once(spark, tmp_path):
+@pytest.mark.parametrize("block", [1024, 3])
+def test_shards_hold_every_text_once(spark, tmp_path, monkeypatch, block):
+    monkeypatch.setattr("tidewise.llm.training_order.BLOCK", block)
     rows, length = texts(), 16
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, slot string").repartition(5)
     folder = f"file://{tmp_path}/order"
     index = write_training_order(df, folder, length=length, per_shard=32).collect()
-    encode, want = _encoding(VOCABULARY, public_tokenizers.PATTERN).encode_ordinary, []
-    for d, t in rows:
-        ids = encode(t or "")
-        n = len(ids) // length + 1
-        ids += [50256] * (n * length - len(ids))
-        want += [(str(d), tuple(ids[i * length : (i + 1) * length])) for i in range(n)]
-    got = [tuple(s.tolist()) for s in read_slots(folder)]
-    assert len(got) == len(want) == len(index) and sorted(r.slot for r in index) == list(range(len(want)))
-    assert sorted((str(r.doc_id), got[r.slot]) for r in index) == sorted(want)
-    assert all(zlib.crc32(np.array(got[r.slot], "<u2").tobytes()) == r.record_crc32 and r.offset == (r.slot - 32 * r.shard) * 2 * length for r in index)
+    got = [s.tolist() for s in read_slots(folder)]
+    assert len(got) == len(index) and sorted(r.slot for r in index) == list(range(len(got)))
+    encode, pieces = _encoding(VOCABULARY, public_tokenizers.PATTERN).encode_ordinary, {}
+    for r in index:
+        assert r.shard == r.slot // 32 and r.offset == r.slot % 32 * 2 * length
+        begin = 0
+        for t in r.texts:
+            pieces.setdefault(t.doc_id, []).append((t.at, tuple(got[r.slot][begin : begin + t.n])))
+            begin += t.n
+        assert set(got[r.slot][begin:]) <= {50256}
+    for d in {d for d, _ in rows}:
+        whole = [(*encode(t or ""), 50256) for x, t in rows if x == d]
+        if len(whole) == 1:
+            assert sum((p for _, p in sorted(pieces[d])), ()) == whole[0]
+        else:
+            assert sorted(sum((p for _, p in pieces[d]), ())) == sorted(sum(whole, ()))
+    for r in index:
+        assert zlib.crc32((tmp_path / "order" / f"shard-{r.shard:08d}.bin").read_bytes()) == r.shard_crc32
     for start in (0, 31, 32, 33, len(got) - 1):
-        assert [tuple(s.tolist()) for s in read_slots(folder, start, start + 40)] == got[start : start + 40]
+        assert [s.tolist() for s in read_slots(folder, start, start + 40)] == got[start : start + 40]
 
 
 def test_same_input_same_bytes(spark, tmp_path):

@@ -1,16 +1,18 @@
 """Operator 7: materialise token sequences in training order.
 
-Texts become token ids (with the tiktoken library and a public rank file), cut into sequences of `length` ids; the last one of a text
-ends with the end-of-text id and is filled up with it. Sequences are numbered 0 to N - 1, and a keyed Feistel permutation
-over the next power of four, walked until it falls below N, gives each its slot. Slots are dealt by ranges to shards, whose files hold
-records of one fixed size, so that slot s is at byte (s mod per shard) * stride of its shard, and a reader can begin anywhere.
-
-The encoded texts are written once in the shared folder with the partition that wrote them and a running number within it, so
-numbering needs one row per partition, not a sort. A shard is written to a name of its task attempt and then renamed, and
-its bytes follow from the input, so that tasks can be repeated. The manifest comes last.
-
-Null and empty texts give one sequence of end-of-text ids. Null ids stay null in the index; repeated rows are separate
-sequences; other columns are not read. An empty table gives a manifest with no slots and no shards.
+Texts become token ids (with the tiktoken library and a public rank file), each followed by the end-of-text id. The texts that one
+partition reads form a stream that is cut into sequences of `length` ids; the last one is filled up with the end-of-text id.
+Sequences are numbered 0 to N - 1, and a keyed Feistel permutation over the next power of four, walked until it
+falls below N, gives each its slot. Ranges of slots are shards, whose files hold records of one fixed size, so that slot s
+is at byte (s mod per shard) * stride of its shard, and a reader can begin anywhere.
+
+The streams are written once in the shared folder, compressed, with the partition that wrote them and a running number, so
+numbering needs one row per partition, not a sort. What a block of a stream sends to one shard travels as one
+compressed row, straight to the partition of that shard. A shard is written under a name of its task attempt and then
+renamed, and its bytes follow from the streams, so tasks can be repeated. The manifest comes last.
+
+Null and empty texts are an end-of-text id. Null ids stay null in the index; repeated rows are separate texts; other columns
+are not read. An empty table gives a manifest without slots and no shards.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.fs
 import tiktoken
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -63,42 +66,83 @@ def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
-def _encoded(path: str, pattern: str, length: int):
+#: Sequences of a compressed block of a stream.
+BLOCK = 1024
+
+
+def _streams(path: str, pattern: str, length: int):
+    """Batches of (doc_id, text) -> blocks: part, first (number of the first sequence), n, ids, and the texts' pieces in it."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, first = _encoding(path, pattern).encode_ordinary, TaskContext.get().partitionId(), 0
+        encoding, part = _encoding(path, pattern), TaskContext.get().partitionId()
+        encode, end, pack = encoding.encode_ordinary, encoding.n_vocab, zstandard.ZstdCompressor(level=9)
+        stream, pieces, held, first = [], [], 0, 0
+
+        def block(n: int) -> pa.RecordBatch:
+            """The next n sequences as a row; what is left stays in stream and pieces."""
+            nonlocal stream, pieces, held, first
+            flat, size = np.concatenate(stream), n * length
+            now = [(d, at, start, min(k, size - start)) for d, at, start, k in pieces if start < size]
+            rest = [(d, at + max(0, size - start), max(0, start - size), k - max(0, size - start)) for d, at, start, k in pieces if start + k > size]
+            row = {"part": part, "first": first, "n": n, "ids": pack.compress(flat[:size].tobytes()), "doc": [x[0] for x in now], "at": [x[1] for x in now], "start": [x[2] for x in now], "size": [x[3] for x in now]}
+            stream, pieces, held, first = [flat[size:]], rest, held - size, first + n
+            return pa.RecordBatch.from_pylist([row], _BLOCK)
+
         for batch in batches:
-            for lo, hi, _, _ in chunks(batch.column("text"), 4 << 20):
-                ids = [np.array(encode(t or ""), "<u2").tobytes() for t in batch.column("text").slice(lo, hi - lo).to_pylist()]
-                count = np.array([len(x) // 2 // length + 1 for x in ids])
-                firsts = first + np.cumsum(count) - count
-                first += int(count.sum())
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(lo, hi - lo), pa.array(ids, pa.binary()), pa.array(np.full(hi - lo, part)), pa.array(firsts), pa.array(count)],
-                    ["doc_id", "ids", "part", "first", "n"],
-                )
+            ids = batch.column("doc_id").to_pylist()
+            for lo, hi, _, _ in chunks(batch.column("text"), 1 << 20):
+                for i, text in enumerate(batch.column("text").slice(lo, hi - lo).to_pylist(), lo):
+                    tokens = np.array([*encode(text or ""), end], "<u2")
+                    pieces.append((ids[i], 0, held, len(tokens)))
+                    stream.append(tokens)
+                    held += len(tokens)
+                while held >= BLOCK * length:
+                    yield block(BLOCK)
+        if held:
+            stream.append(np.full(-held % length, end, "<u2"))
+            held += len(stream[-1])
+            yield block(held // length)
 
     return run
 
 
-def _slotted(length: int, end: int, total: int, key: int, per_shard: int):
+_BLOCK = pa.schema([("part", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), *((c, pa.list_(pa.int64())) for c in ("doc", "at", "start", "size"))])
+_BLOCK_DDL = "part long, first long, n long, ids binary, doc array<long>, at array<long>, start array<long>, size array<long>"
+
+
+def _dealt(length: int, total: int, key: int, per_shard: int):
+    """Blocks (first, n, ids) -> (shard, places, records): what a block has for each shard, compressed."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         for batch in batches:
-            for lo, hi, _, _ in chunks(batch.column("ids"), 4 << 20):
-                part = batch.slice(lo, hi - lo)
-                n, first = part.column("n").to_numpy(), part.column("first").to_numpy()
-                piece = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                slot = permute(np.repeat(first, n) + piece, total, key)
-                records, sizes = [], []
-                for ids, k in zip(part.column("ids").to_pylist(), n.tolist(), strict=True):
-                    whole = np.full(k * length, end, "<u2")
-                    whole[: len(ids) // 2] = np.frombuffer(ids, "<u2")
-                    blob = whole.tobytes()
-                    records += [blob[i : i + 2 * length] for i in range(0, len(blob), 2 * length)]
-                    sizes += [length] * (k - 1) + [len(ids) // 2 - (k - 1) * length]
-                doc = part.column("doc_id").take(pa.array(np.repeat(np.arange(hi - lo), n)))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(slot), pa.array(slot // per_shard), doc, pa.array(piece), pa.array(sizes, pa.int64()), pa.array(records, pa.binary())], ["slot", "shard", "doc_id", "piece", "n_tokens", "record"]
-                )
+            for first, n, ids in zip(*(batch.column(c).to_pylist() for c in ("first", "n", "ids")), strict=True):
+                records = np.frombuffer(unpack.decompress(ids), "<u2").reshape(n, length)
+                slot = permute(np.arange(first, first + n), total, key)
+                order = np.argsort(slot)
+                shard, place = slot[order] // per_shard, (slot[order] % per_shard).astype("<i4")
+                cuts = [0, *(np.flatnonzero(np.diff(shard)) + 1).tolist(), n]
+                rows = [(int(shard[a]), place[a:b].tobytes(), pack.compress(records[order[a:b]].tobytes())) for a, b in zip(cuts, cuts[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.binary(), pa.binary()))], ["shard", "places", "records"])
+
+    return run
+
+
+def _indexed(length: int, total: int, key: int, per_shard: int):
+    """Blocks without ids -> the index row of every sequence."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first, n, docs, ats, starts, sizes in zip(*(batch.column(c).to_pylist() for c in ("first", "n", "doc", "at", "start", "size")), strict=True):
+                held: list[list[dict]] = [[] for _ in range(n)]
+                for doc, at, start, size in zip(docs, ats, starts, sizes, strict=True):
+                    while size:
+                        k, within = divmod(start, length)
+                        here = min(size, length - within)
+                        held[k].append({"doc_id": doc, "at": at, "n": here})
+                        at, start, size = at + here, start + here, size - here
+                slot = permute(np.arange(first, first + n), total, key)
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), pa.array(slot % per_shard * 2 * length), pa.array(held, pa.list_(pa.struct([("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64())])))], ["slot", "shard", "offset", "texts"])
 
     return run
 
@@ -107,60 +151,60 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def _write(folder: str, per_shard: int, stride: int):
+def _write(folder: str, length: int, total: int, per_shard: int):
+    """Rows of _dealt sorted by shard -> (shard, shard_crc32), with the shard's file written."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files, root = pa.fs.FileSystem.from_uri(folder)
-        now, out, name = None, None, None
+        unpack, now, whole = zstandard.ZstdDecompressor(), None, None
 
-        def close() -> None:
-            if out is not None:
-                out.close()
-                files.move(name, f"{root}/{shard_name(now)}")
+        def close() -> pa.RecordBatch:
+            name, data = f"{root}/_{uuid.uuid4().hex}", whole.tobytes()
+            with files.open_output_stream(name) as out:
+                out.write(data)
+            files.move(name, f"{root}/{shard_name(now)}")
+            return pa.RecordBatch.from_arrays([pa.array([now]), pa.array([zlib.crc32(data)], pa.int64())], ["shard", "shard_crc32"])
 
         for batch in batches:
-            shards = batch.column("shard").to_numpy()
-            records = batch.column("record").to_pylist()
-            cuts = [0, *(np.flatnonzero(np.diff(shards)) + 1).tolist(), len(shards)]
-            for lo, hi in zip(cuts, cuts[1:]):
-                if lo == hi:
-                    continue
-                if shards[lo] != now:
-                    close()
-                    now, name = int(shards[lo]), f"{root}/_{uuid.uuid4().hex}"
-                    out = files.open_output_stream(name)
-                out.write(b"".join(records[lo:hi]))
-            offset = (batch.column("slot").to_numpy() - shards * per_shard) * stride
-            sums = pa.array([zlib.crc32(r) for r in records], pa.int64())
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("slot", "shard")), pa.array(offset), *(batch.column(c) for c in ("doc_id", "piece", "n_tokens")), sums], ["slot", "shard", "offset", "doc_id", "piece", "n_tokens", "record_crc32"])
-        close()
+            for shard, places, records in zip(*(batch.column(c).to_pylist() for c in ("shard", "places", "records")), strict=True):
+                if shard != now:
+                    if now is not None:
+                        yield close()
+                    now, whole = shard, np.zeros((min(per_shard, total - shard * per_shard), length), "<u2")
+                whole[np.frombuffer(places, "<i4")] = np.frombuffer(unpack.decompress(records), "<u2").reshape(-1, length)
+        if now is not None:
+            yield close()
 
     return run
 
 
-def write_training_order(docs: DataFrame, folder: str, length: int = 512, key: int = 2024, per_shard: int = 2048, most_shards: int = 65536, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def write_training_order(docs: DataFrame, folder: str, length: int = 512, key: int = 2024, per_shard: int = 2048, most_shards: int = 1 << 20, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """Write the shards and manifest.json into folder (a URI that all executors reach) and return the index.
 
-    Index: slot, shard, offset (byte in the shard), doc_id, piece (number of the sequence in its text), n_tokens (without
-    filling), record_crc32. Shards grow beyond `per_shard` slots where there would be more than `most_shards`.
+    Index, one row per sequence: slot, shard, offset (byte in the shard), texts (array of doc_id, at: first id of the text's
+    piece, n: its ids with the end-of-text id), shard_crc32. Shards grow beyond `per_shard` slots where there would be
+    more than `most_shards`; a task holds one shard at a time.
     """
     end = _encoding(path, pattern).n_vocab  # the first id that is free
     if end > 0xFFFF:
         raise ValueError("ids are stored in 16 bits")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    encoded = materialise(rows.mapInArrow(_encoded(path, pattern, length), "doc_id long, ids binary, part long, first long, n long"))
-    parts = encoded.groupBy("part").agg(F.sum("n").alias("size"))
+    blocks = materialise(rows.mapInArrow(_streams(path, pattern, length), _BLOCK_DDL))
+    parts = blocks.groupBy("part").agg(F.sum("n").alias("size"))
     parts = materialise(parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"), "size"))
     total = parts.agg(F.sum("size")).first()[0] or 0
     per_shard = max(per_shard, -(-total // most_shards))
-    numbered = encoded.join(parts, "part").select("doc_id", "ids", "n", (F.col("before") + F.col("first")).alias("first"))
-    records = numbered.mapInArrow(_slotted(length, end, total, key, per_shard), "slot long, shard long, doc_id long, piece long, n_tokens long, record binary")
+    shards = max(1, -(-total // per_shard))
+    numbered = blocks.join(parts.drop("size"), "part").withColumn("first", F.col("before") + F.col("first"))
     files, root = pa.fs.FileSystem.from_uri(folder)
     files.create_dir(root)
-    dealt = records.repartitionByRange(max(1, -(-total // per_shard)), "shard").sortWithinPartitions("slot")
-    index = materialise(dealt.mapInArrow(_write(folder, per_shard, 2 * length), "slot long, shard long, offset long, doc_id long, piece long, n_tokens long, record_crc32 long"))
+    dealt = numbered.select("first", "n", "ids").mapInArrow(_dealt(length, total, key, per_shard), "shard long, places binary, records binary")
+    dealt = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
+    written = materialise(dealt.mapInArrow(_write(folder, length, total, per_shard), "shard long, shard_crc32 long"))
     with files.open_output_stream(f"{root}/manifest.json") as out:
         out.write(json.dumps({"slots": total, "length": length, "dtype": "<u2", "end": end, "per_shard": per_shard, "key": key}).encode())
-    return index
+    index = numbered.select("first", "n", "doc", "at", "start", "size").mapInArrow(_indexed(length, total, key, per_shard), "slot long, shard long, offset long, texts array<struct<doc_id:long,at:long,n:long>>")
+    return index.join(written, "shard").select("slot", "shard", "offset", "texts", "shard_crc32")
 
 
 def read_slots(folder: str, start: int = 0, stop: int | None = None) -> Iterator[np.ndarray]:
