@@ -1 +1,7 @@
+"""All queries of the library but for those of llm: name -> (function, DuckDB SQL or None)."""
 
+from __future__ import annotations
+
+from tidewise.queries import search, service
+
+ALL = {**search.QUERIES, **service.QUERIES}
