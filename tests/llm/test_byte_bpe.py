@@ -4,7 +4,7 @@ import struct
 import public_tokenizers
 import tiktoken
 
-from tidewise.llm.byte_bpe import VOCABULARY, Encoder, RankQueue, decode_bpe, encode_bpe, encoder
+from tidewise.llm.byte_bpe import VOCABULARY, Encoder, RankQueue, decode_bpe, encode_bpe, encoder, round_trip_bpe
 
 
 def reference():
@@ -82,4 +82,5 @@ def test_frame(spark):
     df = spark.createDataFrame([(1, "hi there", "old"), (2, None, "x"), (2, "", "x"), (None, "hi there", None)], "doc_id long, text string, ids string")
     got = decode_bpe(encode_bpe(df)).collect()
     assert [bytes(r.decoded) for r in got] == [b"hi there", b"", b"", b"hi there"] and len(got[0].ids) == 8 and got[0].ids == got[3].ids
+    assert [(bytes(r.ids), bytes(r.decoded)) for r in round_trip_bpe(df).collect()] == [(bytes(r.ids), bytes(r.decoded)) for r in got]
     assert decode_bpe(encode_bpe(df.limit(0))).columns == ["doc_id", "text", "ids", "decoded"]

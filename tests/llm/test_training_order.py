@@ -18,7 +18,7 @@ def texts():
     return [(1, "hello world " * 70), (2, ""), (None, None), (3, "a"), (3, "a"), (4, "é" * 333), *((10 + i, f"text {i} " * i) for i in range(60))]
 
 
-@pytest.mark.parametrize("block", [1024, 3])
+@pytest.mark.parametrize("block", [8192, 3])
 def test_shards_hold_every_text_once(spark, tmp_path, monkeypatch, block):
     monkeypatch.setattr("tidewise.llm.training_order.BLOCK", block)
     rows, length = texts(), 16

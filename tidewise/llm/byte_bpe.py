@@ -23,6 +23,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidewise.llm.shared import map_texts
 from tidewise.llm.words import chunks
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -235,34 +236,36 @@ def encoder(path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) ->
     return Encoder(path, pattern)
 
 
-def _with_binary(df: DataFrame, of: str, name: str, make) -> DataFrame:
-    """df with the binary column make(values) of the values of column `of`; a column of that name is replaced."""
-    df = df.drop(name)
+def _with_binary(df: DataFrame, of: str, names: list[str], make) -> DataFrame:
+    """df with the binary columns make(values) of the values of column `of`; columns of those names are replaced."""
+    df = df.drop(*names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, _, _ in chunks(batch.column(of), TOGETHER):
                 part = batch.slice(lo, hi - lo)
                 made = make(part.column(of).to_pylist())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(made, pa.binary())], [*part.schema.names, name])
+                yield pa.RecordBatch.from_arrays([*part.columns, *(pa.array(x, pa.binary()) for x in made)], [*part.schema.names, *names])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.BinaryType())]))
+    return map_texts(df, run, T.StructType([*df.schema.fields, *(T.StructField(c, T.BinaryType()) for c in names)]))
 
 
 def encode_bpe(docs: DataFrame, text: str = "text", to: str = "ids", path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """docs with the ids of each whole text."""
-
-    def make(texts: list[str | None]) -> list[bytes]:
-        return encoder(path, pattern).encode_all([t or "" for t in texts])
-
-    return _with_binary(docs, text, to, make)
+    return _with_binary(docs, text, [to], lambda texts: [encoder(path, pattern).encode_all([t or "" for t in texts])])
 
 
 def decode_bpe(df: DataFrame, ids: str = "ids", to: str = "decoded", path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
     """df with the bytes that the ids stand for; null ids count as none."""
+    return _with_binary(df, ids, [to], lambda coded: [[encoder(path, pattern).decode(x or b"") for x in coded]])
+
+
+def round_trip_bpe(docs: DataFrame, text: str = "text", path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+    """docs with ids and decoded, the bytes that the ids decode to, in one pass of one Python worker."""
 
-    def make(coded: list[bytes | None]) -> list[bytes]:
-        decode = encoder(path, pattern).decode
-        return [decode(x or b"") for x in coded]
+    def make(texts: list[str | None]) -> list[list[bytes]]:
+        coder = encoder(path, pattern)
+        ids = coder.encode_all([t or "" for t in texts])
+        return [ids, [coder.decode(x) for x in ids]]
 
-    return _with_binary(df, ids, to, make)
+    return _with_binary(docs, text, ["ids", "decoded"], make)

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidewise.llm.shared import map_texts
 from tidewise.llm.words import chunks, hash_word, words
 
 MIN_MATCH, MAX_GAP, MIN_COVERED = 4, 12, 0.6
@@ -259,4 +260,4 @@ def scan_licences(docs: DataFrame, keep: list[str], text: str = "text", phrases:
             found = pa.array(records, _ARROW)
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pc.struct_field(found, c) for c in _RESULT.names)], [*keep, *_RESULT.names])
 
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, T.StructType([*(docs.schema[c] for c in keep), *_RESULT.fields]))
+    return map_texts(docs.select(*dict.fromkeys([*keep, text])), run, T.StructType([*(docs.schema[c] for c in keep), *_RESULT.fields]))

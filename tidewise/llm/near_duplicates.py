@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewise.llm.shared import materialise
+from tidewise.llm.shared import map_texts, materialise
 from tidewise.llm.words import chunks, mix, shingles, words
 
 VALUES, BAND = 128, 4
@@ -215,7 +215,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _classes(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     """(doc_id, node, class_id, text_class, n_links, is_kept) of rows (doc_id, text, node)."""
-    signed = materialise(rows.mapInArrow(_sign, "doc_id long, node long, n_shingles long, sig binary"))
+    signed = materialise(map_texts(rows, _sign, "doc_id long, node long, n_shingles long, sig binary"))
     named = signed.groupBy("node").agg(F.min("doc_id").alias("text_class"))
     nodes = materialise(signed.where("n_shingles > 0").select("node", "sig").dropDuplicates(["node"]).join(named, "node"))
 
@@ -226,12 +226,12 @@ def _classes(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
     members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     members = members.select("node", "band_no", "side", (F.col("side") == F.col("other")).alias("one_block"), F.xxhash64("band", F.least("side", "other"), F.greatest("side", "other")).alias("task"))
     members = members.join(nodes.select("node", "sig"), "node").repartition("task").sortWithinPartitions("task", "node")
-    pairs = materialise(members.mapInArrow(_pruned(threshold, tolerance), "task long, node long, partners array<long>"))
+    pairs = materialise(map_texts(members, _pruned(threshold, tolerance), "task long, node long, partners array<long>"))
 
     wanted = pairs.select("node").distinct().join(nodes.select("node", F.col("text_class").alias("doc_id")), "node")
     texts = rows.join(wanted, (rows["node"] == wanted["node"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"])).select(rows["node"], "text").dropDuplicates(["node"])
     found = pairs.join(texts, "node").repartition("task").sortWithinPartitions("task", "node")
-    links = materialise(found.mapInArrow(_verified(threshold), "node long, root long, n_links long"))
+    links = materialise(map_texts(found, _verified(threshold), "node long, root long, n_links long"))
 
     linked = components(links).join(links.groupBy("node").agg(F.sum("n_links").alias("n_links")), "node").join(named, "node")
     best = F.min(F.struct(F.col("text_class").isNull(), "text_class", "node")).alias("best")

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidewise.llm.shared import map_texts
 from tidewise.llm.words import chunks, words
 
 PASSAGE = 64
@@ -158,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, passage_cap_mb
     known = known.where("quality = other").where(~held_out()).select("doc_id", F.col("quality").cast("int"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text"))
-    got = rows.mapInArrow(_featured, "doc_id long, quality int, x binary").toArrow().sort_by([("doc_id", "ascending")])
+    got = map_texts(rows, _featured, "doc_id long, quality int, x binary").toArrow().sort_by([("doc_id", "ascending")])
     xs = [np.frombuffer(b, np.float32).reshape(-1, DIMENSIONS) for b in got.column("x").to_pylist()]
     size = np.cumsum([x.nbytes for x in xs])
     keep = int((size <= passage_cap_mb << 20).sum())
@@ -180,4 +181,4 @@ def score_quality(docs: DataFrame, model: Model, threshold: float = 0.3, text: s
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(s), pa.array((s >= threshold).astype(np.int32))], [*kept, "score", "predicted"])
 
     schema = T.StructType([docs.schema[c] for c in kept] + [T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return docs.select(*dict.fromkeys([*kept, text])).mapInArrow(run, schema)
+    return map_texts(docs.select(*dict.fromkeys([*kept, text])), run, schema)

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewise.llm import chat_format, mixing, quality_rules
-from tidewise.llm.byte_bpe import decode_bpe, encode_bpe
+from tidewise.llm.byte_bpe import round_trip_bpe
 from tidewise.llm.licence_scan import scan_licences
 from tidewise.llm.near_duplicates import near_duplicate_classes
 from tidewise.llm.quality_classifier import held_out, score_quality, train
@@ -76,7 +76,7 @@ def op7_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every whole text and the bytes they decode to, as digests."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    coded = decode_bpe(encode_bpe(docs).drop("text"))
+    coded = round_trip_bpe(docs)
     return coded.select(
         "doc_id",
         F.floor(F.length("ids") / 4).alias("n_tokens"),

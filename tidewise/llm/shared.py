@@ -4,8 +4,14 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+
+#: Rows of an Arrow batch where rows hold whole texts: memory of a task is a few times one batch.
+TEXT_ROWS = 2000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -28,3 +34,11 @@ def materialise(df: DataFrame) -> DataFrame:
     path = f"{shared_dir(spark)}/tidewise/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def map_texts(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow with batches of at most TEXT_ROWS rows. The session keeps that setting, where its own is larger."""
+    spark = df.sparkSession
+    if not 0 < int(spark.conf.get(_ROWS)) <= TEXT_ROWS:
+        spark.conf.set(_ROWS, str(TEXT_ROWS))
+    return df.mapInArrow(run, schema)

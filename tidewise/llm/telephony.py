@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidewise.llm.shared import map_texts
 from tidewise.llm.words import chunks
 
 RATE, TARGET = 8000, 16000
@@ -167,7 +168,7 @@ def store_media(docs: DataFrame, keep: list[str], text: str = "text") -> DataFra
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in keep), pa.array(sizes, pa.int64()), pa.array(codecs), pa.array(files, pa.binary())], [*keep, *names])
 
     schema = [*(docs.schema[c] for c in keep), T.StructField("n_bytes", T.LongType()), T.StructField("codec", T.StringType()), T.StructField("media", T.BinaryType())]
-    return docs.select(*dict.fromkeys([*keep, text])).mapInArrow(run, T.StructType(schema))
+    return map_texts(docs.select(*dict.fromkeys([*keep, text])), run, T.StructType(schema))
 
 
 def read_media(df: DataFrame, keep: list[str], media: str = "media", pcm: bool = True) -> DataFrame:
@@ -186,4 +187,4 @@ def read_media(df: DataFrame, keep: list[str], media: str = "media", pcm: bool =
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array([x[c] for x in found], types[c]) for c in names)], [*keep, *names])
 
     schema = [*(df.schema[c] for c in keep), *(T.StructField(c, T.StringType() if types[c] == pa.string() else T.BinaryType()) for c in names)]
-    return df.select(*dict.fromkeys([*keep, media])).mapInArrow(run, T.StructType(schema))
+    return map_texts(df.select(*dict.fromkeys([*keep, media])), run, T.StructType(schema))

@@ -34,7 +34,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewise.llm.shared import materialise
+from tidewise.llm.shared import map_texts, materialise
 from tidewise.llm.words import chunks, mix
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -67,7 +67,7 @@ def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
 
 
 #: Sequences of a compressed block of a stream.
-BLOCK = 1024
+BLOCK = 8192
 
 
 def _streams(path: str, pattern: str, length: int):
@@ -189,7 +189,7 @@ def write_training_order(docs: DataFrame, folder: str, length: int = 512, key: i
     if end > 0xFFFF:
         raise ValueError("ids are stored in 16 bits")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = materialise(rows.mapInArrow(_streams(path, pattern, length), _BLOCK_DDL))
+    blocks = materialise(map_texts(rows, _streams(path, pattern, length), _BLOCK_DDL))
     parts = blocks.groupBy("part").agg(F.sum("n").alias("size"))
     parts = materialise(parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"), "size"))
     total = parts.agg(F.sum("size")).first()[0] or 0
