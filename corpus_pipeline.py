@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewise.llm.byte_bpe import decode_bpe, encode_bpe
+from tidewise.llm.byte_bpe import round_trip_bpe
 from tidewise.llm.mixing import sample_mix
 from tidewise.llm.near_duplicates import drop_near_duplicates
 from tidewise.llm.quality_classifier import score_quality, train
@@ -40,7 +40,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens and digests of the ids and of the bytes they decode to."""
-    coded = decode_bpe(encode_bpe(docs.select("doc_id", "text")).drop("text"))
+    coded = round_trip_bpe(docs.select("doc_id", "text"))
     return coded.select("doc_id", F.floor(F.length("ids") / 4).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
