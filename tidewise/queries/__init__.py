@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidewise.queries import search, service
+from tidewise.queries import pages, search, service
 
-ALL = {**search.QUERIES, **service.QUERIES}
+ALL = {**search.QUERIES, **service.QUERIES, **pages.QUERIES}
