@@ -152,8 +152,8 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]",
     """docs with every span of `text` replaced by mark; overlapping spans by one."""
     hashed = docs.withColumn("_hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
     spans = find_spans(hashed.select(F.col("_hash").alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text")), alpha)
-    listed = spans.groupBy("text_hash").agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
-    both = hashed.join(listed, F.col("_hash") == F.col("text_hash"), "left")
+    listed = spans.groupBy(F.col("text_hash").alias("_spans_of")).agg(F.array_sort(F.collect_list(F.struct("start", "end"))).alias("_spans"))
+    both = hashed.join(listed, F.col("_hash") == F.col("_spans_of"), "left")
     start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("parts"))
     until = lambda state, end: F.substr(F.col(text), (state["at"] + 1).cast("int"), F.greatest(F.lit(0), end - state["at"]).cast("int"))
 

@@ -1,41 +1,21 @@
-"""A written table in the folder that driver and executors share, to cut lineage and to read a costly result more than once."""
+"""Tables in the shared folder, and Arrow batches for rows that hold whole texts."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from tidewise.sources.shared import materialise, shared_dir
+
+__all__ = ["map_texts", "materialise", "shared_dir"]
+
 #: Rows of an Arrow batch where rows hold whole texts: memory of a task is a few times one batch.
 TEXT_ROWS = 2000
 _ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the cluster names none (tests)."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not named:
-        named = tempfile.mkdtemp(prefix="tidewise-")
-        spark.sparkContext.setCheckpointDir(named)
-        named = spark.sparkContext.getCheckpointDir()
-    return named
-
-
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
-
-    The table survives lost executors, has a known size (so that later joins are planned by it) and is pruned by column.
-    It stays until the shared folder is cleaned, as checkpoint files do.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tidewise/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def map_texts(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataFrame:
     """df.mapInArrow with batches of at most TEXT_ROWS rows. The session keeps that setting, where its own is larger."""
     spark = df.sparkSession
