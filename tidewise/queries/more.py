@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewise.operators import accounts, ingest, reports
@@ -47,7 +47,7 @@ def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each metro stands after a run of 300 searches from the start."""
     work = ingest.searches(vq._grid(spark).where("metro in ('seattle', 'denver', 'providence')"), bridge.food_types(spark))
     none = spark.createDataFrame([], "metro string, next_ordinal int, completed_at timestamp")
-    saved = ingest.save_checkpoints(ingest.remaining(work, none, 300), work, vq.NOW)
+    saved = ingest.save_checkpoints(ingest.remaining(work, none, 300), work, vq.now())
     return saved.select("metro", F.col("next_ordinal").cast("long").alias("next_ordinal"), "searches", F.col("completed_at").isNotNull().alias("completed"))
 
 
@@ -58,7 +58,7 @@ select metro, least(n, 300) as next_ordinal, least(n, 300) as searches, n <= 300
 def sign_up(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), F.concat(F.lower("c_name"), F.lit("@mail.example")).alias("email"))
     new = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 = 0").select((F.col("c_custkey") + 1_000_000).alias("user_id"), F.concat(F.lit(" "), "c_name", F.when(F.col("c_custkey") % 5 != 0, "@MAIL.example ").otherwise("mail")).alias("email"))
-    return accounts.sign_up(users, bridge.subscriptions(spark, sf_dir), new, vq.NOW)[0]
+    return accounts.sign_up(users, bridge.subscriptions(spark, sf_dir), new, vq.now())[0]
 
 
 SIGN_UP_SQL = """with users as (select c_custkey as user_id, lower(c_name) || '@mail.example' as email from customer where c_custkey % 2 = 0)
@@ -104,7 +104,7 @@ n as (select user_id, count(*) filter (event_type = 'error' and (last_ok is null
 select user_id as restaurant_id, attempts, case when attempts > 0 then 'timeout' end as error_type, attempts > 0 as open from n"""
 
 
-def _built(spark: SparkSession, sf_dir: str, item: F.Column, head: str = "", tail: str = "", between: str = "") -> DataFrame:
+def _built(spark: SparkSession, sf_dir: str, item: Column, head: str = "", tail: str = "", between: str = "") -> DataFrame:
     """A page per place from its items in order; price is (item_id % 60) + 0.5."""
     i = bridge.menu_items(spark, sf_dir).withColumn("shown", (F.col("item_id") % 60).cast("double") + 0.5)
     rows = i.groupBy("restaurant_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("item_id", item.alias("x")))), lambda x: x["x"]), between).alias("body"))

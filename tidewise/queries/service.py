@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewise.functions import geo
@@ -12,7 +12,11 @@ from tidewise.operators import accounts, ingest, reports
 from tidewise.queries.search import BRIDGE_SQL
 from tidewise.sources import bridge
 
-NOW = F.lit(bridge.AS_OF).cast("timestamp")
+
+def now() -> Column:
+    return F.lit(bridge.AS_OF).cast("timestamp")
+
+
 NOW_SQL = f"timestamp '{bridge.AS_OF}'"
 METROS_SQL = "metros as (select * from (values " + ", ".join("('{0}', {2}, {3}::double, {4}::double, {5}::double, {6}::double, {7}::double)".format(*x.split("|")) for x in bridge.METROS.strip().splitlines()) + ") as t(name, rank, sw_lat, sw_lng, ne_lat, ne_lng, spacing))"
 GRID_SQL = METROS_SQL + """, grid as (
@@ -91,8 +95,8 @@ def retryable(spark: SparkSession, sf_dir: str) -> DataFrame:
 def due(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers with a made-up website and last visit."""
     places = bridge.restaurants(spark, sf_dir).withColumn("website_url", F.when(F.col("restaurant_id") % 9 != 0, F.concat(F.lit("https://place.example/"), F.col("restaurant_id"))))
-    places = places.withColumn("scraped_at", F.when(F.col("restaurant_id") % 4 != 0, NOW - F.make_dt_interval((F.col("restaurant_id") % 60).cast("int"))))
-    return ingest.due(places, bridge.failures(spark, sf_dir), NOW).select("restaurant_id", "website_url")
+    places = places.withColumn("scraped_at", F.when(F.col("restaurant_id") % 4 != 0, now() - F.make_dt_interval((F.col("restaurant_id") % 60).cast("int"))))
+    return ingest.due(places, bridge.failures(spark, sf_dir), now()).select("restaurant_id", "website_url")
 
 
 DUE_SQL = f"""with {BRIDGE_SQL}, {FAILURES_SQL}, places as (
@@ -162,17 +166,17 @@ _PATTERNS_SQL = "patterns as (select p_type as platform_type, p_brand as detecti
 
 
 def premium(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bridge.subscriptions(spark, sf_dir).select("external_id", accounts.is_premium(NOW).alias("premium"), accounts.days_remaining(NOW).alias("days_remaining"))
+    return bridge.subscriptions(spark, sf_dir).select("external_id", accounts.is_premium(now()).alias("premium"), accounts.days_remaining(now()).alias("days_remaining"))
 
 
 def latest_subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return accounts.subscription_status(bridge.subscriptions(spark, sf_dir), NOW)
+    return accounts.subscription_status(bridge.subscriptions(spark, sf_dir), now())
 
 
 def redeemed(spark: SparkSession, sf_dir: str) -> DataFrame:
     subs = bridge.subscriptions(spark, sf_dir)
     receipts = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type in ('purchase', 'signup') and event_id % 11 = 0").select("user_id", F.col("event_id").alias("external_id"))
-    return accounts.redeem(subs, receipts, NOW).select("user_id", "tier", "external_id", "is_active")
+    return accounts.redeem(subs, receipts, now()).select("user_id", "tier", "external_id", "is_active")
 
 
 REDEEMED_SQL = f"""with {SUBSCRIPTIONS_SQL}, fresh as (select user_id, event_id as external_id from events where event_type in ('purchase', 'signup') and event_id % 11 = 0 and event_id not in (select external_id from subscriptions))
