@@ -45,30 +45,33 @@ select row_number() over (order by -n, {sq._FAR}, ord) as position, restaurant_i
 
 def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each metro stands after a run of 300 searches from the start."""
-    work = ingest.searches(vq._grid(spark).where("metro in ('seattle', 'denver', 'providence')"), bridge.food_types(spark))
+    work = ingest.searches(vq._grid(spark), bridge.food_types(spark))
     none = spark.createDataFrame([], "metro string, next_ordinal int, completed_at timestamp")
     saved = ingest.save_checkpoints(ingest.remaining(work, none, 300), work, vq.now())
     return saved.select("metro", F.col("next_ordinal").cast("long").alias("next_ordinal"), "searches", F.col("completed_at").isNotNull().alias("completed"))
 
 
-CHECKPOINTS_SQL = f"""with {vq.GRID_SQL}, w as (select metro, count(*) * 12 as n from grid where metro in ('seattle', 'denver', 'providence') group by metro)
+CHECKPOINTS_SQL = f"""with {vq.GRID_SQL}, w as (select metro, count(*) * 12 as n from grid group by metro)
 select metro, least(n, 300) as next_ordinal, least(n, 300) as searches, n <= 300 as completed from w"""
 
 
 def sign_up(spark: SparkSession, sf_dir: str) -> DataFrame:
-    users = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("user_id"), F.concat(F.lower("c_name"), F.lit("@mail.example")).alias("email"))
-    new = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 = 0").select((F.col("c_custkey") + 1_000_000).alias("user_id"), F.concat(F.lit(" "), "c_name", F.when(F.col("c_custkey") % 5 != 0, "@MAIL.example ").otherwise("mail")).alias("email"))
+    """Suppliers are the users, all customers apply; every fifth address is no address, and some are a user's."""
+    users = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("user_id"), F.concat(F.replace(F.lower("s_name"), F.lit("supplier"), F.lit("customer")), F.lit("@mail.example")).alias("email"))
+    new = spark.read.parquet(f"{sf_dir}/customer.parquet").select((F.col("c_custkey") + 1_000_000).alias("user_id"), F.concat(F.lit(" "), "c_name", F.when(F.col("c_custkey") % 5 != 0, "@MAIL.example ").otherwise("mail")).alias("email"))
     return accounts.sign_up(users, bridge.subscriptions(spark, sf_dir), new, vq.now())[0]
 
 
-SIGN_UP_SQL = """with users as (select c_custkey as user_id, lower(c_name) || '@mail.example' as email from customer where c_custkey % 2 = 0)
-select * from users union all select c_custkey + 1000000, lower(c_name) || '@mail.example' from customer where c_custkey % 3 = 0 and c_custkey % 5 <> 0 and c_custkey % 2 <> 0"""
+SIGN_UP_SQL = """with users as (select s_suppkey as user_id, replace(lower(s_name), 'supplier', 'customer') || '@mail.example' as email from supplier),
+applicants as (select c_custkey + 1000000 as user_id, lower(c_name) || case when c_custkey % 5 <> 0 then '@mail.example' else 'mail' end as email from customer)
+select * from users union all select * from applicants where email like '%@%' and email not in (select email from users)"""
 
 
 def geocoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses of unrated places are unknown to the gazetteer."""
     r = bridge.restaurants(spark, sf_dir)
-    gazetteer = r.where("restaurant_id % 3 <> 0").select(F.col("name").alias("address"), F.explode(F.array(F.lit(2), F.lit(1))).alias("ord"), "lat", "lng").withColumn("formatted", F.concat_ws(" #", "address", "ord"))
-    return bridge.geocode(r.select(F.col("name").alias("address")), gazetteer).select("address", F.round("lat", 6).alias("lat"), "formatted")
+    gazetteer = r.select(F.col("name").alias("address"), F.explode(F.array(F.lit(2), F.lit(1))).alias("ord"), "lat", "lng").withColumn("formatted", F.concat_ws(" #", "address", "ord"))
+    return bridge.geocode(r.select(F.when(F.col("rating").isNotNull(), F.col("name")).otherwise(F.concat(F.lit("Old "), "name")).alias("address")), gazetteer).select("address", F.round("lat", 6).alias("lat"), "formatted")
 
 
 def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,7 +179,7 @@ QUERIES = {
     "so06_no_words": (no_words, NO_WORDS_SQL),
     "snk05_checkpoints": (checkpoints, CHECKPOINTS_SQL),
     "snk10_sign_up": (sign_up, SIGN_UP_SQL),
-    "src04_geocode": (geocoded, f"with {sq.BRIDGE_SQL} select place as address, case when restaurant_id % 3 <> 0 then round(lat, 6) end as lat, case when restaurant_id % 3 <> 0 then place || ' #1' end as formatted from restaurants"),
+    "src04_geocode": (geocoded, f"with {sq.BRIDGE_SQL} select case when rating is null then 'Old ' else '' end || place as address, case when rating is not null then round(lat, 6) end as lat, case when rating is not null then place || ' #1' end as formatted from restaurants"),
     "ag14_progress": (progress, "select user_id, count(*) as searches, count(*) * 7 + user_id as seconds, round(count(*) * 3600.0::double / (count(*) * 7 + user_id), 1) as per_hour, round(100.0::double * count(*) / 1000, 1) as percent from events group by user_id"),
     "snk13_json": (json_response, f"with {sq.BRIDGE_SQL} select restaurant_id, item_id, '{{\"item_id\":' || item_id || ',\"name\":\"' || name || '\",\"category\":\"' || category || '\"}}' as json from items"),
     "snk12_dump": (dumped, f"with {sq.BRIDGE_SQL} select * from items"),

@@ -22,7 +22,7 @@ restaurants as (
   from restaurants
 ), items as (
   select distinct l_suppkey as restaurant_id, l_partkey as item_id, p_name as name, p_brand || ' ' || p_type as description, p_retailprice as price, p_type as category
-  from lineitem join part on p_partkey = l_partkey where (l_partkey * 7 + l_suppkey * 13) % 11 = 0
+  from lineitem join part on p_partkey = l_partkey
 )"""
 
 

@@ -44,17 +44,17 @@ def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = ingest.searches(_grid(spark).where("metro in ('seattle', 'denver', 'boston')"), bridge.food_types(spark))
+    work = ingest.searches(_grid(spark), bridge.food_types(spark))
     return work.select("metro", F.col("ordinal").cast("long").alias("ordinal"), "lat", "lng", "food_type")
 
 
 SEARCHES_SQL = f"""with {GRID_SQL}, types as (select * from (values {', '.join(f"({i}, '{t}')" for i, t in enumerate(bridge.FOOD_TYPES))}) as t(n, food_type))
-select metro, ((row_number() over (partition by metro, n order by row, col) - 1) * 12 + n)::bigint as ordinal, lat, lng, food_type from grid cross join types where metro in ('seattle', 'denver', 'boston')"""
+select metro, ((row_number() over (partition by metro, n order by row, col) - 1) * 12 + n)::bigint as ordinal, lat, lng, food_type from grid cross join types"""
 
 
 def resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A run with a budget of 50, from checkpoints."""
-    work = ingest.searches(_grid(spark).where("metro in ('seattle', 'denver', 'boston')"), bridge.food_types(spark))
+    work = ingest.searches(_grid(spark), bridge.food_types(spark))
     saved = spark.createDataFrame([("seattle", 100, None), ("denver", 7, bridge.AS_OF)], "metro string, next_ordinal int, completed_at string")
     return ingest.remaining(work, saved, 50).select("metro", F.col("ordinal").cast("long").alias("ordinal"), F.col("run_no").cast("long").alias("run_no"))
 
@@ -70,13 +70,13 @@ def ranked_metros(spark: SparkSession, sf_dir: str) -> DataFrame:
 def nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places within 3 km of grid points around them, as a join by cells."""
     places = bridge.restaurants(spark, sf_dir).select("restaurant_id", "lat", "lng")
-    points = _grid(spark).where("metro = 'san_diego'").select("label", "lat", "lng")
+    points = _grid(spark).select("label", "lat", "lng")
     return geo.nearby_pairs(points, places, 3000.0).select("label", F.col("place_restaurant_id").alias("restaurant_id"), F.round("distance_m", 3).alias("distance_m"))
 
 
 NEARBY_SQL = f"""with {BRIDGE_SQL}, {GRID_SQL}, pairs as (
-  select 'san_diego_' || row || '_' || col as label, restaurant_id, 2 * 6371008.8::double * asin(sqrt(least(1.0::double, pow(sin(radians(r.lat - g.lat) / 2), 2) + cos(radians(g.lat)) * cos(radians(r.lat)) * pow(sin(radians(r.lng - g.lng) / 2), 2)))) as distance_m
-  from grid g cross join restaurants r where metro = 'san_diego')
+  select metro || '_' || row || '_' || col as label, restaurant_id, 2 * 6371008.8::double * asin(sqrt(least(1.0::double, pow(sin(radians(r.lat - g.lat) / 2), 2) + cos(radians(g.lat)) * cos(radians(r.lat)) * pow(sin(radians(r.lng - g.lng) / 2), 2)))) as distance_m
+  from grid g cross join restaurants r)
 select label, restaurant_id, round(distance_m, 3) as distance_m from pairs where distance_m <= 3000"""
 
 
@@ -118,24 +118,26 @@ def insert_new(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def replaced(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places without a rating get new lists: what costs less than 950, dearer by 1."""
     items = bridge.menu_items(spark, sf_dir).select("restaurant_id", "item_id", "price")
-    new = items.where("restaurant_id % 3 = 0 and item_id % 2 = 0").withColumn("price", F.col("price") + 1)
+    unrated = bridge.restaurants(spark, sf_dir).where("rating is null").select("restaurant_id")
+    new = items.where("price < 950").join(unrated, "restaurant_id", "left_semi").withColumn("price", F.col("price") + 1)
     return ingest.replace_items(items, new).groupBy("restaurant_id").agg(F.count("*").alias("n_items"), F.round(F.sum("price"), 2).alias("total"))
 
 
-REPLACED_SQL = f"""with {BRIDGE_SQL}, new as (select restaurant_id, item_id, price + 1 as price from items where restaurant_id % 3 = 0 and item_id % 2 = 0),
+REPLACED_SQL = f"""with {BRIDGE_SQL}, new as (select restaurant_id, item_id, price + 1 as price from items where price < 950 and restaurant_id in (select restaurant_id from restaurants where rating is null)),
 merged as (select restaurant_id, item_id, price from items where restaurant_id not in (select restaurant_id from new) union all select * from new)
 select restaurant_id, count(*) as n_items, round(sum(price), 2) as total from merged group by restaurant_id"""
 
 
 def failure_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = bridge.failures(spark, sf_dir).withColumn("error_detail", F.lit("old"))
-    new = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'click' and event_id % 5 = 0").select(
+    new = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type = 'click'").select(
         F.col("user_id").alias("restaurant_id"), F.lit("timeout").alias("error_type"), F.col("props").alias("error_detail"), F.lit(4).alias("extractor_version"), F.col("ts").alias("last_attempt_at"), F.lit(1).cast("long").alias("attempts"), F.lit(False).alias("resolved"))
     return ingest.upsert_failures(old, new).select("restaurant_id", "error_type", "attempts", "extractor_version", "resolved")
 
 
-FAILURE_UPSERT_SQL = f"""with {FAILURES_SQL}, fresh as (select user_id as restaurant_id, count(*) as more from events where event_type = 'click' and event_id % 5 = 0 group by user_id)
+FAILURE_UPSERT_SQL = f"""with {FAILURES_SQL}, fresh as (select user_id as restaurant_id, count(*) as more from events where event_type = 'click' group by user_id)
 select restaurant_id, error_type, attempts, extractor_version, resolved from failures where resolved
 union all
 select restaurant_id, case when more is null then error_type else 'timeout' end as error_type, coalesce(attempts, 0) + coalesce(more, 0) as attempts, case when more is null then extractor_version else 4 end as extractor_version, false as resolved
@@ -143,7 +145,7 @@ from (select * from failures where not resolved) full join fresh using (restaura
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ok = spark.read.parquet(f"{sf_dir}/supplier.parquet").select(F.col("s_suppkey").alias("restaurant_id")).where("s_suppkey % 2 = 0")
+    ok = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_acctbal >= 0").select(F.col("s_suppkey").alias("restaurant_id"))
     return ingest.resolve_failures(bridge.failures(spark, sf_dir), ok).select("restaurant_id", "error_type", "resolved")
 
 
@@ -158,7 +160,7 @@ def best_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pattern_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     old = _patterns(spark, sf_dir)
-    learned = old.where("success_count % 2 = 0").withColumns({"selectors": F.lit("{}"), "success_count": F.lit(1).cast("long"), "last_used_at": F.col("last_used_at") + 1})
+    learned = old.where("last_used_at < 40").withColumns({"selectors": F.lit("{}"), "success_count": F.lit(1).cast("long"), "last_used_at": F.col("last_used_at") + 1})
     return ingest.upsert_patterns(old, learned)
 
 
@@ -175,11 +177,11 @@ def latest_subscription(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def redeemed(spark: SparkSession, sf_dir: str) -> DataFrame:
     subs = bridge.subscriptions(spark, sf_dir)
-    receipts = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type in ('purchase', 'signup') and event_id % 11 = 0").select("user_id", F.col("event_id").alias("external_id"))
+    receipts = spark.read.parquet(f"{sf_dir}/events.parquet").where("event_type in ('purchase', 'signup')").select("user_id", F.col("event_id").alias("external_id"))
     return accounts.redeem(subs, receipts, now()).select("user_id", "tier", "external_id", "is_active")
 
 
-REDEEMED_SQL = f"""with {SUBSCRIPTIONS_SQL}, fresh as (select user_id, event_id as external_id from events where event_type in ('purchase', 'signup') and event_id % 11 = 0 and event_id not in (select external_id from subscriptions))
+REDEEMED_SQL = f"""with {SUBSCRIPTIONS_SQL}, fresh as (select user_id, event_id as external_id from events where event_type in ('purchase', 'signup') and event_id not in (select external_id from subscriptions))
 select user_id, tier, external_id, is_active and user_id not in (select user_id from fresh) as is_active from subscriptions union all select user_id, 'lifetime', external_id, true from fresh"""
 
 
@@ -190,16 +192,16 @@ def favourites(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def favourite_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = bridge.favourites(spark, sf_dir)
-    return accounts.upsert_favourites(f.where("favourite_id % 2 = 0"), f.where("favourite_id % 2 = 1")).select("user_id", "item_id", "favourite_id", "note")
+    return accounts.upsert_favourites(f.where("created_at < '2024-01-16'"), f.where("created_at >= '2024-01-16'")).select("user_id", "item_id", "favourite_id", "note")
 
 
 FAVOURITE_UPSERT_SQL = f"""with {FAVOURITES_SQL}
-select user_id, item_id, arg_min(favourite_id, (favourite_id % 2, created_at, favourite_id)) as favourite_id, arg_max(note, (favourite_id % 2, created_at, favourite_id)) filter (note is not null) as note from favourites group by user_id, item_id"""
+select user_id, item_id, arg_min(favourite_id, (created_at >= '2024-01-16', created_at, favourite_id)) as favourite_id, arg_max(note, (created_at >= '2024-01-16', created_at, favourite_id)) filter (note is not null) as note from favourites group by user_id, item_id"""
 
 
 def favourite_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = bridge.favourites(spark, sf_dir)
-    return accounts.remove_favourites(f, f.where("favourite_id % 3 = 0").select("favourite_id", (F.col("user_id") + F.col("favourite_id") % 2).alias("user_id"))).select("favourite_id", "user_id")
+    return accounts.remove_favourites(f, f.where("note is not null").select("favourite_id", (F.col("user_id") + F.col("favourite_id") % 2).alias("user_id"))).select("favourite_id", "user_id")
 
 
 def sections(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -280,15 +282,15 @@ QUERIES = {
     "snk01_insert_new": (insert_new, "select s_suppkey as place_id, s_name as name from supplier union all select c_custkey, c_name from customer where c_custkey not in (select s_suppkey from supplier)"),
     "snk02_replace": (replaced, REPLACED_SQL),
     "snk03_failure_upsert": (failure_upsert, FAILURE_UPSERT_SQL),
-    "snk04_resolve": (resolved, f"with {FAILURES_SQL} select restaurant_id, error_type, resolved or restaurant_id in (select s_suppkey from supplier where s_suppkey % 2 = 0) as resolved from failures"),
+    "snk04_resolve": (resolved, f"with {FAILURES_SQL} select restaurant_id, error_type, resolved or restaurant_id in (select s_suppkey from supplier where s_acctbal >= 0) as resolved from failures"),
     "wn07_best_pattern": (best_pattern, f"with {_PATTERNS_SQL} select platform_type, arg_max(selectors, (success_count, detection_rule)) as selectors, max(success_count) as success_count from patterns group by platform_type"),
-    "snk06_pattern_upsert": (pattern_upsert, f"with {_PATTERNS_SQL} select platform_type, detection_rule, case when success_count % 2 = 0 then '{{}}' else selectors end as selectors, success_count + (success_count % 2 = 0)::int as success_count, last_used_at + (success_count % 2 = 0)::int as last_used_at from patterns"),
+    "snk06_pattern_upsert": (pattern_upsert, f"with {_PATTERNS_SQL} select platform_type, detection_rule, case when last_used_at < 40 then '{{}}' else selectors end as selectors, success_count + (last_used_at < 40)::int as success_count, last_used_at + (last_used_at < 40)::int as last_used_at from patterns"),
     "flt13_premium": (premium, f"with {SUBSCRIPTIONS_SQL} select external_id, {PREMIUM_SQL} as premium, greatest(0, floor((epoch(expires_at) - epoch({NOW_SQL})) / 86400))::bigint as days_remaining from subscriptions where expires_at is not null union all select external_id, {PREMIUM_SQL}, null from subscriptions where expires_at is null"),
     "wn06_latest_subscription": (latest_subscription, f"with {SUBSCRIPTIONS_SQL} select user_id, tier, created_at, {PREMIUM_SQL} as premium, case when expires_at is not null then greatest(0, floor((epoch(expires_at) - epoch({NOW_SQL})) / 86400))::bigint end as days_remaining from subscriptions where is_active qualify row_number() over (partition by user_id order by created_at desc, external_id desc) = 1"),
     "snk09_redeem": (redeemed, REDEEMED_SQL),
     "jn05_favourites": (favourites, f"with {FAVOURITES_SQL}, n as (select *, row_number() over (partition by user_id order by created_at desc, favourite_id) as place from favourites) select user_id, place, favourite_id, item_id, p_name, note from n join part on p_partkey = item_id"),
     "snk08_favourite_upsert": (favourite_upsert, FAVOURITE_UPSERT_SQL),
-    "snk08_favourite_removal": (favourite_removal, f"with {FAVOURITES_SQL} select favourite_id, user_id from favourites where not (favourite_id % 3 = 0 and favourite_id % 2 = 0)"),
+    "snk08_favourite_removal": (favourite_removal, f"with {FAVOURITES_SQL} select favourite_id, user_id from favourites where not (note is not null and favourite_id % 2 = 0)"),
     "ag18_sections": (sections, f"with {BRIDGE_SQL} select restaurant_id, coalesce(case when item_id % 5 <> 0 then category end, 'Other') as section, count(*) as n_items, min(price) as min_price from items group by all"),
     "ag13_coverage": (coverage, f"with {BRIDGE_SQL}, p as (select restaurant_id, case when item_id % 23 = restaurant_id % 23 then price end as price from items) select restaurant_id, count(*) as n_items, count(price) as n_priced, count(price) / count(*) as share, count(price) / count(*) >= 0.3 or count(price) >= 3 as accepted from p group by restaurant_id"),
     "ag19_synonyms": (synonyms, "with t as (select distinct p_name as g, unnest(string_split(p_name, ' ')) as word from part) select distinct a.word, b.word as synonym from t a join t b using (g) where a.word <> b.word"),
