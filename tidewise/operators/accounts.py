@@ -31,7 +31,18 @@ def subscription_status(subscriptions: DataFrame, as_of: Column) -> DataFrame:
 
 def redeem(subscriptions: DataFrame, receipts: DataFrame, now: Column) -> DataFrame:
     """subscriptions after lifetime receipts (user_id, external_id): known ids are refused, a user's other rows end."""
-    fresh = receipts.dropDuplicates(["external_id"]).join(subscriptions.select("external_id"), "external_id", "left_anti")
+    return _switch(subscriptions, receipts.dropDuplicates(["external_id"]).join(subscriptions.select("external_id"), "external_id", "left_anti"), now)
+
+
+def grant_lifetime(users: DataFrame, subscriptions: DataFrame, emails: DataFrame, now: Column) -> DataFrame:
+    """subscriptions after lifetime grants to the users (user_id, email) named by normalised e-mail; unknown addresses get none."""
+    named = emails.select(F.trim(F.lower("email")).alias("email"))
+    chosen = users.join(named, "email", "left_semi").select("user_id").distinct()
+    return _switch(subscriptions, chosen.withColumn("external_id", F.lit(None).cast(subscriptions.schema["external_id"].dataType)), now)
+
+
+def _switch(subscriptions: DataFrame, fresh: DataFrame, now: Column) -> DataFrame:
+    """subscriptions with a lifetime row for each of fresh (user_id, external_id), whose users' other rows end."""
     ended = subscriptions.join(fresh.select("user_id").distinct().withColumn("_new", F.lit(True)), "user_id", "left")
     ended = ended.withColumn("is_active", F.col("is_active") & F.col("_new").isNull()).select(subscriptions.columns)
     new = fresh.select("user_id", F.lit("lifetime").alias("tier"), "external_id", now.alias("created_at"), F.lit(None).cast("timestamp").alias("expires_at"), F.lit(True).alias("is_active"))
@@ -66,3 +77,8 @@ def favourite_items(favourites: DataFrame, items: DataFrame, user_id=None) -> Da
     mine = favourites if user_id is None else favourites.where(F.col("user_id") == user_id)
     newest = Window.partitionBy("user_id").orderBy(F.col("created_at").desc(), "favourite_id")
     return mine.withColumn("place", F.row_number().over(newest)).join(items, "item_id")
+
+
+def last_locations(fixes: DataFrame) -> DataFrame:
+    """The latest position (lat, lng) of each user from fixes (user_id, ts, lat, lng)."""
+    return fixes.groupBy("user_id").agg(F.max_by(F.struct("lat", "lng"), "ts").alias("p"), F.max("ts").alias("ts")).select("user_id", "ts", "p.lat", "p.lng")

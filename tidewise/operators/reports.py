@@ -46,3 +46,8 @@ def menu_sections(items: DataFrame) -> DataFrame:
 def progress(done: DataFrame, total: int) -> DataFrame:
     """Rate per hour and per cent complete per group of (key, searches, seconds)."""
     return done.select("*", F.round(F.col("searches") * 3600.0 / F.nullif(F.col("seconds"), F.lit(0)), 1).alias("per_hour"), F.round(100.0 * F.col("searches") / total, 1).alias("percent"))
+
+
+def method_counts(outcomes: DataFrame) -> DataFrame:
+    """Sites and items by the method that read them, and sites without items."""
+    return outcomes.groupBy("method").agg(F.count("*").alias("n_sites"), F.sum("n_items").cast("long").alias("n_items"), F.count_if(F.col("n_items") == 0).alias("n_empty"))

@@ -194,3 +194,13 @@ def detail(restaurants: DataFrame, items: DataFrame, restaurant_id) -> DataFrame
     one = F.struct("item_id", "name", "description", "price", "category")
     menu = items.where(F.col("restaurant_id") == restaurant_id).groupBy("restaurant_id").agg(F.array_sort(F.collect_list(one)).alias("menu_items"))
     return restaurants.where(F.col("restaurant_id") == restaurant_id).join(menu, "restaurant_id", "left")
+
+
+def cached_results(cache: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
+    """requests (query, lat, lng, radius) with the stored results (key, results, expires_at) that still hold; null for the others.
+
+    Order and limit are no part of the key. Of several stored results the one that holds longest counts.
+    """
+    valid = cache.where(F.col("expires_at") > as_of).groupBy("key").agg(F.max_by("results", "expires_at").alias("results"))
+    keyed = requests.withColumn("key", tx.cache_key(F.col("query"), F.col("lat"), F.col("lng"), F.col("radius")))
+    return keyed.join(valid, "key", "left")

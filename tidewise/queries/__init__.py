@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidewise.queries import more, pages, search, service
+from tidewise.queries import more, pages, rules, search, service
 
-ALL = {**search.QUERIES, **service.QUERIES, **pages.QUERIES, **more.QUERIES}
+ALL = {**search.QUERIES, **service.QUERIES, **pages.QUERIES, **more.QUERIES, **rules.QUERIES}
