@@ -5,7 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidewise.llm.quality_rules import ORACLE_SQL, quality_rules, repeated_window_words
+from tidewise.llm.quality_rules import ORACLE_SQL, quality_rules, remove_frequent_lines, repeated_window_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -50,6 +50,31 @@ def test_frequent_lines_deplete(spark):
     assert all(got[i].removed_share == 0 for i in got if i >= 100)
 
 
+def test_frequent_lines_go(spark):
+    """The texts against brute force, with odd spaces, numbers, empty lines, nulls and repeated rows."""
+    rnd = random.Random(7)
+    shared = ["Share this page", "\tPage 12 of 300 ", "Ünïcode lïne"]
+    own = lambda: "".join(rnd.choices("abcdefghij ", k=30))
+    rows = [(i, "\n".join(rnd.choice([*shared, own(), own(), "", " \x0b"]) for _ in range(rnd.randrange(1, 9))), rnd.choice(["h", None]), i) for i in range(200)]
+    rows += [(900, None, "h", 0), (901, "", None, 0), rows[0], rows[0]]
+    form = lambda t: [re.sub("[0-9]+", "0", x) for x in re.split(r"[\x20\x09\x0B-\x0D]*\n[\x20\x09\x0B-\x0D]*", (t or "").strip(" ").lower())]
+    texts = {(h, t or "") for _, t, h, _ in rows}
+    count = {}
+    for h, t in texts:
+        for x in set(form(t)) - {""}:
+            count[h, x] = count.get((h, x), 0) + 1
+    want = []
+    for i, t, h, n in rows:
+        pairs = list(zip((t or "").split("\n"), form(t), strict=True))
+        gone = [count.get((h, x), 0) > 20 for _, x in pairs]
+        size, lost = sum(len(x) for _, x in pairs), sum(len(x) for (_, x), g in zip(pairs, gone, strict=True) if g)
+        if not size or lost / size <= 0.7:
+            want.append((i, "\n".join(r for (r, _), g in zip(pairs, gone, strict=True) if not g) if any(gone) else t, h, n))
+    got = remove_frequent_lines(spark.createDataFrame(rows, "doc_id long, text string, source string, host long"))
+    assert got.columns == ["doc_id", "text", "source", "host"]
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str) and 0 < len(want) < len(rows)
+
+
 @pytest.mark.parametrize("hosts", [None, 2])
 def test_equals_sql(spark, hosts):
     """With few hosts some lines are above the limits."""

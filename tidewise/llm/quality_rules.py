@@ -78,27 +78,53 @@ def base_rules(docs: DataFrame, host: str) -> DataFrame:
     )
 
 
+def normalised_lines(text: Column) -> Column:
+    """The lines of a text in lower case, numbers as 0, without the spaces around them; as many as `split(text, "\\n")` gives."""
+    return F.split(F.regexp_replace(F.lower(F.trim(text)), "[0-9]+", "0"), LINE_END)
+
+
 def text_lines(docs: DataFrame, host: str) -> DataFrame:
     """host, text_hash, line (hash of the normalised line), chars: once for each different text of a host and line in it.
 
     chars is summed over repeats of the line and copies of the text alike, for use as a share of the text's sum.
     """
     rows = docs.select(F.col(host).alias("host"), F.coalesce("text", F.lit("")).alias("text"))
-    lines = F.split(F.regexp_replace(F.lower(F.trim("text")), "[0-9]+", "0"), LINE_END)
-    each = rows.select("host", F.xxhash64("text").alias("text_hash"), F.explode(lines).alias("x")).where("x <> ''")
+    each = rows.select("host", F.xxhash64("text").alias("text_hash"), F.explode(normalised_lines(F.col("text"))).alias("x")).where("x <> ''")
     return each.select("host", "text_hash", F.xxhash64("x").alias("line"), F.length("x").alias("n")).groupBy("host", "text_hash", "line").agg(F.sum("n").alias("chars"))
 
 
-def quality_rules(docs: DataFrame, host: str = "source", least: int = 20, share: float = 0.005, depleted: float = 0.7) -> DataFrame:
-    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_share."""
-    base = materialise(base_rules(docs, host))
-    lines = materialise(text_lines(docs, host))
-    limits = base.select("host", "text_hash").distinct().groupBy("host").agg(F.greatest(F.lit(least), F.ceil(F.count("*") * share)).alias("limit"))
+def lost_lines(texts: DataFrame, lines: DataFrame, least: int, share: float) -> DataFrame:
+    """host, text_hash, lost (share of characters), gone_lines of the texts that hold frequent lines, from (host, text_hash) and text_lines."""
+    limits = texts.select("host", "text_hash").distinct().groupBy("host").agg(F.greatest(F.lit(least), F.ceil(F.count("*") * share)).alias("limit"))
     counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least)
     frequent = counts.alias("c").join(limits.alias("l"), F.col("c.host").eqNullSafe(F.col("l.host"))).where("n > limit").select("c.host", "line")
     frequent = materialise(frequent)
     marked = lines.alias("t").join(frequent.withColumn("gone", F.lit(True)).alias("f"), F.col("t.host").eqNullSafe(F.col("f.host")) & (F.col("t.line") == F.col("f.line")), "left")
-    lost = marked.groupBy("t.host", "text_hash").agg((F.sum(F.when(F.col("gone"), F.col("chars")).otherwise(0)) / F.sum("chars")).alias("lost")).where("lost > 0")
+    lost = F.sum(F.when(F.col("gone"), F.col("chars")).otherwise(0)) / F.sum("chars")
+    return marked.groupBy("t.host", "text_hash").agg(lost.alias("lost"), F.collect_list(F.when(F.col("gone"), F.col("t.line"))).alias("gone_lines")).where("lost > 0")
+
+
+def remove_frequent_lines(docs: DataFrame, host: str = "source", text: str = "text", least: int = 20, share: float = 0.005, depleted: float = 0.7) -> DataFrame:
+    """docs without the frequent lines of their texts, and without the documents that lose more than `depleted` of their characters.
+
+    Other lines stay as they are; texts without frequent lines, null ones too, are unchanged.
+    """
+    whole = F.coalesce(F.col(text), F.lit(""))
+    rows = docs.select(F.col(host).alias("host"), whole.alias("text"))
+    lost = lost_lines(rows.select("host", F.xxhash64("text").alias("text_hash")), materialise(text_lines(rows, "host")), least, share)
+    lost = lost.select(F.col("host").alias("_host"), F.col("text_hash").alias("_text_hash"), F.col("lost").alias("_lost"), F.col("gone_lines").alias("_gone"))
+    both = docs.join(lost, F.col(host).eqNullSafe(F.col("_host")) & (F.xxhash64(whole) == F.col("_text_hash")), "left").where(F.coalesce("_lost", F.lit(0.0)) <= depleted)
+    pairs = F.arrays_zip(F.split(text, "\n").alias("raw"), normalised_lines(F.col(text)).alias("form"))
+    rest = F.filter(pairs, lambda x: (x["form"] == "") | ~F.array_contains(F.col("_gone"), F.xxhash64(x["form"])))
+    cleaned = F.array_join(F.transform(rest, lambda x: x["raw"]), "\n")
+    return both.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(cleaned)).select(docs.columns)
+
+
+def quality_rules(docs: DataFrame, host: str = "source", least: int = 20, share: float = 0.005, depleted: float = 0.7) -> DataFrame:
+    """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_share."""
+    base = materialise(base_rules(docs, host))
+    lines = materialise(text_lines(docs, host))
+    lost = lost_lines(base, lines, least, share).drop("gone_lines")
     judged = base.alias("b").join(lost.alias("x"), F.col("b.host").eqNullSafe(F.col("x.host")) & (F.col("b.text_hash") == F.col("x.text_hash")), "left")
     gone = F.coalesce("lost", F.lit(0.0))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (gone <= depleted)).alias("kept"), gone.alias("removed_share"))
