@@ -1,6 +1,7 @@
 import numpy as np
 import pyarrow as pa
 
+from tidewise.llm import quality_classifier
 from tidewise.llm.quality_classifier import DIMENSIONS, PASSAGE, fit, held_out, passages, score_quality, train
 from tidewise.llm.words import chunks
 
@@ -52,3 +53,32 @@ def test_odd_rows(spark):
     one = labels.where("quality = 1").withColumn("doc_id", __import__("pyspark").sql.functions.lit(1).cast("long"))
     assert all(0 <= r.score <= 1 for r in score_quality(docs, train(docs, one)).collect())
     assert score_quality(docs.limit(0), train(docs, labels)).count() == 0
+
+
+def learned(monkeypatch, docs, labels, **bounds):
+    """(passages, label) of every document that fit() gets."""
+    got = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda x, bags, y: got.extend(zip(np.diff(bags).tolist(), y.tolist(), strict=True)))
+    train(docs, labels, **bounds)
+    return got
+
+
+def test_sample_is_bounded_before_it_is_collected(spark, monkeypatch):
+    """A hot id counts once, and a long text with the first id or hash leaves room for the others."""
+    ids = [i for i, keep in spark.range(1, 60).select("id", ~held_out("id")).collect() if keep]
+    fit_mb = (1 << 20) // (4 * DIMENSIONS)
+    long = " ".join(["Wörd_a1"] * (PASSAGE * fit_mb // 2 + PASSAGE))  # two words each: one passage too many
+    for at in range(0, len(ids), 9):
+        rows = [(d, long if i == at else f"w{d} " * (PASSAGE + 1)) for i, d in enumerate(ids)] + [(ids[1 if at == 0 else 0], None)] + [(ids[2 if at == 0 else 1], "x y")] * 300
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        labels = spark.createDataFrame([(d, d % 2) for d in ids], "doc_id long, quality int")
+        got = learned(monkeypatch, docs.repartition(3), labels, passage_cap_mb=1)
+        assert len(got) == len(ids) - 1 and all(n in (1, 2) for n, _ in got)
+        assert [y for _, y in got] == [d % 2 for i, d in enumerate(ids) if i != at]
+    assert max(n for n, _ in learned(monkeypatch, docs, labels)) > fit_mb and len(learned(monkeypatch, docs, labels, sample=7)) == 7
+
+
+def test_sizes_are_those_of_the_features(spark):
+    texts = ["", "a", "a_b c-d", "é🙂x" * 3 + " y" * 63, "[A]{Z}@`" * 40, "\x00w\x7fw" * 33, "9:9/9;" * 50]
+    n = spark.createDataFrame([(t,) for t in texts], "text string").select(quality_classifier.F.regexp_count("text", quality_classifier.F.lit(quality_classifier.WORD))).collect()
+    assert np.maximum(1, -(-np.array([r[0] for r in n]) // PASSAGE)).tolist() == np.diff(bags_of(texts)[1]).tolist()

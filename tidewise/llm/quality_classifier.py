@@ -6,8 +6,10 @@ document labels weighs the passages, and the weighted representation is scored:
     h = tanh(W x + b)    a = softmax(w . (tanh(V h) * sigmoid(U h)))    score = sigmoid(c . sum(a h) + d)
 
 Features of a passage come from its bytes alone: shares of character classes, word lengths, repeated words and hashed words.
-The model is fitted with numpy on the driver from at most `sample` labelled documents (a documented bound, chosen by a hash
-of the id); scoring runs in tasks over all documents.
+The model is fitted with numpy on the driver from at most `sample` labelled documents and `passage_cap_mb` of their features (a
+documented bound). One row of each id counts, that with the smallest hash of its text. Ids are taken in the order of their hashes, and one
+whose features no longer fit is passed over; sizes are computed from numbers of words before any features are. Scoring runs
+in tasks over all documents.
 
 Null and empty texts are one passage without words and get a score as well. Labels that are null, outside 0 and 1 or
 contradictory for one id are left out. Without labels every score is 0.5; with one class only the model learns that class. A null id is never
@@ -30,6 +32,8 @@ from tidewise.llm.words import chunks, words
 
 PASSAGE = 64
 BUCKETS = 64
+#: The words of words() in SQL.
+WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Character classes of bytes.
 _CLASSES = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " ", "\n", ".", ",;:", "!?", "|", "#*$%&<>", "\"'()[]{}-/"]
 _CLASS = np.full(256, len(_CLASSES), np.int64)
@@ -138,7 +142,15 @@ def fit(x: np.ndarray, bags: np.ndarray, labels: np.ndarray, hidden: int = 24, a
 
 
 def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Features of the first row of each id."""
+    seen: set[int] = set()
     for batch in batches:
+        new = {}
+        for i, d in enumerate(batch.column("doc_id").to_pylist()):
+            if d not in seen:
+                new.setdefault(d, i)
+        seen.update(new)
+        batch = batch.take(pa.array(list(new.values()), pa.int64()))
         for lo, hi, data, offsets in chunks(batch.column("text")):
             x, bags = passages(data, offsets)
             blobs = [x[bags[i] : bags[i + 1]].tobytes() for i in range(hi - lo)]
@@ -150,20 +162,32 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
+def choose(docs: DataFrame, labels: DataFrame, sample: int, passage_cap_mb: int) -> pa.Table:
+    """(doc_id, quality, text_hash) of the documents to learn from: at most `sample` rows of numbers, one for each id."""
+    known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
+    known = known.where("quality = other").where(~held_out()).select("doc_id", F.col("quality").cast("int"))
+    by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known.orderBy(*by_hash).limit(sample)), "doc_id")
+    size = F.greatest(F.lit(1), F.ceil(F.regexp_count("text", F.lit(WORD)) / PASSAGE)).cast("long") * 4 * DIMENSIONS
+    one = rows.select("doc_id", "quality", F.struct(F.xxhash64("text").alias("text_hash"), size.alias("size")).alias("row")).groupBy("doc_id", "quality").agg(F.min("row").alias("row"))
+    ranked = one.select("doc_id", "quality", "row.text_hash", "row.size").orderBy(*by_hash).limit(sample).toArrow()
+    room, fits = passage_cap_mb << 20, []
+    for n in ranked.column("size").to_pylist():
+        fits.append(n <= room)
+        room -= n * fits[-1]
+    return ranked.filter(pa.array(fits, pa.bool_())).select(["doc_id", "quality", "text_hash"])
+
+
 def train(docs: DataFrame, labels: DataFrame, sample: int = 5000, passage_cap_mb: int = 120) -> Model:
     """Learn from labels.quality of documents that are not held out, at most `sample` of them and `passage_cap_mb` of features.
 
-    The bound on features is met by taking fewer documents, in the order of the hash of their ids.
+    The bound on features is met before features are computed: in the order of the hash of their ids, documents that no longer fit are left out.
     """
-    known = labels.where("quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other"))
-    known = known.where("quality = other").where(~held_out()).select("doc_id", F.col("quality").cast("int"))
-    chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", F.coalesce("text", F.lit("")).alias("text"))
-    got = map_texts(rows, _featured, "doc_id long, quality int, x binary").toArrow().sort_by([("doc_id", "ascending")])
+    chosen = docs.sparkSession.createDataFrame(choose(docs, labels, sample, passage_cap_mb))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").where(F.xxhash64("text") == F.col("text_hash"))
+    got = map_texts(rows.select("doc_id", "quality", "text"), _featured, "doc_id long, quality int, x binary").dropDuplicates(["doc_id"]).toArrow().sort_by([("doc_id", "ascending")])
     xs = [np.frombuffer(b, np.float32).reshape(-1, DIMENSIONS) for b in got.column("x").to_pylist()]
-    size = np.cumsum([x.nbytes for x in xs])
-    keep = int((size <= passage_cap_mb << 20).sum())
-    xs, y = xs[:keep], np.array(got.column("quality").to_pylist()[:keep], np.float32)
+    y = np.array(got.column("quality").to_pylist(), np.float32)
     bags = np.concatenate([[0], np.cumsum([len(x) for x in xs])]).astype(np.int64)
     return fit(np.concatenate(xs) if xs else np.zeros((0, DIMENSIONS), np.float32), bags, y)
 
