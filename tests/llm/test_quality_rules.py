@@ -5,7 +5,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidewise.llm.quality_rules import ORACLE_SQL, quality_rules, remove_frequent_lines, repeated_window_words
+from tidewise.llm.quality_rules import DOCUMENTS_SQL, ORACLE_SQL, quality_rules, remove_frequent_lines, repeated_window_words
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -95,3 +95,27 @@ def test_empty_and_repeated_rows(spark):
 def test_windows_of_a_long_text(spark):
     df = spark.range(1).select(F.split(F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(200_000)), lambda x: (x % 99_991).cast("string"))), " ").alias("w"))
     assert df.select(repeated_window_words(F.col("w"))).first()[0] == 200_000 
+
+
+def test_lines_of_copies(spark):
+    """Copies count as documents, repeated rows do not, and a large host's limit ends at `most`."""
+    own = lambda i, n=60: " ".join(f"w{chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676 % 26)}{chr(97 + j % 26)}{chr(97 + j // 26)}" for j in range(n))
+    rows = [(i, own(0), "copied") for i in range(30)] + [(100, own(1), "repeated")] * 30
+    rows += [(1000 + i, own(i) + ("\n" + own(9000, 240) if i < 40 else ""), "large") for i in range(9000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    read = lambda **k: {(r.source, r.doc_id): r.kept for r in quality_rules(docs, **k).join(docs.select("doc_id", "source").distinct(), "doc_id").collect()}
+    base, all_docs, capped = read(), read(copies=True), read(copies=True, most=30)
+    assert all(base.values())
+    assert {k for k, kept in all_docs.items() if not kept} == {("copied", i) for i in range(30)}
+    assert {k for k, kept in capped.items() if not kept} == {("copied", i) for i in range(30)} | {("large", 1000 + i) for i in range(40)}
+
+
+@pytest.mark.parametrize("hosts", [None, 2])
+def test_documents_equal_sql(spark, hosts):
+    path = "/root/testdata/sf0.01/documents.parquet"
+    docs = spark.read.parquet(path)
+    db = duckdb.connect()
+    db.sql(f"create view documents as select doc_id, text, {'source' if hosts is None else f'(doc_id % {hosts})::varchar as source'} from read_parquet('{path}')")
+    docs = docs if hosts is None else docs.withColumn("source", (F.col("doc_id") % hosts).cast("string"))
+    got, want = sorted(map(tuple, quality_rules(docs, copies=True, most=1000).collect()), key=str), sorted(db.sql(DOCUMENTS_SQL).fetchall(), key=str)
+    assert got == want and (hosts is None or any(r[-1] > 0 for r in got))

@@ -4,7 +4,8 @@ Base rules look at one text: words, their characters, symbols, lines that repeat
 windows that occur twice or more. Texts that pass are judged by their lines: a line is normalised (lower case, numbers as 0,
 spaces around it gone) and hashed, and the different texts of its host that hold it are counted, so copies of one text count
 once. Lines in more than max(`least`, `share` of the host's texts) texts are removed, and a document that loses more than
-`depleted` of its characters is rejected.
+`depleted` of its characters is rejected. With `copies` documents are counted instead, so a line in many copies of one text is
+frequent, and with `most` the share of a large host ends at that number.
 
 Windows are found within a row: 38 bits of the window's hash and 26 of its place make one number, so that after one sort of
 numbers equal windows stand side by side; their words are then compared. A row needs memory in proportion to its text.
@@ -93,10 +94,22 @@ def text_lines(docs: DataFrame, host: str) -> DataFrame:
     return each.select("host", "text_hash", F.xxhash64("x").alias("line"), F.length("x").alias("n")).groupBy("host", "text_hash", "line").agg(F.sum("n").alias("chars"))
 
 
-def lost_lines(texts: DataFrame, lines: DataFrame, least: int, share: float) -> DataFrame:
-    """host, text_hash, lost (share of characters), gone_lines of the texts that hold frequent lines, from (host, text_hash) and text_lines."""
-    limits = texts.select("host", "text_hash").distinct().groupBy("host").agg(F.greatest(F.lit(least), F.ceil(F.count("*") * share)).alias("limit"))
-    counts = lines.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") > least)
+def text_counts(texts: DataFrame, copies: bool) -> DataFrame:
+    """host, text_hash, docs of the different texts; docs is 1, or with `copies` the number of different ids that have the text."""
+    if not copies:
+        return texts.select("host", "text_hash").distinct().withColumn("docs", F.lit(1).cast("long"))
+    return texts.select("doc_id", "host", "text_hash").distinct().groupBy("host", "text_hash").agg(F.count("*").alias("docs"))
+
+
+def lost_lines(texts: DataFrame, lines: DataFrame, least: int, share: float, copies: bool = False, most: int | None = None) -> DataFrame:
+    """host, text_hash, lost (share of characters), gone_lines of the texts that hold frequent lines, from (host, text_hash; doc_id with `copies`) and text_lines."""
+    texts = text_counts(texts, copies)
+    part = F.ceil(F.sum("docs") * share)
+    limits = texts.groupBy("host").agg(F.greatest(F.lit(least), part if most is None else F.least(part, F.lit(most))).alias("limit"))
+    held, n = lines, F.count("*")
+    if copies:
+        held, n = lines.alias("t").join(texts.alias("d"), F.col("t.host").eqNullSafe(F.col("d.host")) & (F.col("t.text_hash") == F.col("d.text_hash"))).select("t.host", "line", "docs"), F.sum("docs")
+    counts = held.groupBy("host", "line").agg(n.alias("n")).where(F.col("n") > least)
     frequent = counts.alias("c").join(limits.alias("l"), F.col("c.host").eqNullSafe(F.col("l.host"))).where("n > limit").select("c.host", "line")
     frequent = materialise(frequent)
     marked = lines.alias("t").join(frequent.withColumn("gone", F.lit(True)).alias("f"), F.col("t.host").eqNullSafe(F.col("f.host")) & (F.col("t.line") == F.col("f.line")), "left")
@@ -120,11 +133,11 @@ def remove_frequent_lines(docs: DataFrame, host: str = "source", text: str = "te
     return both.withColumn(text, F.when(F.col("_gone").isNull(), F.col(text)).otherwise(cleaned)).select(docs.columns)
 
 
-def quality_rules(docs: DataFrame, host: str = "source", least: int = 20, share: float = 0.005, depleted: float = 0.7) -> DataFrame:
+def quality_rules(docs: DataFrame, host: str = "source", least: int = 20, share: float = 0.005, depleted: float = 0.7, copies: bool = False, most: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, removed_share."""
     base = materialise(base_rules(docs, host))
     lines = materialise(text_lines(docs, host))
-    lost = lost_lines(base, lines, least, share).drop("gone_lines")
+    lost = lost_lines(base, lines, least, share, copies, most).drop("gone_lines")
     judged = base.alias("b").join(lost.alias("x"), F.col("b.host").eqNullSafe(F.col("x.host")) & (F.col("b.text_hash") == F.col("x.text_hash")), "left")
     gone = F.coalesce("lost", F.lit(0.0))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (gone <= depleted)).alias("kept"), gone.alias("removed_share"))
@@ -166,3 +179,12 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
        not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and coalesce(lost, 0) <= 0.7 as kept, coalesce(lost, 0)::double as removed_share
 from base b left join lost l on b.host is not distinct from l.host and b.text = l.text
 """
+
+#: Documents instead of different texts, and a limit of 1,000 documents at most.
+DOCUMENTS_SQL = (
+    ORACLE_SQL.replace("select distinct host, text from docs", "select host, text, count(*) as docs from (select distinct doc_id, host, text from docs) group by all")
+    .replace("select host, text, x as line, sum(length(x)) as chars", "select host, text, docs, x as line, sum(length(x)) as chars")
+    .replace("from (select host, text, unnest(", "from (select host, text, docs, unnest(")
+    .replace("greatest(20, ceil(count(*) * 0.005))", "greatest(20, least(1000, ceil(sum(docs) * 0.005)))")
+    .replace("select host, line, count(*) as n from text_lines", "select host, line, sum(docs) as n from text_lines")
+)

@@ -90,6 +90,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op9_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same with lines counted over documents, copies included, and a limit that ends at 1,000 documents."""
+    return quality_rules.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), copies=True, most=1000)
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Spans of secrets in every document, by patterns and by tests of randomness."""
     found = scan_secrets(spark.read.parquet(f"{sf_dir}/documents.parquet"))
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op7_training_order,
         op8_byte_bpe,
         op9_quality_rules,
+        op9_document_lines,
         op10_secret_scan,
     )
 }
@@ -117,4 +123,5 @@ ORACLE: dict[str, str] = {
     "op2_preference_format": chat_format.ORACLE_SQL,
     "op5_mixing_sources": mixing.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
+    "op9_document_lines": quality_rules.DOCUMENTS_SQL,
 }
