@@ -6,8 +6,8 @@ import random
 import pytest
 
 from tidewise.functions import text as tx
-from tidewise.functions.synonyms import expand, synonym_map
-from tidewise.operators.search import check_arguments, item_scores, rank_places
+from tidewise.functions.synonyms import DEFAULT_GROUPS, expand, group_words, synonym_map, synonym_table
+from tidewise.operators.search import candidates, check_arguments, item_scores, rank_places
 
 INF = float("inf")
 
@@ -90,6 +90,19 @@ def test_synonyms():
     assert expand(["MAC", "x"], ["mac macaroni"]) == {"mac": {"mac", "macaroni"}, "x": {"x"}}
 
 
+def test_whole_dictionary(spark):
+    """The default has all groups, with phrases, and a search for "hot plate" finds items named picante."""
+    known = synonym_map()
+    assert len(DEFAULT_GROUPS) == 189 and all(len(set(group_words(g))) == len(group_words(g)) > 1 for g in DEFAULT_GROUPS)
+    assert expand(["hot", "plate"]) == {"hot": {"hot", "spicy", "picante"}, "plate": {"plate"}}
+    assert known["ribeye"] == {"rib-eye", "rib eye"} and known["sweet"] == {"dessert", "desserts", "postre", "dulce"} and known["gf"] == {"gluten free", "gluten-free", "glutenfree"}
+    assert synonym_table(spark).where("word = 'hot dog'").count() == 1
+    places = spark.createDataFrame([(1, "A", 4.0, 32.88, -117.23)], "restaurant_id long, name string, rating double, lat double, lng double")
+    items = spark.createDataFrame([(1, 1, "Pollo Picante", "", 1.0, ""), (1, 2, "Rib Eye 8 oz", "", 1.0, ""), (1, 3, "Milk", "", 1.0, "")], "restaurant_id long, item_id long, name string, description string, price double, category string")
+    found = lambda q: [r.item_id for r in candidates(places, items, q, (32.8755, -117.2295), 16_000).collect()]
+    assert found("hot plate") == [1] and found("ribeye") == [2]
+
+
 def test_tokens_and_arguments():
     assert tx.query_tokens("The mac and CHEESE, x") == ["mac", "cheese,"]
     for bad in (("", (0, 0), 500, "relevance", 5), ("q", (100, 0), 500, "relevance", 5), ("q", (0, 0), 50_000, "relevance", 5), ("q", (0, 0), 500, "name", 5), ("q", (0, 0), 500, "rating", 0)):
