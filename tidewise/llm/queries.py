@@ -91,8 +91,10 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_document_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with lines counted over documents, copies included, and a limit that ends at 1,000 documents."""
-    return quality_rules.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"), copies=True, most=1000)
+    """What is left of every document without the lines that more than five documents of its source share, as digests."""
+    rest = quality_rules.remove_frequent_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), least=5)
+    text = F.coalesce("text", F.lit(""))
+    return rest.select("doc_id", F.regexp_count(text, F.lit(quality_rules.WORD)).cast("long").alias("n_words"), F.length(text).cast("long").alias("n_chars"), F.sha2(text, 256).alias("text_sha256"))
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -123,5 +125,5 @@ ORACLE: dict[str, str] = {
     "op2_preference_format": chat_format.ORACLE_SQL,
     "op5_mixing_sources": mixing.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
-    "op9_document_lines": quality_rules.DOCUMENTS_SQL,
+    "op9_document_lines": quality_rules.LINES_SQL,
 }

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewise.sources.shared import materialise, shared_dir
 
-__all__ = ["map_texts", "materialise", "shared_dir"]
+__all__ = ["map_texts", "materialise", "shared_dir", "text_id"]
 
 #: Rows of an Arrow batch where rows hold whole texts: memory of a task is a few times one batch.
 TEXT_ROWS = 2000
@@ -22,3 +23,8 @@ def map_texts(df: DataFrame, run: Callable, schema: str | T.StructType) -> DataF
     if not 0 < int(spark.conf.get(_ROWS)) <= TEXT_ROWS:
         spark.conf.set(_ROWS, str(TEXT_ROWS))
     return df.mapInArrow(run, schema)
+
+
+def text_id(text: Column | str) -> Column:
+    """128 bits (md5) that stand for a text; null for null."""
+    return F.unhex(F.md5(text))
