@@ -1,7 +1,7 @@
 import random
 
 import numpy as np
-import pytest
+from pyspark.sql import functions as F
 
 from tidewise.llm.near_duplicates import _sets, components, drop_near_duplicates, near_duplicate_classes, prune_table
 import pyarrow as pa
@@ -66,6 +66,30 @@ def test_blocks_give_the_same(spark, monkeypatch):
     rows = corpus(5)
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert sorted(map(tuple, near_duplicate_classes(df).select("doc_id", "class_id", "n_links").collect())) == brute(rows)
+    assert sorted(r.doc_id for r in drop_near_duplicates(df).collect()) == sorted({c for _, c, _ in brute(rows)})
+
+
+def test_long_nodes_are_blocks_of_their_own(spark, monkeypatch):
+    monkeypatch.setattr("tidewise.llm.near_duplicates.BLOCK_SHINGLES", 150)
+    rows = corpus(6)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(map(tuple, near_duplicate_classes(df).select("doc_id", "class_id", "n_links").collect())) == brute(rows)
+    assert sorted(r.doc_id for r in drop_near_duplicates(df).collect()) == sorted({c for _, c, _ in brute(rows)})
+
+
+def test_ids_of_text(spark):
+    rows = corpus(8)
+    df = spark.createDataFrame([(str(100000 + d), t) for d, t in rows], "doc_id string, text string")
+    got = sorted((int(r.doc_id) - 100000, int(r.class_id) - 100000, r.n_links) for r in near_duplicate_classes(df).collect())
+    assert got == brute(rows)
+
+
+def test_kept_rows_have_a_total_order(spark):
+    rows = [(1, "a b c d e f", "x", i) for i in range(6)] + [(2, "A, b c d e f", "y", 0), (3, "z", None, 1)]
+    names = ["_node", "node", "row", "order", "n_same", "text_id"]
+    read = lambda rows: sorted(map(tuple, drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, label string, n long").withColumns({c: F.lit(c) for c in names})).collect()))
+    got = read(rows)
+    assert got == read(rows[::-1]) and [r[0] for r in got] == [1, 3] and all(list(r[4:]) == names for r in got)
 
 
 def test_empty_table_and_null_ids(spark):

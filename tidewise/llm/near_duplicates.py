@@ -2,19 +2,25 @@
 
 Links are the pairs of different texts whose sets of five-word shingles have a Jaccard similarity of at least `threshold`.
 
-1. Texts that are equal to the byte form one node (a 64-bit hash of the text); only one row of each goes on.
+1. Texts with equal sets of shingles form one node (128 bits of the set); a node knows how many different texts it has.
 2. Every node gets a MinHash signature of 128 values, kept as 16 bits each.
 3. 32 bands of 4 values give candidates. At similarity 0.8 a pair shares no band with probability (1 - 0.8^4)^32 < 6e-8.
-4. A band with many nodes is dealt as blocks, and pairs of blocks go to tasks of at most two blocks of rows.
+4. A band with many nodes, or with long ones, is dealt as blocks of bounded size, and pairs of blocks go to tasks.
    A pair that shares several bands is looked at in the first of them only.
 5. The values of a pair are compared 16 at a time. With m of n equal and a uniform prior, the pair is dropped as soon as
-   P(similarity >= threshold | m, n) < tolerance.
-6. What is left is verified exactly on the shingle sets. A task returns counts and a spanning link for each node, never all pairs.
+   P(similarity >= threshold | m, n) < tolerance. Nodes without any pair left go no further.
+6. The texts of the others join them, and a task compares the signatures of its nodes again and verifies what is left exactly on the
+   shingle sets. It returns one row for each node, a count and a spanning link; pairs are never written.
 7. Connected components over the spanning links give the classes.
 
+Where only classes are wanted (`drop_near_duplicates`), a task passes over pairs that are connected already, so a block of near copies costs about one
+comparison a node. Blocks of a large band are then joined by one leader of each component, and only where this leaves a band in more than one component
+are the pairs of blocks looked at. Link counts (`near_duplicate_classes`) need the pairs of all blocks: N nodes of one band travel N / BLOCK times.
+
 A text without words has no shingles and so no link, except that equal texts stay one class. A text of one to four words
 has one shingle, all its words. Null texts count as empty, null ids stay rows of their class, a class without any id has a
-null class id, and repeated rows come out as often as they came in. Other columns of the input are not read.
+null class id, and repeated rows come out as often as they came in. Ids have any type with an order. Other columns of the input are
+not read (`drop_near_duplicates` keeps all of them, whatever their names).
 """
 
 from __future__ import annotations
@@ -26,15 +32,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tidewise.llm.shared import map_texts, materialise
+from tidewise.llm.shared import map_texts, materialise, text_id
 from tidewise.llm.words import chunks, mix, shingles, words
 
 VALUES, BAND = 128, 4
 BANDS = VALUES // BAND
 STEP = 16
-#: Rows of a block of a band.
-BLOCK = 1024
+#: Nodes of a block of a band, and their shingles (about; a longer node is a block of its own).
+BLOCK, BLOCK_SHINGLES = 2048, 1 << 21
+#: From this many pairs of a node on, its common shingles are counted with all of them at once.
+MANY = 12
 
 _RNG = np.random.default_rng(20240607)
 _MULT = _RNG.integers(1, 1 << 63, VALUES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -69,16 +78,28 @@ def prune_table(threshold: float, tolerance: float) -> np.ndarray:
     return np.array(least)
 
 
-def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        text = batch.column("text")
-        for lo, hi, data, offsets in chunks(text):
-            h, rows, _, _ = words(data, offsets)
-            s, of = shingles(h, rows)
-            blob = minhash(s, of).tobytes()
-            ends = np.arange(hi - lo + 1, dtype=np.int32) * (2 * VALUES)
-            sig = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(blob)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(lo, hi - lo), batch.column("node").slice(lo, hi - lo), pa.array(np.diff(of), pa.int64()), sig], ["doc_id", "node", "n_shingles", "sig"])
+def set_id(shingles: np.ndarray) -> bytes:
+    """128 bits of a set of shingles: two sums over its elements."""
+    return np.array([mix(shingles ^ c).sum(dtype=np.uint64) for c in (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))], "<u8").tobytes()
+
+
+def _sign(names: list[str]):
+    """Batches with text -> their columns `names`, n_shingles (different ones), set_id (null without shingles) and sig."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo, hi, data, offsets in chunks(batch.column("text")):
+                h, rows, _, _ = words(data, offsets)
+                s, of = shingles(h, rows)
+                sets = [np.unique(s[of[r] : of[r + 1]]) for r in range(hi - lo)]
+                sizes = np.array([len(x) for x in sets], np.int64)
+                blob = minhash(np.concatenate(sets) if sets else s, np.append(0, np.cumsum(sizes))).tobytes()
+                ends = np.arange(hi - lo + 1, dtype=np.int32) * (2 * VALUES)
+                sig = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(blob)])
+                ids = pa.array([set_id(x) if len(x) else None for x in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in names), pa.array(sizes), ids, sig], [*names, "n_shingles", "set_id", "sig"])
+
+    return run
 
 
 def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
@@ -99,42 +120,53 @@ def _groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
         yield pa.Table.from_batches(kept)
 
 
+class _Candidates:
+    """Which pairs of a sorted table of members are looked at, and which survive the comparison of signatures."""
+
+    def __init__(self, table: pa.Table, least: np.ndarray):
+        column = lambda c: table.column(c).to_numpy(zero_copy_only=False)
+        self.task, self.node, self.side, self.band, self.one_block, self.label = map(column, ("task", "node", "side", "band_no", "one_block", "label"))
+        self.sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
+        self.bands = self.sig.view(np.uint64)
+        self.least = least
+
+    def left(self, i, j: np.ndarray) -> np.ndarray:
+        """Which of the pairs (i, j), of one task, are left; i is one row or as many as j."""
+        i = np.broadcast_to(i, j.shape)
+        at = np.flatnonzero((self.node[i] != self.node[j]) & (self.band[i] == self.band[j]) & (self.label[i] != self.label[j]) & (self.one_block[i] | (self.side[i] != self.side[j])))
+        at = at[(self.bands[i[at]] == self.bands[j[at]]).argmax(1) == self.band[i[at]]]
+        same = np.zeros(len(at), np.int64)
+        for c, need in enumerate(self.least):
+            cols = slice(c * STEP, (c + 1) * STEP)
+            same += (self.sig[i[at], cols] == self.sig[j[at], cols]).sum(1)
+            stays = same >= need
+            at, same = at[stays], same[stays]
+        return at
+
+
+MEMBER = ["task", "node", "side", "band_no", "one_block", "label", "sig"]
+_MEMBER_DDL = "task long, node long, side long, band_no int, one_block boolean, label long, sig binary"
+
+
 def _pruned(threshold: float, tolerance: float):
+    """Members of tasks, sorted by task -> those with a pair left."""
     least = prune_table(threshold, tolerance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "task"):
-            task, node = table.column("task").to_numpy(), table.column("node").to_numpy()
-            side, band = table.column("side").to_numpy(), table.column("band_no").to_numpy()
-            one_sided = table.column("one_block").to_numpy(zero_copy_only=False)
-            sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, VALUES)
-            bands = sig.view(np.uint64)
-            left, right = [], []
-            for d in range(1, len(task)):
-                a = np.flatnonzero((task[:-d] == task[d:]))
-                if not len(a):
+            c = _Candidates(table, least)
+            used, d = np.zeros(len(c.task), bool), 0
+            while True:  # all pairs of rows that stand d apart
+                d += 1
+                i = np.flatnonzero(c.task[:-d] == c.task[d:])
+                if not len(i):
                     break
-                b = a + d
-                a, b = (x[(node[a] != node[b]) & (one_sided[a] | (side[a] != side[b]))] for x in (a, b))
-                for lo in range(0, len(a), 1 << 16):
-                    i, j = a[lo : lo + (1 << 16)], b[lo : lo + (1 << 16)]
-                    mine = (bands[i] == bands[j]).argmax(1) == band[i]
-                    i, j = i[mine], j[mine]
-                    same = np.zeros(len(i), np.int64)
-                    for c, need in enumerate(least):
-                        cols = slice(c * STEP, (c + 1) * STEP)
-                        same += (sig[i, cols] == sig[j, cols]).sum(1)
-                        stays = same >= need
-                        i, j, same = i[stays], j[stays], same[stays]
-                    left.append(i)
-                    right.append(j)
-            i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (left, right))
-            order = np.argsort(i, kind="stable")
-            i, j = i[order], j[order]
-            used = np.unique(np.concatenate([i, j]))
-            ends = np.searchsorted(i, used, "right").astype(np.int32)
-            partners = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(node[j]))
-            yield pa.RecordBatch.from_arrays([pa.array(task[used]), pa.array(node[used]), partners], ["task", "node", "partners"])
+                i = i[~(used[i] & used[i + d])]
+                for lo in range(0, len(i), 1 << 16):
+                    a = i[lo : lo + (1 << 16)]
+                    a = a[c.left(a, a + d)]
+                    used[a] = used[a + d] = True
+            yield from table.filter(pa.array(used)).combine_chunks().to_batches()
 
     return run
 
@@ -157,39 +189,61 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def _verified(threshold: float):
+class _Sets:
+    """The shingle sets of one task."""
+
+    def __init__(self, texts: pa.Array):
+        self.sets = _sets(texts)
+        self.sizes = np.array([len(s) for s in self.sets], np.int64)
+        self.flat = None
+
+    def similar(self, i: int, others: np.ndarray, threshold: float) -> np.ndarray:
+        """The others whose similarity with i is at least threshold."""
+        if len(others) < MANY:
+            return others[[jaccard(self.sets[i], self.sets[j]) >= threshold for j in others.tolist()]]
+        if self.flat is None:
+            self.begin = np.append(0, np.cumsum(self.sizes))
+            self.flat = np.unique(np.concatenate(self.sets), return_inverse=True)[1].astype(np.int32)
+            self.mark = np.zeros(int(self.flat.max()) + 1, np.int32)
+        mine = self.flat[self.begin[i] : self.begin[i + 1]]
+        self.mark[mine] = 1
+        size, out = self.sizes[others], []
+        for lo in range(0, len(others), 512):
+            n, at = size[lo : lo + 512], self.begin[others[lo : lo + 512]]
+            ends = np.cumsum(n)
+            both = np.add.reduceat(self.mark[self.flat[np.arange(ends[-1]) + np.repeat(at - ends + n, n)]], ends - n)
+            out.append(both / (len(mine) + n - both) >= threshold)
+        self.mark[mine] = 0
+        return others[np.concatenate(out)]
+
+
+def _verified(threshold: float, tolerance: float, counts: bool):
+    """Members with n_texts and text, sorted by task -> node, root (a node that it is connected with), n_links of nodes with links.
+
+    Without `counts` pairs that are connected already are passed over, and n_links is null.
+    """
+    least = prune_table(threshold, tolerance)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _groups(batches, "task"):
-            task, node, partners = (table.column(c).to_pylist() for c in ("task", "node", "partners"))
-            lo = 0
-            for hi in range(1, len(task) + 1):  # a group at a time, so that only its sets are held
-                if hi < len(task) and task[hi] == task[lo]:
-                    continue
-                sets = _sets(table.column("text").slice(lo, hi - lo).combine_chunks())
-                at = {n: i for i, n in enumerate(node[lo:hi])}
-                links, root = [0] * (hi - lo), list(range(hi - lo))
-
-                def top(x: int) -> int:
-                    while root[x] != x:
-                        root[x] = root[root[x]]
-                        x = root[x]
-                    return x
-
-                for i in range(hi - lo):
-                    mine = sets[i]
-                    for n in partners[lo + i]:
-                        j = at[n]
-                        if jaccard(mine, sets[j]) >= threshold:
-                            links[i] += 1
-                            links[j] += 1
-                            x, y = sorted((top(i), top(j)))
-                            root[y] = x
-                got = [i for i in range(hi - lo) if links[i]]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([node[lo + i] for i in got], pa.int64()), pa.array([node[lo + top(i)] for i in got], pa.int64()), pa.array([links[i] for i in got], pa.int64())],
-                    ["node", "root", "n_links"],
-                )
-                lo = hi
+            c = _Candidates(table, least)
+            weight = table.column("n_texts").to_numpy()
+            edges = np.flatnonzero(np.append(True, c.task[1:] != c.task[:-1])).tolist() + [len(c.task)]
+            for lo, hi in zip(edges, edges[1:]):  # a task at a time, so that only its sets are held
+                sets = _Sets(table.column("text").slice(lo, hi - lo).combine_chunks())
+                links, group, linked = np.zeros(hi - lo, np.int64), np.arange(hi - lo), np.zeros(hi - lo, bool)
+                for i in range(hi - lo - 1):
+                    j = np.arange(i + 1, hi - lo)
+                    if not counts:
+                        j = j[group[j] != group[i]]
+                    j = sets.similar(i, j[c.left(lo + i, lo + j)], threshold)
+                    if len(j):
+                        links[i] += weight[lo + j].sum()
+                        links[j] += weight[lo + i]
+                        linked[i] = linked[j] = True
+                        group[np.isin(group, group[j])] = group[i]
+                got = np.flatnonzero(linked)
+                yield pa.RecordBatch.from_arrays([pa.array(c.node[lo + got]), pa.array(c.node[lo + group[got]]), pa.array(links[got] if counts else [None] * len(got), pa.int64())], ["node", "root", "n_links"])
 
     return run
 
@@ -213,59 +267,114 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def _classes(rows: DataFrame, threshold: float, tolerance: float) -> DataFrame:
-    """(doc_id, node, class_id, text_class, n_links, is_kept) of rows (doc_id, text, node)."""
-    signed = materialise(map_texts(rows, _sign, "doc_id long, node long, n_shingles long, sig binary"))
-    named = signed.groupBy("node").agg(F.min("doc_id").alias("text_class"))
-    nodes = materialise(signed.where("n_shingles > 0").select("node", "sig").dropDuplicates(["node"]).join(named, "node"))
-
-    band = F.explode(F.array(*[F.struct(F.lit(b).alias("band_no"), F.xxhash64(F.substring("sig", 2 * BAND * b + 1, 2 * BAND), F.lit(b)).alias("band")) for b in range(BANDS)]))
-    bands = nodes.select("node", band.alias("b")).select("node", "b.*")
-    shared = bands.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band", F.ceil(F.col("n") / BLOCK).alias("blocks"))
-    members = bands.join(shared, "band").withColumn("side", F.pmod(F.xxhash64("node", F.lit(7)), "blocks"))
-    members = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    members = members.select("node", "band_no", "side", (F.col("side") == F.col("other")).alias("one_block"), F.xxhash64("band", F.least("side", "other"), F.greatest("side", "other")).alias("task"))
-    members = members.join(nodes.select("node", "sig"), "node").repartition("task").sortWithinPartitions("task", "node")
-    pairs = materialise(map_texts(members, _pruned(threshold, tolerance), "task long, node long, partners array<long>"))
-
-    wanted = pairs.select("node").distinct().join(nodes.select("node", F.col("text_class").alias("doc_id")), "node")
-    texts = rows.join(wanted, (rows["node"] == wanted["node"]) & rows["doc_id"].eqNullSafe(wanted["doc_id"])).select(rows["node"], "text").dropDuplicates(["node"])
-    found = pairs.join(texts, "node").repartition("task").sortWithinPartitions("task", "node")
-    links = materialise(map_texts(found, _verified(threshold), "node long, root long, n_links long"))
-
-    linked = components(links).join(links.groupBy("node").agg(F.sum("n_links").alias("n_links")), "node").join(named, "node")
-    best = F.min(F.struct(F.col("text_class").isNull(), "text_class", "node")).alias("best")
-    classes = linked.groupBy("label").agg(best).select("label", F.col("best.text_class").alias("class_id"), F.col("best.node").alias("first_node"))
-    of_linked = linked.join(classes, "label").select("node", "class_id", "first_node", "n_links")
-    known = named.join(of_linked, "node", "left").select(
-        "node",
+def _dealt(members: DataFrame) -> DataFrame:
+    """members (node, band_no, band, n_shingles) of bands with two nodes or more, with side and blocks."""
+    shared = members.groupBy("band").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("s")).where("n > 1")
+    shared = shared.select("band", F.greatest(F.ceil(F.col("n") / BLOCK), F.ceil(F.col("s") / BLOCK_SHINGLES)).alias("blocks"))
+    return members.join(shared, "band").withColumn("side", F.pmod(F.xxhash64("node", F.lit(7)), "blocks"))
+
+
+def _within(dealt: DataFrame) -> DataFrame:
+    """A task for each block."""
+    return dealt.withColumns({"one_block": F.lit(True), "task": F.xxhash64("band", "side", "side")})
+
+
+def _across(dealt: DataFrame) -> DataFrame:
+    """A task for each pair of blocks."""
+    other = dealt.where("blocks > 1").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).where("other <> side")
+    return other.withColumns({"one_block": F.lit(False), "task": F.xxhash64("band", F.least("side", "other"), F.greatest("side", "other"))})
+
+
+class _Join:
+    def __init__(self, nodes: DataFrame, texts: DataFrame, threshold: float, tolerance: float, counts: bool):
+        """nodes has node, sig, n_shingles, n_texts; texts has node, text (and may have more nodes)."""
+        self.nodes, self.texts, self.threshold, self.tolerance, self.counts = nodes, texts, threshold, tolerance, counts
+
+    def links(self, tasks: DataFrame) -> DataFrame:
+        """(node, root, n_links) of tasks with task, node, side, band_no, one_block and, where some pairs are known, label."""
+        label = F.col("label") if "label" in tasks.columns else F.col("node").alias("label")
+        members = tasks.select("task", "node", "side", "band_no", "one_block", label).join(self.nodes.select("node", "sig"), "node").select(*MEMBER)
+        members = members.repartition("task").sortWithinPartitions("task", "node")
+        left = materialise(map_texts(members, _pruned(self.threshold, self.tolerance), _MEMBER_DDL))
+        wanted = left.select("node").distinct().join(self.nodes.select("node", "n_texts"), "node")
+        texts = self.texts.join(wanted, "node").select("node", "text", "n_texts")
+        found = left.join(texts, "node").repartition("task").sortWithinPartitions("task", "node")
+        return materialise(map_texts(found, _verified(self.threshold, self.tolerance, self.counts), "node long, root long, n_links long"))
+
+    def run(self) -> tuple[DataFrame, DataFrame]:
+        """(links, labels of their components)."""
+        band = F.explode(F.array(*[F.struct(F.lit(b).alias("band_no"), F.xxhash64(F.substring("sig", 2 * BAND * b + 1, 2 * BAND), F.lit(b)).alias("band")) for b in range(BANDS)]))
+        dealt = _dealt(self.nodes.select("node", "n_shingles", band.alias("b")).select("node", "n_shingles", "b.*"))
+        if self.counts:
+            links = self.links(_within(dealt).unionByName(_across(dealt).drop("other")))
+            return links, components(links)
+        links = self.links(_within(dealt))
+        labels = components(links)
+        large = materialise(dealt.where("blocks > 1"))
+        if large.isEmpty():
+            return links, labels
+        known = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        leaders = _dealt(known.groupBy("band", "band_no", "label").agg(F.min(F.struct("node", "n_shingles")).alias("x")).select("band", "band_no", "x.*"))
+        links = links.unionByName(self.links(_within(leaders).unionByName(_across(leaders).drop("other"))))
+        labels = components(links)
+        known = large.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+        parted = known.groupBy("band").agg(F.min("label").alias("a"), F.max("label").alias("b")).where("a <> b").select("band")
+        rest = materialise(known.join(parted, "band"))
+        if rest.isEmpty():
+            return links, labels
+        links = links.unionByName(self.links(_across(rest)))
+        return links, components(links)
+
+
+def _classes(rows: DataFrame, threshold: float, tolerance: float, counts: bool) -> DataFrame:
+    """(doc_id, text_id, class_id, text_class, n_links, is_kept, n_same) of rows (doc_id, text, text_id), one for each row."""
+    schema = T.StructType([rows.schema["doc_id"], rows.schema["text_id"]]).add("n_shingles", "long").add("set_id", "binary").add("sig", "binary")
+    signed = materialise(map_texts(rows.select("doc_id", "text_id", "text"), _sign(["doc_id", "text_id"]), schema))
+    texts = materialise(signed.groupBy("text_id", "set_id").agg(F.min("doc_id").alias("text_class")))
+    first = F.min(F.struct(F.col("text_class").isNull(), "text_class", "text_id")).alias("first")
+    named = texts.where("set_id is not null").groupBy("set_id").agg(first, F.count("*").alias("n_texts"))
+    sigs = signed.where("set_id is not null").select("set_id", "sig", "n_shingles").dropDuplicates(["set_id"])
+    nodes = materialise(sigs.join(named, "set_id").withColumn("node", F.monotonically_increasing_id()))  # the written numbers count
+
+    of_node = nodes.select("node", F.col("first.text_id").alias("text_id"), F.col("first.text_class").alias("doc_id"))
+    found = rows.join(of_node, (rows["text_id"] == of_node["text_id"]) & rows["doc_id"].eqNullSafe(of_node["doc_id"])).select("node", "text").dropDuplicates(["node"])
+    links, labels = _Join(nodes, found, threshold, tolerance, counts).run()
+
+    linked = labels.join(links.groupBy("node").agg(F.sum("n_links").alias("n_links")), "node").join(nodes.select("node", "first"), "node")
+    classes = linked.groupBy("label").agg(F.min("first").alias("best"))
+    of_linked = linked.join(classes, "label").select("node", "best", "n_links")
+    of_set = nodes.join(of_linked, "node", "left").select("set_id", F.coalesce("best", "first").alias("best"), (F.col("n_texts") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"))
+    known = texts.join(of_set, "set_id", "left").select(
+        "text_id",
         "text_class",
-        F.when(F.col("first_node").isNull(), F.col("text_class")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("first_node", "node").alias("first_node"),
+        F.when(F.col("best").isNull(), F.col("text_class")).otherwise(F.col("best.text_class")).alias("class_id"),
+        F.coalesce("best.text_id", "text_id").alias("first_text"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
-    kept = (F.col("node") == F.col("first_node")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return signed.select("doc_id", "node").join(materialise(known), "node").select("doc_id", "node", "class_id", "text_class", "n_links", kept.alias("is_kept"))
+    kept = (F.col("text_id") == F.col("first_text")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return signed.select("doc_id", "text_id").join(materialise(known), "text_id").select("doc_id", "text_id", "class_id", "text_class", "n_links", kept.alias("is_kept"))
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    return rows.withColumn("node", F.xxhash64("text"))
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    return rows.withColumn("text_id", text_id("text"))
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-7, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-9, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, class_id, text_class, n_links, is_kept.
 
     class_id is the smallest doc_id among all documents linked directly or through others, text_class the smallest among
     those with the same text, n_links the number of different texts that link to this one, and is_kept tells the document of
     a class to keep when duplicates go: the one with doc_id = class_id (every row of it, if its row is repeated).
     """
-    return _classes(_rows(docs, doc_id, text), threshold, tolerance).drop("node")
+    return _classes(_rows(docs, doc_id, text), threshold, tolerance, counts=True).drop("text_id")
 
 
-def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-7, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """docs with one row of each class."""
-    classes = _classes(_rows(docs, doc_id, text), threshold, tolerance)
-    kept = classes.where("is_kept").select(F.col("node").alias("_kept"), F.col("doc_id").alias("_kept_id")).distinct()
-    noded = docs.withColumn("_node", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    return noded.join(kept, (F.col("_node") == F.col("_kept")) & F.col(doc_id).eqNullSafe(F.col("_kept_id")), "left_semi").dropDuplicates(["_node", doc_id]).drop("_node")
+def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: float = 1e-9, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """docs with one row of each class: of its smallest id, and of rows with that id and text the one with the smallest hash of all columns."""
+    classes = _classes(_rows(docs, doc_id, text), threshold, tolerance, counts=False)
+    kept = classes.where("is_kept").groupBy("text_id", "doc_id").agg(F.count("*").alias("n_same"))
+    held = docs.select(F.struct(*docs.columns).alias("row"), text_id(F.coalesce(F.col(text), F.lit(""))).alias("text_id"), F.col(doc_id).alias("doc_id"), F.struct(F.xxhash64(*docs.columns), F.xxhash64(F.lit(1), *docs.columns)).alias("order"))
+    both = held.alias("h").join(kept.alias("k"), (F.col("h.text_id") == F.col("k.text_id")) & F.col("h.doc_id").eqNullSafe(F.col("k.doc_id"))).select("row", "h.text_id", "order", "n_same")
+    one = both.where("n_same > 1").groupBy("text_id").agg(F.min_by("row", "order").alias("row"))
+    return both.where("n_same = 1").select("row").unionByName(one.select("row")).select("row.*")
