@@ -18,13 +18,13 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back.
+def materialise(df: DataFrame, **options: str) -> DataFrame:
+    """Write df as Parquet in the shared folder, with options of the writer, and read it back.
 
     The table survives lost executors, has a known size (so that later joins are planned by it) and is pruned by column.
     It stays until the shared folder is cleaned, as checkpoint files do.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewise/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
