@@ -3,6 +3,7 @@ import re
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidewise.llm.mixing import ORACLE_SQL, apportion, mix_sources, sample_mix
 
@@ -89,7 +90,18 @@ def test_apportionment_equals_listing_quotients(spark):
 def test_sample_repeats_rows(spark):
     rows = [(i, s, t, "x") for i, s, t in corpus(2)]
     df = spark.createDataFrame(rows, "doc_id long, source string, text string, size string")
+    df = df.withColumns({c: F.lit(c) for c in ("row", "tie", "tie2", "n", "times", "time", "_high", "place")})
     want = sorted(str(r.doc_id) for r in mix_sources(df).collect() if r.size for _ in range(int(r.taken / r.size + 0.5)))
     got = sample_mix(df)
     assert got.columns == df.columns and sorted(str(r.doc_id) for r in got.collect()) == want
-    assert {tuple(r) for r in got.collect()} <= set(rows)
+    assert {tuple(r)[:4] for r in got.collect()} <= set(rows) and {tuple(r)[4:] for r in got.collect()} == {("row", "tie", "tie2", "n", "times", "time", "_high", "place")}
+
+
+def test_a_row_that_fills_a_third_of_the_table(spark):
+    """Equal rows are one entry, and come out as often as they are taken."""
+    many = spark.range(150_000).select(F.lit(7).cast("long").alias("doc_id"), F.lit("hot").alias("source"), F.lit("a b c").alias("text"))
+    rest = spark.range(1000).select((F.col("id") + 100).alias("doc_id"), F.lit("cold").alias("source"), F.lit("x y").alias("text"))
+    got = {r.source: (r.n, r.taken) for r in mix_sources(many.unionByName(rest)).groupBy("source").agg(F.count("*").alias("n"), F.sum("taken").alias("taken")).collect()}
+    assert got["hot"] == (150_000, 446_000) and got["cold"] == (1000, 6000)
+    out = {r.source: r["count"] for r in sample_mix(many.unionByName(rest)).groupBy("source").count().collect()}
+    assert out["cold"] == 3000 and abs(out["hot"] * 3 - 446_000) <= 3 * 8

@@ -7,11 +7,13 @@
 3. A shard lays its documents end to end in a seeded order. A quota above the shard's size takes whole rounds of it first; the rest
    is a run of blocks from a seeded block on, around the end.
 
-A shard is a hash of the id within its source. Shards grow with the input beyond `shard_words`, so that there are at
-most about MOST_SHARDS, and the documents of a shard, not of a source, are what one task sees.
+A shard is a hash of id and text within its source. Only numbers are laid out, equal rows as one with their number, so a row that
+makes up a third of a table is one entry. Shares are dealt in two levels of bounded size: one task sees the sources, one the shards of a source (about
+MOST_SHARDS at most; shards grow with the input beyond `shard_words`), and one the entries of a shard, some millions of numbers at 100 TB. Texts
+meet the result at the end, by a hash of the whole row.
 
-Null texts have size 0; null sources are one source, and null ids share a place in the order. Repeated rows count each time. A source
-without words has target 0. An empty table gives an empty result. Other columns are not read.
+Null texts have size 0; null sources are one source, null ids one id. Repeated rows count each time. A source
+without words has target 0. An empty table gives an empty result. Other columns are not read (`sample_mix` keeps all of them, whatever their names).
 """
 
 from __future__ import annotations
@@ -65,8 +67,8 @@ def apportion(parties: DataFrame, group: list[str], order: str, votes: str, seat
 
 
 def source_targets(sizes: DataFrame, repeats: int) -> DataFrame:
-    """One row per source of (source, size): source_no, n_docs, source_size, total, target."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
+    """One row per source of (source, size, n rows like this): source_no, n_docs, source_size, total, target."""
+    per = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("n")).alias("source_size"), F.sum("n").alias("n_docs"))
     alone = Window.partitionBy(F.lit(0))
     per = per.withColumns({"source_no": F.row_number().over(alone.orderBy(F.col("source").asc_nulls_last())).cast("long"), "total": F.sum("source_size").over(alone)})
     per = per.withColumns({"weight": (F.col("source_no") - 1) % 3 + 1, "most": repeats * F.col("source_size")})
@@ -80,26 +82,42 @@ def source_targets(sizes: DataFrame, repeats: int) -> DataFrame:
     return per.select("source", "source_no", "n_docs", "source_size", "total", target.alias("target"))
 
 
+def counted_up(df: DataFrame, n: str, to: str) -> DataFrame:
+    """Every row n times, with `to` from 0 to n - 1; in two steps, so that n has no bound."""
+    step = 1 << 16
+    high = df.where(F.col(n) > 0).withColumn("_high", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(n) - 1) / step))))
+    low = F.explode(F.sequence(F.col("_high") * step, F.least(F.col(n), (F.col("_high") + 1) * step) - 1))
+    return high.withColumn(to, low).drop("_high")
+
+
+def _sized(docs: DataFrame, seed: int, *tie: Column) -> DataFrame:
+    """doc_id, source, size, place and tie of the different rows, with their number n."""
+    rows = docs.select("doc_id", "source", word_count().alias("size"), seeded(seed, F.col("doc_id"), F.md5(F.coalesce("text", F.lit("")))).alias("place"), *tie)
+    return materialise(rows.groupBy(*rows.columns).agg(F.count("*").alias("n")))
+
+
 def mix_sources(docs: DataFrame, blocks: int = 1_000_000, shard_words: int = 1 << 16, repeats: int = 3, seed: int = 17) -> DataFrame:
     """One row per document of (doc_id, source, text): doc_id, size, source_size, target, taken, source, shard.
 
     taken: words that the mix takes of the document, repeats counted; at most `repeats` times its size.
     """
-    rows = materialise(docs.select("doc_id", "source", word_count().alias("size")))
-    return _mixed(rows, rows, ["doc_id", "size"], blocks, shard_words, repeats, seed).select("doc_id", "size", "source_size", "target", "taken", "source", "shard")
+    return _mixed(_sized(docs, seed), ["doc_id", "size"], blocks, shard_words, repeats, seed).select("doc_id", "size", "source_size", "target", "taken", "source", "shard")
 
 
 def sample_mix(docs: DataFrame, blocks: int = 1_000_000, shard_words: int = 1 << 16, repeats: int = 3, seed: int = 17) -> DataFrame:
     """docs with every row as often as the mix takes its words, to the nearest whole number: 0 to `repeats` times."""
-    rows = docs.select("doc_id", "source", word_count().alias("size"), F.xxhash64(*docs.columns).alias("tie"), F.struct(*docs.columns).alias("row"))
-    sized = materialise(rows.select("doc_id", "source", "size"))
-    mixed = _mixed(sized, rows, ["doc_id", "size", "tie"], blocks, shard_words, repeats, seed)
-    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("int")
-    return mixed.withColumn("time", F.explode(F.array_repeat(F.lit(0), times))).select("row.*")
-
-
-def _mixed(sized: DataFrame, rows: DataFrame, order: list[str], blocks: int, shard_words: int, repeats: int, seed: int) -> DataFrame:
-    """rows with source_size, target, shard and taken; sized are the same rows without what need not be read twice."""
+    tie = lambda: (F.xxhash64(*docs.columns).alias("tie"), F.xxhash64(F.lit(seed), *docs.columns).alias("tie2"))
+    mixed = _mixed(_sized(docs, seed, *tie()), ["doc_id", "size", "tie", "tie2"], blocks, shard_words, repeats, seed)
+    times = F.when(F.col("size") > 0, F.floor(F.col("taken") / F.col("size") + 0.5)).otherwise(0).cast("long")
+    wanted = mixed.groupBy("tie", "tie2").agg(F.sum(times).alias("times"), F.count("*").alias("n")).where("times > 0")
+    both = docs.select(F.struct(*docs.columns).alias("row"), *tie()).join(wanted, ["tie", "tie2"])
+    single = both.where("n = 1").select("row", "times")
+    repeated = both.where("n > 1").groupBy("tie", "tie2").agg(F.first("row").alias("row"), F.first("times").alias("times")).select("row", "times")
+    return counted_up(single.unionByName(repeated), "times", "time").select("row.*")
+
+
+def _mixed(sized: DataFrame, order: list[str], blocks: int, shard_words: int, repeats: int, seed: int) -> DataFrame:
+    """The rows of sized, each n times, with source_size, target, shard and taken."""
     sources = source_targets(sized, repeats)
     sources = sources.withColumns(
         {
@@ -111,12 +129,10 @@ def _mixed(sized: DataFrame, rows: DataFrame, order: list[str], blocks: int, sha
     sources = materialise(apportion(sources, ["one"], "source_no", "target", "seats", "quota").drop("one", "seats"))
 
     at = sources.select(F.col("source").alias("of"), "source_no", "shards", "source_size", "target")
+    placed = sized.join(at, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+    placed = placed.withColumn("shard", (F.col("place") % F.col("shards")).cast("long")).withColumn("shard_key", F.shiftleft("source_no", 32) + F.col("shard"))
 
-    def placed(some: DataFrame) -> DataFrame:
-        out = some.withColumn("place", seeded(seed, F.col("doc_id"))).join(at, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-        return out.withColumn("shard", (F.col("place") % F.col("shards")).cast("long")).withColumn("shard_key", F.shiftleft("source_no", 32) + F.col("shard"))
-
-    shards = placed(sized).groupBy("shard_key", "source_no").agg(F.sum("size").alias("shard_size"))
+    shards = placed.groupBy("shard_key", "source_no").agg(F.sum(F.col("size") * F.col("n")).alias("shard_size"))
     shards = apportion(shards.join(sources.select("source_no", "quota", "block"), "source_no"), ["source_no"], "shard_key", "shard_size", "quota", "shard_quota")
     words = F.least(F.col("shard_quota") * F.col("block"), repeats * F.col("shard_size"))
     first = seeded(seed, F.col("shard_key")) % F.greatest(F.lit(1), F.ceil(F.col("shard_size") / F.col("block"))) * F.col("block")
@@ -124,9 +140,10 @@ def _mixed(sized: DataFrame, rows: DataFrame, order: list[str], blocks: int, sha
     shards = shards.select("shard_key", "shard_size", rounds.alias("rounds"), (words - rounds * F.col("shard_size")).alias("rest"), first.alias("first"))
 
     line = Window.partitionBy("shard_key").orderBy("place", *order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    laid = placed(rows).join(shards, "shard_key").withColumn("end", F.sum("size").over(line))
-    begin, until = F.col("end") - F.col("size"), F.col("first") + F.col("rest")
-    over = lambda lo, hi: F.greatest(F.lit(0), F.least("end", hi) - F.greatest(begin, lo))
+    laid = placed.join(shards, "shard_key").withColumn("before", F.sum(F.col("size") * F.col("n")).over(line) - F.col("size") * F.col("n"))
+    laid = counted_up(laid, "n", "copy").withColumn("begin", F.col("before") + F.col("copy") * F.col("size"))
+    until = F.col("first") + F.col("rest")
+    over = lambda lo, hi: F.greatest(F.lit(0), F.least(F.col("begin") + F.col("size"), hi) - F.greatest(F.col("begin"), lo))
     part = over(F.col("first"), F.least(until, F.col("shard_size"))) + over(F.lit(0), until - F.col("shard_size"))
     taken = (F.col("rounds") * F.col("size") + part).cast("long")
     return laid.withColumn("taken", taken)
@@ -135,7 +152,9 @@ def _mixed(sized: DataFrame, rows: DataFrame, order: list[str], blocks: int, sha
 #: The same rows, with all quotients listed and ranked.
 ORACLE_SQL = r"""
 with sized as (
-  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size from documents
+  select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::bigint as size,
+         ('0x' || substr(md5('17:' || coalesce(doc_id::varchar, '') || ':' || md5(coalesce(text, ''))), 1, 15))::bigint as place
+  from documents
 ), per as (
   select source, sum(size)::bigint as source_size, count(*)::bigint as n_docs, row_number() over (order by source asc nulls last)::bigint as source_no,
          (sum(sum(size)) over ())::bigint as total
@@ -160,8 +179,7 @@ with sized as (
   select source_no, count(*)::bigint as quota from source_quotients where n <= seats group by source_no
 ), placed as (
   select d.doc_id, d.source, d.size, s.source_no, s.source_size, s.target, s.block,
-         ('0x' || substr(md5('17:' || coalesce(d.doc_id::varchar, '')), 1, 15))::bigint as place, place % s.shards as shard,
-         (s.source_no << 32) + place % s.shards as shard_key
+         place, place % s.shards as shard, (s.source_no << 32) + place % s.shards as shard_key
   from sized d join seats s on d.source is not distinct from s.source
 ), shards as (
   select shard_key, source_no, block, sum(size)::bigint as shard_size from placed group by all
