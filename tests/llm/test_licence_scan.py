@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidewise.llm.licence_scan import PHRASES, TEMPLATES, Automaton, Scanner, scan_licences
+from tidewise.llm.licence_scan import PHRASES, TEMPLATES, Automaton, Scanner, scan_licences, templates_of
 from tidewise.llm.words import chunks
 
 SCANNER = Scanner(PHRASES, TEMPLATES)
@@ -49,15 +49,51 @@ def test_statistics_equal_brute_force():
 
 @pytest.mark.parametrize("n", range(len(TEMPLATES)))
 def test_every_template_is_found_with_a_few_words_changed(n):
-    label, text = TEMPLATES[n]
+    label, text, deciding = TEMPLATES[n]
     w = text.split()
-    if len(w) > 15:
+    if len(w) > 15 and not deciding:
         w[len(w) // 2] = "zzz"
     (r,) = scan(["lorem ipsum " + " ".join(w) + " dolor"])
     span = [s for s in r["spans"] if s["template"] == n]
     assert label in r["labels"].split(",") and span and span[0]["first"] == 2 and span[0]["last"] == len(w) + 1
 
 
+@pytest.mark.parametrize(
+    "text, labels",
+    [
+        ("licensed under CC BY.", "cc-by"),
+        ("licensed under CC BY-NC 4.0", "cc-by-nc"),
+        ("licensed under CC BY-NC-ND", "cc-by-nc,cc-by-nc-nd"),  # the base phrase stays
+        ("licensed under CC BY-SA", "cc-by-sa"),
+        ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License", "cc-by-nd"),
+        ("This work is licensed under a Creative Commons Attribution 4.0 International License", "cc-by"),
+        ("This work is licensed under a Creative Commons Attribution-Example 4.0 International License", ""),
+        ("licensed under the GNU General Public License version 2", "gpl-2"),
+        ("licensed under the GNU General Public License version 3", "gpl-3"),
+        ("This work is licensed under the GNU Lesser General Public License", "lgpl"),
+        ("This work is licensed under the GNU Affero General Public License", "agpl"),
+        ("Licensed under the Apache License, Version 1.1", "apache-1.1"),
+        ("Licensed under the Apache License, Version 2.0", "apache-2"),
+        ("subject to the terms of the Mozilla Public License, version 1.0", ""),
+        ("released under the XYZ license", ""),
+        ("licensed under the BSD 3-clause license", "bsd-3"),
+        ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", "isc"),
+        ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted. The software is provided", "0bsd"),
+    ],
+)
+def test_notices_that_look_alike(text, labels):
+    assert scan([f"see file {text} ok"])[0]["labels"] == labels
+
+
+def test_templates_of_a_table(spark):
+    rows = [("own", "You may, Copy this Text as often as the author of it agrees", ["copy this text"]), (None, "a b c d", None), ("none", None, None)]
+    got = templates_of(spark.createDataFrame(rows, "label string, text string, deciding array<string>"))
+    df = spark.createDataFrame([(1, "you may copy this text as often as the author of it agrees"), (2, "you may copy that text as often as the author of it agrees")], "doc_id long, text string")
+    assert {r.doc_id: r.labels for r in scan_licences(df, ["doc_id"], templates=got).collect()} == {1: "own", 2: ""}
+    with pytest.raises(ValueError):
+        templates_of(spark.createDataFrame([("x", "y" * 2_000_000, None)], "label string, text string, deciding array<string>"), most_mb=1)
+
+
 def test_prose_has_no_labels():
     (r,) = scan(["the software is in this file and the rights of the copy are to be used for the work by any person in the public domain of the city"])
     assert r["labels"] == "" and r["score"] < 0.6

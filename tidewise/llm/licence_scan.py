@@ -3,7 +3,9 @@
 Phrases and template texts are put into one automaton over word ids. Streaming a text through it gives the matching
 statistics: at each word the longest run ending there that occurs in any template. Base phrases are read off the states on
 the way. Matches of MIN_MATCH words or more that cannot be extended are chained, in order in the text and in the template,
-with at most MAX_GAP words between them; a chain that covers enough of its template is a span with that template's label.
+with a few words between them (a fifth of the template's, MAX_GAP at most). A chain is a span with its template's label if it covers
+enough of it and holds each of its deciding phrases without a gap, which are the words that tell the licence from others. Where spans of
+different labels overlap, the one that covers more words stays.
 
 Only runs of known words are stepped through; a word outside all templates resets the statistics anyway.
 
@@ -13,6 +15,7 @@ columns `keep` pass through, and those named like a result are replaced.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
 
@@ -20,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewise.llm.shared import map_texts
@@ -34,27 +38,73 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
-#: Words of well-known licences and notices, (label, text).
+#: Words of well-known licences and notices, (label, text, deciding phrases).
 TEMPLATES = [
-    ("mit", "released under the mit license"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions"),
-    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software"),
-    ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0"),
-    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"),
-    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission"),
-    ("gpl", "this work is licensed under the gnu general public license"),
-    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation"),
-    ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by-nc", "licensed under cc by nc"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("mit", "released under the mit license", ("the mit license",)),
+    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions", ()),
+    ("mit", "the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", ()),
+    ("mit", "in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software", ("authors or copyright holders be liable",)),
+    ("apache-2", "licensed under the apache license version 2 0", ("apache license version 2",)),
+    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at http www apache org licenses license 2 0", ("apache license version 2",)),
+    ("apache-2", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license", ()),
+    ("apache-2", "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution", ("apache license version 2 0 january 2004",)),
+    ("apache-2", "subject to the terms and conditions of this license each contributor hereby grants to you a perpetual worldwide non exclusive no charge royalty free irrevocable copyright license to reproduce prepare derivative works of publicly display publicly perform sublicense and distribute the work and such derivative works in source or object form", ()),
+    ("apache-1.1", "licensed under the apache license version 1 1", ("apache license version 1 1",)),
+    ("apache-1.1", "the apache software license version 1 1 copyright c 2000 the apache software foundation all rights reserved", ("apache software license version 1 1",)),
+    ("bsd", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met", ()),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer", ()),
+    ("bsd", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution", ()),
+    ("bsd-2", "licensed under the bsd 2 clause license", ("bsd 2 clause",)),
+    ("bsd-3", "licensed under the bsd 3 clause license", ("bsd 3 clause",)),
+    ("bsd-3", "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission", ()),
+    ("bsd-4", "all advertising materials mentioning features or use of this software must display the following acknowledgement", ("advertising materials mentioning features",)),
+    ("gpl", "this work is licensed under the gnu general public license", ("gnu general public license",)),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", ("the gnu general public license",)),
+    ("gpl-2", "licensed under the gnu general public license version 2", ("gnu general public license version 2",)),
+    ("gpl-2", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or at your option any later version", ("the gnu general public license", "version 2 of the license")),
+    ("gpl-2", "gnu general public license version 2 june 1991 copyright c 1989 1991 free software foundation inc", ("gnu general public license version 2 june 1991",)),
+    ("gpl-3", "licensed under the gnu general public license version 3", ("gnu general public license version 3",)),
+    ("gpl-3", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", ("the gnu general public license", "version 3 of the license")),
+    ("gpl-3", "gnu general public license version 3 29 june 2007 copyright c 2007 free software foundation inc", ("gnu general public license version 3 29 june 2007",)),
+    ("lgpl", "this work is licensed under the gnu lesser general public license", ("gnu lesser general public license",)),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", ("the gnu lesser general public license",)),
+    ("lgpl", "this library is free software you can redistribute it and or modify it under the terms of the gnu library general public license as published by the free software foundation", ("the gnu library general public license",)),
+    ("lgpl-2.1", "gnu lesser general public license version 2 1 february 1999 copyright c 1991 1999 free software foundation inc", ("gnu lesser general public license version 2 1",)),
+    ("lgpl-3", "gnu lesser general public license version 3 29 june 2007 copyright c 2007 free software foundation inc", ("gnu lesser general public license version 3",)),
+    ("agpl", "this work is licensed under the gnu affero general public license", ("gnu affero general public license",)),
+    ("agpl", "you can redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation", ("the gnu affero general public license",)),
+    ("agpl-3", "gnu affero general public license version 3 19 november 2007 copyright c 2007 free software foundation inc", ("gnu affero general public license version 3",)),
+    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies", ("provided that the above copyright notice",)),
+    ("0bsd", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", ()),
+    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0", ("mozilla public license v 2 0",)),
+    ("mpl-2", "licensed under the mozilla public license version 2 0", ("mozilla public license version 2 0",)),
+    ("mpl-1.1", "the contents of this file are subject to the mozilla public license version 1 1 the license you may not use this file except in compliance with the license", ("mozilla public license version 1 1",)),
+    ("epl-1", "this program and the accompanying materials are made available under the terms of the eclipse public license v1 0 which accompanies this distribution", ("eclipse public license v1 0",)),
+    ("epl-2", "this program and the accompanying materials are made available under the terms of the eclipse public license 2 0 which is available at", ("eclipse public license 2 0",)),
+    ("zlib", "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of this software", ("authors be held liable",)),
+    ("zlib", "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions", ()),
+    ("boost", "boost software license version 1 0 august 17th 2003", ("boost software license version 1 0",)),
+    ("boost", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software", ("person or organization obtaining a copy",)),
+    ("artistic-2", "the artistic license 2 0 copyright c 2000 2006 the perl foundation", ("artistic license 2 0",)),
+    ("unlicense", "this is free and unencumbered software released into the public domain", ("free and unencumbered software",)),
+    ("unlicense", "anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means", ()),
+    ("cc0", "creative commons legal code cc0 1 0 universal", ("cc0 1 0 universal",)),
+    ("cc0", "to the extent possible under law the person who associated cc0 with this work has waived all copyright and related or neighboring rights to this work", ("waived all copyright",)),
 ]
+#: Names of the Creative Commons licences.
+CREATIVE_COMMONS = {
+    "cc-by": "attribution",
+    "cc-by-sa": "attribution sharealike",
+    "cc-by-nd": "attribution noderivatives",
+    "cc-by-nc": "attribution noncommercial",
+    "cc-by-nc-sa": "attribution noncommercial sharealike",
+    "cc-by-nc-nd": "attribution noncommercial noderivatives",
+}
+for _label, _name in CREATIVE_COMMONS.items():
+    _short = _label.replace("-", " ")
+    TEMPLATES.append((_label, f"licensed under {_short}", (_short,)))
+    for _version in ("4 0 international", "3 0 unported"):
+        TEMPLATES.append((_label, f"this work is licensed under a creative commons {_name} {_version} license", (f"creative commons {_name} {_version[:3]}",)))
 
 
 class Automaton:
@@ -125,8 +175,8 @@ class Automaton:
 
 
 class Scanner:
-    def __init__(self, phrases: Mapping[str, str], templates: list[tuple[str, str]]):
-        sequences = [t.split() for t in (*phrases, *(text for _, text in templates))]
+    def __init__(self, phrases: Mapping[str, str], templates: list[tuple[str, str, tuple[str, ...]]]):
+        sequences = [_words(t) for t in (*phrases, *(text for _, text, _ in templates))]
         ids = {w: i for i, w in enumerate(sorted({w for s in sequences for w in s}))}
         coded = [[ids[w] for w in s] for s in sequences]
         self.automaton = Automaton(coded)
@@ -134,7 +184,8 @@ class Scanner:
         self.order = np.argsort(hashes)
         self.hashes = np.append(hashes[self.order], np.uint64(2**64 - 1))
         self.order = np.append(self.order, -1)
-        self.labels = [*phrases.values(), *(label for label, _ in templates)]
+        self.labels = [*phrases.values(), *(label for label, _, _ in templates)]
+        self.deciding = [[] for _ in phrases] + [[_place(_words(text), _words(p)) for p in deciding] for _, text, deciding in templates]
         self.sizes = [len(s) for s in sequences]
         self.n_phrases = len(phrases)
         self.shortest = min([MIN_MATCH, *self.sizes[: self.n_phrases]])
@@ -185,7 +236,7 @@ class Scanner:
             record["matches"].append((at + len(run), *before))
 
     def _record(self, r: dict) -> dict:
-        base, spans = sorted(r["base"]), self._spans(r["matches"])
+        base, spans = sorted(r["base"]), self._apart(self._spans(r["matches"]), r["n_words"])
         base_labels = sorted({self.labels[n] for _, n in base})
         return {
             "n_words": r["n_words"],
@@ -199,7 +250,7 @@ class Scanner:
         }
 
     def _spans(self, matches: list[tuple[int, int, int]]) -> list[dict]:
-        """Chains of matches (end in the text, state, length) that cover a template enough."""
+        """Chains of matches (end in the text, state, length) that cover a template enough and hold its deciding phrases."""
         per: dict[int, list[tuple[int, int, int]]] = {}
         for end, state, length in matches:
             for n, to in self.automaton.places[state]:
@@ -208,28 +259,64 @@ class Scanner:
         spans = []
         for n, found in per.items():
             found.sort()
-            longest = max(x[2] for x in found)
-            best: list[tuple[int, int]] = []  # words covered by the best chain to each match, where it begins
+            longest, gap = max(x[2] for x in found), min(MAX_GAP, self.sizes[n] // 5)
+            best: list[tuple[int, int, int]] = []  # words covered by the best chain to each match, where it begins, its deciding phrases
             low = 0
             for k, (end, to, length) in enumerate(found):
-                while found[low][0] < end - 2 * longest - MAX_GAP:
+                while found[low][0] < end - 2 * longest - gap:
                     low += 1
-                value = (length, -(end - length))
+                held = sum(1 << d for d, (a, b) in enumerate(self.deciding[n]) if to - length <= a and b <= to)
+                value = (length, -(end - length), held)
                 for j in range(low, k):
                     e, t, _ = found[j]
                     overlap = max(0, e - (end - length), t - (to - length))
-                    if e < end and t < to and overlap < length and end - length + overlap - e <= MAX_GAP:
-                        value = max(value, (best[j][0] + length - overlap, best[j][1]))
+                    if e < end and t < to and overlap < length and end - length + overlap - e <= gap:
+                        value = max(value, (best[j][0] + length - overlap, best[j][1], best[j][2] | held))
                 best.append(value)
-            for (end, _, _), (covered, begin) in zip(found, best, strict=True):
-                if (share := covered / self.sizes[n]) >= MIN_COVERED:
+            for (end, _, _), (covered, begin, held) in zip(found, best, strict=True):
+                if (share := covered / self.sizes[n]) >= MIN_COVERED and held == (1 << len(self.deciding[n])) - 1:
                     spans.append({"label": self.labels[n], "template": n - self.n_phrases, "first": -begin, "last": end - 1, "covered": min(1.0, share)})
         widest: dict[tuple[int, int], dict] = {}
         for s in spans:  # of chains with the same template and begin, the one that covers most
             key = s["template"], s["first"]
             if key not in widest or (s["covered"], -s["last"]) > (widest[key]["covered"], -widest[key]["last"]):
                 widest[key] = s
-        return sorted(widest.values(), key=lambda s: (s["first"], s["last"], s["template"]))
+        return list(widest.values())
+
+    def _apart(self, spans: list[dict], n_words: int) -> list[dict]:
+        """The spans without those that overlap one of another label which covers more words."""
+        if len({s["label"] for s in spans}) > 1:
+            names = sorted({s["label"] for s in spans})
+            owner, kept = np.zeros(n_words, np.int16), []
+            for s in sorted(spans, key=lambda s: (-s["covered"] * self.sizes[s["template"] + self.n_phrases], -s["covered"], s["first"], s["label"])):
+                here, mine = owner[s["first"] : s["last"] + 1], names.index(s["label"]) + 1
+                if not ((here != 0) & (here != mine)).any():
+                    here[:] = mine
+                    kept.append(s)
+            spans = kept
+        return sorted(spans, key=lambda s: (s["first"], s["last"], s["template"]))
+
+
+def _words(text: str) -> list[str]:
+    """The words of a template, by the rule for texts."""
+    return re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if c.isascii() else c for c in text))
+
+
+def _place(words: list[str], phrase: list[str]) -> tuple[int, int]:
+    """Where a deciding phrase stands in its template."""
+    for i in range(len(words) - len(phrase) + 1):
+        if words[i : i + len(phrase)] == phrase:
+            return i, i + len(phrase)
+    raise ValueError(f"a template lacks its deciding phrase {' '.join(phrase)!r}")
+
+
+def templates_of(table: DataFrame, most_mb: int = 16) -> list[tuple[str, str, tuple[str, ...]]]:
+    """Templates of a table (label, text, deciding array<string>) of whole licence texts, whose size is checked before it is collected."""
+    size = table.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    if size > most_mb << 20:
+        raise ValueError(f"licence texts of {size} bytes are more than {most_mb} MB")
+    rows = table.select("label", "text", F.coalesce("deciding", F.array().cast("array<string>")).alias("deciding")).orderBy("label", "text").collect()
+    return [(r.label, r.text, tuple(r.deciding)) for r in rows if r.label is not None and r.text]
 
 
 @lru_cache(maxsize=2)
@@ -248,7 +335,7 @@ _ARROW = pa.struct(
 )
 
 
-def scan_licences(docs: DataFrame, keep: list[str], text: str = "text", phrases: Mapping[str, str] = PHRASES, templates: list[tuple[str, str]] = TEMPLATES) -> DataFrame:
+def scan_licences(docs: DataFrame, keep: list[str], text: str = "text", phrases: Mapping[str, str] = PHRASES, templates: list[tuple[str, str, tuple[str, ...]]] = TEMPLATES) -> DataFrame:
     """The columns `keep` with n_words, n_base, first_word, last_word, base_labels, labels, score and spans (words from 0, ends inclusive)."""
     key = tuple(phrases.items()), tuple(templates)
     keep = [c for c in keep if c not in _RESULT.names]
