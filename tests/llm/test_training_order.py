@@ -18,18 +18,20 @@ def texts():
     return [(1, "hello world " * 70), (2, ""), (None, None), (3, "a"), (3, "a"), (4, "é" * 333), *((10 + i, f"text {i} " * i) for i in range(60))]
 
 
-@pytest.mark.parametrize("block", [8192, 3])
-def test_shards_hold_every_text_once(spark, tmp_path, monkeypatch, block):
+@pytest.mark.parametrize("block, kind, parts", [(8192, "<u2", 4096), (3, "<u4", 2)])
+def test_shards_hold_every_text_once(spark, tmp_path, monkeypatch, block, kind, parts):
+    """Also with wide ids, small blocks and fewer range partitions than shards."""
     monkeypatch.setattr("tidewise.llm.training_order.BLOCK", block)
+    monkeypatch.setattr("tidewise.llm.training_order.id_type", lambda end: kind)
     rows, length = texts(), 16
     df = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, slot string").repartition(5)
     folder = f"file://{tmp_path}/order"
-    index = write_training_order(df, folder, length=length, per_shard=32).collect()
+    index = write_training_order(df, folder, length=length, per_shard=32, most_parts=parts).collect()
     got = [s.tolist() for s in read_slots(folder)]
     assert len(got) == len(index) and sorted(r.slot for r in index) == list(range(len(got)))
     encode, pieces = _encoding(VOCABULARY, public_tokenizers.PATTERN).encode_ordinary, {}
     for r in index:
-        assert r.shard == r.slot // 32 and r.offset == r.slot % 32 * 2 * length
+        assert r.shard == r.slot // 32 and r.offset == r.slot % 32 * np.dtype(kind).itemsize * length
         begin = 0
         for t in r.texts:
             pieces.setdefault(t.doc_id, []).append((t.at, tuple(got[r.slot][begin : begin + t.n])))
@@ -54,6 +56,28 @@ def test_same_input_same_bytes(spark, tmp_path):
     assert [(p.name, p.read_bytes()) for p in sorted((tmp_path / "a").iterdir())] == [(p.name, p.read_bytes()) for p in sorted((tmp_path / "b").iterdir())]
 
 
+def test_split_sizes_make_the_order(spark, tmp_path):
+    """The same splits give the same bytes; other splits give other sequences of the same texts."""
+    df = spark.createDataFrame(texts(), "doc_id long, text string").coalesce(1)
+    df.write.parquet(f"{tmp_path}/docs")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    bag = lambda name: sorted(i for x in read_slots(f"file://{tmp_path}/{name}") for i in x.tolist() if i != 50256)
+    try:
+        for name, size in (("a", old), ("b", old), ("c", "256")):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            write_training_order(spark.read.parquet(f"{tmp_path}/docs"), f"file://{tmp_path}/{name}", length=8, per_shard=64)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    files = lambda name: [(p.name, p.read_bytes()) for p in sorted((tmp_path / name).glob("shard*"))]
+    assert files("a") == files("b") and bag("a") == bag("c")
+
+
+def test_ids_of_text(spark, tmp_path):
+    df = spark.createDataFrame([("x", "a b"), (None, "c")], "doc_id string, text string")
+    got = write_training_order(df, f"file://{tmp_path}/t", length=4).collect()
+    assert {t.doc_id for r in got for t in r.texts} == {"x", None}
+
+
 def test_empty(spark, tmp_path):
     assert write_training_order(spark.createDataFrame([], "doc_id long, text string"), f"file://{tmp_path}/e").count() == 0
     assert list(read_slots(f"file://{tmp_path}/e")) == []

@@ -8,11 +8,17 @@ is at byte (s mod per shard) * stride of its shard, and a reader can begin anywh
 
 The streams are written once in the shared folder, compressed, with the partition that wrote them and a running number, so
 numbering needs one row per partition, not a sort. What a block of a stream sends to one shard travels as one
-compressed row, straight to the partition of that shard. A shard is written under a name of its task attempt and then
-renamed, and its bytes follow from the streams, so tasks can be repeated. The manifest comes last.
+compressed row. Shards are dealt to `most_parts` range partitions at most, each of which writes its run of shards one after the
+other from its sorted rows, so neither the number of shuffle partitions nor the memory of a task grows with the input. A shard is
+written under a name of its task attempt and then renamed, and its bytes follow from the streams, so tasks can be repeated. The
+manifest comes last.
 
-Null and empty texts are an end-of-text id. Null ids stay null in the index; repeated rows are separate texts; other columns
-are not read. An empty table gives a manifest without slots and no shards.
+The order is a function of the key, of the number of sequences and of how the input is split into partitions: the same files read
+with the same split sizes give the same bytes, and another split size cuts other sequences. The streams are what fixes it.
+
+Ids are stored in 16 bits where the vocabulary allows it, else in 32. Null and empty texts are an end-of-text id. Null ids stay null in
+the index, which keeps their type; repeated rows are separate texts; other columns are not read. An empty table gives a manifest
+without slots and no shards.
 """
 
 from __future__ import annotations
@@ -33,6 +39,8 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewise.llm.shared import map_texts, materialise
 from tidewise.llm.words import chunks, mix
@@ -70,12 +78,18 @@ def _encoding(path: str, pattern: str) -> tiktoken.Encoding:
 BLOCK = 8192
 
 
-def _streams(path: str, pattern: str, length: int):
+def id_type(end: int) -> str:
+    """The numpy type of ids up to end."""
+    return "<u2" if end <= 0xFFFF else "<u4"
+
+
+def _streams(path: str, pattern: str, length: int, doc: pa.DataType):
     """Batches of (doc_id, text) -> blocks: part, first (number of the first sequence), n, ids, and the texts' pieces in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoding, part = _encoding(path, pattern), TaskContext.get().partitionId()
         encode, end, pack = encoding.encode_ordinary, encoding.n_vocab, zstandard.ZstdCompressor(level=9)
+        kind, schema = id_type(end), _block_schema(doc)
         stream, pieces, held, first = [], [], 0, 0
 
         def block(n: int) -> pa.RecordBatch:
@@ -86,38 +100,38 @@ def _streams(path: str, pattern: str, length: int):
             rest = [(d, at + max(0, size - start), max(0, start - size), k - max(0, size - start)) for d, at, start, k in pieces if start + k > size]
             row = {"part": part, "first": first, "n": n, "ids": pack.compress(flat[:size].tobytes()), "doc": [x[0] for x in now], "at": [x[1] for x in now], "start": [x[2] for x in now], "size": [x[3] for x in now]}
             stream, pieces, held, first = [flat[size:]], rest, held - size, first + n
-            return pa.RecordBatch.from_pylist([row], _BLOCK)
+            return pa.RecordBatch.from_pylist([row], schema)
 
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             for lo, hi, _, _ in chunks(batch.column("text"), 1 << 20):
                 for i, text in enumerate(batch.column("text").slice(lo, hi - lo).to_pylist(), lo):
-                    tokens = np.array([*encode(text or ""), end], "<u2")
+                    tokens = np.array([*encode(text or ""), end], kind)
                     pieces.append((ids[i], 0, held, len(tokens)))
                     stream.append(tokens)
                     held += len(tokens)
                 while held >= BLOCK * length:
                     yield block(BLOCK)
         if held:
-            stream.append(np.full(-held % length, end, "<u2"))
+            stream.append(np.full(-held % length, end, kind))
             held += len(stream[-1])
             yield block(held // length)
 
     return run
 
 
-_BLOCK = pa.schema([("part", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), *((c, pa.list_(pa.int64())) for c in ("doc", "at", "start", "size"))])
-_BLOCK_DDL = "part long, first long, n long, ids binary, doc array<long>, at array<long>, start array<long>, size array<long>"
+def _block_schema(doc: pa.DataType) -> pa.Schema:
+    return pa.schema([("part", pa.int64()), ("first", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("doc", pa.list_(doc)), *((c, pa.list_(pa.int64())) for c in ("at", "start", "size"))])
 
 
-def _dealt(length: int, total: int, key: int, per_shard: int):
+def _dealt(length: int, total: int, key: int, per_shard: int, kind: str):
     """Blocks (first, n, ids) -> (shard, places, records): what a block has for each shard, compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
         for batch in batches:
             for first, n, ids in zip(*(batch.column(c).to_pylist() for c in ("first", "n", "ids")), strict=True):
-                records = np.frombuffer(unpack.decompress(ids), "<u2").reshape(n, length)
+                records = np.frombuffer(unpack.decompress(ids), kind).reshape(n, length)
                 slot = permute(np.arange(first, first + n), total, key)
                 order = np.argsort(slot)
                 shard, place = slot[order] // per_shard, (slot[order] % per_shard).astype("<i4")
@@ -128,8 +142,9 @@ def _dealt(length: int, total: int, key: int, per_shard: int):
     return run
 
 
-def _indexed(length: int, total: int, key: int, per_shard: int):
+def _indexed(length: int, total: int, key: int, per_shard: int, kind: str, doc: pa.DataType):
     """Blocks without ids -> the index row of every sequence."""
+    texts, stride = pa.list_(pa.struct([("doc_id", doc), ("at", pa.int64()), ("n", pa.int64())])), np.dtype(kind).itemsize * length
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -142,7 +157,7 @@ def _indexed(length: int, total: int, key: int, per_shard: int):
                         held[k].append({"doc_id": doc, "at": at, "n": here})
                         at, start, size = at + here, start + here, size - here
                 slot = permute(np.arange(first, first + n), total, key)
-                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), pa.array(slot % per_shard * 2 * length), pa.array(held, pa.list_(pa.struct([("doc_id", pa.int64()), ("at", pa.int64()), ("n", pa.int64())])))], ["slot", "shard", "offset", "texts"])
+                yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(slot // per_shard), pa.array(slot % per_shard * stride), pa.array(held, texts)], ["slot", "shard", "offset", "texts"])
 
     return run
 
@@ -151,7 +166,7 @@ def shard_name(shard: int) -> str:
     return f"shard-{shard:08d}.bin"
 
 
-def _write(folder: str, length: int, total: int, per_shard: int):
+def _write(folder: str, length: int, total: int, per_shard: int, kind: str):
     """Rows of _dealt sorted by shard -> (shard, shard_crc32), with the shard's file written."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,7 +174,7 @@ def _write(folder: str, length: int, total: int, per_shard: int):
         unpack, now, whole = zstandard.ZstdDecompressor(), None, None
 
         def close() -> pa.RecordBatch:
-            name, data = f"{root}/_{uuid.uuid4().hex}", whole.tobytes()
+            name, data = f"{root}/_{uuid.uuid4().hex}", memoryview(whole).cast("B")
             with files.open_output_stream(name) as out:
                 out.write(data)
             files.move(name, f"{root}/{shard_name(now)}")
@@ -170,40 +185,46 @@ def _write(folder: str, length: int, total: int, per_shard: int):
                 if shard != now:
                     if now is not None:
                         yield close()
-                    now, whole = shard, np.zeros((min(per_shard, total - shard * per_shard), length), "<u2")
-                whole[np.frombuffer(places, "<i4")] = np.frombuffer(unpack.decompress(records), "<u2").reshape(-1, length)
+                    now, whole = shard, np.zeros((min(per_shard, total - shard * per_shard), length), kind)
+                whole[np.frombuffer(places, "<i4")] = np.frombuffer(unpack.decompress(records), kind).reshape(-1, length)
         if now is not None:
             yield close()
 
     return run
 
 
-def write_training_order(docs: DataFrame, folder: str, length: int = 512, key: int = 2024, per_shard: int = 2048, most_shards: int = 1 << 20, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
+def write_training_order(
+    docs: DataFrame, folder: str, length: int = 512, key: int = 2024, per_shard: int = 1 << 14, most_shards: int = 1 << 17, most_parts: int = 4096, path: str = VOCABULARY, pattern: str = public_tokenizers.PATTERN
+) -> DataFrame:
     """Write the shards and manifest.json into folder (a URI that all executors reach) and return the index.
 
     Index, one row per sequence: slot, shard, offset (byte in the shard), texts (array of doc_id, at: first id of the text's
     piece, n: its ids with the end-of-text id), shard_crc32. Shards grow beyond `per_shard` slots where there would be
-    more than `most_shards`; a task holds one shard at a time.
+    more than `most_shards` (100 TB of text make shards of some hundreds of MB); a task holds one shard at a time.
     """
     end = _encoding(path, pattern).n_vocab  # the first id that is free
-    if end > 0xFFFF:
-        raise ValueError("ids are stored in 16 bits")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = materialise(map_texts(rows, _streams(path, pattern, length), _BLOCK_DDL))
+    kind, doc = id_type(end), docs.schema["doc_id"].dataType
+    arrow_doc = to_arrow_type(doc)
+    stored = T.StructType().add("part", "long").add("first", "long").add("n", "long").add("ids", "binary").add("doc", T.ArrayType(doc))
+    for c in ("at", "start", "size"):
+        stored.add(c, T.ArrayType(T.LongType()))
+    blocks = materialise(map_texts(docs.select("doc_id", "text"), _streams(path, pattern, length, arrow_doc), stored))
     parts = blocks.groupBy("part").agg(F.sum("n").alias("size"))
     parts = materialise(parts.select("part", (F.sum("size").over(Window.orderBy("part")) - F.col("size")).alias("before"), "size"))
     total = parts.agg(F.sum("size")).first()[0] or 0
     per_shard = max(per_shard, -(-total // most_shards))
     shards = max(1, -(-total // per_shard))
+    ranges = min(shards, most_parts)
     numbered = blocks.join(parts.drop("size"), "part").withColumn("first", F.col("before") + F.col("first"))
     files, root = pa.fs.FileSystem.from_uri(folder)
     files.create_dir(root)
-    dealt = numbered.select("first", "n", "ids").mapInArrow(_dealt(length, total, key, per_shard), "shard long, places binary, records binary")
-    dealt = dealt.repartitionById(shards, F.col("shard").cast("int")).sortWithinPartitions("shard")
-    written = materialise(dealt.mapInArrow(_write(folder, length, total, per_shard), "shard long, shard_crc32 long"))
+    dealt = numbered.select("first", "n", "ids").mapInArrow(_dealt(length, total, key, per_shard, kind), "shard long, places binary, records binary")
+    dealt = dealt.repartitionById(ranges, F.floor(F.col("shard") * ranges / shards).cast("int")).sortWithinPartitions("shard")
+    written = materialise(dealt.mapInArrow(_write(folder, length, total, per_shard, kind), "shard long, shard_crc32 long"))
     with files.open_output_stream(f"{root}/manifest.json") as out:
-        out.write(json.dumps({"slots": total, "length": length, "dtype": "<u2", "end": end, "per_shard": per_shard, "key": key}).encode())
-    index = numbered.select("first", "n", "doc", "at", "start", "size").mapInArrow(_indexed(length, total, key, per_shard), "slot long, shard long, offset long, texts array<struct<doc_id:long,at:long,n:long>>")
+        out.write(json.dumps({"slots": total, "length": length, "dtype": kind, "end": end, "per_shard": per_shard, "key": key}).encode())
+    texts = T.ArrayType(T.StructType().add("doc_id", doc).add("at", "long").add("n", "long"))
+    index = numbered.select("first", "n", "doc", "at", "start", "size").mapInArrow(_indexed(length, total, key, per_shard, kind, arrow_doc), T.StructType().add("slot", "long").add("shard", "long").add("offset", "long").add("texts", texts))
     return index.join(written, "shard").select("slot", "shard", "offset", "texts", "shard_crc32")
 
 
