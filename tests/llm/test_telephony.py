@@ -1,9 +1,13 @@
+import hashlib
+import math
 import random
+import struct
 import zlib
 
 import numpy as np
 import pytest
 
+from tidewise.llm.queries import op4_telephony_audio
 from tidewise.llm.telephony import ALAW, BLOCK, CODECS, MULAW, STEPS, adpcm, decode, parse, read_media, resample, store_media, wav
 
 
@@ -65,3 +69,31 @@ def test_frame(spark):
     assert bytes(got[2].payload) == bytes(64) and got[2].feature == got[3].feature and len(got[4].payload) == 100_032
     assert read_media(store_media(df.limit(0), ["doc_id"]), ["doc_id"], pcm=False).count() == 0
     assert zlib.crc32(got[0].pcm) == int(got[0].feature.rpartition(":")[2], 16)
+
+
+def test_features_and_stored_pcm_against_one_sample_at_a_time(spark, tmp_path):
+    """Peak, power, zero crossings and the bytes of the query's stored sound, from sample loops."""
+    rows = [(1, "some text, some sound é" * 9, "en", "s", 1), (2, None, None, None, None), (3, "zz", "en", "s", 2), (4, "other words of a document " * 30, "en", "s", 3)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    expand = {"mulaw": lambda d: [mulaw(b) for b in d], "alaw": lambda d: [int(ALAW[b]) for b in d], "ima_adpcm": lambda d: [v for i in range(0, len(d), BLOCK) for v in slow_adpcm(d[i : i + BLOCK])]}
+    for r in op4_telephony_audio(spark, str(tmp_path)).collect():
+        text = (dict((i, t) for i, t, *_ in rows)[r.doc_id] or "").encode()
+        payload = text + bytes(64 * max(1, -(-len(text) // 64)) - len(text))
+        file = wav(payload, r.codec)
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(text), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(file), hashlib.sha256(file).hexdigest())
+        pcm = expand[r.codec](parse(file)[3])
+        out = [v for a, b in zip(pcm, pcm[1:] + pcm[-1:]) for v in (a, (a + b) >> 1)]
+        peak, power = max(abs(v) for v in out), math.sqrt(sum(v * v for v in out) / len(out))
+        crossings = sum((a < 0) != (b < 0) for a, b in zip(out, out[1:]))
+        blob = struct.pack(f"<{len(out)}h", *out)
+        codec, n, got_peak, got_power, got_crossings, crc = r.feature.split(":")
+        assert (codec, int(n), int(got_peak), int(got_crossings), int(crc, 16)) == (r.codec, len(out), peak, crossings, zlib.crc32(blob)) and abs(float(got_power) - power) < 0.2
+        assert (r.pcm_bytes, r.pcm_sha256) == (len(blob), hashlib.sha256(blob).hexdigest())
+
+
+def mulaw(byte):
+    """One byte by the bits of G.711."""
+    u = ~byte & 0xFF
+    value = (((u & 15) << 3) + 132 << (u >> 4 & 7)) - 132
+    return -value if u & 0x80 else value

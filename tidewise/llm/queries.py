@@ -14,7 +14,7 @@ from tidewise.llm.licence_scan import scan_licences
 from tidewise.llm.near_duplicates import near_duplicate_classes
 from tidewise.llm.quality_classifier import held_out, score_quality, train
 from tidewise.llm.secret_scan import scan_secrets
-from tidewise.llm.shared import shared_dir
+from tidewise.llm.shared import materialise, shared_dir
 from tidewise.llm.telephony import read_media, store_media
 from tidewise.llm.training_order import write_training_order
 
@@ -40,21 +40,27 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as a telephony file, read back and described."""
-    stored = store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"])
+    """Every text stored as a telephony file, read back, decoded and stored as resampled PCM; digests of what was stored."""
+    packed = {"compression": "zstd", "parquet.compression.codec.zstd.level": "7"}
+    stored = materialise(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"]).drop("codec"), **packed)
     stored = stored.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
-    read = read_media(stored, ["doc_id", "n_bytes", "media_bytes", "media_sha256"], pcm=False)
-    return read.select(
-        "doc_id",
-        "n_bytes",
-        F.length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
-        "media_bytes",
-        "media_sha256",
-        "feature",
-        "codec",
+    read = read_media(stored, ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
+    sound = materialise(
+        read.select(
+            "doc_id",
+            "n_bytes",
+            F.length("payload").cast("long").alias("payload_bytes"),
+            F.sha2("payload", 256).alias("payload_sha256"),
+            F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
+            "media_bytes",
+            "media_sha256",
+            "feature",
+            "codec",
+            "pcm",
+        ),
+        **packed,
     )
+    return sound.withColumns({"pcm_bytes": F.length("pcm").cast("long"), "pcm_sha256": F.sha2("pcm", 256)}).drop("pcm")
 
 
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
