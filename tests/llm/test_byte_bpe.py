@@ -70,6 +70,15 @@ def test_memory_is_bounded(monkeypatch):
     assert len(own.cache) + len(own.old) <= 5 + 2 + max(len(set(own.split(t))) for t in texts()[:60])
 
 
+def test_long_pretokens_are_not_remembered(monkeypatch):
+    monkeypatch.setattr("tidewise.llm.byte_bpe.TOGETHER", 4000)
+    own, rnd = Encoder(VOCABULARY, public_tokenizers.PATTERN), random.Random(9)
+    texts = ["".join(rnd.choices("abcdefgh", k=k)) + " end" for k in (32, 33, 500, 3000, 9000) for _ in range(4)]
+    for ids, t in zip(own.encode_all(texts), texts, strict=True):
+        assert list(struct.unpack(f"<{len(ids) // 4}I", ids)) == reference().encode_ordinary(t)
+    assert max(map(len, own.cache)) <= 32
+
+
 def test_one_and_many_agree():
     own, ref = encoder(), reference()
     pieces = [t for x in texts() for t in own.split(x)]

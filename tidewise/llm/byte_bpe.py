@@ -27,7 +27,7 @@ from tidewise.llm.shared import map_texts
 from tidewise.llm.words import chunks
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")
-#: Encoded pre-tokens that a Python worker remembers, in each of two generations; longer ones than KEPT_CHARS leave with theirs.
+#: Encoded pre-tokens of at most KEPT_CHARS characters that a Python worker remembers, in each of two generations: some tens of MB.
 REMEMBERED, KEPT_CHARS = 150_000, 32
 #: Bytes of a column worked on together.
 TOGETHER = 2 << 20
@@ -211,18 +211,36 @@ class Encoder:
                 out[i] = np.array(self.merge(pieces[i]), "<u4").tobytes()
         return out
 
+    def _merge_in_parts(self, pieces: list[bytes]) -> list[bytes]:
+        """merge_many over parts of about TOGETHER bytes, whatever the number of pieces."""
+        out, part, size = [], [], 0
+        for piece in pieces:
+            part.append(piece)
+            size += len(piece)
+            if size >= TOGETHER:
+                out += self.merge_many(part)
+                part, size = [], 0
+        return out + self.merge_many(part)
+
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        """The bytes of the ids of each text. Pre-tokens are remembered in two generations of bounded size."""
+        """The bytes of the ids of each text. Short pre-tokens are remembered in two generations of bounded size, longer ones only for these texts."""
         split = list(map(self.split, texts))
-        new = set().union(*split) - self.cache.keys()
+        every = set().union(*split)
+        long = [t for t in every if len(t) > KEPT_CHARS]
+        every.difference_update(long)
+        new = every - self.cache.keys()
         if len(self.cache) + len(new) > REMEMBERED:
-            self.old, self.cache = {t: ids for t, ids in self.cache.items() if len(t) <= KEPT_CHARS}, {}
-            new = set().union(*split)
+            self.old, self.cache = self.cache, {}
+            new = every
         again = new & self.old.keys()
         self.cache.update((t, self.old[t]) for t in again)
         fresh = list(new - again)
-        self.cache.update(zip(fresh, self.merge_many([t.encode() for t in fresh]), strict=True))
-        return [b"".join(map(self.cache.__getitem__, tokens)) for tokens in split]
+        merged = self._merge_in_parts([t.encode() for t in (*fresh, *long)])
+        self.cache.update(zip(fresh, merged))
+        if not long:
+            return [b"".join(map(self.cache.__getitem__, tokens)) for tokens in split]
+        of_long = dict(zip(long, merged[len(fresh) :], strict=True))
+        return [b"".join([self.cache[t] if len(t) <= KEPT_CHARS else of_long[t] for t in tokens]) for tokens in split]
 
     def encode(self, text: str) -> bytes:
         return self.encode_all([text])[0]
