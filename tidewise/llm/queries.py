@@ -28,8 +28,8 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as chosen, the same with a weaker last reply as rejected."""
-    chosen = chat_format.conversations(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    pairs = chat_format.format_pairs(chosen.select("conv_id", F.col("turns").alias("c"), chat_format.weaker_reply(F.col("turns")).alias("r")))
+    chosen = materialise(chat_format.numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
+    pairs = chat_format.format_numbered(chosen, chat_format.weaker_replies(chosen)).withColumnRenamed("key", "conv_id")
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     return pairs.withColumns({c: text(c) for c in ("chosen_mask", "rejected_mask")})
 
