@@ -40,6 +40,23 @@ def test_platform_and_pattern():
     assert ex.pattern_items(toast, {"item_name": "h3"}) is None
 
 
+def test_every_page_is_read(spark):
+    """Learned selectors find items on pages without digits or words of menus; a page without items has no row."""
+    page = '<div class="dish"><b>Soup</b></div><div class="dish"><b>Bread</b></div><div class="dish"><b>Tea</b></div>'
+    patterns = spark.createDataFrame([("custom", {"item_container": ".dish", "item_name": "b"})], "platform_type string, selectors map<string,string>")
+    pages = spark.createDataFrame([("u", page, "custom"), ("v", "<p>x</p>", "custom"), ("w", None, None)], "url string, html string, platform_type string")
+    assert [(r.url, r.method, r.name) for r in ex.extract_free(pages, patterns).orderBy("ord").collect()] == [("u", "pattern", n) for n in ("Soup", "Bread", "Tea")]
+
+
+def test_titles_and_descriptions():
+    """Joined descriptions, leaders, elements around an item, and texts beside it."""
+    html = """<ul><li><div>Pad Thai ..... $12.50</div><p>rice noodles and peanuts</p></li><li>EdamameSpicy soy beans $5.00</li><li>Combo box 5pcs Sushi $15.00</li>
+    <li><span>Tofu Bowl $9.00</span></li><li>$7.00</li><li>Reservation $20.00</li></ul><p>Tea $3.00</p><p>served hot or cold</p>"""
+    items = {i["name"]: (i["description"], i["price"]) for i in ex.heuristic_items(html)}
+    assert items["Edamame"] == ("Spicy soy beans", 5.0) and items["Combo box"][1] == 15.0 and items["Tea"] == ("served hot or cold", 3.0)
+    assert "Reservation" not in items and not any(n.startswith("$") for n in items)
+
+
 def test_selectors():
     root = parse("<ul><li class='a b' data-x=v1>one<li>two <b>three</b></ul><p>four<p>five")
     assert [n.text() for n in root.select("li")] == ["one", "twothree"] and [n.text() for n in root.select("p")] == ["four", "five"]

@@ -13,7 +13,7 @@ from tidewise.streaming.jobs import debounced
 
 #: The synthetic pages have neither menu words nor platforms, so those are given here.
 WORDS = r"\b(the|and|with|that|from)\b"
-SIGNATURES = [("dotcom", r"example\.com"), ("dotnet", r"example\.net"), ("dotorg", r"example\.org")]
+SIGNATURES = [("dotcom", (r"example\.com",)), ("dotnet", (r"example\.net",)), ("dotorg", (r"example\.org",))]
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,32 +26,32 @@ def platforms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PLATFORMS_SQL = """select page_id, case when regexp_matches(x, '(?i)example\\.com') then 'dotcom' when regexp_matches(x, '(?i)example\\.net') then 'dotnet' when regexp_matches(x, '(?i)example\\.org') then 'dotorg' else 'custom' end as host_kind,
-case """ + " ".join(f"when regexp_matches(html, '(?i){s}') then '{n}'" for n, s in ex.PLATFORMS) + " else 'custom' end as platform_type from (select *, url || ' ' || html as x from pages)"
+case """ + " ".join(f"when regexp_matches(html, '(?i){'|'.join(s)}') then '{n}'" for n, s in ex.PLATFORMS) + " else 'custom' end as platform_type from (select *, url || ' ' || html as x from pages)"
 
 
 def links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ex.link_scores(ex.anchors(_pages(spark, sf_dir)), WORDS).select("page_id", "link", F.col("score").cast("long").alias("score"), F.col("place").cast("long").alias("place"))
+    return ex.page_links(_pages(spark, sf_dir), WORDS, keep=("page_id",))
 
 
 _LINKS_SQL = r"""
 a as (
-  select page_id, generate_subscripts(x, 1) as n, unnest(x) as a from (select page_id, regexp_extract_all(html, '(?is)(<a\s[^>]*href\s*=\s*"[^"]*"[^>]*>.*?</a\s*>)', 1) as x from pages)
+  select page_id, url, generate_subscripts(x, 1) as n, unnest(x) as a from (select page_id, url, regexp_extract_all(html, '(?is)(<a\s[^>]*href\s*=\s*"[^"]*"[^>]*>.*?</a\s*>)', 1) as x from pages)
 ), b as (
-  select page_id, n, regexp_extract(a, '(?is)href\s*=\s*"([^"]*)"', 1) as href, lower(trim(regexp_replace(a, '(?s)<[^>]*>', '', 'g'))) as label from a
+  select page_id, url, n, regexp_extract(a, '(?is)href\s*=\s*"([^"]*)"', 1) as href, lower(trim(regexp_replace(a, '(?s)<[^>]*>', '', 'g'))) as label from a
 ), s as (
-  select page_id, n, regexp_replace(regexp_replace(href, '[?#].*$', ''), '/+$', '') as link,
+  select page_id, n, regexp_extract(url, '^https?://[^/?#]+') || regexp_replace(regexp_replace(href, '[?#].*$', ''), '/+$', '') as link, regexp_replace(regexp_replace(url, '[?#].*$', ''), '/+$', '') as self,
     case when lower(href) like '%.pdf' then 15 else 0 end + case when regexp_matches(label, '(?i)\b(the|and|with|that|from)\b') then 10 else 0 end + case when regexp_matches(lower(href), '(?i)\b(the|and|with|that|from)\b') then 5 else 0 end
     + case when label in (""" + ", ".join(f"'{x}'" for x in ex.LABELS) + r""") then 20 else 0 end + case when contains(lower(href), '/menu') and length(href) - length(replace(href, '/', '')) <= 3 then 10 else 0 end as score
   from b where starts_with(href, '/')
 ), best as (
-  select page_id, link, max(score) as score, min(n) as first from s where score > 0 and link <> '' group by all
+  select page_id, link, max(score) as score, min(n) as first from s where score > 0 and link <> self group by all
 ), links as (
   select page_id, link, score::bigint as score, row_number() over (partition by page_id order by score desc, first) as place from best qualify place <= 8
 )"""
 
 
 def fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ex.fallback_links(_pages(spark, sf_dir), ex.link_scores(ex.anchors(_pages(spark, sf_dir)), WORDS))
+    return ex.fallback_links(_pages(spark, sf_dir), ex.page_links(_pages(spark, sf_dir), WORDS, keep=("page_id",)))
 
 
 def guards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,8 +80,8 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.parse_lines(_menus(spark, sf_dir)).select("doc_id", F.col("pos").cast("long").alias("pos"), "name", "description", "price", "category")
 
 
-def _category_sql(text: str, table: dict[str, str], rest: str) -> str:
-    tests = " ".join(f"when regexp_matches(lower({text}), '{'|'.join(w.replace('_', ' ') for w in words.split())}') then '{c}'" for c, words in table.items())
+def _category_sql(text: str, table: dict[str, tuple[str, ...]], rest: str) -> str:
+    tests = " ".join(f"when regexp_matches(lower({text}), '{'|'.join(words)}') then '{c}'" for c, words in table.items())
     return f"case {tests} else {rest} end"
 
 
@@ -215,7 +215,7 @@ QUERIES = {
     "src03_places": (places, PLACES_SQL),
     "sm10_debounce": (typing, TYPING_SQL),
     "ex18_clean": (cleaned, None),
-    "ex13_tree_links": (tree_links, None),
+    "ex13_tree_links": (tree_links, f"with {_LINKS_SQL} select url, link, score, place from links join pages using (page_id)"),
     "ex15_locations": (locations, None),
     "ex21_cascade": (cascade, None),
 }

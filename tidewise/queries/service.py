@@ -18,7 +18,7 @@ def now() -> Column:
 
 
 NOW_SQL = f"timestamp '{bridge.AS_OF}'"
-METROS_SQL = "metros as (select * from (values " + ", ".join("('{0}', {2}, {3}::double, {4}::double, {5}::double, {6}::double, {7}::double)".format(*x.split("|")) for x in bridge.METROS.strip().splitlines()) + ") as t(name, rank, sw_lat, sw_lng, ne_lat, ne_lng, spacing))"
+METROS_SQL = "metros as (select * from (values " + ", ".join("('{0}', {2}, {3}::double, {4}::double, {5}::double, {6}::double, {7}::double)".format(*x) for x in bridge.METROS) + ") as t(name, rank, sw_lat, sw_lng, ne_lat, ne_lng, spacing))"
 GRID_SQL = METROS_SQL + """, grid as (
   select name as metro, r::int as row, c::int as col, round(sw_lat + r * dy, 4) as lat, round(sw_lng + c * dx, 4) as lng from (
     select *, unnest(range(0, floor((ne_lng - sw_lng) / dx)::bigint + 1)) as c from (
