@@ -1,8 +1,12 @@
+import math
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from tidewise.functions import text as tx
 from tidewise.functions.dom import parse
-from tidewise.functions.fulltext import rank, stem
+from tidewise.functions.fulltext import ENGLISH_STOP, indexed, stem, text_rank
 from tidewise.operators import extract as ex
 from tidewise.plans.cascade import scrape
 
@@ -118,13 +122,58 @@ def test_cascade(spark):
 def test_stems_and_rank():
     pairs = {"running": "run", "tacos": "taco", "fries": "fri", "hopping": "hop", "hoped": "hope", "relational": "relat", "happily": "happili", "generously": "generous", "flies": "fli", "cheese": "chees", "national": "nation", "skies": "sky"}
     assert {w: stem(w) for w in pairs} == pairs
-    assert abs(rank("Tacos", None, None, "taco") - 0.6079) < 1e-4 and rank("Soup", None, None, "taco") is None and rank("x", None, None, "the") is None
-    assert rank("mac cheese", None, None, "mac and cheese") > rank("mac with a lot of other things and cheese", None, None, "mac cheese")
+
+
+def slow_lexemes(text):
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    return [(stem(w), i) for i, w in enumerate(words, 1) if w not in ENGLISH_STOP]
+
+
+def slow_rank(fields, query):
+    """Text rank of one row, pair by pair."""
+    terms = list(dict.fromkeys(s for s, _ in slow_lexemes(query)))
+    places, offset = {t: [] for t in terms}, 0
+    for text, weight in zip(fields, (1.0, 0.4, 0.2), strict=True):
+        found = slow_lexemes(text)
+        for s, i in found:
+            places.setdefault(s, []).append((i + offset, weight))
+        offset += found[-1][1] if found else 0
+    if not terms or not all(places[t] for t in terms):
+        return None
+    if len(terms) == 1:
+        w = [x for _, x in places[terms[0]]]
+        best = w.index(max(w))
+        return (w[best] + sum(x / (k + 1) ** 2 for k, x in enumerate(w)) - w[best] / (best + 1) ** 2) / 1.64493406685
+    left = 1.0
+    for a in range(len(terms)):
+        for b in range(a + 1, len(terms)):
+            for i, u in places[terms[a]]:
+                for j, v in places[terms[b]]:
+                    d = abs(i - j) or 1
+                    left *= 1 - math.sqrt(u * v * (1 / (1.005 + 0.05 * math.exp(d / 1.5 - 2)) if d <= 100 else 1e-30))
+    return 1 - left
+
+
+def test_text_rank_equals_brute_force(spark):
+    rnd = random.Random(2)
+    words = "taco tacos the fish fishes of hot plates plate running run and 7 x".split()
+    text = lambda: rnd.choice([None, "", " ".join(rnd.choices(words, k=rnd.randrange(12)))])
+    rows = [(i, text(), text(), text()) for i in range(200)] + [(900, "Tacos", None, None), (901, "mac cheese", None, None)]
+    rows += [(902, "fish " + "x " * 120 + "plate", None, None)]
+    df = indexed(spark.createDataFrame(rows, "id long, name string, description string, category string"))
+    for query in ("taco", "the", "", "fish plate", "hot running tacos", "mac and cheese", "unknown word"):
+        got = {r[0]: r[1] for r in df.select("id", text_rank(df.lexemes, query)).collect()}
+        assert len(got) == len(rows)
+        for i, *fields in rows:
+            want = slow_rank(fields, query)
+            assert got[i] is None if want is None else abs(got[i] - want) < 1e-6, (query, fields)
+    assert abs(slow_rank(("Tacos", None, None), "taco") - 0.6079) < 1e-4
 
 
 def test_stemmed_search(spark):
     from tidewise.operators.search import score
 
-    df = spark.createDataFrame([("Fish Tacos", None, None), ("Soup", "with taco shells", None), ("Stew", None, None)], "name string, description string, category string")
-    value, match = score("taco", stemmed=True)
-    assert [(round(r[0], 3), r[1]) for r in df.select(F.coalesce(value, F.lit(0.0)), match).collect()][:2] == [(10.608, True), (10.243, True)]
+    df = indexed(spark.createDataFrame([("Fish Tacos", None, None), ("Soup", "with taco shells", None), ("Stew", None, None)], "name string, description string, category string"))
+    first, value, match = score("taco")
+    got = {r.name: (round(r[1], 3), r[2]) for r in df.withColumns(first).select("name", value, match).collect()}
+    assert got["Fish Tacos"] == (10.608, True) and got["Soup"] == (10.243, True) and not got["Stew"][1]

@@ -1,28 +1,36 @@
-"""English stemming and ranked full-text matching, as Arrow UDFs, where words must match in any inflection.
+"""English stemming and ranked full-text matching, where words must match in any inflection.
+
+`indexed` gives every row its lexemes once (stem, position, weight by field); stems are looked up for the different words only. A
+query's words are stemmed when the plan is made, and `text_rank` matches and ranks by expressions over the lexemes.
 
 Rules are those of the public Porter2 description and of PostgreSQL's documented ts_rank with default weights.
 """
 
 from __future__ import annotations
 
-import math
 import re
-from functools import lru_cache
+from functools import lru_cache, reduce
+from itertools import combinations
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidewise.functions.text import alnum_words
+
 #: Words that an English text search ignores.
-ENGLISH_STOP = frozenset(
-    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs themselves "
-    "what which who whom this that these those am is are was were be been being have has had having do does did doing a an the and but if or because as until while of at by for with about "
-    "against between into through during before after above below to from up down in out on off over under again further then once here there when where why how all any both each few more most "
-    "other some such no nor not only own same so than too very s t can will just don should now".split()
-)
+ENGLISH_STOP = frozenset([
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself",
+    "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this",
+    "that", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing",
+    "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for", "with", "about", "against", "between",
+    "into", "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out", "on", "off", "over", "under", "again",
+    "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each", "few", "more", "most", "other", "some",
+    "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "s", "t", "can", "will", "just", "don", "should", "now",
+])
 _EXCEPTIONS = {"skis": "ski", "skies": "sky", "dying": "die", "lying": "lie", "tying": "tie", "idly": "idl", "gently": "gentl", "ugly": "ugli", "early": "earli", "only": "onli", "singly": "singl"}
-_SAME = frozenset("sky news howe atlas cosmos bias andes".split())
-_KEPT = frozenset("inning outing canning herring earring proceed exceed succeed".split())
+_SAME = frozenset(["sky", "news", "howe", "atlas", "cosmos", "bias", "andes"])
+_KEPT = frozenset(["inning", "outing", "canning", "herring", "earring", "proceed", "exceed", "succeed"])
 _STEP2 = [
     ("ization", "ize"), ("ational", "ate"), ("fulness", "ful"), ("ousness", "ous"), ("iveness", "ive"), ("tional", "tion"), ("biliti", "ble"), ("lessli", "less"),
     ("entli", "ent"), ("ation", "ate"), ("alism", "al"), ("aliti", "al"), ("ousli", "ous"), ("iviti", "ive"), ("fulli", "ful"), ("enci", "ence"), ("anci", "ance"),
@@ -108,51 +116,69 @@ def stem(word: str) -> str:
     return w.replace("Y", "y")
 
 
-def lexemes(text: str | None) -> list[tuple[str, int]]:
-    """(stem, position from 1) of the words that are not ignored; ignored words count for positions."""
-    words = re.findall(r"[^\W_]+", (text or "").lower())
-    return [(stem(w), i) for i, w in enumerate(words, 1) if w not in ENGLISH_STOP]
+#: Fields and their weights, as in ts_rank's defaults for A, B and C.
+WEIGHTS = {"name": 1.0, "description": 0.4, "category": 0.2}
+_LEXEMES = "array<struct<pos:int,weight:double,lexeme:string>>"
+
+
+def query_terms(query: str) -> list[str]:
+    """The different stems of a query's words, without ignored ones."""
+    return list(dict.fromkeys(stem(w) for w in re.findall(r"[^\W_]+", query.lower()) if w not in ENGLISH_STOP))
+
+
+def _stems(words: pd.Series) -> pd.Series:
+    return words.map(stem)
 
 
-WEIGHTS = {"A": 1.0, "B": 0.4, "C": 0.2}
+def indexed(items: DataFrame, fields: dict[str, float] = WEIGHTS) -> DataFrame:
+    """items with `lexemes`, an array of (pos, weight, lexeme) over all fields, in order; each different text is read once.
 
+    Ignored words count for positions. A field's positions follow on the last lexeme of the field before.
+    """
+    stop = F.array(*map(F.lit, sorted(ENGLISH_STOP)))
+    texts = items.select(*fields).distinct()
+    last, parts = F.lit(0), []
+    for field, weight in fields.items():
+        words = F.transform(alnum_words(F.coalesce(F.col(field), F.lit(""))), lambda w, i: F.struct((i + 1).alias("pos"), w.alias("word")))
+        own = F.filter(words, lambda x: ~F.array_contains(stop, x["word"]))
+        shift = last
+        parts.append(F.transform(own, lambda x: F.struct((x["pos"] + shift).cast("int").alias("pos"), F.lit(weight).alias("weight"), x["word"].alias("word"))))
+        last = shift + F.coalesce(F.array_max(F.transform(own, lambda x: x["pos"])), F.lit(0))
+    placed = texts.select(*fields, F.explode(F.concat(*parts)).alias("x")).select(*fields, "x.*")
+    stems = placed.select("word").distinct().withColumn("lexeme", F.pandas_udf(_stems, "string")("word"))
+    one = F.struct("pos", "weight", "lexeme")
+    of_text = placed.join(stems, "word").groupBy(*fields).agg(F.array_sort(F.collect_list(one)).alias("lexemes"))
+    same = reduce(lambda a, b: a & b, [F.col(f"i.{f}").eqNullSafe(F.col(f"t.{f}")) for f in fields])
+    return items.alias("i").join(of_text.alias("t"), same, "left").select("i.*", F.coalesce("t.lexemes", F.array().cast(_LEXEMES)).alias("lexemes"))
 
-def rank(name: str | None, description: str | None, category: str | None, query: str) -> float | None:
-    """ts_rank of all query words over name (A), description (B) and category (C); None if one is missing or there are none."""
-    terms = list(dict.fromkeys(s for s, _ in lexemes(query)))
+
+def text_rank(lexemes: Column, query: str) -> Column:
+    """ts_rank of all the query's words, to six decimals; null where one is missing or the query has none."""
+    terms = query_terms(query)
     if not terms:
-        return None
-    places: dict[str, list[tuple[int, float]]] = {t: [] for t in terms}
-    offset = 0
-    for text, weight in ((name, "A"), (description, "B"), (category, "C")):
-        found = lexemes(text)
-        for s, i in found:
-            if s in places:
-                places[s].append((i + offset, WEIGHTS[weight]))
-        offset += found[-1][1] if found else 0
-    if not all(places.values()):
-        return None
+        return F.lit(None).cast("double")
+    places = {t: _of_term(lexemes, t) for t in terms}
+    has_all = reduce(lambda a, b: a & b, [F.size(p) > 0 for p in places.values()])
     if len(terms) == 1:
-        ordered = [w for _, w in places[terms[0]]]
-        best = max(range(len(ordered)), key=lambda k: ordered[k])
-        total = sum(w / (k + 1) ** 2 for k, w in enumerate(ordered))
-        return (ordered[best] + total - ordered[best] / (best + 1) ** 2) / 1.64493406685
-    missing = 1.0
-    for a in range(len(terms)):
-        for b in range(a + 1, len(terms)):
-            for i, u in places[terms[a]]:
-                for j, v in places[terms[b]]:
-                    d = abs(i - j) or 1
-                    near = 1 / (1.005 + 0.05 * math.exp(d / 1.5 - 2)) if d <= 100 else 1e-30
-                    missing *= 1 - math.sqrt(u * v * near)
-    return 1 - missing
-
-
-def full_text_rank(name: Column, description: Column, category: Column, query: str) -> Column:
-    """ts_rank as a column: null where the text doesn't match."""
-
-    @F.pandas_udf("double")
-    def ranked(n: pd.Series, d: pd.Series, c: pd.Series) -> pd.Series:
-        return pd.Series([rank(*x, query) for x in zip(n, d, c)], dtype="float64")
-
-    return ranked(name, description, category)
+        weights = F.transform(places[terms[0]], lambda x: x["weight"])
+        total = F.aggregate(F.transform(weights, lambda w, k: w / ((k + 1) * (k + 1))), F.lit(0.0), lambda a, b: a + b)
+        best = F.array_max(weights)
+        first = F.array_position(weights, best)
+        rank = (best + total - best / (first * first)) / 1.64493406685
+    else:
+
+        def apart(x: Column, y: Column) -> Column:
+            """One less what a pair of places adds."""
+            d = F.greatest(F.lit(1), F.abs(x["pos"] - y["pos"]))
+            near = F.when(d <= 100, 1 / (1.005 + 0.05 * F.exp(d / 1.5 - 2))).otherwise(1e-30)
+            return 1 - F.sqrt(x["weight"] * y["weight"] * near)
+
+        def missing(a: str, b: str) -> Column:
+            return F.aggregate(places[a], F.lit(1.0), lambda m, x: m * F.aggregate(places[b], F.lit(1.0), lambda k, y: k * apart(x, y)))
+
+        rank = 1 - reduce(lambda a, b: a * b, [missing(a, b) for a, b in combinations(terms, 2)])
+    return F.when(has_all, F.round(rank, 6))
+
+
+def _of_term(lexemes: Column, term: str) -> Column:
+    return F.filter(lexemes, lambda x: x["lexeme"] == term)

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from tidewise.functions import geo
 from tidewise.functions import text as tx
-from tidewise.functions.fulltext import full_text_rank
+from tidewise.functions.fulltext import indexed, text_rank
 from tidewise.functions.synonyms import expand
+from tidewise.sources.shared import materialise
 
 STATISTICS_M = 16_093.0
 SIMILAR = 0.15
@@ -48,34 +49,43 @@ def word_match(query: str) -> Column:
     return F.forall(F.array(*map(F.lit, words)), lambda w: F.array_contains(own, w))
 
 
-def score(query: str, groups: list[str] | None = None, stemmed: bool = False) -> tuple[Column, Column]:
-    """(rank, whether a row matches) over name, description and category.
+def score(query: str, groups: list[str] | None = None, stemmed: bool = True) -> tuple[dict[str, Column], Column, Column]:
+    """(columns to compute first, rank, whether a row matches) over name, description, category and lexemes.
 
-    All words 10 (with `stemmed`, in any inflection, plus their text rank), the query as a part of the name 5, or else the
-    similarities of name and description. Similarity above 0.15 or any word of the name is enough to match.
+    All words in any inflection 10 plus their text rank (without `stemmed`: as whole words, 10), the query as a part of the name 5, or
+    else the similarities of name and description. Similarity above 0.15 or any word of the name is enough to match.
     """
-    name, description = F.col("name"), F.col("description")
-    by_name = tx.similarity(name, query)
-    by_description = F.coalesce(tx.similarity(description, query), F.lit(0.0))
+    name = F.col("name")
+    first = {
+        "_by_name": tx.similarity(name, query),
+        "_by_description": F.coalesce(tx.similarity(F.col("description"), query), F.lit(0.0)),
+        "_full": 10.0 + text_rank(F.col("lexemes"), query) if stemmed else F.when(word_match(query), 10.0),
+    }
     part = tx.contains_ci(name, query)
-    if stemmed:
-        rank = full_text_rank(name, description, F.col("category"), query)
-        full, top = rank.isNotNull(), 10.0 + rank
-    else:
-        full, top = word_match(query), F.lit(10.0)
     words = [tx.whole_word(name, list(s)) for s in expand(tx.query_tokens(query), groups).values()]
-    match = reduce(lambda a, b: a | b, [full, part, by_name > SIMILAR, by_description > SIMILAR, *words])
-    return F.when(full, top).when(part, 5.0).otherwise(by_name + by_description), match
+    match = reduce(lambda a, b: a | b, [F.col("_full").isNotNull(), part, F.col("_by_name") > SIMILAR, F.col("_by_description") > SIMILAR, *words])
+    return first, F.coalesce("_full", F.when(part, 5.0).otherwise(F.col("_by_name") + F.col("_by_description"))), match
+
 
+def local_items(restaurants: DataFrame, items: DataFrame, point: tuple[float, float], radius_m: float) -> DataFrame:
+    """The items of the places within the radius, with their distance_m, written so that all of a search reads only these."""
+    places = near(restaurants, point, radius_m).withColumnRenamed("name", "place")
+    return materialise(items.join(places, "restaurant_id"))
 
-def candidates(restaurants: DataFrame, items: DataFrame, query: str, point: tuple[float, float], radius_m: float, groups: list[str] | None = None, hit_cap: int = 5000, stemmed: bool = False) -> DataFrame:
+
+def candidates(restaurants: DataFrame, items: DataFrame, query: str, point: tuple[float, float], radius_m: float, groups: list[str] | None = None, hit_cap: int = 5000, stemmed: bool = True) -> DataFrame:
     """The best `hit_cap` item hits near the point, with rank, distance_m, distance_miles and ord (1 is the best).
 
-    The cap is part of the search: hits are cut before they are grouped by place.
+    The cap is part of the search: hits are cut before they are grouped by place. Items may bring their lexemes (`indexed`).
     """
-    rank, match = score(query, groups, stemmed)
-    places = near(restaurants, point, radius_m).withColumnRenamed("name", "place")
-    hits = items.where(match).withColumn("rank", rank).join(places, "restaurant_id")
+    return _hits(local_items(restaurants, items, point, radius_m), query, groups, hit_cap, stemmed)
+
+
+def _hits(local: DataFrame, query: str, groups: list[str] | None, hit_cap: int, stemmed: bool) -> DataFrame:
+    first, rank, match = score(query, groups, stemmed)
+    if stemmed and "lexemes" not in local.columns:
+        local = indexed(local)
+    hits = local.withColumns(first).where(match).withColumn("rank", rank).drop(*first, "lexemes")
     order = [F.col("rank").desc(), F.col("distance_m"), F.col("restaurant_id"), F.col("item_id")]
     hits = hits.orderBy(*order).limit(hit_cap).withColumn("ord", F.row_number().over(Window.orderBy(*order)))
     return hits.withColumn("distance_miles", geo.miles(F.col("distance_m")))
@@ -83,8 +93,11 @@ def candidates(restaurants: DataFrame, items: DataFrame, query: str, point: tupl
 
 def word_statistics(restaurants: DataFrame, items: DataFrame, words: list[str], point: tuple[float, float]) -> DataFrame:
     """One row over all items around the point: n_items, n_0 … per word, and n_i_j per pair of words, in one pass."""
+    return _statistics(items.join(near(restaurants, point, STATISTICS_M).select("restaurant_id"), "restaurant_id"), words)
+
+
+def _statistics(local: DataFrame, words: list[str]) -> DataFrame:
     words = list(dict.fromkeys(words))
-    local = items.join(near(restaurants, point, STATISTICS_M).select("restaurant_id"), "restaurant_id")
     local = local.select(*[tx.whole_word(F.col("name"), [w]).alias(f"h{i}") for i, w in enumerate(words)])
     ones = [F.count_if(F.col(f"h{i}")).alias(f"n_{i}") for i in range(len(words))]
     pairs = [F.count_if(F.col(f"h{i}") & F.col(f"h{j}")).alias(f"n_{i}_{j}") for i in range(len(words)) for j in range(i + 1, len(words))]
@@ -170,14 +183,16 @@ def rank_places(hits: DataFrame, n_words: int, sort: str = "relevance", most: in
     return rows.withColumns({"position": F.row_number().over(Window.orderBy(*keys)), "total_results": F.count("*").over(Window.partitionBy(F.lit(0)))})
 
 
-def search(restaurants: DataFrame, items: DataFrame, query: str, point: tuple[float, float], radius_m: float = 5000.0, sort: str = "relevance", limit: int = 20, groups: list[str] | None = None, hit_cap: int = 5000, stemmed: bool = False) -> DataFrame:
+def search(restaurants: DataFrame, items: DataFrame, query: str, point: tuple[float, float], radius_m: float = 5000.0, sort: str = "relevance", limit: int = 20, groups: list[str] | None = None, hit_cap: int = 5000, stemmed: bool = True) -> DataFrame:
     """The first `limit` places for a query, best first by position, each with its matched items."""
     check_arguments(query, point, radius_m, sort, limit)
     words = tx.query_tokens(query)
-    hits = candidates(restaurants, items, query, point, radius_m, groups, hit_cap, stemmed)
-    if sort == "relevance" and words:
-        # one row of 1 + w + w (w - 1) / 2 counts
-        stats = word_statistics(restaurants, items, words, point).first().asDict()
+    counted = sort == "relevance" and words
+    local = local_items(restaurants, items, point, max(radius_m, STATISTICS_M) if counted else radius_m)
+    hits = _hits(local.where(F.col("distance_m") <= radius_m), query, groups, hit_cap, stemmed)
+    if counted:
+        # one row of 1 + w + w (w - 1) / 2 counts over the local items
+        stats = _statistics(local.where(F.col("distance_m") <= STATISTICS_M), words).first().asDict()
         hits = item_scores(hits, words, *rarity(stats, words), groups=groups)
     return rank_places(hits, len(words), sort).where(F.col("position") <= limit)
 

@@ -39,7 +39,7 @@ def no_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NO_WORDS_SQL = f"""
-with {sq.BRIDGE_SQL}, {sq._hits_sql('pl', 'false', 'zzzzzz')}, g as (select restaurant_id, count(*) as n, any_value(distance_miles) as distance_miles, min(ord) as ord from hits group by restaurant_id)
+with {sq.BRIDGE_SQL}, {sq._hits_sql('pl', [], 'zzzzzz')}, g as (select restaurant_id, count(*) as n, any_value(distance_miles) as distance_miles, min(ord) as ord from hits group by restaurant_id)
 select row_number() over (order by -n, {sq._FAR}, ord) as position, restaurant_id, n as n_hits, 0::bigint as total_matched_items, n as n_listed from g qualify position <= 50"""
 
 
@@ -165,8 +165,12 @@ select url, row_number() over (partition by url order by score desc, p_partkey)
 
 def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits for inflected words, by text rank."""
-    hits = s.candidates(bridge.restaurants(spark, sf_dir), bridge.menu_items(spark, sf_dir), "plated rings", bridge.POINT, sq.RADIUS, stemmed=True)
-    return hits.select("restaurant_id", "item_id", F.round("rank", 6).alias("rank"), "ord")
+    hits = s.candidates(bridge.restaurants(spark, sf_dir), bridge.menu_items(spark, sf_dir), "smalls rings", bridge.POINT, sq.RADIUS)
+    return hits.select("restaurant_id", "item_id", F.round("rank", 6).alias("rank"), F.col("ord").cast("long").alias("ord"))
+
+
+#: "small" stands in names, descriptions and categories, "ring" in names.
+FULL_TEXT_SQL = f"with {sq.BRIDGE_SQL}, {sq._hits_sql('smalls rings', [['small'], ['ring']], 'smalls|rings')} select restaurant_id, item_id, round(rank, 6) as rank, ord from hits"
 
 
 def dumped(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -188,5 +192,5 @@ QUERIES = {
     "ex05_platform": (platform, PLATFORM_SQL),
     "ex08_heuristic": (heuristic, HEURISTIC_SQL),
     "ex16_images": (images, IMAGES_SQL),
-    "tx01_full_text": (full_text, None),
+    "tx01_full_text": (full_text, FULL_TEXT_SQL),
 }

@@ -35,21 +35,36 @@ def _similar_sql(text: str, query: str) -> str:
     return f"(len(list_intersect({a}, {b}))::double / len(list_distinct(list_concat({a}, {b}))))"
 
 
-def _hits_sql(query: str, words: str, names: str) -> str:
-    """words: condition that all words occur; names: regex of the query's words and synonyms."""
-    rank = f"case when {words} then 10.0 when name ilike '%{query}%' then 5.0 else {_similar_sql('name', query)} + {_similar_sql('description', query)} end::double"
+def _list(words: list[str]) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+def _hits_sql(query: str, forms: list[list[str]], names: str) -> str:
+    """forms: of each query word the words of the data with its stem, none if a word has none; names: regex of the query's words and synonyms."""
+    full, rank = "false", "0"
+    if forms:
+        full = " and ".join(f"list_has_any(t, {_list(f)})" for f in forms)
+        a, b = forms
+        near = "1 / (1.005 + 0.05 * exp(greatest(1, abs(i - j)) / 1.5::double - 2))"
+        pairs = f"flatten([[1 - sqrt(w[i] * w[j] * {near}) for j in range(1, len(t) + 1) if list_contains({_list(b)}, t[j])] for i in range(1, len(t) + 1) if list_contains({_list(a)}, t[i])])"
+        rank = f"10.0 + round(1 - list_aggregate({pairs}, 'product'), 6)"
+    value = f"case when {full} then {rank} when name ilike '%{query}%' then 5.0 else {_similar_sql('name', query)} + {_similar_sql('description', query)} end::double"
+    words = lambda c: f"[x for x in regexp_split_to_array(lower({c}), '[^a-z0-9]+') if x <> '']"
+    weighed = " || ".join(f"[{weight}::double for x in {words(c)}]" for c, weight in (("name", 1.0), ("description", 0.4), ("category", 0.2)))
     return f"""
-scored as (
-  select i.*, n.place, n.rating, n.lat, n.lng, n.distance_m, {rank} as rank, {_similar_sql('name', query)} as sim_name, {_similar_sql('description', query)} as sim_desc
-  from items i join near n using (restaurant_id) where distance_m <= 16000
+lexed as (
+  select i.*, n.place, n.rating, n.lat, n.lng, n.distance_m, {words('name')} || {words('description')} || {words('category')} as t, {weighed} as w from items i join near n using (restaurant_id) where distance_m <= 16000
+), scored as (
+  select *, {value} as rank, {_similar_sql('name', query)} as sim_name, {_similar_sql('description', query)} as sim_desc, {full} as is_full from lexed
 ), hits as (
-  select *, row_number() over (order by rank desc, distance_m, restaurant_id, item_id) as ord, case when distance_m <> 0 then round(distance_m / 1609.34, 1) end as distance_miles
-  from scored where ({words}) or name ilike '%{query}%' or sim_name > 0.15 or sim_desc > 0.15 or regexp_matches(name, '(?i)\\b({names})\\b')
+  select * exclude (t, w), row_number() over (order by rank desc, distance_m, restaurant_id, item_id) as ord, case when distance_m <> 0 then round(distance_m / 1609.34, 1) end as distance_miles
+  from scored where is_full or name ilike '%{query}%' or sim_name > 0.15 or sim_desc > 0.15 or regexp_matches(name, '(?i)\\b({names})\\b')
   qualify ord <= 5000
 )"""
 
 
-_HOT_PLATE = "list_has_all(regexp_split_to_array(lower(name || ' ' || description || ' ' || category), '[^a-z0-9]+'), ['hot', 'plate'])"
+#: The words of the tables' items whose stems are those of "hot plate".
+_HOT_PLATE = [["hot"], ["plate"]]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,7 +86,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FLAGSHIP_SQL = f"""
-with {BRIDGE_SQL}, {_hits_sql('hot plate', _HOT_PLATE, 'hot|spicy|plate')}, local as (
+with {BRIDGE_SQL}, {_hits_sql('hot plate', _HOT_PLATE, 'hot|spicy|picante|plate')}, local as (
   select name from items join near using (restaurant_id) where distance_m <= 16093
 ), stats as (
   select count(*)::double as n, count(*) filter (regexp_matches(name, '(?i)\\bhot\\b'))::double as h, count(*) filter (regexp_matches(name, '(?i)\\bplate\\b'))::double as p,
@@ -79,8 +94,8 @@ with {BRIDGE_SQL}, {_hits_sql('hot plate', _HOT_PLATE, 'hot|spicy|plate')}, loca
 ), weights as (
   select greatest(0, ln((n - h + 0.5) / (h + 0.5) + 1)) as idf_h, greatest(0, ln((n - p + 0.5) / (p + 0.5) + 1)) as idf_p, coalesce(n_both / nullif(h, 0), 0) as p_given_h, coalesce(n_both / nullif(p, 0), 0) as h_given_p from stats
 ), matched as (
-  select hits.*, w.*, regexp_matches(name, '(?i)\\b(hot|spicy)\\b') as nh, regexp_matches(name, '(?i)\\bplate\\b') as np,
-         regexp_matches(name || ' ' || description, '(?i)\\b(hot|spicy)\\b') as fh, regexp_matches(name || ' ' || description, '(?i)\\bplate\\b') as fp
+  select hits.*, w.*, regexp_matches(name, '(?i)\\b(hot|spicy|picante)\\b') as nh, regexp_matches(name, '(?i)\\bplate\\b') as np,
+         regexp_matches(name || ' ' || description, '(?i)\\b(hot|spicy|picante)\\b') as fh, regexp_matches(name || ' ' || description, '(?i)\\bplate\\b') as fp
   from hits, weights w
 ), item as (
   select *, (nh or np and h_given_p >= 0.7)::int + (np or nh and p_given_h >= 0.7)::int as eff, nh::int + np::int as literal,
@@ -115,7 +130,7 @@ def _other_sort(sort: str):
 
 def _other_sort_sql(key: str) -> str:
     return f"""
-with {BRIDGE_SQL}, {_hits_sql('hot plate', _HOT_PLATE, 'hot|spicy|plate')}, grouped as (
+with {BRIDGE_SQL}, {_hits_sql('hot plate', _HOT_PLATE, 'hot|spicy|picante|plate')}, grouped as (
   select restaurant_id, any_value(distance_miles) as distance_miles, any_value(rating) as rating, avg(price) filter (price <> 0) as average_price, string_agg(item_id::varchar, ',' order by ord) as items, min(ord) as ord from hits group by restaurant_id
 )
 select row_number() over (order by {key}, ord) as position, restaurant_id, distance_miles, round(rating, 6) as rating, round(average_price, 4) as average_price, items, count(*) over () as total_results
@@ -129,7 +144,7 @@ def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 CANDIDATES_SQL = f"""
-with {BRIDGE_SQL}, {_hits_sql('smal rng', 'false', 'smal|rng')}
+with {BRIDGE_SQL}, {_hits_sql('smal rng', [], 'smal|rng')}
 select restaurant_id, item_id, name, round(rank, 6) as rank, distance_miles, ord from hits
 """
 
