@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tidewise.operators.ingest import insert_new
+from tidewise.operators.ingest import insert_new, merge_attempts
 from tidewise.streaming import jobs
 
 
@@ -27,7 +27,7 @@ def test_debounce_is_the_same_for_table_and_stream(spark, tmp_path):
 
 def test_ingest_resumes_at_its_checkpoint(spark, tmp_path):
     schema, table = "ordinal int, food_type string", f"{tmp_path}/places"
-    merge_rows = jobs.versioned_merge(spark, table, lambda old, rows: rows if old is None else insert_new(old, rows, "place_id"))
+    merge_rows = jobs.versioned_merge(spark, table, "place_id", lambda old, rows: rows if old is None else insert_new(old, rows, "place_id"))
     seen = []
 
     def merge(rows, number):
@@ -46,7 +46,20 @@ def test_ingest_resumes_at_its_checkpoint(spark, tmp_path):
     run()
     run()
     assert seen == [(0, [1, 2, 4, 5]), (1, [0, 1, 6, 7])]
-    assert sorted(r.place_id for r in spark.read.parquet(f"{table}/v2").collect()) == [0, 1, 2, 4, 5, 6, 7]
+    assert sorted(r.place_id for r in jobs.merged_table(spark, table, 2).collect()) == [0, 1, 2, 4, 5, 6, 7]
+
+
+def test_a_batch_rewrites_its_buckets_only(spark, tmp_path):
+    """A small batch leaves the files of other buckets, and one that comes again changes nothing."""
+    table = f"{tmp_path}/t"
+    merge = jobs.versioned_merge(spark, table, "k", lambda old, rows: rows if old is None else old.join(rows, "k", "left_anti").unionByName(rows), buckets=8)
+    merge(spark.range(100).select(F.col("id").alias("k"), F.lit("a").alias("v")), 0)
+    for _ in range(2):
+        merge(spark.createDataFrame([(3, "b")], "k long, v string"), 1)
+        got = {r.k: r.v for r in jobs.merged_table(spark, table, 2).collect()}
+        assert got == {k: "b" if k == 3 else "a" for k in range(100)}
+    assert len(list((tmp_path / "t" / "v1").glob("bucket=*"))) == 8 and len(list((tmp_path / "t" / "v2").glob("bucket=*"))) == 1
+    assert jobs.merged_table(spark, table, 0) is None
 
 
 def test_failure_state_over_batches(spark, tmp_path):
@@ -54,14 +67,15 @@ def test_failure_state_over_batches(spark, tmp_path):
     t = lambda m: __import__("datetime").datetime(2024, 1, 1, 0, m)
     written(spark, tmp_path / "in", [(1, t(1), "timeout"), (1, t(2), "timeout"), (2, t(1), "x"), (2, t(3), None)], schema)
     state: dict = {}
+    merge = jobs.versioned_merge(spark, f"{tmp_path}/table", "restaurant_id", merge_attempts, buckets=2)
 
     def keep(rows, number):
-        state.update({r.restaurant_id: (r.attempts, r.error_type, r.open) for r in rows.collect()})
+        merge(rows, number)
+        state.update({r.restaurant_id: (r.attempts, r.error_type, r.open) for r in jobs.merged_table(spark, f"{tmp_path}/table", number + 1).collect()})
 
     def run():
         stream = spark.readStream.schema(schema).parquet(f"{tmp_path}/in")
-        q = jobs.failure_states(stream).writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start()
-        q.awaitTermination()
+        stream.writeStream.foreachBatch(keep).option("checkpointLocation", f"{tmp_path}/cp").trigger(availableNow=True).start().awaitTermination()
 
     run()
     assert state == {1: (2, "timeout", True), 2: (0, None, False)}

@@ -45,16 +45,18 @@ def cell(lat: Column, lng: Column) -> list[Column]:
 def nearby_pairs(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
     """Every (point, place) within the radius, for tables with lat and lng: cells first, then the distance.
 
-    A point looks at the cells around it that the radius can reach, so no pair beyond them is ever made.
+    A point looks at the cells around it that the radius can reach, so no pair beyond them is ever made. Cells go round the globe, so the
+    radius may cross longitude 180.
     """
+    around = round(360 / CELL)
     reach_lat = math.ceil(math.degrees(radius_m / EARTH_M) / CELL)
     widest = F.degrees(F.lit(radius_m / EARTH_M)) / F.cos(F.radians(F.least(F.abs(F.col("p.lat")) + 1, F.lit(89.0))))
-    reach_lng = F.ceil(widest / CELL).cast("int")
+    reach_lng = F.least(F.ceil(widest / CELL), F.lit(around // 2)).cast("int")
     p = points.alias("p").withColumn("_dy", F.explode(F.sequence(F.lit(-reach_lat), F.lit(reach_lat))))
-    p = p.withColumn("_dx", F.explode(F.sequence(-reach_lng, reach_lng)))
-    p = p.withColumns({"_cy": F.floor(F.col("lat") / CELL) + F.col("_dy"), "_cx": F.floor(F.col("lng") / CELL) + F.col("_dx")})
+    p = p.withColumn("_dx", F.explode(F.sequence(-reach_lng, F.least(reach_lng, around - 1 - reach_lng))))
+    p = p.withColumns({"_cy": F.floor(F.col("lat") / CELL) + F.col("_dy"), "_cx": F.pmod(F.floor(F.col("lng") / CELL) + F.col("_dx"), F.lit(around))})
     q = places.select(*[F.col(c).alias(f"place_{c}") for c in places.columns])
-    q = q.withColumns({"_qy": F.floor(F.col("place_lat") / CELL), "_qx": F.floor(F.col("place_lng") / CELL)})
+    q = q.withColumns({"_qy": F.floor(F.col("place_lat") / CELL), "_qx": F.pmod(F.floor(F.col("place_lng") / CELL), F.lit(around))})
     metres = haversine_m(F.col("lat"), F.col("lng"), F.col("place_lat"), F.col("place_lng"))
     found = p.join(q, (F.col("_cy") == F.col("_qy")) & (F.col("_cx") == F.col("_qx"))).withColumn("distance_m", metres)
     return found.where(F.col("distance_m") <= radius_m).drop("_dy", "_dx", "_cy", "_cx", "_qy", "_qx")

@@ -10,15 +10,12 @@ FRESH_DAYS = 30
 
 
 def searches(grid: DataFrame, types: DataFrame) -> DataFrame:
-    """Every grid point with every food type, in order: ordinal = point * number of types + type.
-
-    Types are a short list of known length, put into each row as an array, so no join is needed.
-    """
-    listed = [(r.type_no, r.food_type) for r in types.orderBy("type_no").collect()]
-    each = F.explode(F.array(*[F.struct(F.lit(n).alias("type_no"), F.lit(t).alias("food_type")) for n, t in listed]))
+    """Every grid point with every food type (type_no from 0, food_type), in order: ordinal = point * number of types + type."""
     per_metro = Window.partitionBy("metro").orderBy("row", "col")
     points = grid.withColumn("point_no", F.row_number().over(per_metro) - 1)
-    return points.select("metro", "point_no", "lat", "lng", "label", each.alias("t")).select("metro", "point_no", "lat", "lng", "label", "t.*", (F.col("point_no") * len(listed) + F.col("t.type_no")).alias("ordinal"))
+    listed = types.agg(F.array_sort(F.collect_list(F.struct("type_no", "food_type"))).alias("types"))  # one value: the types of all searches
+    each = points.withColumn("types", listed.scalar()).select("metro", "point_no", "lat", "lng", "label", F.size("types").alias("n"), F.explode("types").alias("t"))
+    return each.select("metro", "point_no", "lat", "lng", "label", "t.*", (F.col("point_no") * F.col("n") + F.col("t.type_no")).alias("ordinal"))
 
 
 def remaining(work: DataFrame, checkpoints: DataFrame, budget: int | None = None) -> DataFrame:
@@ -87,6 +84,26 @@ def best_pattern(patterns: DataFrame) -> DataFrame:
     return patterns.groupBy("platform_type").agg(F.max_by("selectors", F.struct("success_count", "detection_rule")).alias("selectors"), F.max("success_count").alias("success_count"))
 
 
-def failure_type(method: Column, platform: Column) -> Column:
-    """Why a read gave no items."""
-    return F.when(method == "free_exhausted", "free_only_skip").when(platform == "unknown", "bot_blocked").when((platform == "custom") & (method == "none"), "js_spa_empty").otherwise("extraction_failed")
+def failure_type(method: Column, platform: Column, error: Column | None = None) -> Column:
+    """Why a read gave no items; error is what ended it early, `timeout` or any other text, null if nothing did."""
+    ended = F.lit(None).cast("string") if error is None else F.when(error == "timeout", "timeout").when(error.isNotNull(), "exception")
+    return F.when(ended.isNotNull(), ended).when(method == "free_exhausted", "free_only_skip").when(platform == "unknown", "bot_blocked").when((platform == "custom") & (method == "none"), "js_spa_empty").otherwise("extraction_fail")
+
+
+def merge_attempts(old: DataFrame | None, rows: DataFrame) -> DataFrame:
+    """Open failures (restaurant_id, attempts, error_type, last_attempt_at, open) after attempts (restaurant_id, ts, error_type: null for success).
+
+    A failure counts up and a success clears, in the order of time; the attempts of one batch are newer than those before it. Rows of
+    the batch are summed up before they are shuffled, two rows a place.
+    """
+    ok = F.max(F.when(F.col("error_type").isNull(), F.col("ts")))
+    cleared = rows.groupBy("restaurant_id").agg(ok.alias("ok_at"), F.max("ts").alias("at"))
+    after = rows.where(F.col("error_type").isNotNull()).join(cleared, "restaurant_id").where(F.col("ok_at").isNull() | (F.col("ts") > F.col("ok_at")))
+    failed = after.groupBy("restaurant_id").agg(F.count("*").alias("more"), F.max_by("error_type", "ts").alias("kind"))
+    new = cleared.join(failed, "restaurant_id", "left").select("restaurant_id", "ok_at", "at", F.coalesce("more", F.lit(0)).alias("more"), "kind")
+    if old is None:
+        old = rows.sparkSession.createDataFrame([], "restaurant_id long, attempts long, error_type string, last_attempt_at timestamp, open boolean")
+    both = old.join(new, "restaurant_id", "full")
+    attempts = F.when(F.col("ok_at").isNull(), F.coalesce("attempts", F.lit(0))).otherwise(0) + F.coalesce("more", F.lit(0))
+    kind = F.when(attempts > 0, F.coalesce("kind", "error_type"))
+    return both.select("restaurant_id", attempts.alias("attempts"), kind.alias("error_type"), F.coalesce("at", "last_attempt_at").alias("last_attempt_at"), (attempts > 0).alias("open"))

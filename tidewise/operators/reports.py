@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,6 +25,18 @@ def retryable(failures: DataFrame, restaurants: DataFrame, error_type: str | Non
     return open_ones.join(restaurants, "restaurant_id")
 
 
+def retry_report(failures: DataFrame, restaurants: DataFrame, error_type: str | None = None) -> DataFrame:
+    """What a retry would work on, without doing it: error types with their numbers, most common first (place)."""
+    counted = retryable(failures, restaurants, error_type).groupBy("error_type").agg(F.count("*").alias("n"))
+    return counted.withColumn("place", F.row_number().over(Window.orderBy(F.col("n").desc(), "error_type")))  # one row per error type
+
+
+def search_totals(plan: DataFrame, free_per_month: int = 8000) -> DataFrame:
+    """One row over all metros of a search plan: points, core and full searches, months of free searches."""
+    whole = plan.agg(*[F.sum(c).alias(c) for c in ("points", "core_searches", "full_searches")])
+    return whole.withColumn("months", F.floor(F.col("core_searches") / free_per_month) + 1)
+
+
 def coverage(items: DataFrame, by: str) -> DataFrame:
     """Share of items with a price per group, and whether the group counts as a real list: 30 % or three of them."""
     share = items.groupBy(by).agg(F.count("*").alias("n_items"), F.count("price").alias("n_priced"))

@@ -211,6 +211,12 @@ def detail(restaurants: DataFrame, items: DataFrame, restaurant_id) -> DataFrame
     return restaurants.where(F.col("restaurant_id") == restaurant_id).join(menu, "restaurant_id", "left")
 
 
+def flagged(items: DataFrame, matched: DataFrame, key: str = "item_id") -> DataFrame:
+    """items with is_match, whether their key is among those of matched (a detail page marks what a search found)."""
+    known = matched.select(key).distinct().withColumn("is_match", F.lit(True))
+    return items.join(known, key, "left").withColumn("is_match", F.coalesce("is_match", F.lit(False)))
+
+
 def cached_results(cache: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:
     """requests (query, lat, lng, radius) with the stored results (key, results, expires_at) that still hold; null for the others.
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidewise.operators import extract as ex
+from tidewise.operators.ingest import failure_type
 from tidewise.sources.shared import materialise
 
 ITEMS = ["site", "platform_type", "method", "ord", "name", "description", "price", "category"]
@@ -86,13 +87,7 @@ def scrape(sites: DataFrame, pages: DataFrame, texts: DataFrame, patterns: DataF
     outcomes = sites.join(landing.select("site", "platform_type"), "site", "left").join(got, "site", "left")
     nothing = F.when(F.col("platform_type").isNull(), "none").otherwise("none" if paid else "free_exhausted")
     outcomes = outcomes.select("site", F.coalesce("platform_type", F.lit("unknown")).alias("platform_type"), F.coalesce("method", nothing).alias("method"), F.coalesce("n_items", F.lit(0)).alias("n_items"))
-    return outcomes.withColumns({"used_pattern": used_pattern(F.col("method")), "failure": F.when(F.col("n_items") == 0, _failure())}), items
-
-
-def _failure() -> Column:
-    from tidewise.operators.ingest import failure_type
-
-    return failure_type(F.col("method"), F.col("platform_type"))
+    return outcomes.withColumns({"used_pattern": used_pattern(F.col("method")), "failure": F.when(F.col("n_items") == 0, failure_type(F.col("method"), F.col("platform_type")))}), items
 
 
 def used_pattern(method: Column) -> Column:

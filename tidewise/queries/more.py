@@ -90,16 +90,15 @@ def failure_state(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir).where("event_type in ('error', 'purchase')")
     attempts = events.select(F.col("user_id").alias("restaurant_id"), "ts", F.when(F.col("event_type") == "error", F.lit("timeout")).alias("error_type"))
     place = f"{shared_dir(spark)}/tidewise/stream-{uuid.uuid4().hex}"
-    number = [0]
+    batches = []
+    merge = jobs.versioned_merge(spark, f"{place}/table", "restaurant_id", ingest.merge_attempts)
 
-    def upsert(old: DataFrame | None, rows: DataFrame) -> DataFrame:
-        number[0] += 1
-        return rows if old is None else old.join(rows.select("restaurant_id"), "restaurant_id", "left_anti").unionByName(rows)
+    def batch(rows: DataFrame, number: int) -> None:
+        merge(rows, number)
+        batches.append(number)
 
-    merge = jobs.versioned_merge(spark, f"{place}/table", upsert)
-    query = jobs.failure_states(attempts).writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start()
-    query.awaitTermination()
-    return spark.read.parquet(f"{place}/table/v{number[0]}").select("restaurant_id", "attempts", "error_type", "open")
+    attempts.writeStream.foreachBatch(batch).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    return jobs.merged_table(spark, f"{place}/table", max(batches) + 1).select("restaurant_id", "attempts", "error_type", "open")
 
 
 FAILURE_STATE_SQL = """with a as (select user_id, ts, event_type, max(case when event_type = 'purchase' then ts end) over (partition by user_id) as last_ok from events where event_type in ('error', 'purchase')),

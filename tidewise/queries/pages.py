@@ -204,6 +204,19 @@ def locations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ex.page_locations(_pages(spark, sf_dir))
 
 
+_NOISE = "script|style|nav|footer|header|iframe|noscript"
+_WITHOUT_NOISE = "html"
+for _tag in _NOISE.split("|"):
+    _WITHOUT_NOISE = rf"regexp_replace({_WITHOUT_NOISE}, '(?is)<{_tag}\b.*?</{_tag}\s*>', '', 'g')"
+#: Texts between tags; the entities of the tables' pages.
+CLEANED_SQL = rf"""with pieces as (
+  select url, [trim(replace(replace(replace(replace(x, '&quot;', '"'), '&copy;', '©'), '&middot;', '·'), '&amp;', '&'), chr(32) || chr(9) || chr(10) || chr(13)) for x in regexp_split_to_array({_WITHOUT_NOISE}, '<[^>]*>')] as x from pages
+), texts as (select url, array_to_string([y for y in x if y <> ''], chr(10)) as t from pieces)
+select url, length(t)::bigint as n_text, sha256(t) as text_sha256 from texts"""
+LOCATIONS_SQL = r"""with h as (select url, unnest(regexp_extract_all(html, '(?is)<h[234][^>]*>(.*?)</h[234]\s*>', 1)) as raw from pages),
+t as (select url, trim(regexp_replace(raw, '(?s)<[^>]*>', '', 'g')) as x from h), p as (select url, x, trim(regexp_replace(lower(x), '[^a-z0-9]+', '-', 'g'), '-') as part from t)
+select url, regexp_replace(url, '/+$', '') || '/' || part as location_url from p where length(x) between 3 and 50 and lower(x) not in ('menu', 'locations', 'find a location', 'hours', 'contact') and length(part) > 2"""
+
 QUERIES = {
     "ex04_platform": (platforms, PLATFORMS_SQL),
     "ex12_links": (links, f"with {_LINKS_SQL} select * from links"),
@@ -214,8 +227,8 @@ QUERIES = {
     "tx10_names": (names, NAMES_SQL),
     "src03_places": (places, PLACES_SQL),
     "sm10_debounce": (typing, TYPING_SQL),
-    "ex18_clean": (cleaned, None),
+    "ex18_clean": (cleaned, CLEANED_SQL),
     "ex13_tree_links": (tree_links, f"with {_LINKS_SQL} select url, link, score, place from links join pages using (page_id)"),
-    "ex15_locations": (locations, None),
+    "ex15_locations": (locations, LOCATIONS_SQL),
     "ex21_cascade": (cascade, None),
 }

@@ -183,7 +183,7 @@ QUERIES = {
     "ex19_model_rows": (model_rows, MODEL_ROWS_SQL),
     "ex15_built_locations": (locations, LOCATIONS_SQL),
     "ex23_learned_patterns": (learned_patterns, LEARNED_PATTERNS_SQL),
-    "ex24_failure_types": (failure_types, f"with {_OUTCOMES_SQL} select o_orderkey, case when n_items > 0 then null when method = 'free_exhausted' then 'free_only_skip' when platform_type = 'unknown' then 'bot_blocked' when platform_type = 'custom' and method = 'none' then 'js_spa_empty' else 'extraction_failed' end as failure, method in ('structured_data', 'platform', 'heuristic') as used_pattern from outcomes"),
+    "ex24_failure_types": (failure_types, f"with {_OUTCOMES_SQL} select o_orderkey, case when n_items > 0 then null when method = 'free_exhausted' then 'free_only_skip' when platform_type = 'unknown' then 'bot_blocked' when platform_type = 'custom' and method = 'none' then 'js_spa_empty' else 'extraction_fail' end as failure, method in ('structured_data', 'platform', 'heuristic') as used_pattern from outcomes"),
     "tx11_slugs": (slugs, SLUGS_SQL),
     "tx13_section_categories": (section_categories, SECTION_CATEGORIES_SQL),
     "flt10_cache": (cache, CACHE_SQL),

@@ -25,7 +25,7 @@ GRID_SQL = METROS_SQL + """, grid as (
       select *, unnest(range(0, floor((ne_lat - sw_lat) / dy)::bigint + 1)) as r from (
         select *, 5.0::double / 111.0::double as dy, 5.0::double / (111.0::double * cos(radians((sw_lat + ne_lat) / 2))) as dx from metros))))"""
 FAILURES_SQL = """failures as (
-  select user_id as restaurant_id, ['bot_blocked', 'js_spa_empty', 'timeout', 'extraction_failed'][count(*) % 4 + 1] as error_type, count(*) as attempts, max(ts) as last_attempt_at,
+  select user_id as restaurant_id, ['bot_blocked', 'js_spa_empty', 'timeout', 'extraction_fail'][count(*) % 4 + 1] as error_type, count(*) as attempts, max(ts) as last_attempt_at,
          (max(event_id) % 3 + 2)::int as extractor_version, min(event_id) % 5 = 0 as resolved from events where event_type = 'error' group by user_id)"""
 SUBSCRIPTIONS_SQL = """subscriptions as (
   select user_id, case when event_id % 7 = 0 then 'lifetime' else 'trial' end as tier, event_id as external_id, ts as created_at, case when event_id % 7 <> 0 then ts + interval 7 days end as expires_at, event_id % 4 <> 0 as is_active

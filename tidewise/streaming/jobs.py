@@ -1,16 +1,12 @@
-"""Structured Streaming forms of ingestion, failure state and type-ahead queries."""
+"""Structured Streaming forms of ingestion, of tables that batches are merged into, and of type-ahead queries."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-
-FAILURE = "restaurant_id long, attempts long, error_type string, last_attempt_at timestamp, open boolean"
 
 
 def debounced(events: DataFrame, pause: str = "300 milliseconds", late: str = "10 seconds", least: int = 2) -> DataFrame:
@@ -24,27 +20,6 @@ def debounced(events: DataFrame, pause: str = "300 milliseconds", late: str = "1
     return bursts.select("user_id", F.col("session_window.start").alias("started_at"), "text", "n_keys")
 
 
-def _state(key: tuple, batches, state: GroupState):
-    attempts, kind, at = state.get if state.exists else (0, None, None)
-    for rows in batches:
-        for r in rows.sort_values("ts", kind="stable").itertuples():
-            if r.error_type is None or pd.isna(r.error_type):
-                attempts, kind = 0, None
-            else:
-                attempts, kind = attempts + 1, r.error_type
-            at = r.ts
-    state.update((attempts, kind, at))
-    yield pd.DataFrame({"restaurant_id": [key[0]], "attempts": [attempts], "error_type": [kind], "last_attempt_at": [at], "open": [attempts > 0]})
-
-
-def failure_states(attempts: DataFrame) -> DataFrame:
-    """Open failures per place from a stream of attempts (restaurant_id, ts, error_type: null for success).
-
-    A failure counts up and a success clears. Each update of a place is a row; the latest one holds.
-    """
-    return attempts.groupBy("restaurant_id").applyInPandasWithState(_state, FAILURE, "attempts long, error_type string, last_attempt_at timestamp", "update", GroupStateTimeout.NoTimeout)
-
-
 def ingest_stream(searches: DataFrame, look_up: Callable[[DataFrame], DataFrame], merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Work through a stream of searches once: each batch is looked up, deduplicated by place_id and merged.
 
@@ -57,11 +32,36 @@ def ingest_stream(searches: DataFrame, look_up: Callable[[DataFrame], DataFrame]
     return searches.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def versioned_merge(spark: SparkSession, table: str, upsert: Callable[[DataFrame | None, DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A merge that writes version n + 1 of a Parquet table from version n, so no path is read and overwritten at once."""
+def versioned_merge(spark: SparkSession, table: str, key: str, upsert: Callable[[DataFrame | None, DataFrame], DataFrame], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A merge of batches into a Parquet table that is dealt to `buckets` by a hash of its key.
+
+    Batch n rewrites the buckets that it touches, as version n + 1, and leaves the others; a small table of versions says which files hold which bucket. No
+    path is read and overwritten at once, and a batch that comes again writes the same version again.
+    """
 
     def merge(rows: DataFrame, number: int) -> None:
-        old = spark.read.parquet(f"{table}/v{number}") if number else None
-        upsert(old, rows).write.mode("overwrite").parquet(f"{table}/v{number + 1}")
+        placed = rows.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
+        touched = [r.bucket for r in placed.select("bucket").distinct().collect()]  # at most `buckets`
+        versions = _versions(spark, table, number)
+        old = _buckets(spark, table, {b: v for b, v in versions.items() if b in touched})
+        new = upsert(old, rows)
+        new.withColumn("bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")).write.mode("overwrite").partitionBy("bucket").parquet(f"{table}/v{number + 1}")
+        known = sorted((versions | dict.fromkeys(touched, number + 1)).items())
+        spark.createDataFrame(known, "bucket int, version int").coalesce(1).write.mode("overwrite").parquet(f"{table}/versions/{number + 1}")
 
     return merge
+
+
+def _versions(spark: SparkSession, table: str, number: int) -> dict[int, int]:
+    return {r.bucket: r.version for r in spark.read.parquet(f"{table}/versions/{number}").collect()} if number else {}
+
+
+def _buckets(spark: SparkSession, table: str, versions: dict[int, int]) -> DataFrame | None:
+    if not versions:
+        return None
+    return spark.read.parquet(*[f"{table}/v{v}/bucket={b}" for b, v in sorted(versions.items())])
+
+
+def merged_table(spark: SparkSession, table: str, number: int) -> DataFrame | None:
+    """The table of versioned_merge after `number` batches; null before the first."""
+    return _buckets(spark, table, _versions(spark, table, number))
