@@ -7,7 +7,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tidewise.llm.queries import op4_telephony_audio
+from tidewise.llm.queries import op4_telephony_audio, telephony_pcm
 from tidewise.llm.telephony import ALAW, BLOCK, CODECS, MULAW, STEPS, adpcm, decode, parse, read_media, resample, store_media, wav
 
 
@@ -75,6 +75,8 @@ def test_features_and_stored_pcm_against_one_sample_at_a_time(spark, tmp_path):
     """Peak, power, zero crossings and the bytes of the query's stored sound, from sample loops."""
     rows = [(1, "some text, some sound é" * 9, "en", "s", 1), (2, None, None, None, None), (3, "zz", "en", "s", 2), (4, "other words of a document " * 30, "en", "s", 3)]
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    stored = sorted(map(tuple, telephony_pcm(spark, str(tmp_path)).collect()))
+    assert stored == sorted(map(tuple, op4_telephony_audio(spark, str(tmp_path)).select(telephony_pcm(spark, str(tmp_path)).columns).collect()))
     expand = {"mulaw": lambda d: [mulaw(b) for b in d], "alaw": lambda d: [int(ALAW[b]) for b in d], "ima_adpcm": lambda d: [v for i in range(0, len(d), BLOCK) for v in slow_adpcm(d[i : i + BLOCK])]}
     for r in op4_telephony_audio(spark, str(tmp_path)).collect():
         text = (dict((i, t) for i, t, *_ in rows)[r.doc_id] or "").encode()
