@@ -1,3 +1,6 @@
+import math
+import random
+
 import numpy as np
 import pyarrow as pa
 
@@ -28,6 +31,54 @@ def test_rows_do_not_touch_each_other():
         assert np.array_equal(bags_of([t])[0], a[bags[i] : bags[i + 1]])
 
 
+def slow_score(m, passages_of_bag):
+    """One bag, one number at a time."""
+    dot = lambda a, b: sum(float(x) * float(y) for x, y in zip(a, b, strict=True))
+    sigmoid = lambda v: 1 / (1 + math.exp(-v))
+    hidden, weights = [], []
+    for x in passages_of_bag:
+        x = [(float(v) - float(mu)) * float(k) for v, mu, k in zip(x, m.mean, m.scale, strict=True)]
+        h = [math.tanh(dot(x, m.W[:, j]) + float(m.b[j])) for j in range(m.W.shape[1])]
+        gated = [math.tanh(dot(h, m.V[:, j])) * sigmoid(dot(h, m.U[:, j])) for j in range(m.V.shape[1])]
+        hidden.append(h)
+        weights.append(math.exp(dot(gated, m.w)))
+    share = [w / sum(weights) for w in weights]
+    pooled = [sum(a * h[j] for a, h in zip(share, hidden, strict=True)) for j in range(len(hidden[0]))]
+    return sigmoid(dot(pooled, m.c) + float(m.d[0])), share
+
+
+def test_scores_equal_brute_force():
+    """Gated attention, pooling and score against loops; the attention of a bag sums up to one and differs between passages."""
+    rnd = random.Random(3)
+    texts = ["", "a b", *(" ".join(rnd.choices(["Word", "x1", "###", "one, two.", "é"], k=rnd.randrange(1, 400))) for _ in range(12))]
+    x, bags = bags_of(texts)
+    m = fit(x, bags, np.array([i % 2 for i in range(len(texts))], np.float32), epochs=4)
+    got = m.score(x, bags)
+    for i in range(len(texts)):
+        want, share = slow_score(m, x[bags[i] : bags[i + 1]])
+        assert abs(got[i] - want) < 1e-4 and abs(sum(share) - 1) < 1e-9
+        assert len(share) == 1 or max(share) > min(share)
+
+
+def test_gradient_equals_differences():
+    rng = np.random.default_rng(1)
+    x, bags, y = rng.standard_normal((9, DIMENSIONS)), np.array([0, 1, 4, 9]), np.array([1.0, 0.0, 1.0])
+    m = fit(x.astype(np.float32), bags, y.astype(np.float32), epochs=1)
+    for k in ("W", "b", "V", "U", "w", "c", "d"):
+        setattr(m, k, getattr(m, k).astype(np.float64))
+    loss = lambda: -np.mean(y * np.log(m._forward(x, bags)[-1]) + (1 - y) * np.log(1 - m._forward(x, bags)[-1]))
+    for k, grad in m.gradient(x, bags, y).items():
+        value = getattr(m, k)
+        for at in [tuple(rng.integers(0, n) for n in value.shape) for _ in range(6)]:
+            old = value[at]
+            value[at] = old + 1e-5
+            up = loss()
+            value[at] = old - 1e-5
+            down = loss()
+            value[at] = old
+            assert abs((up - down) / 2e-5 - grad[at]) < 1e-6, (k, at)
+
+
 def test_gradient():
     rng = np.random.default_rng(0)
     x, bags = rng.standard_normal((30, DIMENSIONS)).astype(np.float32), np.arange(0, 31, 3)

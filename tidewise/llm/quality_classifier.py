@@ -101,6 +101,20 @@ class Model:
         return h, t, g, a, z, 1 / (1 + np.exp(-np.clip(z @ self.c + self.d, -30, 30)))
 
 
+    def gradient(self, x: np.ndarray, bags: np.ndarray, labels: np.ndarray) -> dict[str, np.ndarray]:
+        """Of the mean log loss of the bags, by every trained array; x is scaled already."""
+        h, t, g, a, z, p = self._forward(x, bags)
+        count = np.diff(bags)
+        ds = (p - labels) / len(labels)
+        dz = np.repeat(ds, count)[:, None] * self.c
+        da = (h * dz).sum(1)
+        de = a * (da - np.repeat(np.add.reduceat(a * da, bags[:-1]), count))
+        dtg = de[:, None] * self.w
+        dv, du = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
+        dh = (a[:, None] * dz + dv @ self.V.T + du @ self.U.T) * (1 - h * h)
+        return {"W": x.T @ dh, "b": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (t * g).T @ de, "c": z.T @ ds, "d": ds.sum(keepdims=True)}
+
+
 _TRAINED = ("W", "b", "V", "U", "w", "c", "d")
 
 
@@ -121,16 +135,7 @@ def fit(x: np.ndarray, bags: np.ndarray, labels: np.ndarray, hidden: int = 24, a
             count = np.diff(bags)[batch]
             part = np.concatenate([[0], np.cumsum(count)])
             at = np.arange(part[-1]) + np.repeat(bags[batch] - part[:-1], count)
-            xb = x[at]
-            h, t, g, a, z, p = m._forward(xb, part)
-            ds = (p - labels[batch]) / len(batch)
-            dz = np.repeat(ds, count)[:, None] * m.c
-            da = (h * dz).sum(1)
-            de = a * (da - np.repeat(np.add.reduceat(a * da, part[:-1]), count))
-            dtg = de[:, None] * m.w
-            dv, du = dtg * g * (1 - t * t), dtg * t * g * (1 - g)
-            dh = (a[:, None] * dz + dv @ m.V.T + du @ m.U.T) * (1 - h * h)
-            grad = {"W": xb.T @ dh, "b": dh.sum(0), "V": h.T @ dv, "U": h.T @ du, "w": (t * g).T @ de, "c": z.T @ ds, "d": ds.sum(keepdims=True)}
+            grad = m.gradient(x[at], part, labels[batch])
             step += 1
             for k in _TRAINED:
                 value, (first, second) = getattr(m, k), moment[k]
