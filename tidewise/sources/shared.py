@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,13 +24,47 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
+#: Where the tables of materialise are.
+_WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+_SCOPES: ContextVar[tuple[set[str], ...]] = ContextVar("scopes", default=())
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that are written inside go at the end, but for those given to the function that it yields.
+
+    Whatever reads the others has to be written (or collected) inside as well.
+    """
+    mine: set[str] = set()
+    outer = _SCOPES.get()
+    token = _SCOPES.set((*outer, mine))
+
+    def keep(table: DataFrame) -> DataFrame:
+        mine.discard(path := _WRITTEN[table])
+        if outer:
+            outer[-1].add(path)
+        return table
+
+    try:
+        yield keep
+    finally:
+        _SCOPES.reset(token)
+        for path in mine:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def materialise(df: DataFrame, **options: str) -> DataFrame:
     """Write df as Parquet in the shared folder, with options of the writer, and read it back.
 
     The table survives lost executors, has a known size (so that later joins are planned by it) and is pruned by column.
-    It stays until the shared folder is cleaned, as checkpoint files do.
+    It stays until the shared folder is cleaned, as checkpoint files do, or until the `scratch` around it ends.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewise/{uuid.uuid4().hex}"
     df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if scopes := _SCOPES.get():
+        scopes[-1].add(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _WRITTEN[table] = path
+    return table
