@@ -348,3 +348,17 @@ def scan_licences(docs: DataFrame, keep: list[str], text: str = "text", phrases:
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), *(pc.struct_field(found, c) for c in _RESULT.names)], [*keep, *_RESULT.names])
 
     return map_texts(docs.select(*dict.fromkeys([*keep, text])), run, T.StructType([*(docs.schema[c] for c in keep), *_RESULT.fields]))
+
+
+#: The base columns: words, and the places of the phrases.
+BASE_SQL = rf"""
+with worded as (
+  select row_number() over () as rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents
+), phrases as (
+  select string_split(phrase, ' ') as p, label from (values {', '.join(f"('{p}', '{label}')" for p, label in PHRASES.items())}) as t(phrase, label)
+), places as (
+  select rid, i - 1 as place, label from (select rid, w, p, label, unnest(range(1, len(w) - len(p) + 2)) as i from worded, phrases where list_has_all(w, p)) where w[i:i + len(p) - 1] = p
+)
+select doc_id, len(w)::bigint as n_words, count(place) as n_base, min(place) as first_word, max(place) as last_word, coalesce(string_agg(distinct label, ',' order by label), '') as base_labels
+from worded left join places using (rid) group by rid, doc_id, w
+"""

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewise.llm.shared import map_texts, materialise, text_id
+from tidewise.llm.shared import map_texts, materialise, scratch, text_id
 from tidewise.llm.words import chunks, mix, shingles, words
 
 VALUES, BAND = 128, 4
@@ -254,17 +254,18 @@ def components(edges: DataFrame) -> DataFrame:
     Every round takes the smallest label of the neighbours and then the label's own label, so that chains halve; it ends when
     a round changes nothing. Labels are written in the shared folder after each round.
     """
-    both = materialise(edges.select("node", "root").unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root"))).distinct())
-    labels = materialise(both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("label")))
-    while True:
-        heard = both.join(labels, both["root"] == labels["node"]).select(both["node"], labels["label"])
-        nearest = labels.unionByName(heard).groupBy("node").agg(F.min("label").alias("label"))
-        up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
-        jumped = materialise(nearest.join(up, "label", "left").select("node", F.least("label", "above").alias("label")))
-        changed = jumped.join(labels.withColumnRenamed("label", "before"), "node").where("label <> before").limit(1).count()
-        labels = jumped
-        if not changed:
-            return labels
+    with scratch(edges.sparkSession) as keep:
+        both = materialise(edges.select("node", "root").unionByName(edges.select(F.col("root").alias("node"), F.col("node").alias("root"))).distinct())
+        labels = materialise(both.groupBy("node").agg(F.least(F.min("root"), F.col("node")).alias("label")))
+        while True:
+            heard = both.join(labels, both["root"] == labels["node"]).select(both["node"], labels["label"])
+            nearest = labels.unionByName(heard).groupBy("node").agg(F.min("label").alias("label"))
+            up = labels.select(F.col("node").alias("label"), F.col("label").alias("above"))
+            jumped = materialise(nearest.join(up, "label", "left").select("node", F.least("label", "above").alias("label")))
+            changed = jumped.join(labels.withColumnRenamed("label", "before"), "node").where("label <> before").limit(1).count()
+            labels = jumped
+            if not changed:
+                return keep(labels)
 
 
 def _dealt(members: DataFrame) -> DataFrame:
@@ -295,11 +296,12 @@ class _Join:
         label = F.col("label") if "label" in tasks.columns else F.col("node").alias("label")
         members = tasks.select("task", "node", "side", "band_no", "one_block", label).join(self.nodes.select("node", "sig"), "node").select(*MEMBER)
         members = members.repartition("task").sortWithinPartitions("task", "node")
-        left = materialise(map_texts(members, _pruned(self.threshold, self.tolerance), _MEMBER_DDL))
-        wanted = left.select("node").distinct().join(self.nodes.select("node", "n_texts"), "node")
-        texts = self.texts.join(wanted, "node").select("node", "text", "n_texts")
-        found = left.join(texts, "node").repartition("task").sortWithinPartitions("task", "node")
-        return materialise(map_texts(found, _verified(self.threshold, self.tolerance, self.counts), "node long, root long, n_links long"))
+        with scratch(tasks.sparkSession) as keep:
+            left = materialise(map_texts(members, _pruned(self.threshold, self.tolerance), _MEMBER_DDL))
+            wanted = left.select("node").distinct().join(self.nodes.select("node", "n_texts"), "node")
+            texts = self.texts.join(wanted, "node").select("node", "text", "n_texts")
+            found = left.join(texts, "node").repartition("task").sortWithinPartitions("task", "node")
+            return keep(materialise(map_texts(found, _verified(self.threshold, self.tolerance, self.counts), "node long, root long, n_links long")))
 
     def run(self) -> tuple[DataFrame, DataFrame]:
         """(links, labels of their components)."""
@@ -327,7 +329,15 @@ class _Join:
 
 
 def _classes(rows: DataFrame, threshold: float, tolerance: float, counts: bool) -> DataFrame:
-    """(doc_id, text_id, class_id, text_class, n_links, is_kept, n_same) of rows (doc_id, text, text_id), one for each row."""
+    """(doc_id, text_id, class_id, text_class, n_links, is_kept) of rows (doc_id, text, text_id), one for each row."""
+    with scratch(rows.sparkSession) as keep:
+        signed, known = map(keep, _signed_and_known(rows, threshold, tolerance, counts))
+    kept = (F.col("text_id") == F.col("first_text")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
+    return signed.select("doc_id", "text_id").join(known, "text_id").select("doc_id", "text_id", "class_id", "text_class", "n_links", kept.alias("is_kept"))
+
+
+def _signed_and_known(rows: DataFrame, threshold: float, tolerance: float, counts: bool) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, text_id of every row, what is known of every text), both written."""
     schema = T.StructType([rows.schema["doc_id"], rows.schema["text_id"]]).add("n_shingles", "long").add("set_id", "binary").add("sig", "binary")
     signed = materialise(map_texts(rows.select("doc_id", "text_id", "text"), _sign(["doc_id", "text_id"]), schema))
     texts = materialise(signed.groupBy("text_id", "set_id").agg(F.min("doc_id").alias("text_class")))
@@ -351,8 +361,7 @@ def _classes(rows: DataFrame, threshold: float, tolerance: float, counts: bool)
         F.coalesce("best.text_id", "text_id").alias("first_text"),
         F.coalesce("n_links", F.lit(0)).alias("n_links"),
     )
-    kept = (F.col("text_id") == F.col("first_text")) & F.col("doc_id").eqNullSafe(F.col("class_id"))
-    return signed.select("doc_id", "text_id").join(materialise(known), "text_id").select("doc_id", "text_id", "class_id", "text_class", "n_links", kept.alias("is_kept"))
+    return signed, materialise(known)
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -378,3 +387,32 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = 0.8, tolerance: flo
     both = held.alias("h").join(kept.alias("k"), (F.col("h.text_id") == F.col("k.text_id")) & F.col("h.doc_id").eqNullSafe(F.col("k.doc_id"))).select("row", "h.text_id", "order", "n_same")
     one = both.where("n_same > 1").groupBy("text_id").agg(F.min_by("row", "order").alias("row"))
     return both.where("n_same = 1").select("row").unionByName(one.select("row")).select("row.*")
+
+
+#: near_duplicate_classes of all documents by joining shingles, for small tables.
+ORACLE_SQL = r"""
+with recursive texts as (
+  select text, md5(text) as text_id, min(doc_id) as text_class from (select doc_id, coalesce(text, '') as text from documents) group by text
+), worded as (
+  select text_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from texts
+), sets as (
+  select text_id, list_distinct(case when len(w) >= 5 then [array_to_string(w[i:i + 4], ' ') for i in range(1, len(w) - 3)] when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from worded
+), each_one as (
+  select text_id, len(s) as n, unnest(s) as x from sets
+), common as (
+  select a.text_id as a, b.text_id as b, any_value(a.n) as n, any_value(b.n) as m, count(*) as same from each_one a join each_one b on a.x = b.x and a.text_id <> b.text_id group by all
+), links as (
+  select a, b from common where same >= 0.8 * (n + m - same)
+), counted as (
+  select a as text_id, count(*) as n_links from links group by a
+), reach as (
+  select text_id, text_id as other from texts
+  union
+  select r.text_id, l.b from reach r join links l on r.other = l.a
+), classes as (
+  select r.text_id, arg_min(t.text_class, (t.text_class is null, coalesce(t.text_class, 0), t.text_id)) as class_id, arg_min(t.text_id, (t.text_class is null, coalesce(t.text_class, 0), t.text_id)) as first_text
+  from reach r join texts t on r.other = t.text_id group by r.text_id
+)
+select d.doc_id, c.class_id, t.text_class, coalesce(n.n_links, 0)::bigint as n_links, c.first_text = t.text_id and d.doc_id is not distinct from c.class_id as is_kept
+from documents d join texts t on coalesce(d.text, '') = t.text join classes c on c.text_id = t.text_id left join counted n on n.text_id = t.text_id
+"""

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewise.llm import chat_format, mixing, quality_rules
+from tidewise.llm import chat_format, licence_scan, mixing, near_duplicates, quality_rules, secret_scan, telephony
 from tidewise.llm.byte_bpe import round_trip_bpe
 from tidewise.llm.licence_scan import scan_licences
 from tidewise.llm.near_duplicates import near_duplicate_classes
@@ -122,6 +122,21 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
 
 
+def licence_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op3 that SQL can express."""
+    return op3_licence_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+
+
+def telephony_payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op4 that SQL can express."""
+    return op4_telephony_audio(spark, sf_dir).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256")
+
+
+def secret_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op10 that SQL can express."""
+    return op10_secret_scan(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
@@ -137,6 +152,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules,
         op9_document_lines,
         op10_secret_scan,
+        licence_base,
+        telephony_payload,
+        secret_base,
     )
 }
 
@@ -144,6 +162,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLE: dict[str, str] = {
     "op2_preference_format": chat_format.ORACLE_SQL,
     "op5_mixing_sources": mixing.ORACLE_SQL,
+    "op6_ngram_jaccard_join": near_duplicates.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
     "op9_document_lines": quality_rules.LINES_SQL,
+    "licence_base": licence_scan.BASE_SQL,
+    "telephony_payload": telephony.PAYLOAD_SQL,
+    "secret_base": secret_scan.BASE_SQL,
 }

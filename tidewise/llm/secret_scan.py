@@ -203,3 +203,24 @@ def redact_secrets(docs: DataFrame, text: str = "text", mark: str = "[SECRET]",
     redacted = F.aggregate("spans", start, step, lambda state: F.array_join(F.concat(state["parts"], F.array(until(state, F.length(old)))), ""))
     new = F.when(F.col("spans").isNull(), old).otherwise(redacted)
     return both.select(*(new.alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns))
+
+
+def _spans_sql(kind: int, pattern: str, good: str) -> str:
+    return f"""
+  select rid, {kind} as kind_no, hit, sum(gap + length(hit)) over (partition by rid order by n) as until, {good} as good from (
+    select rid, n, length(gaps[n]) as gap, hits[n] as hit from (
+      select rid, gaps, hits, unnest(range(1, len(hits) + 1)) as n from (select rid, regexp_split_to_array(text, '{pattern}') as gaps, regexp_extract_all(text, '{pattern}') as hits from docs)))"""
+
+
+_QUOTED = ASSIGN.replace("'", "''")
+#: The columns that come from patterns: a text between matches and a match in turn give the places.
+BASE_SQL = rf"""
+with docs as (select row_number() over () as rid, doc_id, coalesce(text, '') as text from documents), spans as (
+  {_spans_sql(0, _QUOTED, f"length(regexp_extract(hit, '{_QUOTED}', 2)) >= {LEAST_ASSIGNED}")} union all {_spans_sql(1, ACCESS, "true")} union all {_spans_sql(2, HEX, "true")}
+), listed as (
+  select rid, count(*) filter (kind_no = 0) as n_assign, count(*) filter (kind_no = 1) as n_access, count(*) filter (kind_no = 2) as n_hex,
+         string_agg((['assign', 'access', 'hex'])[kind_no + 1] || ':' || (until - length(hit))::bigint || ':' || until::bigint, ',' order by until - length(hit), kind_no) as base_spans
+  from spans where good group by rid
+)
+select doc_id, coalesce(n_assign, 0) as n_assign, coalesce(n_access, 0) as n_access, coalesce(n_hex, 0) as n_hex, sha256(coalesce(base_spans, '')) as base_sha256 from docs left join listed using (rid)
+"""

@@ -8,9 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewise.sources.shared import materialise, shared_dir
+from tidewise.sources.shared import materialise, scratch, shared_dir
 
-__all__ = ["map_texts", "materialise", "shared_dir", "text_id"]
+__all__ = ["map_texts", "materialise", "scratch", "shared_dir", "text_id"]
 
 #: Rows of an Arrow batch where rows hold whole texts: memory of a task is a few times one batch.
 TEXT_ROWS = 2000

@@ -188,3 +188,10 @@ def read_media(df: DataFrame, keep: list[str], media: str = "media", pcm: bool =
 
     schema = [*(df.schema[c] for c in keep), *(T.StructField(c, T.StringType() if types[c] == pa.string() else T.BinaryType()) for c in names)]
     return map_texts(df.select(*dict.fromkeys([*keep, media])), run, T.StructType(schema))
+
+
+#: Sizes and digest of the payloads, without the files.
+PAYLOAD_SQL = """
+with docs as (select doc_id, coalesce(text, '') as text, octet_length(encode(coalesce(text, ''))) as n from documents)
+select doc_id, n::bigint as n_bytes, (64 * greatest(1, (n + 63) // 64))::bigint as payload_bytes, sha256(text || repeat(chr(0), (64 * greatest(1, (n + 63) // 64) - n)::int)) as payload_sha256 from docs
+"""
