@@ -14,7 +14,7 @@ from tidewise.llm.mixing import sample_mix
 from tidewise.llm.near_duplicates import drop_near_duplicates
 from tidewise.llm.quality_classifier import score_quality, train
 from tidewise.llm.secret_scan import redact_secrets
-from tidewise.llm.shared import materialise
+from tidewise.llm.shared import materialise, scratch
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to documents."""
+    """The stages applied to documents; only the last table stays."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = materialise(stage(spark, docs, sf_dir))
-    return docs
+    with scratch(spark) as keep:
+        for _, stage in STAGES:
+            docs = materialise(stage(spark, docs, sf_dir))
+        return keep(docs)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidewise.operators import extract as ex
 from tidewise.operators.ingest import failure_type
-from tidewise.sources.shared import materialise
+from tidewise.sources.shared import materialise, scratch
 
 ITEMS = ["site", "platform_type", "method", "ord", "name", "description", "price", "category"]
 #: A paid reader: pages (site, url, html, platform_type) -> items (site, ord, name, description, price, category).
@@ -50,36 +50,37 @@ def scrape(sites: DataFrame, pages: DataFrame, texts: DataFrame, patterns: DataF
 
     Stages: free methods on the landing page; linked PDFs; linked pages; the PDFs and pages those link to; then the paid
     readers in their order, none by default. outcomes: site, platform_type, method, used_pattern, n_items, failure.
-    Every stage's rows are written in the shared folder, so that plans stay short.
+    Every stage's rows are written in the shared folder, so that plans stay short; what only later stages read goes at the end.
     """
-    pages = pages.select("url", ex.page_html(F.col("html"), F.col("rendered_html"), F.col("archived_html")).alias("html")).where("html is not null")
-    landing = sites.join(pages, sites["site"] == pages["url"]).select("site", "url", "html", ex.platform(F.col("html")).alias("platform_type"), F.lit(0).alias("rank"))
-    landing = materialise(landing)
-    stages, open_sites = [], landing
-
-    def settle(found: DataFrame) -> None:
-        nonlocal open_sites
-        found = materialise(found.select(ITEMS))
-        stages.append(found)
-        open_sites = materialise(open_sites.join(found.select("site").distinct(), "site", "left_anti"))
-
-    settle(ex.extract_free(landing.select("url", "html", "platform_type"), patterns).where("method <> 'none'").withColumnRenamed("url", "site"))
-    links = materialise(_links(open_sites, **options))
-    alone = open_sites.join(links.select("site").distinct(), "site", "left_anti")
-    guessed = alone.select("site", "platform_type", F.posexplode(F.array(*map(F.lit, ex.FALLBACK_PATHS))).alias("rank", "path"))
-    links = materialise(links.unionByName(guessed.select("site", "platform_type", "rank", F.concat(F.regexp_replace("site", "/+$", ""), "path").alias("link"))))
-    settle(_pdf_items(links, texts))
-    found, read = _page_items(links.join(open_sites.select("site"), "site", "left_semi"), pages, patterns)
-    read = materialise(read)
-    settle(found)
-    deeper = _links(read.join(open_sites.select("site"), "site", "left_semi"), **options).join(links.select("site", "link"), ["site", "link"], "left_anti")
-    deeper = materialise(deeper.select("site", "platform_type", "rank", "link"))
-    settle(_pdf_items(deeper, texts))
-    settle(_page_items(deeper.join(open_sites.select("site"), "site", "left_semi"), pages, patterns)[0])
-    known = landing.select("site", "url", "html", "platform_type").unionByName(read.select("site", "url", "html", "platform_type"))
-    for method, provider in paid or []:
-        items = provider(known.join(open_sites.select("site"), "site", "left_semi"))
-        settle(items.join(landing.select("site", "platform_type"), "site").withColumn("method", F.lit(method)))
+    with scratch(sites.sparkSession) as keep:
+        pages = pages.select("url", ex.page_html(F.col("html"), F.col("rendered_html"), F.col("archived_html")).alias("html")).where("html is not null")
+        landing = sites.join(pages, sites["site"] == pages["url"]).select("site", "url", "html", ex.platform(F.col("html")).alias("platform_type"), F.lit(0).alias("rank"))
+        landing = keep(materialise(landing))
+        stages, open_sites = [], landing
+
+        def settle(found: DataFrame) -> None:
+            nonlocal open_sites
+            found = keep(materialise(found.select(ITEMS)))
+            stages.append(found)
+            open_sites = materialise(open_sites.join(found.select("site").distinct(), "site", "left_anti"))
+
+        settle(ex.extract_free(landing.select("url", "html", "platform_type"), patterns).where("method <> 'none'").withColumnRenamed("url", "site"))
+        links = materialise(_links(open_sites, **options))
+        alone = open_sites.join(links.select("site").distinct(), "site", "left_anti")
+        guessed = alone.select("site", "platform_type", F.posexplode(F.array(*map(F.lit, ex.FALLBACK_PATHS))).alias("rank", "path"))
+        links = materialise(links.unionByName(guessed.select("site", "platform_type", "rank", F.concat(F.regexp_replace("site", "/+$", ""), "path").alias("link"))))
+        settle(_pdf_items(links, texts))
+        found, read = _page_items(links.join(open_sites.select("site"), "site", "left_semi"), pages, patterns)
+        read = materialise(read)
+        settle(found)
+        deeper = _links(read.join(open_sites.select("site"), "site", "left_semi"), **options).join(links.select("site", "link"), ["site", "link"], "left_anti")
+        deeper = materialise(deeper.select("site", "platform_type", "rank", "link"))
+        settle(_pdf_items(deeper, texts))
+        settle(_page_items(deeper.join(open_sites.select("site"), "site", "left_semi"), pages, patterns)[0])
+        known = landing.select("site", "url", "html", "platform_type").unionByName(read.select("site", "url", "html", "platform_type"))
+        for method, provider in paid or []:
+            items = provider(known.join(open_sites.select("site"), "site", "left_semi"))
+            settle(items.join(landing.select("site", "platform_type"), "site").withColumn("method", F.lit(method)))
     items = stages[0]
     for more in stages[1:]:
         items = items.unionByName(more)
