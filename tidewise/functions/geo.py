@@ -7,21 +7,47 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-EARTH_M = 6371008.8
+#: The ellipsoid of WGS 84: its longer radius in metres, and its flattening.
+RADIUS_M, FLATTENING = 6378137.0, 1 / 298.257223563
+#: Degrees per metre, with room for the shortest radius of curvature.
+DEGREES_PER_M = math.degrees(1 / RADIUS_M) * 1.008
 METRES_PER_MILE = 1609.34
 KM_PER_DEGREE = 111.0
 CELL = 0.05
 
 
-def haversine_m(lat: Column, lng: Column, to_lat: Column, to_lng: Column) -> Column:
-    """Great-circle distance in metres on a sphere (within 0.5 % of the ellipsoid)."""
-    a = F.pow(F.sin(F.radians(to_lat - lat) / 2), F.lit(2.0)) + F.cos(F.radians(lat)) * F.cos(F.radians(to_lat)) * F.pow(F.sin(F.radians(to_lng - lng) / 2), F.lit(2.0))
-    return 2 * EARTH_M * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+def distance_m(lat: Column, lng: Column, to_lat: Column, to_lng: Column) -> Column:
+    """Metres on the ellipsoid by Andoyer and Lambert: the great circle between reduced latitudes, corrected to the first order in the flattening.
+
+    Below a hundred kilometres it is within a decimetre of the geodesic.
+    """
+    reduced = lambda x: F.atan((1 - FLATTENING) * F.tan(F.radians(x)))
+    a, b = reduced(lat), reduced(to_lat)
+    square = lambda x: x * x
+    h = square(F.sin((b - a) / 2)) + F.cos(a) * F.cos(b) * square(F.sin(F.radians(to_lng - lng) / 2))
+    h = F.when(h > 1, 1.0).otherwise(h)
+    angle = 2 * F.asin(F.sqrt(h))
+    middle, half = (a + b) / 2, (b - a) / 2
+    x = (angle - F.sin(angle)) * square(F.sin(middle) * F.cos(half)) / F.nullif(1 - h, F.lit(0.0))
+    y = (angle + F.sin(angle)) * square(F.cos(middle) * F.sin(half)) / F.nullif(h, F.lit(0.0))
+    return RADIUS_M * (angle - FLATTENING / 2 * (F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))))
+
+
+def distance_sql(lat: str, lng: str, to_lat: str, to_lng: str) -> str:
+    """The same as DuckDB SQL."""
+    flat = "(1::double / 298.257223563::double)"
+    a, b = (f"atan((1 - {flat}) * tan(radians({x})))" for x in (lat, to_lat))
+    h = f"(pow(sin(({b} - {a}) / 2), 2) + cos({a}) * cos({b}) * pow(sin(radians({to_lng} - {lng}) / 2), 2))"
+    h = f"(case when {h} > 1 then 1::double else {h} end)"
+    angle, p, q = f"(2 * asin(sqrt({h})))", f"(({a} + {b}) / 2)", f"(({b} - {a}) / 2)"
+    x = f"({angle} - sin({angle})) * pow(sin({p}) * cos({q}), 2) / nullif(1 - {h}, 0)"
+    y = f"({angle} + sin({angle})) * pow(cos({p}) * sin({q}), 2) / nullif({h}, 0)"
+    return f"(6378137::double * ({angle} - {flat} / 2 * (coalesce({x}, 0) + coalesce({y}, 0))))"
 
 
 def within_radius(lat: Column, lng: Column, point: tuple[float, float], radius_m: float) -> Column:
     """Inclusive radius test: plain ranges that scans can prune by, then the distance."""
-    d_lat = math.degrees(radius_m / EARTH_M) * 1.001
+    d_lat = radius_m * DEGREES_PER_M
     near_pole = abs(point[0]) + d_lat >= 89.0
     box = lat.between(point[0] - d_lat, point[0] + d_lat)
     if not near_pole:
@@ -29,7 +55,7 @@ def within_radius(lat: Column, lng: Column, point: tuple[float, float], radius_m
         west, east = point[1] - d_lng, point[1] + d_lng
         if west >= -180 and east <= 180:
             box = box & lng.between(west, east)
-    return box & (haversine_m(lat, lng, F.lit(float(point[0])), F.lit(float(point[1]))) <= radius_m)
+    return box & (distance_m(lat, lng, F.lit(float(point[0])), F.lit(float(point[1]))) <= radius_m)
 
 
 def miles(metres: Column) -> Column:
@@ -49,15 +75,15 @@ def nearby_pairs(points: DataFrame, places: DataFrame, radius_m: float) -> DataF
     radius may cross longitude 180.
     """
     around = round(360 / CELL)
-    reach_lat = math.ceil(math.degrees(radius_m / EARTH_M) / CELL)
-    widest = F.degrees(F.lit(radius_m / EARTH_M)) / F.cos(F.radians(F.least(F.abs(F.col("p.lat")) + 1, F.lit(89.0))))
+    reach_lat = math.ceil(radius_m * DEGREES_PER_M / CELL)
+    widest = F.lit(radius_m * DEGREES_PER_M) / F.cos(F.radians(F.least(F.abs(F.col("p.lat")) + 1, F.lit(89.0))))
     reach_lng = F.least(F.ceil(widest / CELL), F.lit(around // 2)).cast("int")
     p = points.alias("p").withColumn("_dy", F.explode(F.sequence(F.lit(-reach_lat), F.lit(reach_lat))))
     p = p.withColumn("_dx", F.explode(F.sequence(-reach_lng, F.least(reach_lng, around - 1 - reach_lng))))
     p = p.withColumns({"_cy": F.floor(F.col("lat") / CELL) + F.col("_dy"), "_cx": F.pmod(F.floor(F.col("lng") / CELL) + F.col("_dx"), F.lit(around))})
     q = places.select(*[F.col(c).alias(f"place_{c}") for c in places.columns])
     q = q.withColumns({"_qy": F.floor(F.col("place_lat") / CELL), "_qx": F.pmod(F.floor(F.col("place_lng") / CELL), F.lit(around))})
-    metres = haversine_m(F.col("lat"), F.col("lng"), F.col("place_lat"), F.col("place_lng"))
+    metres = distance_m(F.col("lat"), F.col("lng"), F.col("place_lat"), F.col("place_lng"))
     found = p.join(q, (F.col("_cy") == F.col("_qy")) & (F.col("_cx") == F.col("_qx"))).withColumn("distance_m", metres)
     return found.where(F.col("distance_m") <= radius_m).drop("_dy", "_dx", "_cy", "_cx", "_qy", "_qx")
 

@@ -36,7 +36,7 @@ def check_arguments(query: str, point: tuple[float, float], radius_m: float, sor
 
 def near(restaurants: DataFrame, point: tuple[float, float], radius_m: float) -> DataFrame:
     """Places within the radius, with distance_m."""
-    distance = geo.haversine_m(F.col("lat"), F.col("lng"), F.lit(float(point[0])), F.lit(float(point[1])))
+    distance = geo.distance_m(F.col("lat"), F.col("lng"), F.lit(float(point[0])), F.lit(float(point[1])))
     return restaurants.where(geo.within_radius(F.col("lat"), F.col("lng"), point, radius_m)).withColumn("distance_m", distance)
 
 

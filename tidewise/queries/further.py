@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewise.functions import geo
 from tidewise.functions import text as tx
 from tidewise.operators import accounts, ingest, reports
 from tidewise.operators import extract as ex
@@ -40,7 +41,7 @@ def answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ANSWERS_SQL = f"""with {sq.BRIDGE_SQL}, {_PLACED}, found as (
   select label, food_type, trim(food_type || ' restaurants') as query, restaurant_id as place_id,
-         2 * 6371008.8::double * asin(sqrt(least(1.0::double, pow(sin(radians(r.lat - p.lat) / 2), 2) + cos(radians(p.lat)) * cos(radians(r.lat)) * pow(sin(radians(r.lng - p.lng) / 2), 2)))) as d
+         {geo.distance_sql('p.lat', 'p.lng', 'r.lat', 'r.lng')} as d
   from placed p cross join (values (''), ('pizza')) as f(food_type) cross join restaurants r where food_type = '' or ({_SERVED!r})[restaurant_id % 3 + 1] = food_type
 )
 select label, query, place_id, row_number() over (partition by label, food_type order by d, place_id) as place from found where d <= 5000 qualify place <= 20"""

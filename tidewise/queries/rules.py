@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewise.functions import geo
 from tidewise.functions import text as tx
 from tidewise.operators import accounts, ingest, reports
 from tidewise.operators import extract as ex
@@ -113,10 +114,8 @@ EMAILS_SQL = "select c_custkey, trim(lower(' ' || c_name || (['@Mail.Example ',
 
 
 def distances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidewise.functions import geo
-
     r = bridge.restaurants(spark, sf_dir)
-    metres = geo.haversine_m(F.col("lat"), F.col("lng"), F.lit(bridge.POINT[0]), F.lit(bridge.POINT[1]))
+    metres = geo.distance_m(F.col("lat"), F.col("lng"), F.lit(bridge.POINT[0]), F.lit(bridge.POINT[1]))
     return r.select("restaurant_id", F.round(metres, 3).alias("distance_m"), geo.miles(metres).alias("miles"), geo.within_radius(F.col("lat"), F.col("lng"), bridge.POINT, sq.RADIUS).alias("near"))
 
 

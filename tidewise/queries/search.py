@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewise.functions import geo
 from tidewise.functions import text as tx
 from tidewise.operators import search as s
 from tidewise.sources.bridge import POINT, menu_items, restaurants
 
 RADIUS = 16_000.0
 
-BRIDGE_SQL = """
+BRIDGE_SQL = f"""
 restaurants as (
   select s_suppkey as restaurant_id, s_name as place, case when s_acctbal >= 0 then s_acctbal / 2000.0::double end as rating,
          32.8755::double + ((s_suppkey * 37 + 40) % 101 - 50)::double / 50.0::double * 0.2::double as lat,
          -117.2295::double + ((s_suppkey * 91 + 30) % 97 - 48)::double / 48.0::double * 0.2::double as lng
   from supplier
 ), near as (
-  select *, 2 * 6371008.8::double * asin(sqrt(least(1.0::double, pow(sin(radians(32.8755::double - lat) / 2), 2) + cos(radians(lat)) * cos(radians(32.8755::double)) * pow(sin(radians(-117.2295::double - lng) / 2), 2)))) as distance_m
+  select *, {geo.distance_sql('lat', 'lng', '32.8755::double', '-117.2295::double')} as distance_m
   from restaurants
 ), items as (
   select distinct l_suppkey as restaurant_id, l_partkey as item_id, p_name as name, p_brand || ' ' || p_type as description, p_retailprice as price, p_type as category

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewise.functions import geo
@@ -75,7 +75,7 @@ def nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 NEARBY_SQL = f"""with {BRIDGE_SQL}, {GRID_SQL}, pairs as (
-  select metro || '_' || row || '_' || col as label, restaurant_id, 2 * 6371008.8::double * asin(sqrt(least(1.0::double, pow(sin(radians(r.lat - g.lat) / 2), 2) + cos(radians(g.lat)) * cos(radians(r.lat)) * pow(sin(radians(r.lng - g.lng) / 2), 2)))) as distance_m
+  select metro || '_' || row || '_' || col as label, restaurant_id, {geo.distance_sql('g.lat', 'g.lng', 'r.lat', 'r.lng')} as distance_m
   from grid g cross join restaurants r)
 select label, restaurant_id, round(distance_m, 3) as distance_m from pairs where distance_m <= 3000"""
 
@@ -255,16 +255,14 @@ select restaurant_id, case when n >= 3 then 'best' when n >= 1 then 'good' else
 
 def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a map moved by more than 500 m since the view before."""
-    from pyspark.sql import Window
-
     r = bridge.restaurants(spark, sf_dir).withColumn("session", F.col("restaurant_id") % 10)
     w = Window.partitionBy("session").orderBy("restaurant_id")
-    d = geo.haversine_m(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng"))
+    d = geo.distance_m(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng"))
     return r.select("restaurant_id", "session", F.coalesce(d > 500, F.lit(True)).alias("moved"))
 
 
 MOVED_SQL = f"""with {BRIDGE_SQL}, l as (select *, restaurant_id % 10 as session, lag(lat) over w as a, lag(lng) over w as b from restaurants window w as (partition by restaurant_id % 10 order by restaurant_id))
-select restaurant_id, session, coalesce(2 * 6371008.8::double * asin(sqrt(least(1.0::double, pow(sin(radians(lat - a) / 2), 2) + cos(radians(a)) * cos(radians(lat)) * pow(sin(radians(lng - b) / 2), 2)))) > 500, true) as moved from l"""
+select restaurant_id, session, coalesce({geo.distance_sql('a', 'b', 'lat', 'lng')} > 500, true) as moved from l"""
 
 _CORE = "case when metro = 'seattle' then 100 else 0 end"
 QUERIES = {
