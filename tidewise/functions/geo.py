@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,16 +22,28 @@ def distance_m(lat: Column, lng: Column, to_lat: Column, to_lng: Column) -> Colu
 
     Below a hundred kilometres it is within a decimetre of the geodesic.
     """
-    reduced = lambda x: F.atan((1 - FLATTENING) * F.tan(F.radians(x)))
-    a, b = reduced(lat), reduced(to_lat)
     square = lambda x: x * x
-    h = square(F.sin((b - a) / 2)) + F.cos(a) * F.cos(b) * square(F.sin(F.radians(to_lng - lng) / 2))
-    h = F.when(h > 1, 1.0).otherwise(h)
-    angle = 2 * F.asin(F.sqrt(h))
-    middle, half = (a + b) / 2, (b - a) / 2
-    x = (angle - F.sin(angle)) * square(F.sin(middle) * F.cos(half)) / F.nullif(1 - h, F.lit(0.0))
-    y = (angle + F.sin(angle)) * square(F.cos(middle) * F.sin(half)) / F.nullif(h, F.lit(0.0))
-    return RADIUS_M * (angle - FLATTENING / 2 * (F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))))
+    reduced = lambda x: F.atan((1 - FLATTENING) * F.tan(F.radians(x)))
+
+    def central(p: Column) -> Column:
+        """Half the middle and half the difference of the latitudes, and the square of the sine of half the angle."""
+        h = square(F.sin((p["b"] - p["a"]) / 2)) + F.cos(p["a"]) * F.cos(p["b"]) * square(F.sin(p["lng"] / 2))
+        return F.struct(((p["a"] + p["b"]) / 2).alias("middle"), ((p["b"] - p["a"]) / 2).alias("half"), F.when(h > 1, 1.0).otherwise(h).alias("h"))
+
+    def metres(p: Column) -> Column:
+        angle, h = p["angle"], p["p"]["h"]
+        x = (angle - F.sin(angle)) * square(F.sin(p["p"]["middle"]) * F.cos(p["p"]["half"])) / F.nullif(1 - h, F.lit(0.0))
+        y = (angle + F.sin(angle)) * square(F.cos(p["p"]["middle"]) * F.sin(p["p"]["half"])) / F.nullif(h, F.lit(0.0))
+        return RADIUS_M * (angle - FLATTENING / 2 * (F.coalesce(x, F.lit(0.0)) + F.coalesce(y, F.lit(0.0))))
+
+    latitudes = F.struct(reduced(lat).alias("a"), reduced(to_lat).alias("b"), F.radians(to_lng - lng).alias("lng"))
+    angle = lambda p: F.struct(p.alias("p"), (2 * F.asin(F.sqrt(p["h"]))).alias("angle"))
+    return _step(_step(_step(latitudes, central), angle), metres)
+
+
+def _step(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value computed once: expressions that use a value often would else grow with every step."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def distance_sql(lat: str, lng: str, to_lat: str, to_lng: str) -> str:

@@ -67,10 +67,13 @@ def score(query: str, groups: list[str] | None = None, stemmed: bool = True) ->
     return first, F.coalesce("_full", F.when(part, 5.0).otherwise(F.col("_by_name") + F.col("_by_description"))), match
 
 
-def local_items(restaurants: DataFrame, items: DataFrame, point: tuple[float, float], radius_m: float) -> DataFrame:
-    """The items of the places within the radius, with their distance_m, written so that all of a search reads only these."""
-    places = near(restaurants, point, radius_m).withColumnRenamed("name", "place")
-    return materialise(items.join(places, "restaurant_id"))
+def local_items(restaurants: DataFrame, items: DataFrame, point: tuple[float, float], radius_m: float) -> tuple[DataFrame, DataFrame]:
+    """(items of the places within the radius, these places with their distance_m), both written: all of a search reads only these.
+
+    The places come first, so that their number decides how the items are joined and no rule derives a distance test for the items.
+    """
+    places = materialise(near(restaurants, point, radius_m).withColumnRenamed("name", "place"))
+    return materialise(items.join(places.select("restaurant_id"), "restaurant_id")), places
 
 
 def candidates(restaurants: DataFrame, items: DataFrame, query: str, point: tuple[float, float], radius_m: float, groups: list[str] | None = None, hit_cap: int = 5000, stemmed: bool = True) -> DataFrame:
@@ -78,14 +81,19 @@ def candidates(restaurants: DataFrame, items: DataFrame, query: str, point: tupl
 
     The cap is part of the search: hits are cut before they are grouped by place. Items may bring their lexemes (`indexed`).
     """
-    return _hits(local_items(restaurants, items, point, radius_m), query, groups, hit_cap, stemmed)
+    return _hits(*local_items(restaurants, items, point, radius_m), query, groups, hit_cap, stemmed)
 
 
-def _hits(local: DataFrame, query: str, groups: list[str] | None, hit_cap: int, stemmed: bool) -> DataFrame:
+def _hits(local: DataFrame, places: DataFrame, query: str, groups: list[str] | None, hit_cap: int, stemmed: bool) -> DataFrame:
+    """Every different text is read and scored once; items without their own lexemes get them here."""
+    fields = ["name", "description", "category", *["lexemes"] * ("lexemes" in local.columns)]
     first, rank, match = score(query, groups, stemmed)
-    if stemmed and "lexemes" not in local.columns:
-        local = indexed(local)
-    hits = local.withColumns(first).where(match).withColumn("rank", rank).drop(*first, "lexemes")
+    texts = local.select(*fields).distinct()
+    if stemmed and "lexemes" not in fields:
+        texts = indexed(texts)
+    scored = texts.withColumns(first).where(match).select(*fields[:3], rank.alias("rank"))
+    same = reduce(lambda a, b: a & b, [F.col(f"i.{f}").eqNullSafe(F.col(f"t.{f}")) for f in fields[:3]])
+    hits = local.drop("lexemes").alias("i").join(scored.alias("t"), same).select("i.*", "rank").join(places, "restaurant_id")
     order = [F.col("rank").desc(), F.col("distance_m"), F.col("restaurant_id"), F.col("item_id")]
     hits = hits.orderBy(*order).limit(hit_cap).withColumn("ord", F.row_number().over(Window.orderBy(*order)))
     return hits.withColumn("distance_miles", geo.miles(F.col("distance_m")))
@@ -93,7 +101,8 @@ def _hits(local: DataFrame, query: str, groups: list[str] | None, hit_cap: int,
 
 def word_statistics(restaurants: DataFrame, items: DataFrame, words: list[str], point: tuple[float, float]) -> DataFrame:
     """One row over all items around the point: n_items, n_0 … per word, and n_i_j per pair of words, in one pass."""
-    return _statistics(items.join(near(restaurants, point, STATISTICS_M).select("restaurant_id"), "restaurant_id"), words)
+    places = materialise(near(restaurants, point, STATISTICS_M).select("restaurant_id"))
+    return _statistics(items.join(places, "restaurant_id"), words)
 
 
 def _statistics(local: DataFrame, words: list[str]) -> DataFrame:
@@ -188,11 +197,12 @@ def search(restaurants: DataFrame, items: DataFrame, query: str, point: tuple[fl
     check_arguments(query, point, radius_m, sort, limit)
     words = tx.query_tokens(query)
     counted = sort == "relevance" and words
-    local = local_items(restaurants, items, point, max(radius_m, STATISTICS_M) if counted else radius_m)
-    hits = _hits(local.where(F.col("distance_m") <= radius_m), query, groups, hit_cap, stemmed)
+    local, places = local_items(restaurants, items, point, max(radius_m, STATISTICS_M) if counted else radius_m)
+    hits = materialise(_hits(local, places.where(F.col("distance_m") <= radius_m), query, groups, hit_cap, stemmed))  # hit_cap rows, read several times
     if counted:
         # one row of 1 + w + w (w - 1) / 2 counts over the local items
-        stats = _statistics(local.where(F.col("distance_m") <= STATISTICS_M), words).first().asDict()
+        around = local if radius_m <= STATISTICS_M else local.join(places.where(F.col("distance_m") <= STATISTICS_M).select("restaurant_id"), "restaurant_id")
+        stats = _statistics(around, words).first().asDict()
         hits = item_scores(hits, words, *rarity(stats, words), groups=groups)
     return rank_places(hits, len(words), sort).where(F.col("position") <= limit)
 
