@@ -41,10 +41,20 @@ def numbered(turns: DataFrame, key: str = "conv_id", turn: str = "turn", role: s
 
 
 def weaker_replies(turns: DataFrame) -> DataFrame:
-    """Numbered turns, each last assistant turn with the text of the first one, or with a refusal if there is one assistant turn only."""
+    """Numbered turns beside a rejected conversation (aligned): each last assistant turn has the text of the first one, or a refusal if there is one assistant turn only."""
     said = turns.where("role = 'assistant'").groupBy("key").agg(F.max("n").alias("n"), F.count("*").alias("said"), F.min_by("text", "n").alias("first"))
     new = said.select("key", "n", F.when(F.col("said") > 1, F.col("first")).otherwise(F.lit(REFUSAL)).alias("new"))
-    return turns.join(new, ["key", "n"], "left").select("key", "n", "role", F.coalesce("new", "text").alias("text"))
+    both = turns.join(new, ["key", "n"], "left")
+    other = F.col("new").isNotNull() & (F.col("new") != F.col("text"))
+    return both.select("key", "n", F.struct("role", "text").alias("c"), F.when(other, F.struct("role", F.col("new").alias("text"))).alias("r"), (~other).alias("same"))
+
+
+def aligned(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
+    """key, n, c and r (role and text of the turns n, null where a side has none or, for r, the same), same, from numbered turns."""
+    side = lambda df, x: df.select("key", "n", F.struct("role", "text").alias(x))
+    both = side(chosen, "c").join(side(rejected, "r"), ["key", "n"], "full")
+    same = F.col("c").eqNullSafe(F.col("r"))
+    return both.select("key", "n", "c", F.when(~same, F.col("r")).alias("r"), same.alias("same"))
 
 
 def rendered(role: Column, text: Column) -> Column:
@@ -53,16 +63,16 @@ def rendered(role: Column, text: Column) -> Column:
 
 def format_preferences(chosen: DataFrame, rejected: DataFrame, key: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """Rows of turns twice -> key, piece, n_prompt_turns, prompt, chosen, rejected, chosen_mask, rejected_mask; masks as spans of the completion."""
-    return format_numbered(numbered(chosen, key, turn, role, text), numbered(rejected, key, turn, role, text)).withColumnRenamed("key", key)
+    return format_aligned(aligned(numbered(chosen, key, turn, role, text), numbered(rejected, key, turn, role, text))).withColumnRenamed("key", key)
 
 
-def format_numbered(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
-    """The same for numbered turns."""
-    side = lambda df, x: df.select("key", "n", F.struct("role", "text").alias(x))
-    both = materialise(side(chosen, "c").join(side(rejected, "r"), ["key", "n"], "full"))
+def format_aligned(both: DataFrame) -> DataFrame:
+    """The same for rows of aligned."""
+    both = materialise(both)
     bucket = F.floor(F.col("n") / BUCKET)
-    size = lambda x: F.coalesce(F.length(rendered(F.col(x).role, F.col(x).text)), F.lit(0)).cast("long")
-    rows = both.select("key", "n", bucket.alias("bucket"), "c", "r", size("c").alias("c_size"), size("r").alias("r_size"), (~F.col("c").eqNullSafe(F.col("r"))).alias("differs"))
+    size = lambda x: F.coalesce(F.length(rendered(x.role, x.text)), F.lit(0)).cast("long")
+    sizes = {"c_size": size(F.col("c")), "r_size": F.when(F.col("same"), size(F.col("c"))).otherwise(size(F.col("r")))}
+    rows = both.select("key", "n", bucket.alias("bucket"), "c", "r", "same", *[v.alias(k) for k, v in sizes.items()], (~F.col("same")).alias("differs"))
 
     in_bucket = Window.partitionBy("key", "bucket")
     so_far = in_bucket.orderBy("n").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -83,9 +93,10 @@ def format_numbered(chosen: DataFrame, rejected: DataFrame) -> DataFrame:
     rows = rows.drop("split").join(buckets.select("key", "bucket", "p", "c_before", "r_before", "prompt_size"), ["key", "bucket"])
 
     after = F.col("n") >= F.col("p")
-    turn = lambda stream, x, at: F.when(F.col(x).isNotNull(), F.struct(F.lit(stream).alias("stream"), at.alias("at"), F.col(x).role.alias("role"), F.col(x).text.alias("text")))
+    turn = lambda stream, x, at: F.when(x.isNotNull(), F.struct(F.lit(stream).alias("stream"), at.alias("at"), x.role.alias("role"), x.text.alias("text")))
+    c, r = F.col("c"), F.when(F.col("same"), F.col("c")).otherwise(F.col("r"))
     c_at, r_at = F.col("c_at") + F.col("c_before"), F.col("r_at") + F.col("r_before")
-    streams = F.when(~after, F.array(turn(0, "c", c_at))).otherwise(F.array(turn(1, "c", c_at - F.col("prompt_size")), turn(2, "r", r_at - F.col("prompt_size"))))
+    streams = F.when(~after, F.array(turn(0, c, c_at))).otherwise(F.array(turn(1, c, c_at - F.col("prompt_size")), turn(2, r, r_at - F.col("prompt_size"))))
     placed = rows.select("key", "p", "n", F.explode(F.array_compact(streams)).alias("x")).select("key", "p", "n", "x.*").withColumn("piece", F.floor(F.col("at") / PIECE))
 
     def listed(stream: int) -> Column:

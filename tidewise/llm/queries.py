@@ -14,7 +14,7 @@ from tidewise.llm.licence_scan import scan_licences
 from tidewise.llm.near_duplicates import near_duplicate_classes
 from tidewise.llm.quality_classifier import held_out, score_quality, train
 from tidewise.llm.secret_scan import scan_secrets
-from tidewise.llm.shared import materialise, shared_dir
+from tidewise.llm.shared import materialise, scratch, shared_dir
 from tidewise.llm.telephony import read_media, store_media
 from tidewise.llm.training_order import write_training_order
 
@@ -31,8 +31,9 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every conversation as chosen, the same with a weaker last reply as rejected."""
-    chosen = materialise(chat_format.numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet")))
-    pairs = chat_format.format_numbered(chosen, chat_format.weaker_replies(chosen)).withColumnRenamed("key", "conv_id")
+    with scratch(spark) as keep:
+        chosen = keep(materialise(chat_format.numbered(spark.read.parquet(f"{sf_dir}/conversations.parquet"))))
+    pairs = chat_format.format_aligned(chat_format.weaker_replies(chosen)).withColumnRenamed("key", "conv_id")
     text = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["start"], x["end"])), ",")
     return pairs.withColumns({c: text(c) for c in ("chosen_mask", "rejected_mask")})
 
