@@ -5,7 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The ellipsoid of WGS 84: its longer radius in metres, and its flattening.
@@ -134,3 +134,9 @@ def view_radius_m(lat: Column, lat_span: Column, lng_span: Column, most: float =
     """Radius that a map view asks for: half its longer side."""
     degree = 111_320.0
     return F.least(F.greatest(lat_span * degree, lng_span * degree * F.cos(F.radians(lat))) / 2, F.lit(most))
+
+
+def has_moved(by: list[str], order: str, metres: float = 500.0) -> Column:
+    """Whether a view (lat, lng) is more than `metres` away from the one before it in its session; the first one is."""
+    w = Window.partitionBy(*by).orderBy(order)
+    return F.coalesce(distance_m(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng")) > metres, F.lit(True))

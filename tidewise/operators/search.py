@@ -221,6 +221,11 @@ def detail(restaurants: DataFrame, items: DataFrame, restaurant_id) -> DataFrame
     return restaurants.where(F.col("restaurant_id") == restaurant_id).join(menu, "restaurant_id", "left")
 
 
+def as_json(rows: DataFrame, fields: list[str]) -> Column:
+    """The fields of a row as the JSON text of an answer."""
+    return F.to_json(F.struct(*[rows[c] for c in fields]))
+
+
 def flagged(items: DataFrame, matched: DataFrame, key: str = "item_id") -> DataFrame:
     """items with is_match, whether their key is among those of matched (a detail page marks what a search found)."""
     known = matched.select(key).distinct().withColumn("is_match", F.lit(True))

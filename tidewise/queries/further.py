@@ -183,7 +183,35 @@ BUILT_CASCADE_SQL = """select 'https://s' || s_suppkey || '.example' as site, ca
 (['structured_data', 'pdf', 'heuristic', 'heuristic', 'structured_data', 'free_exhausted', 'none'])[k + 1] as method, ([3, 3, 4, 5, 3, 0, 0])[k + 1]::bigint as n_items, k < 5 as used_pattern,
 case k when 5 then 'free_only_skip' when 6 then 'bot_blocked' end as failure from (select s_suppkey, s_suppkey % 7 as k from supplier)"""
 
+def _element(selector: str, inner: str) -> str:
+    """An element, or some inside each other, that a selector finds."""
+    for part in reversed(selector.split()):
+        if part.startswith("["):
+            name, value = part.strip("[]").replace("*", "").split("=")
+            inner = f"<div {name}={value}>{inner}</div>"
+        elif part.startswith("."):
+            inner = f'<div class="{part[1:]}">{inner}</div>'
+        else:
+            inner = f"<{part}>{inner}</{part}>"
+    return inner
+
+
+_SETS = [(name, n, box, parts) for name, sets in ex.PLATFORM_SELECTORS.items() for n, (box, *parts) in enumerate(sets)]
+
+
+def selector_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A page for every platform and set of selectors, with three items."""
+    item = lambda box, parts, k: _element(box, "".join(_element(p, text) for p, text in zip(parts, (f"Dish {k}", f"${k}.50", "served with bread"))))
+    pages = [(f"{name}-{n}", name, "".join(item(box, parts, k) for k in (1, 2, 3))) for name, n, box, parts in _SETS]
+    found = ex.extract_free(spark.createDataFrame(pages, "url string, platform_type string, html string"))
+    return found.select("url", "method", F.col("ord").cast("long").alias("ord"), "name", "description", "price")
+
+
+SELECTOR_SETS_SQL = f"""select url, 'platform' as method, k - 1 as ord, 'Dish ' || k as name, 'served with bread' as description, k + 0.5::double as price
+from (values {', '.join(f"('{name}-{n}')" for name, n, _, _ in _SETS)}) as t(url), range(1, 4) as r(k)"""
+
 QUERIES = {
+    "ex05_selector_sets": (selector_sets, SELECTOR_SETS_SQL),
     "ge06_curated_grid": (curated, CURATED_SQL),
     "src02_answers": (answers, ANSWERS_SQL),
     "src07_read_pages": (read_pages, READ_PAGES_SQL),

@@ -81,7 +81,8 @@ def progress(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def json_response(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bridge.menu_items(spark, sf_dir).select("restaurant_id", "item_id", F.to_json(F.struct("item_id", "name", "category")).alias("json"))
+    items = bridge.menu_items(spark, sf_dir)
+    return items.select("restaurant_id", "item_id", s.as_json(items, ["item_id", "name", "category"]).alias("json"))
 
 
 def failure_state(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewise.functions import geo
@@ -64,7 +64,7 @@ def search_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def ranked_metros(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bridge.metros(spark).where(F.col("rank").between(10, 20)).select("name", "rank")
+    return bridge.metros_by_rank(spark, 10, 20).select("name", "rank")
 
 
 def nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,30 +235,28 @@ def views(spark: SparkSession, sf_dir: str) -> DataFrame:
     r = bridge.restaurants(spark, sf_dir).withColumns({"level": (F.col("restaurant_id") % 7 - 1).cast("int"), "n": F.col("restaurant_id") % 5, "d": (F.col("restaurant_id") % 40) / 17.0})
     return r.select(
         "restaurant_id",
-        F.when(F.col("n") >= 3, "best").when(F.col("n") >= 1, "good").otherwise("hasItem").alias("match_tier"),
+        tx.match_tier(F.col("n")).alias("match_tier"),
         tx.level_text(F.col("level")).alias("level"),
         tx.distance_text(F.col("d")).alias("distance"),
         tx.price_text(F.col("d") * 4).alias("price"),
         tx.phone_digits(F.concat(F.lit("+1 (555) "), F.col("name"))).alias("phone"),
         F.round(geo.view_radius_m(F.col("lat"), F.col("d"), F.col("d") * 2), 2).alias("radius_m"),
-        F.sha2(F.concat_ws(":", F.lower(F.trim(F.concat(F.lit(" Hot Plate"), "restaurant_id"))), F.format_string("%.3f", F.round("d", 3)), F.lit("5000")), 256).alias("cache_key"),
-        F.greatest(F.lit(0), F.col("n") - 4).alias("overflow"),
+        tx.cache_key(F.concat(F.lit(" Hot Plate"), "restaurant_id"), F.col("d"), -1 - F.col("d"), F.lit(5000)).alias("cache_key"),
+        tx.overflow(F.col("n")).alias("overflow"),
     )
 
 
 VIEWS_SQL = f"""with {BRIDGE_SQL}, r as (select *, (restaurant_id % 7 - 1)::int as level, restaurant_id % 5 as n, (restaurant_id % 40) / 17.0::double as d from restaurants)
 select restaurant_id, case when n >= 3 then 'best' when n >= 1 then 'good' else 'hasItem' end as match_tier, case when level > 0 then repeat('$', least(level, 4)) end as level,
        case when d < 0.1 then 'Nearby' else format('{{:.1f}} mi', d) end as distance, format('${{:.2f}}', d * 4) as price, regexp_replace('+1 (555) ' || place, '[^0-9+]', '', 'g') as phone,
-       round(least(greatest(d * 111320.0::double, d * 2 * 111320.0::double * cos(radians(lat))) / 2, 50000.0::double), 2) as radius_m, sha256('hot plate' || restaurant_id || ':' || format('{{:.3f}}', round(d, 3)) || ':5000') as cache_key,
+       round(least(greatest(d * 111320.0::double, d * 2 * 111320.0::double * cos(radians(lat))) / 2, 50000.0::double), 2) as radius_m, sha256('hot plate' || restaurant_id || ':' || round(d, 3) || ':' || round(-1 - d, 3) || ':5000') as cache_key,
        greatest(0, n - 4) as overflow from r"""
 
 
 def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whether a map moved by more than 500 m since the view before."""
     r = bridge.restaurants(spark, sf_dir).withColumn("session", F.col("restaurant_id") % 10)
-    w = Window.partitionBy("session").orderBy("restaurant_id")
-    d = geo.distance_m(F.lag("lat").over(w), F.lag("lng").over(w), F.col("lat"), F.col("lng"))
-    return r.select("restaurant_id", "session", F.coalesce(d > 500, F.lit(True)).alias("moved"))
+    return r.select("restaurant_id", "session", geo.has_moved(["session"], "restaurant_id").alias("moved"))
 
 
 MOVED_SQL = f"""with {BRIDGE_SQL}, l as (select *, restaurant_id % 10 as session, lag(lat) over w as a, lag(lng) over w as b from restaurants window w as (partition by restaurant_id % 10 order by restaurant_id))
