@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewise.llm import chat_format, licence_scan, mixing, near_duplicates, quality_rules, secret_scan, telephony
+from tidewise.llm import chat_format, filter_audit, licence_scan, mixing, near_duplicates, quality_rules, secret_scan, telephony
 from tidewise.llm.byte_bpe import round_trip_bpe
 from tidewise.llm.licence_scan import scan_licences
 from tidewise.llm.near_duplicates import near_duplicate_classes
@@ -123,6 +123,12 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base_spans", 256).alias("base_sha256"), "spans", "n_random")
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What five filters remove in each of their 120 orders, by source."""
+    read = lambda table: spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return filter_audit.audit_filters(read("documents"), read("labels"))
+
+
 def licence_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op3 that SQL can express."""
     return op3_licence_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -153,6 +159,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_quality_rules,
         op9_document_lines,
         op10_secret_scan,
+        op11_filter_audit,
         licence_base,
         telephony_payload,
         secret_base,
@@ -166,6 +173,7 @@ ORACLE: dict[str, str] = {
     "op6_ngram_jaccard_join": near_duplicates.ORACLE_SQL,
     "op9_quality_rules": quality_rules.ORACLE_SQL,
     "op9_document_lines": quality_rules.LINES_SQL,
+    "op11_filter_audit": filter_audit.ORACLE_SQL,
     "licence_base": licence_scan.BASE_SQL,
     "telephony_payload": telephony.PAYLOAD_SQL,
     "secret_base": secret_scan.BASE_SQL,
