@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewise.llm import chat_format, filter_audit, licence_scan, mixing, multiset_hash, near_duplicates, quality_rules, secret_scan, telephony
+from tidewise.llm import chat_format, filter_audit, licence_scan, merkle, mixing, multiset_hash, near_duplicates, quality_rules, secret_scan, telephony
 from tidewise.llm.byte_bpe import round_trip_bpe
 from tidewise.llm.licence_scan import scan_licences
 from tidewise.llm.near_duplicates import near_duplicate_classes
@@ -134,6 +134,11 @@ def op12_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return multiset_hash.fingerprint_edits(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, roots, proof and verification of every document."""
+    return merkle.manifest(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def edited_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op12 that SQL can express."""
     return op12_document_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
@@ -171,6 +176,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_secret_scan,
         op11_filter_audit,
         op12_document_fingerprints,
+        op13_merkle_manifest,
         edited_base,
         licence_base,
         telephony_payload,
@@ -186,6 +192,7 @@ ORACLE: dict[str, str] = {
     "op9_quality_rules": quality_rules.ORACLE_SQL,
     "op9_document_lines": quality_rules.LINES_SQL,
     "op11_filter_audit": filter_audit.ORACLE_SQL,
+    "op13_merkle_manifest": merkle.ORACLE_SQL,
     "edited_base": multiset_hash.BASE_SQL,
     "licence_base": licence_scan.BASE_SQL,
     "telephony_payload": telephony.PAYLOAD_SQL,
