@@ -6,7 +6,7 @@
 3. Sums don't depend on the order of paragraphs, and paragraphs are inserted and deleted by adding and subtracting their vectors. Texts with the same paragraphs, as
    often, have the same fingerprint; others have it with a probability of some 2^-256.
 4. Twice a sum less the number of paragraphs is a sum of random signs, so that the mean product of two such vectors estimates the paragraphs that two texts share, and the
-   mean square difference those that they don't. likeness is 1 - |a - b|^2 / (|a|^2 + |b|^2), with an error of about 0.06, and 1 for equal fingerprints only.
+   mean square difference those that they don't (a paragraph that a text has k times counts k^2). likeness is 1 - |a - b|^2 / (|a|^2 + |b|^2), with an error of about 0.06, and 1 for equal fingerprints only.
 
 `fingerprint_edits` compares every document with an edited text and with the next document. An edit replaces the end of a text, so the fingerprint of the edited text is that of
 the document less the paragraphs at its end plus the new ones; only the end is hashed again. The next document is the one with the next larger id (null ids come last, the
@@ -27,7 +27,7 @@ from tidewise.llm.shared import materialise, scratch
 
 #: Code points of a paragraph without an end of a line or sentence.
 MOST = 120
-PARAGRAPH = rf"[^\n.!?]{{1,{MOST}}}[\n.!?]?|[\n.!?]"
+PARAGRAPH = rf"[^\n.!?]{{1,{MOST}}}[\n.!?]*|[\n.!?]+"
 SEEDS, BITS, LANES = 4, 64, 4
 #: Longs of a vector; each holds LANES sums of 16 bits.
 WIDTH = SEEDS * BITS // LANES
