@@ -15,13 +15,8 @@ from tidewise.llm.near_duplicates import near_duplicate_classes
 from tidewise.llm.quality_classifier import held_out, score_quality, train
 from tidewise.llm.secret_scan import scan_secrets
 from tidewise.llm.shared import materialise, scratch, shared_dir
-from tidewise.llm.telephony import read_media, store_media
 from tidewise.llm.training_order import write_training_order
 
-#: How whole sounds are written.
-PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "7"}
-
-
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Score of every document, learned from the labels of those that are not held out."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
@@ -44,37 +39,19 @@ def op3_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every text stored as a telephony file, written and read back, decoded to resampled PCM, of which length and digest are given.
-
-    The PCM is not written here but in telephony_pcm: it is four to eight times the text.
-    """
-    return _sounds(spark, sf_dir).drop("pcm")
+    """Every text stored as a telephony file, read back, decoded and stored as PCM of 4 kHz; length and digest of the PCM as stored."""
+    return _sounds(spark, sf_dir, telephony.TARGET)
 
 
 def telephony_pcm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same with the resampled PCM of every file stored as a column, and its length and digest as read from there."""
-    stored = materialise(_sounds(spark, sf_dir).drop("pcm_bytes", "pcm_sha256"), **PACKED)
-    return stored.withColumns({"pcm_bytes": F.length("pcm").cast("long"), "pcm_sha256": F.sha2("pcm", 256)}).drop("pcm")
+    """The same with PCM of 16 kHz, which is four to eight times the text."""
+    return _sounds(spark, sf_dir, 16_000)
 
 
-def _sounds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    stored = materialise(store_media(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"]).drop("codec"), compression="zstd")
-    stored = stored.select("doc_id", "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
-    read = read_media(stored, ["doc_id", "n_bytes", "media_bytes", "media_sha256"])
-    return read.select(
-        "doc_id",
-        "n_bytes",
-        F.length("payload").cast("long").alias("payload_bytes"),
-        F.sha2("payload", 256).alias("payload_sha256"),
-        F.crc32(F.substring("payload", -64, 64)).alias("tail_crc32"),
-        "media_bytes",
-        "media_sha256",
-        "feature",
-        "codec",
-        F.length("pcm").cast("long").alias("pcm_bytes"),
-        F.sha2("pcm", 256).alias("pcm_sha256"),
-        "pcm",
-    )
+def _sounds(spark: SparkSession, sf_dir: str, target: int) -> DataFrame:
+    stored = telephony.store_pcm(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], target=target)
+    columns = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "codec"]
+    return stored.select(*columns, F.length("pcm").cast("long").alias("pcm_bytes"), F.sha2("pcm", 256).alias("pcm_sha256"))
 
 
 def op5_mixing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,7 +2,11 @@
 
 `store_media` puts payload bytes losslessly into WAV files of one of three codecs: 8-bit mu-law or A-law samples, or the
 4-bit units of IMA ADPCM blocks. `read_media` parses stored files, gives the payload back, expands mu-law and A-law by
-lookup tables, decodes ADPCM with numpy across all blocks of a batch at once, resamples to 16 kHz and describes the sound.
+lookup tables, decodes ADPCM with numpy across all blocks of a batch at once, resamples to `target` samples a second and describes the sound. `store_pcm` writes the media
+column, reads it back and writes the resampled PCM as a column, from which its length and digest are taken.
+
+The target is a parameter, 4 kHz by default: every 16-bit sample is the mean of the two it stands for (a low-pass before the rate is halved). At 16 kHz the PCM is four to eight
+times the text. Files of a chunk come out codec by codec, so that like sounds are compressed together.
 
 Null and empty texts are stored as 64 zero bytes. A null or broken file has null results. Equal texts give equal files and
 equal features. Repeated rows come out as often as they came in; columns `keep` pass through, those named like a result are replaced.
@@ -17,12 +21,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidewise.llm.shared import map_texts
+from tidewise.llm.shared import map_texts, materialise, scratch
 from tidewise.llm.words import chunks
 
-RATE, TARGET = 8000, 16000
+RATE, TARGET = 8000, 4000
 #: WAV format tags.
 CODECS = {7: "mulaw", 6: "alaw", 0x11: "ima_adpcm"}
 _TAGS = {name: tag for tag, name in CODECS.items()}
@@ -30,6 +35,8 @@ UNIT = 64
 #: Bytes of an ADPCM block: its header and one unit.
 BLOCK = 4 + UNIT
 _TOGETHER = 2 << 20
+#: How whole sounds are written.
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "12"}
 
 _b = np.arange(256)
 _u = _b ^ 0xFF
@@ -97,10 +104,25 @@ def adpcm(blocks: np.ndarray) -> np.ndarray:
 
 
 def resample(pcm: np.ndarray, ends: np.ndarray, rate: int, target: int = TARGET) -> tuple[np.ndarray, np.ndarray]:
-    """(samples, ends) at the target rate of sounds laid end to end; linear between neighbours, in integers, the last sample held."""
-    following = np.append(pcm[1:], pcm[-1:])
+    """(samples, ends) at the target rate of sounds laid end to end; linear between neighbours, in integers, the last sample held.
+
+    Before the rate goes down every sample becomes the mean of the ceil(rate / target) from it on.
+    """
     full = np.diff(np.append(0, ends)) > 0
-    following[ends[full] - 1] = pcm[ends[full] - 1]
+    last = ends[full] - 1
+
+    def next_of(samples: np.ndarray) -> np.ndarray:
+        following = np.append(samples[1:], samples[-1:])
+        following[last] = samples[last]
+        return following
+
+    if target < rate:
+        width, total, shifted = -(-rate // target), pcm.astype(np.int64), pcm
+        for _ in range(width - 1):
+            shifted = next_of(shifted)
+            total = total + shifted
+        pcm = (total // width).astype(np.int16)
+    following = next_of(pcm)
     if 2 * rate == target:
         out = np.empty((len(pcm), 2), np.int16)
         out[:, 0] = pcm
@@ -114,7 +136,7 @@ def resample(pcm: np.ndarray, ends: np.ndarray, rate: int, target: int = TARGET)
     return ((pcm[i].astype(np.int64) * (target - part) + following[i].astype(np.int64) * part) // target).astype(np.int16), to
 
 
-def decode(files: list[bytes | None]) -> list[dict]:
+def decode(files: list[bytes | None], target: int = TARGET) -> list[dict]:
     """codec, payload, pcm (int16 at the target rate) and feature of each file, Nones for a broken one."""
     out = [dict.fromkeys(("codec", "payload", "pcm", "feature")) for _ in files]
     groups: dict[tuple[str, int, int], list[tuple[int, bytes]]] = {}
@@ -130,7 +152,7 @@ def decode(files: list[bytes | None]) -> list[dict]:
             lengths = [len(d) // align * (align - 4) for _, d in members]
         else:
             pcm, payload, lengths = (MULAW if codec == "mulaw" else ALAW)[data], data.tobytes(), sizes.tolist()
-        pcm, ends = resample(pcm, np.cumsum(sizes), rate)
+        pcm, ends = resample(pcm, np.cumsum(sizes), rate, target)
         begins = np.append(0, ends[:-1])
         at = 0
         for (n, _), length, a, b in zip(members, lengths, begins.tolist(), ends.tolist(), strict=True):
@@ -171,8 +193,8 @@ def store_media(docs: DataFrame, keep: list[str], text: str = "text") -> DataFra
     return map_texts(docs.select(*dict.fromkeys([*keep, text])), run, T.StructType(schema))
 
 
-def read_media(df: DataFrame, keep: list[str], media: str = "media", pcm: bool = True) -> DataFrame:
-    """The columns `keep` with codec, payload, feature and, if asked for, pcm (16-bit little-endian samples at 16 kHz)."""
+def read_media(df: DataFrame, keep: list[str], media: str = "media", pcm: bool = True, target: int = TARGET) -> DataFrame:
+    """The columns `keep` with codec, payload, feature and, if asked for, pcm (16-bit little-endian samples at the target rate)."""
     names = ["codec", "payload", "feature", *["pcm"] * pcm]
     keep = [c for c in keep if c not in names]
     types = {"codec": pa.string(), "payload": pa.binary(), "feature": pa.string(), "pcm": pa.binary()}
@@ -181,15 +203,32 @@ def read_media(df: DataFrame, keep: list[str], media: str = "media", pcm: bool =
         for batch in batches:
             for lo, hi, _, _ in chunks(batch.column(media), _TOGETHER):
                 part = batch.slice(lo, hi - lo)
-                found = decode(part.column(media).to_pylist())
+                found = decode(part.column(media).to_pylist(), target)
+                order = sorted(range(hi - lo), key=lambda i: found[i]["codec"] or "")
+                found = [found[i] for i in order]
                 for x in found:
                     x["pcm"] = None if x["pcm"] is None or not pcm else x["pcm"].astype("<i2").tobytes()
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in keep), *(pa.array([x[c] for x in found], types[c]) for c in names)], [*keep, *names])
+                yield pa.RecordBatch.from_arrays([*(part.column(c).take(pa.array(order)) for c in keep), *(pa.array([x[c] for x in found], types[c]) for c in names)], [*keep, *names])
 
     schema = [*(df.schema[c] for c in keep), *(T.StructField(c, T.StringType() if types[c] == pa.string() else T.BinaryType()) for c in names)]
     return map_texts(df.select(*dict.fromkeys([*keep, media])), run, T.StructType(schema))
 
 
+def store_pcm(docs: DataFrame, keep: list[str], text: str = "text", target: int = TARGET) -> DataFrame:
+    """The columns `keep` of docs with n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, codec, feature and pcm, written and read back.
+
+    The media column is written first, and all else comes from what is read of it; it goes when the PCM is written.
+    """
+    with scratch(docs.sparkSession) as keep_table:
+        stored = materialise(store_media(docs, keep, text).drop("codec"), **PACKED)
+        of_media = ["n_bytes", "media_bytes", "media_sha256"]
+        keep = [c for c in keep if c not in ("n_bytes", "codec", "media")]
+        stored = stored.select(*keep, "n_bytes", F.length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "media")
+        read = read_media(stored, [*keep, *of_media], target=target)
+        payload = {"payload_bytes": F.length("payload").cast("long"), "payload_sha256": F.sha2("payload", 256), "tail_crc32": F.crc32(F.substring("payload", -64, 64))}
+        return keep_table(materialise(read.withColumns(payload).drop("payload"), **PACKED))
+
+
 #: Sizes and digest of the payloads, without the files.
 PAYLOAD_SQL = """
 with docs as (select doc_id, coalesce(text, '') as text, octet_length(encode(coalesce(text, ''))) as n from documents)
