@@ -49,7 +49,7 @@ def word_match(query: str) -> Column:
     return F.forall(F.array(*map(F.lit, words)), lambda w: F.array_contains(own, w))
 
 
-def score(query: str, groups: list[str] | None = None, stemmed: bool = True) -> tuple[dict[str, Column], Column, Column]:
+def score(query: str, groups: list[list[str] | str] | None = None, stemmed: bool = True) -> tuple[dict[str, Column], Column, Column]:
     """(columns to compute first, rank, whether a row matches) over name, description, category and lexemes.
 
     All words in any inflection 10 plus their text rank (without `stemmed`: as whole words, 10), the query as a part of the name 5, or
@@ -76,7 +76,7 @@ def local_items(restaurants: DataFrame, items: DataFrame, point: tuple[float, fl
     return materialise(items.join(places.select("restaurant_id"), "restaurant_id")), places
 
 
-def candidates(restaurants: DataFrame, items: DataFrame, query: str, point: tuple[float, float], radius_m: float, groups: list[str] | None = None, hit_cap: int = 5000, stemmed: bool = True) -> DataFrame:
+def candidates(restaurants: DataFrame, items: DataFrame, query: str, point: tuple[float, float], radius_m: float, groups: list[list[str] | str] | None = None, hit_cap: int = 5000, stemmed: bool = True) -> DataFrame:
     """The best `hit_cap` item hits near the point, with rank, distance_m, distance_miles and ord (1 is the best).
 
     The cap is part of the search: hits are cut before they are grouped by place. Items may bring their lexemes (`indexed`).
@@ -84,7 +84,7 @@ def candidates(restaurants: DataFrame, items: DataFrame, query: str, point: tupl
     return _hits(*local_items(restaurants, items, point, radius_m), query, groups, hit_cap, stemmed)
 
 
-def _hits(local: DataFrame, places: DataFrame, query: str, groups: list[str] | None, hit_cap: int, stemmed: bool) -> DataFrame:
+def _hits(local: DataFrame, places: DataFrame, query: str, groups: list[list[str] | str] | None, hit_cap: int, stemmed: bool) -> DataFrame:
     """Every different text is read and scored once; items without their own lexemes get them here."""
     fields = ["name", "description", "category", *["lexemes"] * ("lexemes" in local.columns)]
     first, rank, match = score(query, groups, stemmed)
@@ -126,7 +126,7 @@ def rarity(stats: dict[str, int], words: list[str]) -> tuple[dict[str, float], d
     return idf, given
 
 
-def item_scores(hits: DataFrame, words: list[str], idf: dict[str, float], given: dict[str, dict[str, float]], groups: list[str] | None = None, co_occurrence: float = CO_OCCURRENCE) -> DataFrame:
+def item_scores(hits: DataFrame, words: list[str], idf: dict[str, float], given: dict[str, dict[str, float]], groups: list[list[str] | str] | None = None, co_occurrence: float = CO_OCCURRENCE) -> DataFrame:
     """hits with eff (different words that the name has or implies), literal (words that it has) and rel (rarity of words)."""
     synonyms = expand(words, groups)
     name, full = F.col("name"), F.concat_ws(" ", "name", F.coalesce("description", F.lit("")))
@@ -192,7 +192,7 @@ def rank_places(hits: DataFrame, n_words: int, sort: str = "relevance", most: in
     return rows.withColumns({"position": F.row_number().over(Window.orderBy(*keys)), "total_results": F.count("*").over(Window.partitionBy(F.lit(0)))})
 
 
-def search(restaurants: DataFrame, items: DataFrame, query: str, point: tuple[float, float], radius_m: float = 5000.0, sort: str = "relevance", limit: int = 20, groups: list[str] | None = None, hit_cap: int = 5000, stemmed: bool = True) -> DataFrame:
+def search(restaurants: DataFrame, items: DataFrame, query: str, point: tuple[float, float], radius_m: float = 5000.0, sort: str = "relevance", limit: int = 20, groups: list[list[str] | str] | None = None, hit_cap: int = 5000, stemmed: bool = True) -> DataFrame:
     """The first `limit` places for a query, best first by position, each with its matched items."""
     check_arguments(query, point, radius_m, sort, limit)
     words = tx.query_tokens(query)
