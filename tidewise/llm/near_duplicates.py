@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewise.llm.shared import map_texts, materialise, scratch, text_id
-from tidewise.llm.words import chunks, mix, shingles, words
+from tidewise.llm.words import chunks, identities, mix, second_hashes, shingles, words
 
 VALUES, BAND = 128, 4
 BANDS = VALUES // BAND
@@ -78,9 +78,9 @@ def prune_table(threshold: float, tolerance: float) -> np.ndarray:
     return np.array(least)
 
 
-def set_id(shingles: np.ndarray) -> bytes:
-    """128 bits of a set of shingles: two sums over its elements."""
-    return np.array([mix(shingles ^ c).sum(dtype=np.uint64) for c in (np.uint64(0x243F6A8885A308D3), np.uint64(0x13198A2E03707344))], "<u8").tobytes()
+def set_id(first: np.ndarray, second: np.ndarray) -> bytes:
+    """128 bits of a set of shingles: the sums of two independent hashes over its elements."""
+    return np.array([mix(h).sum(dtype=np.uint64) for h in (first, second)], "<u8").tobytes()
 
 
 def _sign(names: list[str]):
@@ -89,14 +89,16 @@ def _sign(names: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in chunks(batch.column("text")):
-                h, rows, _, _ = words(data, offsets)
+                h, rows, starts, ends = words(data, offsets)
                 s, of = shingles(h, rows)
-                sets = [np.unique(s[of[r] : of[r + 1]]) for r in range(hi - lo)]
+                t, _ = shingles(second_hashes(data, starts, ends), rows)
+                found = [np.unique(s[of[r] : of[r + 1]], return_index=True) for r in range(hi - lo)]
+                sets = [x for x, _ in found]
                 sizes = np.array([len(x) for x in sets], np.int64)
                 blob = minhash(np.concatenate(sets) if sets else s, np.append(0, np.cumsum(sizes))).tobytes()
-                ends = np.arange(hi - lo + 1, dtype=np.int32) * (2 * VALUES)
-                sig = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(ends), pa.py_buffer(blob)])
-                ids = pa.array([set_id(x) if len(x) else None for x in sets], pa.binary())
+                cuts = np.arange(hi - lo + 1, dtype=np.int32) * (2 * VALUES)
+                sig = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer(cuts), pa.py_buffer(blob)])
+                ids = pa.array([set_id(x, t[of[r] + at]) if len(x) else None for r, (x, at) in enumerate(found)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(lo, hi - lo) for c in names), pa.array(sizes), ids, sig], [*names, "n_shingles", "set_id", "sig"])
 
     return run
@@ -172,12 +174,18 @@ def _pruned(threshold: float, tolerance: float):
 
 
 def _sets(texts: pa.Array) -> list[np.ndarray]:
-    out = []
+    """The shingle sets of some texts, as sorted numbers that stand for 128 bits and are the same for all of them."""
+    first, second, sizes = [], [], []
     for _, _, data, offsets in chunks(texts):
-        h, rows, _, _ = words(data, offsets)
+        h, rows, starts, ends = words(data, offsets)
         s, of = shingles(h, rows)
-        out += [np.unique(s[of[r] : of[r + 1]]) for r in range(len(of) - 1)]
-    return out
+        first.append(s)
+        second.append(shingles(second_hashes(data, starts, ends), rows)[0])
+        sizes.append(np.diff(of))
+    if not sizes:
+        return []
+    ids, ends = identities(np.concatenate(first), np.concatenate(second)), np.cumsum(np.concatenate(sizes))
+    return [np.unique(ids[end - n : end]) for end, n in zip(ends, np.concatenate(sizes), strict=True)]
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -203,7 +211,7 @@ class _Sets:
             return others[[jaccard(self.sets[i], self.sets[j]) >= threshold for j in others.tolist()]]
         if self.flat is None:
             self.begin = np.append(0, np.cumsum(self.sizes))
-            self.flat = np.unique(np.concatenate(self.sets), return_inverse=True)[1].astype(np.int32)
+            self.flat = np.concatenate(self.sets).astype(np.int32)
             self.mark = np.zeros(int(self.flat.max()) + 1, np.int32)
         mine = self.flat[self.begin[i] : self.begin[i + 1]]
         self.mark[mine] = 1

@@ -7,11 +7,11 @@ character beyond ASCII. Null texts count as empty.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes worked on at a time; only a longer single text goes beyond.
 CHUNK = 1 << 20
@@ -20,7 +20,9 @@ _FOLD = np.zeros(256, np.uint8)
 for _c in range(256):
     if chr(_c).isascii() and chr(_c).isalnum() or _c >= 0x80:
         _FOLD[_c] = ord(chr(_c).lower()) if _c < 0x80 else _c
-_P = 0x9E3779B97F4A7C15 | 1
+#: Longer words are hashed by xxhash.
+_LONG = 64
+_SEEDS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -44,17 +46,6 @@ def chunks(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, np.
         lo = hi
 
 
-@lru_cache(maxsize=2)
-def _powers(size: int) -> tuple[np.ndarray, np.ndarray]:
-    inverse = pow(_P, -1, 1 << 64)
-    out = []
-    for base in (_P, inverse):
-        p = np.full(size, base, np.uint64)
-        p[0] = 1
-        out.append(np.multiply.accumulate(p))
-    return out[0], out[1]
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Spread a 64-bit hash (the finaliser of splitmix64)."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
@@ -62,6 +53,39 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def hashed(folded: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64 bits of each word, by its folded bytes; a second seed gives other, independent bits.
+
+    Eight bytes at a time go through `mix`, a bijection, so words of up to eight bytes differ for certain.
+    """
+    size = ends - starts
+    out = np.zeros(len(starts), np.uint64)
+    if not len(starts):
+        return out
+    eight = np.lib.stride_tricks.as_strided(np.append(folded, np.zeros(8, np.uint8)), (len(folded) + 1, 8), (1, 1))
+    at = np.flatnonzero(size <= _LONG)
+    h = np.full(len(at), _SEEDS[seed], np.uint64)
+    for k in range(0, _LONG, 8):
+        left = size[at] - k
+        block = np.ascontiguousarray(eight[starts[at] + k]).view("<u8")[:, 0]
+        block &= np.uint64(0xFFFFFFFFFFFFFFFF) >> (8 * np.maximum(8 - left, 0)).astype(np.uint64)
+        h = mix(h ^ block)
+        more = left > 8
+        out[at[~more]] = h[~more]
+        at, h = at[more], h[more] * np.uint64(_SEEDS[1 - seed] | 1)
+        if not len(at):
+            break
+    whole = folded.tobytes() if (size > _LONG).any() else b""
+    for i in np.flatnonzero(size > _LONG).tolist():
+        out[i] = xxhash.xxh3_64_intdigest(whole[starts[i] : ends[i]], seed=_SEEDS[seed])
+    return out
+
+
+def second_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Another 64 bits of the words that words() has found."""
+    return hashed(_FOLD[data], starts, ends, 1)
+
+
 def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word, first word of each row and the end, byte starts, byte ends) for the rows of a chunk."""
     n = len(data)
@@ -76,11 +100,7 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     first[edge] |= inside[edge]
     last[edge - 1] |= inside[edge - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
-    power, inverse = _powers(1 << max(20, (n - 1).bit_length()))
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(folded * power[:n], out=total[1:])
-    hashes = mix((total[ends] - total[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
-    return hashes, np.searchsorted(starts, offsets), starts, ends
+    return hashed(folded, starts, ends), np.searchsorted(starts, offsets), starts, ends
 
 
 def hash_word(word: bytes) -> int:
@@ -89,6 +109,18 @@ def hash_word(word: bytes) -> int:
     return int(words(data, np.array([0, len(data)]))[0][0])
 
 
+def identities(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Numbers from 0 on that are equal where both hashes are: 128 bits for each value, sorted by the first."""
+    order = np.argsort(first, kind="stable")
+    a, b = first[order], second[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
+    out = np.zeros(len(first), np.int64)
+    out[order[1:]] = np.cumsum((a[1:] != a[:-1]) | (b[1:] != b[:-1]))
+    return out
+
+
 def shingles(hashes: np.ndarray, rows: np.ndarray, k: int = 5) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of the runs of k words, first run of each row and the end); a row of 1 to k - 1 words has one run of all its words."""
     n = np.diff(rows)
