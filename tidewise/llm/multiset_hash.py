@@ -33,7 +33,11 @@ SEEDS, BITS, LANES = 4, 64, 4
 WIDTH = SEEDS * BITS // LANES
 #: Paragraphs summed before sums are brought below 2^16 again; no sum can reach the next one before.
 TOGETHER = 32767
+#: Hashes summed in 4 bits: the uppermost sum must not reach the sign.
+FEW = 7
 _ONES = 0x0001000100010001
+_NIBBLES = 0x1111111111111111
+_WIDE = 0x000F000F000F000F
 _EVEN = 0x0000FFFF0000FFFF
 
 
@@ -64,12 +68,15 @@ def paragraphs(text: Column) -> Column:
 
 def vector(paras: Column) -> Column:
     """WIDTH longs of four sums, and the number of paragraphs modulo 2^16."""
-    shifts = F.array(*map(F.lit, range(BITS // LANES)))
+
+    def total(values: Column, shift: int, mask: int) -> Column:
+        return F.aggregate(values, F.lit(0).cast("long"), lambda a, x: a + F.shiftrightunsigned(x, shift).bitwiseAND(mask))
 
     def bits(hashes: Column) -> Column:
-        """For each shift the sum of the four bits that it leaves, over all hashes."""
-        of = lambda x, s: F.call_function("shiftrightunsigned", x, s).bitwiseAND(_ONES)
-        return F.transform(shifts, lambda s: F.aggregate(hashes, F.lit(0).cast("long"), lambda a, x: a + of(x, s)))
+        """Sums of the 64 bits over all hashes: first 16 sums of 4 bits in a long for every FEW hashes, then 4 sums of 16 bits in a long for all."""
+        few = F.transform(F.sequence(F.lit(0), F.floor(F.size(hashes) / FEW).cast("int")), lambda k: F.slice(hashes, k * FEW + 1, FEW))
+        narrow = lambda shift: F.transform(few, lambda h: total(h, shift, _NIBBLES))
+        return F.concat(*[_step(narrow(shift), lambda n: F.array(*[total(n, 4 * k, _WIDE) for k in range(4)])) for shift in range(4)])
 
     def summed(part: Column) -> Column:
         seeded = lambda seed: F.transform(part, lambda p: F.xxhash64(F.lit(seed), p))
