@@ -36,7 +36,7 @@ UNIT = 64
 BLOCK = 4 + UNIT
 _TOGETHER = 2 << 20
 #: How whole sounds are written.
-PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "12"}
+PACKED = {"compression": "zstd", "parquet.compression.codec.zstd.level": "12", "parquet.page.size": str(8 << 20)}
 
 _b = np.arange(256)
 _u = _b ^ 0xFF
