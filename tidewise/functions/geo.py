@@ -58,16 +58,21 @@ def distance_sql(lat: str, lng: str, to_lat: str, to_lng: str) -> str:
     return f"(6378137::double * ({angle} - {flat} / 2 * (coalesce({x}, 0) + coalesce({y}, 0))))"
 
 
+def reach(point: tuple[float, float], radius_m: float) -> tuple[float, float | None]:
+    """Degrees of latitude and longitude that a radius can reach; no longitude near a pole or across longitude 180."""
+    d_lat = radius_m * DEGREES_PER_M
+    if abs(point[0]) + d_lat >= 89.0:
+        return d_lat, None
+    d_lng = d_lat / math.cos(math.radians(abs(point[0]) + d_lat))
+    return d_lat, d_lng if -180 <= point[1] - d_lng and point[1] + d_lng <= 180 else None
+
+
 def within_radius(lat: Column, lng: Column, point: tuple[float, float], radius_m: float) -> Column:
     """Inclusive radius test: plain ranges that scans can prune by, then the distance."""
-    d_lat = radius_m * DEGREES_PER_M
-    near_pole = abs(point[0]) + d_lat >= 89.0
+    d_lat, d_lng = reach(point, radius_m)
     box = lat.between(point[0] - d_lat, point[0] + d_lat)
-    if not near_pole:
-        d_lng = d_lat / math.cos(math.radians(abs(point[0]) + d_lat))
-        west, east = point[1] - d_lng, point[1] + d_lng
-        if west >= -180 and east <= 180:
-            box = box & lng.between(west, east)
+    if d_lng is not None:
+        box = box & lng.between(point[1] - d_lng, point[1] + d_lng)
     return box & (distance_m(lat, lng, F.lit(float(point[0])), F.lit(float(point[1]))) <= radius_m)
 
 
@@ -81,24 +86,30 @@ def cell(lat: Column, lng: Column) -> list[Column]:
     return [F.floor(lat / CELL).alias("cell_lat"), F.floor(lng / CELL).alias("cell_lng")]
 
 
-def nearby_pairs(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
+def nearby_pairs(points: DataFrame, places: DataFrame, radius_m: float, most: int = 100_000) -> DataFrame:
     """Every (point, place) within the radius, for tables with lat and lng: cells first, then the distance.
 
     A point looks at the cells around it that the radius can reach, so no pair beyond them is ever made. Cells go round the globe, so the
-    radius may cross longitude 180.
+    radius may cross longitude 180. Cells with over `most` places are dealt to parts of that size, and points go to each of them, so that no task sees more
+    of one cell; cells without places get no points.
     """
     around = round(360 / CELL)
     reach_lat = math.ceil(radius_m * DEGREES_PER_M / CELL)
     widest = F.lit(radius_m * DEGREES_PER_M) / F.cos(F.radians(F.least(F.abs(F.col("p.lat")) + 1, F.lit(89.0))))
     reach_lng = F.least(F.ceil(widest / CELL), F.lit(around // 2)).cast("int")
-    p = points.alias("p").withColumn("_dy", F.explode(F.sequence(F.lit(-reach_lat), F.lit(reach_lat))))
-    p = p.withColumn("_dx", F.explode(F.sequence(-reach_lng, F.least(reach_lng, around - 1 - reach_lng))))
-    p = p.withColumns({"_cy": F.floor(F.col("lat") / CELL) + F.col("_dy"), "_cx": F.pmod(F.floor(F.col("lng") / CELL) + F.col("_dx"), F.lit(around))})
     q = places.select(*[F.col(c).alias(f"place_{c}") for c in places.columns])
     q = q.withColumns({"_qy": F.floor(F.col("place_lat") / CELL), "_qx": F.pmod(F.floor(F.col("place_lng") / CELL), F.lit(around))})
+    parts = q.groupBy(F.col("_qy").alias("_cy"), F.col("_qx").alias("_cx")).agg(F.ceil(F.count("*") / most).cast("int").alias("_parts")).where("_cy is not null and _cx is not null")
+    p = points.alias("p").withColumn("_dy", F.explode(F.sequence(F.lit(-reach_lat), F.lit(reach_lat))))
+    p = p.withColumn("_dx", F.explode(F.sequence(-reach_lng, F.least(reach_lng, around - 1 - reach_lng))))
+    p = p.withColumns({"_cy": F.floor(F.col("lat") / CELL) + F.col("_dy"), "_cx": F.pmod(F.floor(F.col("lng") / CELL) + F.col("_dx"), F.lit(around))}).drop("_dy", "_dx")
+    p = p.join(parts, ["_cy", "_cx"]).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1)))
+    q = q.join(parts.withColumnsRenamed({"_cy": "_qy", "_cx": "_qx", "_parts": "_of"}), ["_qy", "_qx"])
+    q = q.withColumn("_own", F.pmod(F.xxhash64(*[f"place_{c}" for c in places.columns]), F.col("_of")).cast("int"))
     metres = distance_m(F.col("lat"), F.col("lng"), F.col("place_lat"), F.col("place_lng"))
-    found = p.join(q, (F.col("_cy") == F.col("_qy")) & (F.col("_cx") == F.col("_qx"))).withColumn("distance_m", metres)
-    return found.where(F.col("distance_m") <= radius_m).drop("_dy", "_dx", "_cy", "_cx", "_qy", "_qx")
+    same = (F.col("_cy") == F.col("_qy")) & (F.col("_cx") == F.col("_qx")) & (F.col("_part") == F.col("_own"))
+    found = p.join(q, same).withColumn("distance_m", metres)
+    return found.where(F.col("distance_m") <= radius_m).select(*points.columns, *[f"place_{c}" for c in places.columns], "distance_m")
 
 
 def grid_points(metros: DataFrame, spacing_km: float | None = None) -> DataFrame:

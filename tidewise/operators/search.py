@@ -93,7 +93,11 @@ def _hits(local: DataFrame, places: DataFrame, query: str, groups: list[list[str
         texts = indexed(texts)
     scored = texts.withColumns(first).where(match).select(*fields[:3], rank.alias("rank"))
     same = reduce(lambda a, b: a & b, [F.col(f"i.{f}").eqNullSafe(F.col(f"t.{f}")) for f in fields[:3]])
-    hits = local.drop("lexemes").alias("i").join(scored.alias("t"), same).select("i.*", "rank").join(places, "restaurant_id")
+    return best_hits(local.drop("lexemes").alias("i").join(scored.alias("t"), same).select("i.*", "rank").join(places, "restaurant_id"), hit_cap)
+
+
+def best_hits(hits: DataFrame, hit_cap: int) -> DataFrame:
+    """The best `hit_cap` of hits with rank and distance_m, with ord and distance_miles."""
     order = [F.col("rank").desc(), F.col("distance_m"), F.col("restaurant_id"), F.col("item_id")]
     hits = hits.orderBy(*order).limit(hit_cap).withColumn("ord", F.row_number().over(Window.orderBy(*order)))
     return hits.withColumn("distance_miles", geo.miles(F.col("distance_m")))
@@ -208,10 +212,10 @@ def search(restaurants: DataFrame, items: DataFrame, query: str, point: tuple[fl
 
 
 def autocomplete(items: DataFrame, query: str, n: int = 10) -> DataFrame:
-    """The n different names most similar to the query, of those that contain it, resemble it or have its words."""
+    """The n different names most similar to the query, of those that contain it, resemble it or have its words. Every different text is looked at once."""
     sim = tx.similarity(F.col("name"), query)
     match = tx.contains_ci(F.col("name"), query) | (sim > SIMILAR) | word_match(query)
-    return items.where(match).select("name", sim.alias("sim")).distinct().orderBy(F.col("sim").desc(), "name").limit(n)
+    return items.select("name", "description", "category").distinct().where(match).select("name", sim.alias("sim")).distinct().orderBy(F.col("sim").desc(), "name").limit(n)
 
 
 def detail(restaurants: DataFrame, items: DataFrame, restaurant_id) -> DataFrame:
@@ -226,10 +230,19 @@ def as_json(rows: DataFrame, fields: list[str]) -> Column:
     return F.to_json(F.struct(*[rows[c] for c in fields]))
 
 
-def flagged(items: DataFrame, matched: DataFrame, key: str = "item_id") -> DataFrame:
+def flagged(items: DataFrame, matched: DataFrame, key: str | list[str] = "item_id") -> DataFrame:
     """items with is_match, whether their key is among those of matched (a detail page marks what a search found)."""
-    known = matched.select(key).distinct().withColumn("is_match", F.lit(True))
-    return items.join(known, key, "left").withColumn("is_match", F.coalesce("is_match", F.lit(False)))
+    keys = [key] if isinstance(key, str) else key
+    known = matched.select(*keys).distinct().withColumn("is_match", F.lit(True))
+    return items.join(known, keys, "left").withColumn("is_match", F.coalesce("is_match", F.lit(False)))
+
+
+def located(found: DataFrame, places: DataFrame, point: tuple[float, float]) -> DataFrame:
+    """found (restaurant_id, …) with lat and lng of its places; a place that is missing, or has no coordinates, stands at the query's point."""
+    at = places.select("restaurant_id", "lat", "lng")
+    both = found.drop("lat", "lng").join(at, "restaurant_id", "left")
+    known = F.col("lat").isNotNull() & F.col("lng").isNotNull()
+    return both.withColumns({c: F.when(known, F.col(c)).otherwise(F.lit(p)) for c, p in zip(("lat", "lng"), point)})
 
 
 def cached_results(cache: DataFrame, requests: DataFrame, as_of: Column) -> DataFrame:

@@ -130,7 +130,7 @@ select p_partkey, try_cast(replace(case when len(dollars) = 1 then dollars[1] wh
 
 def coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where the places of a search's result are."""
-    hits = s.candidates(bridge.restaurants(spark, sf_dir), bridge.menu_items(spark, sf_dir), "hot plate", bridge.POINT, sq.RADIUS)
+    hits = sq.stored(spark, sf_dir).candidates("hot plate", bridge.POINT, sq.RADIUS)
     return s.rank_places(hits, 2, "distance").select("restaurant_id", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
 
 
@@ -138,9 +138,24 @@ COORDINATES_SQL = f"with {sq.BRIDGE_SQL}, {sq._hits_sql('hot plate', sq._HOT_PLA
 
 
 def matched(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Items of one place, marked where a search for plates found them."""
-    items = bridge.menu_items(spark, sf_dir).where("restaurant_id = 7")
-    return s.flagged(items, items.where(tx.whole_word(F.col("name"), ["plate"]))).select("item_id", "is_match")
+    """Items of all places, marked where a search found them."""
+    hits = sq.stored(spark, sf_dir).candidates("hot plate", bridge.POINT, sq.RADIUS)
+    return s.flagged(bridge.menu_items(spark, sf_dir), hits, ["restaurant_id", "item_id"]).select("restaurant_id", "item_id", "is_match")
+
+
+MATCHED_SQL = f"""with {sq.BRIDGE_SQL}, {sq._hits_sql('hot plate', sq._HOT_PLATE, 'hot|spicy|picante|plate')}
+select i.restaurant_id, i.item_id, h.item_id is not null as is_match from items i left join hits h on h.restaurant_id = i.restaurant_id and h.item_id = i.item_id"""
+
+
+def defaulted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places of a search's result looked up among rated places only; the others stand at the query's point."""
+    hits = sq.stored(spark, sf_dir).candidates("hot plate", bridge.POINT, sq.RADIUS).select("restaurant_id").distinct()
+    found = s.located(hits, bridge.restaurants(spark, sf_dir).where("rating is not null"), bridge.POINT)
+    return found.select("restaurant_id", F.round("lat", 6).alias("lat"), F.round("lng", 6).alias("lng"))
+
+
+DEFAULTED_SQL = f"""with {sq.BRIDGE_SQL}, {sq._hits_sql('hot plate', sq._HOT_PLATE, 'hot|spicy|picante|plate')}
+select distinct restaurant_id, round(case when rating is null then {bridge.POINT[0]} else lat end, 6) as lat, round(case when rating is null then {bridge.POINT[1]} else lng end, 6) as lng from hits"""
 
 
 def ended(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -222,7 +237,8 @@ QUERIES = {
     "snk10_trials": (trials, TRIALS_SQL),
     "px02_single_prices": (single_prices, SINGLE_PRICES_SQL),
     "jn03_coordinates": (coordinates, COORDINATES_SQL),
-    "st07_matched": (matched, f"with {sq.BRIDGE_SQL} select item_id, regexp_matches(name, '\\bplate\\b') as is_match from items where restaurant_id = 7"),
+    "st07_matched": (matched, MATCHED_SQL),
+    "jn03_default_point": (defaulted, DEFAULTED_SQL),
     "ex24_ended": (ended, "select event_id, case event_id % 3 when 0 then 'timeout' when 1 then 'exception' else 'extraction_fail' end as failure from events"),
     "ex21_built_cascade": (built_cascade, BUILT_CASCADE_SQL),
 }

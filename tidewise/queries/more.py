@@ -18,10 +18,9 @@ from tidewise.streaming import jobs
 
 
 def item_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r, i = bridge.restaurants(spark, sf_dir), bridge.menu_items(spark, sf_dir)
-    words = ["hot", "plate"]
-    hits = s.candidates(r, i, "hot plate", bridge.POINT, sq.RADIUS)
-    scored = s.item_scores(hits, words, *s.rarity(s.word_statistics(r, i, words, bridge.POINT).first().asDict(), words))
+    words, index = ["hot", "plate"], sq.stored(spark, sf_dir)
+    hits = index.candidates("hot plate", bridge.POINT, sq.RADIUS)
+    scored = s.item_scores(hits, words, *s.rarity(index.statistics(words, bridge.POINT).first().asDict(), words))
     kept = s.rank_items(scored)
     return kept.select("restaurant_id", "item_id", F.col("item_no").cast("long").alias("item_no"), "n_kept", F.col("eff").cast("long").alias("eff"), F.round("rel", 5).alias("rel"))
 
@@ -34,7 +33,7 @@ ITEM_RANK_SQL = (
 
 def no_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A query without usable words: places by number of hits, then distance; nothing is trimmed."""
-    found = s.search(bridge.restaurants(spark, sf_dir), bridge.menu_items(spark, sf_dir), "pl", bridge.POINT, sq.RADIUS, limit=50)
+    found = sq.stored(spark, sf_dir).search("pl", bridge.POINT, sq.RADIUS, limit=50)
     return found.select(F.col("position").cast("long").alias("position"), "restaurant_id", "n_hits", "total_matched_items", F.size("matched_items").cast("long").alias("n_listed"))
 
 
@@ -165,7 +164,7 @@ select url, row_number() over (partition by url order by score desc, p_partkey)
 
 def full_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits for inflected words, by text rank."""
-    hits = s.candidates(bridge.restaurants(spark, sf_dir), bridge.menu_items(spark, sf_dir), "smalls rings", bridge.POINT, sq.RADIUS)
+    hits = sq.stored(spark, sf_dir).candidates("smalls rings", bridge.POINT, sq.RADIUS)
     return hits.select("restaurant_id", "item_id", F.round("rank", 6).alias("rank"), F.col("ord").cast("long").alias("ord"))
 
 

@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
+from weakref import WeakKeyDictionary
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewise.functions import geo
 from tidewise.functions import text as tx
 from tidewise.operators import search as s
+from tidewise.operators.index import SearchIndex
 from tidewise.sources.bridge import POINT, menu_items, restaurants
+from tidewise.sources.shared import versions
 
 RADIUS = 16_000.0
+#: The index of each set of tables, by session and by the files that it was made from.
+_INDEXES: WeakKeyDictionary[SparkSession, dict[tuple, SearchIndex]] = WeakKeyDictionary()
+
+
+def stored(spark: SparkSession, sf_dir: str) -> SearchIndex:
+    """The stored index of the tables; the first search over them writes it."""
+    known = _INDEXES.setdefault(spark, {})
+    key = versions(spark, *[f"{sf_dir}/{t}.parquet" for t in ("supplier", "lineitem", "part")])
+    if key not in known:
+        known[key] = SearchIndex.build(restaurants(spark, sf_dir), menu_items(spark, sf_dir))
+    return known[key]
 
 BRIDGE_SQL = f"""
 restaurants as (
@@ -70,7 +85,7 @@ _HOT_PLATE = [["hot"], ["plate"]]
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places for "hot plate" by relevance; item names joined in order."""
-    found = s.search(restaurants(spark, sf_dir), menu_items(spark, sf_dir), "hot plate", POINT, RADIUS, limit=100)
+    found = stored(spark, sf_dir).search("hot plate", POINT, RADIUS, limit=100)
     return found.select(
         F.col("position").cast("long").alias("position"),
         "restaurant_id",
@@ -122,7 +137,7 @@ from placed where position <= 100
 
 def _other_sort(sort: str):
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = s.search(restaurants(spark, sf_dir), menu_items(spark, sf_dir), "hot plate", POINT, RADIUS, sort=sort, limit=50)
+        found = stored(spark, sf_dir).search("hot plate", POINT, RADIUS, sort=sort, limit=50)
         items = F.array_join(F.transform("matched_items", lambda x: x["item_id"].cast("string")), ",")
         return found.select(F.col("position").cast("long").alias("position"), "restaurant_id", "distance_miles", F.round("rating", 6).alias("rating"), F.round("average_price", 4).alias("average_price"), items.alias("items"), "total_results")
 
@@ -140,7 +155,7 @@ from grouped qualify position <= 50
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hits = s.candidates(restaurants(spark, sf_dir), menu_items(spark, sf_dir), "smal rng", POINT, RADIUS)
+    hits = stored(spark, sf_dir).candidates("smal rng", POINT, RADIUS)
     return hits.select("restaurant_id", "item_id", "name", F.round("rank", 6).alias("rank"), "distance_miles", F.col("ord").cast("long").alias("ord"))
 
 
@@ -151,7 +166,7 @@ select restaurant_id, item_id, name, round(rank, 6) as rank, distance_miles, ord
 
 
 def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.word_statistics(restaurants(spark, sf_dir), menu_items(spark, sf_dir), ["hot", "plate", "ring"], POINT)
+    return stored(spark, sf_dir).statistics(["hot", "plate", "ring"], POINT)
 
 
 WORD_COUNTS_SQL = f"""
@@ -164,10 +179,9 @@ select count(*) as n_items, count(*) filter (a) as n_0, count(*) filter (b) as n
 
 def rarity_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """BM25 idf of every word of the item names around the point: no list of words is needed."""
-    local = menu_items(spark, sf_dir).join(s.near(restaurants(spark, sf_dir), POINT, s.STATISTICS_M).select("restaurant_id"), "restaurant_id")
-    n = local.count()
-    words = local.select(F.explode(F.array_distinct(tx.alnum_words(F.col("name")))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    return words.select("word", "n", F.round(F.greatest(F.lit(0.0), F.log((n - F.col("n") + 0.5) / (F.col("n") + 0.5) + 1)), 6).alias("idf"))
+    n, total = F.col("n"), F.col("n_items")
+    words = stored(spark, sf_dir).word_table(POINT)
+    return words.select("word", "n", F.round(F.greatest(F.lit(0.0), F.log((total - n + 0.5) / (n + 0.5) + 1)), 6).alias("idf"))
 
 
 RARITY_SQL = f"""
@@ -191,7 +205,7 @@ with {BRIDGE_SQL} select distinct name, round({_similar_sql('name', 'smal rng')}
 
 
 def autocomplete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return s.autocomplete(menu_items(spark, sf_dir), "plat").select("name", F.round("sim", 6).alias("sim"))
+    return stored(spark, sf_dir).autocomplete("plat").select("name", F.round("sim", 6).alias("sim"))
 
 
 AUTOCOMPLETE_SQL = f"""
@@ -221,6 +235,41 @@ WORD_IN_DOCUMENTS_SQL = r"""
 select lang, count(*) as n, sum(n_chars)::bigint as chars from documents where regexp_matches(text, '(?i)(^|[^\p{L}\p{M}\p{N}_])(für|ción|the)($|[^\p{L}\p{M}\p{N}_])') group by lang
 """
 
+def places_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places within the radius, from the files of the cells that it touches."""
+    return stored(spark, sf_dir).near(POINT, 9_000.0).select("restaurant_id", F.round("distance_m", 2).alias("distance_m"))
+
+
+PLACES_NEAR_SQL = f"with {BRIDGE_SQL} select restaurant_id, round(distance_m, 2) as distance_m from near where distance_m <= 9000"
+
+
+def posting_ranks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text ranks of all texts with the stems of the query, from postings alone."""
+    index = stored(spark, sf_dir)
+    found = index.text_ranks("rings of plates").join(index.texts.select("region", "text_id", "name", "description"), ["region", "text_id"])
+    return found.select("name", "description", F.round("rank", 6).alias("rank")).distinct()
+
+
+POSTING_RANKS_SQL = f"""with {BRIDGE_SQL},
+all_texts as (select distinct name, description, category from items), words as (
+  select name, description, {' || '.join(f"[x for x in regexp_split_to_array(lower({c}), '[^a-z0-9]+') if x <> '']" for c in ('name', 'description', 'category'))} as t,
+         {' || '.join(f"[{w}::double for x in regexp_split_to_array(lower({c}), '[^a-z0-9]+') if x <> '']" for c, w in (('name', 1.0), ('description', 0.4), ('category', 0.2)))} as w from all_texts
+)
+select distinct name, description, round(1 - list_aggregate(flatten([[1 - sqrt(w[i] * w[j] * (1 / (1.005 + 0.05 * exp(greatest(1, abs(i - j)) / 1.5::double - 2)))) for j in range(1, len(t) + 1) if t[j] = 'plate'] for i in range(1, len(t) + 1) if t[i] = 'ring']), 'product'), 6) as rank
+from words where list_contains(t, 'ring') and list_contains(t, 'plate')"""
+
+
+def word_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored counts of word pairs by cell, added up over all cells."""
+    both = stored(spark, sf_dir).counts.where("other is not null")
+    return both.groupBy("word", "other").agg(F.sum("n").alias("n"))
+
+
+WORD_PAIRS_SQL = f"""with {BRIDGE_SQL}, w as (
+  select restaurant_id, item_id, unnest(list_distinct(regexp_split_to_array(lower(name), '[^a-z0-9]+'))) as word from items
+)
+select a.word, b.word as other, count(*) as n from w a join w b on a.restaurant_id = b.restaurant_id and a.item_id = b.item_id and a.word < b.word group by a.word, b.word"""
+
 _FAR = "case when coalesce(distance_miles, 0) = 0 then 'inf'::double else distance_miles end"
 QUERIES = {
     "so05_tiered": (flagship, FLAGSHIP_SQL),
@@ -234,5 +283,8 @@ QUERIES = {
     "tx05_similarity": (similarities, SIMILARITIES_SQL),
     "so08_autocomplete": (autocomplete, AUTOCOMPLETE_SQL),
     "jn04_detail": (detail, DETAIL_SQL),
+    "flt01_places_near": (places_near, PLACES_NEAR_SQL),
+    "tx04_posting_ranks": (posting_ranks, POSTING_RANKS_SQL),
+    "ag04_word_pairs": (word_pairs, WORD_PAIRS_SQL),
     "flt05_whole_word": (word_in_documents, WORD_IN_DOCUMENTS_SQL),
 }

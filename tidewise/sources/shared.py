@@ -68,3 +68,13 @@ def materialise(df: DataFrame, **options: str) -> DataFrame:
     table = spark.read.schema(df.schema).parquet(path)
     _WRITTEN[table] = path
     return table
+
+
+def versions(spark: SparkSession, *paths: str) -> tuple[tuple[str, int, int], ...]:
+    """(path, size, time of change) of every file below the paths: what a result that is kept depends on."""
+    found = []
+    for path in paths:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+    return tuple(sorted(found))
