@@ -109,3 +109,45 @@ def test_frame(spark):
     got = scan_licences(df, ["doc_id", "labels"]).collect()
     assert [r.labels for r in got] == ["mit", "mit", ""] and got[2].first_word is None and got[0].first_word == 0
     assert scan_licences(df.limit(0), ["doc_id"]).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "labels"),
+    [
+        ("Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International", "cc-by-nc-sa"),
+        ("SPDX-License-Identifier: GPL-3.0-or-later", "gpl-3"),
+        ("// SPDX-License-Identifier: MIT", "mit"),
+        ("# SPDX-License-Identifier: MIT-0", "mit-0"),
+        ("SPDX-License-Identifier: LGPL-2.1-only", "lgpl-2.1"),
+        ("SPDX-License-Identifier: CC-BY-ND-4.0", "cc-by-nd"),
+        ("Creative Commons Attribution 4.0", "cc-by"),
+        ("Licence: Mozilla Public License 2.0.", "mpl-2"),
+        ("GNU Affero General Public License version 3", "agpl-3"),
+        ("Boost Software License 1.0", "boost"),
+        ("the words license identifier mit alone, and a general public of the gnu", ""),
+        ("SPDX-License-Identifier: NONE", ""),
+    ],
+)
+def test_identifiers_and_names(spark, text, labels):
+    (r,) = scan_licences(spark.createDataFrame([(1, f"some words before it\n{text}\nand after")], "doc_id long, text string"), ["doc_id"]).collect()
+    assert r.labels == labels
+
+
+def test_every_identifier_and_name_has_its_label(spark):
+    from tidewise.llm.licence_scan import IDENTIFIERS, NAMES
+
+    rows = [(label, f"spdx license identifier {x}") for label, own in IDENTIFIERS.items() for x in own] + [(label, x) for label, own in NAMES.items() for x in own]
+    for r in scan_licences(spark.createDataFrame(rows, "label string, text string"), ["label", "text"]).collect():
+        base = {"cc-by-nc"} if "cc by nc" in r.text else set()  # labels of base phrases stay
+        assert set(r.labels.split(",")) == {r.label} | base, r.text
+
+
+def test_texts_of_a_table(spark, tmp_path):
+    """Every document that holds a text of the table as a whole is found, and one without its words is not."""
+    from tidewise.llm.queries import template_scan
+
+    texts = {str(i): " ".join(f"w{i}x{j}" for j in range(30)) for i in range(5)}
+    rows = [(i, f"before {texts[str(i % 5)]} after" if i % 2 else "nothing of it", "en", "s", 1) for i in range(20)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(int(i), t) for i, t in texts.items()], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert sorted((r.doc_id, r.labels, r.score, r.n_spans) for r in template_scan(spark, str(tmp_path)).collect()) == [(i, str(i % 5), 1.0, 1) for i in range(20) if i % 2]

@@ -105,6 +105,67 @@ for _label, _name in CREATIVE_COMMONS.items():
     TEMPLATES.append((_label, f"licensed under {_short}", (_short,)))
     for _version in ("4 0 international", "3 0 unported"):
         TEMPLATES.append((_label, f"this work is licensed under a creative commons {_name} {_version} license", (f"creative commons {_name} {_version[:3]}",)))
+        TEMPLATES.append((_label, f"creative commons {_name} {_version[:3]}", (f"creative commons {_name} {_version[:3]}",)))
+#: Identifiers of licences in SPDX lines.
+IDENTIFIERS = {
+    "mit": ["mit"],
+    "mit-0": ["mit 0"],
+    "apache-1.1": ["apache 1 1"],
+    "apache-2": ["apache 2 0"],
+    "bsd-2": ["bsd 2 clause"],
+    "bsd-3": ["bsd 3 clause"],
+    "bsd-4": ["bsd 4 clause"],
+    "gpl-2": ["gpl 2 0", "gpl 2 0 only", "gpl 2 0 or later"],
+    "gpl-3": ["gpl 3 0", "gpl 3 0 only", "gpl 3 0 or later"],
+    "lgpl-2.1": ["lgpl 2 1", "lgpl 2 1 only", "lgpl 2 1 or later"],
+    "lgpl-3": ["lgpl 3 0", "lgpl 3 0 only", "lgpl 3 0 or later"],
+    "agpl-3": ["agpl 3 0", "agpl 3 0 only", "agpl 3 0 or later"],
+    "isc": ["isc"],
+    "0bsd": ["0bsd"],
+    "mpl-1.1": ["mpl 1 1"],
+    "mpl-2": ["mpl 2 0"],
+    "epl-1": ["epl 1 0"],
+    "epl-2": ["epl 2 0"],
+    "zlib": ["zlib"],
+    "boost": ["bsl 1 0"],
+    "artistic-2": ["artistic 2 0"],
+    "unlicense": ["unlicense"],
+    "cc0": ["cc0 1 0"],
+    "cc-by": ["cc by 3 0", "cc by 4 0"],
+    "cc-by-sa": ["cc by sa 3 0", "cc by sa 4 0"],
+    "cc-by-nd": ["cc by nd 3 0", "cc by nd 4 0"],
+    "cc-by-nc": ["cc by nc 3 0", "cc by nc 4 0"],
+    "cc-by-nc-sa": ["cc by nc sa 3 0", "cc by nc sa 4 0"],
+    "cc-by-nc-nd": ["cc by nc nd 3 0", "cc by nc nd 4 0"],
+}
+#: Names by which licences go, of four words or more.
+NAMES = {
+    "apache-2": ["apache license 2 0", "the apache 2 0 license"],
+    "bsd-2": ["bsd 2 clause license", "the simplified bsd license"],
+    "bsd-3": ["bsd 3 clause license", "the new bsd license"],
+    "bsd-4": ["bsd 4 clause license"],
+    "gpl": ["gnu general public license"],
+    "gpl-2": ["gnu general public license version 2", "gnu general public license v2", "gnu gpl version 2", "the gnu gpl v2"],
+    "gpl-3": ["gnu general public license version 3", "gnu general public license v3", "gnu gpl version 3", "the gnu gpl v3"],
+    "lgpl": ["gnu lesser general public license", "gnu library general public license"],
+    "lgpl-2.1": ["gnu lesser general public license version 2 1"],
+    "lgpl-3": ["gnu lesser general public license version 3"],
+    "agpl": ["gnu affero general public license"],
+    "agpl-3": ["gnu affero general public license version 3"],
+    "isc": ["under the isc license"],
+    "mpl-1.1": ["mozilla public license version 1 1", "mozilla public license 1 1"],
+    "mpl-2": ["mozilla public license version 2 0", "mozilla public license 2 0"],
+    "epl-1": ["eclipse public license version 1 0", "eclipse public license v 1 0", "eclipse public license 1 0", "eclipse public license v1 0"],
+    "epl-2": ["eclipse public license version 2 0", "eclipse public license v 2 0", "eclipse public license 2 0", "eclipse public license v2 0"],
+    "zlib": ["under the zlib license"],
+    "boost": ["boost software license version 1 0", "boost software license 1 0"],
+    "artistic-2": ["artistic license 2 0", "artistic license version 2 0"],
+    "unlicense": ["released under the unlicense"],
+    "cc0": ["cc0 1 0 universal", "creative commons zero v1 0"],
+}
+# an identifier and a name count as a whole only
+TEMPLATES += [(_label, _text, (_text,)) for _label, _ids in IDENTIFIERS.items() for _text in (f"spdx license identifier {_id}" for _id in _ids)]
+TEMPLATES += [(_label, _text, (_text,)) for _label, _texts in NAMES.items() for _text in _texts]
 
 
 class Automaton:
@@ -189,13 +250,15 @@ class Scanner:
         self.sizes = [len(s) for s in sequences]
         self.n_phrases = len(phrases)
         self.shortest = min([MIN_MATCH, *self.sizes[: self.n_phrases]])
-        ends: dict[int, int] = {}
-        for n in range(self.n_phrases):
-            for state, _ in self.automaton.statistics(coded[n]):
-                pass
-            ends[state] = n
-        #: Phrases that are suffixes of the strings of each state, given a match as long as they are.
-        self.phrases_at = [[ends[s] for s in self.automaton.ancestors(state) if s in ends] for state in range(len(self.automaton.next))]
+        ends: dict[int, list[int]] = {}
+        for n in range(len(sequences)):
+            # phrases, and templates that their deciding phrase is all of, count where they stand as a whole; matches tell only the longest strings
+            if n < self.n_phrases or (0, self.sizes[n]) in self.deciding[n]:
+                for state, _ in self.automaton.statistics(coded[n]):
+                    pass
+                ends.setdefault(state, []).append(n)
+        #: Those that are suffixes of the strings of each state, given a match as long as they are.
+        self.wholes_at = [[n for s in self.automaton.ancestors(state) for n in ends.get(s, ())] for state in range(len(self.automaton.next))]
 
     def ids(self, hashes: np.ndarray) -> np.ndarray:
         """Word ids, -1 for words outside all templates."""
@@ -217,7 +280,7 @@ class Scanner:
         long = last - first >= self.shortest
         first, last = first[long], last[long]
         row_of = np.searchsorted(rows, first, "right") - 1
-        out = [{"n_words": n, "base": [], "matches": []} for n in np.diff(rows).tolist()]
+        out = [{"n_words": n, "base": [], "wholes": [], "matches": []} for n in np.diff(rows).tolist()]
         for lo, hi, row in zip(first.tolist(), last.tolist(), row_of.tolist(), strict=True):
             self._run(ids[lo:hi].tolist(), lo - int(rows[row]), out[row])
         return [self._record(r) for r in out]
@@ -226,9 +289,9 @@ class Scanner:
         """Base phrases and unextendable long matches of one run of known words, from word `at` of its text."""
         before = (0, 0)
         for i, (state, length) in enumerate(self.automaton.statistics(run)):
-            for n in self.phrases_at[state]:
+            for n in self.wholes_at[state]:
                 if self.sizes[n] <= length:
-                    record["base"].append((at + i + 1 - self.sizes[n], n))
+                    record["base" if n < self.n_phrases else "wholes"].append((at + i + 1 - self.sizes[n], n))
             if before[1] >= MIN_MATCH and length <= before[1]:
                 record["matches"].append((at + i, *before))
             before = state, length
@@ -236,7 +299,9 @@ class Scanner:
             record["matches"].append((at + len(run), *before))
 
     def _record(self, r: dict) -> dict:
-        base, spans = sorted(r["base"]), self._apart(self._spans(r["matches"]), r["n_words"])
+        wholes = [{"label": self.labels[n], "template": n - self.n_phrases, "first": at, "last": at + self.sizes[n] - 1, "covered": 1.0} for at, n in r["wholes"]]
+        chains = [s for s in self._spans(r["matches"]) if (s["template"], s["first"]) not in {(w["template"], w["first"]) for w in wholes}]
+        base, spans = sorted(r["base"]), self._apart(chains + wholes, r["n_words"])
         base_labels = sorted({self.labels[n] for _, n in base})
         return {
             "n_words": r["n_words"],

@@ -121,6 +121,13 @@ def edited_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op12_document_fingerprints(spark, sf_dir).select("doc_id", "n_chars", "edited_sha256")
 
 
+def template_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans of whole texts of a table, those of benchmark, in every document: the same automaton over templates that a user brings."""
+    table = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select(F.col("item_id").cast("string").alias("label"), "text", F.lit(None).cast("array<string>").alias("deciding"))
+    found = scan_licences(spark.read.parquet(f"{sf_dir}/documents.parquet"), ["doc_id"], phrases={}, templates=licence_scan.templates_of(table))
+    return found.where("labels <> ''").select("doc_id", "labels", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def licence_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op3 that SQL can express."""
     return op3_licence_scan(spark, sf_dir).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
@@ -155,6 +162,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op12_document_fingerprints,
         op13_merkle_manifest,
         edited_base,
+        template_scan,
         licence_base,
         telephony_payload,
         secret_base,
