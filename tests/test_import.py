@@ -18,3 +18,9 @@ def test_works_without_the_text_operators(tmp_path):
     code = "import sys; sys.modules['tidewise.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'so05_tiered' in q and 'pipeline' not in q and not any(n.startswith('op') for n in q)"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={"PYTHONPATH": str(tmp_path), "PATH": "/usr/bin:/bin"})
     assert done.returncode == 0, done.stderr
+
+
+def test_works_without_a_package_of_the_text_operators():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__ as e; q = e.queries(); assert 'so05_tiered' in q and 'pipeline' not in q"
+    done = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr
