@@ -7,14 +7,14 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewise.operators import accounts, ingest, reports
+from tidewise.operators import accounts, commits, ingest, reports
 from tidewise.operators import extract as ex
 from tidewise.operators import search as s
 from tidewise.queries import search as sq
 from tidewise.queries import service as vq
 from tidewise.sources import bridge
-from tidewise.sources.shared import materialise, shared_dir
-from tidewise.streaming import jobs
+from tidewise.sources.shared import materialise, remove, shared_dir
+from tidewise.streaming import jobs, state
 
 
 def item_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,7 +98,9 @@ def failure_state(spark: SparkSession, sf_dir: str) -> DataFrame:
         batches.append(number)
 
     attempts.writeStream.foreachBatch(batch).option("checkpointLocation", f"{place}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    return jobs.merged_table(spark, f"{place}/table", max(batches) + 1).select("restaurant_id", "attempts", "error_type", "open")
+    last = materialise(jobs.merged_table(spark, f"{place}/table", max(batches) + 1).select("restaurant_id", "attempts", "error_type", "open"))
+    remove(spark, place)
+    return last
 
 
 FAILURE_STATE_SQL = """with a as (select user_id, ts, event_type, max(case when event_type = 'purchase' then ts end) over (partition by user_id) as last_ok from events where event_type in ('error', 'purchase')),
@@ -106,6 +108,61 @@ n as (select user_id, count(*) filter (event_type = 'error' and (last_ok is null
 select user_id as restaurant_id, attempts, case when attempts > 0 then 'timeout' end as error_type, attempts > 0 as open from n"""
 
 
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+
+
+def stateful_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same by a stateful processor, a key at a time."""
+    events = _events(spark, sf_dir).where("event_type in ('error', 'purchase')")
+    attempts = events.select(F.col("user_id").alias("restaurant_id"), "ts", F.when(F.col("event_type") == "error", F.lit("timeout")).alias("error_type"), F.lit(4).alias("extractor_version"))
+    place = f"{shared_dir(spark)}/tidewise/stream-{uuid.uuid4().hex}"
+    state.run_through(state.failure_states(attempts), f"{place}/table", f"{place}/checkpoint")
+    rows = spark.read.parquet(f"{place}/table").groupBy("restaurant_id").agg(F.max_by(F.struct("attempts", "error_type", "open"), "batch").alias("x"))
+    last = materialise(rows.select("restaurant_id", "x.*"))
+    remove(spark, place)
+    return last
+
+
+def seen_once(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of every user, by a stream that remembers whom it has seen."""
+    rows = _events(spark, sf_dir).select(F.col("user_id").alias("key"), F.col("event_id").alias("ord"))
+    place = f"{shared_dir(spark)}/tidewise/stream-{uuid.uuid4().hex}"
+    state.run_through(state.first_seen(rows), f"{place}/table", f"{place}/checkpoint")
+    first = materialise(spark.read.parquet(f"{place}/table").select(F.col("key").alias("user_id"), F.col("ord").alias("first_event")))
+    remove(spark, place)
+    return first
+
+
+def retried(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failures after a retry of those by timeout: every third place fails again, the others give their items."""
+    place = f"{shared_dir(spark)}/tidewise/snapshot-{uuid.uuid4().hex}"
+    snapshot = commits.Snapshot(spark, place)
+    items = bridge.menu_items(spark, sf_dir).select("restaurant_id", "name")
+    failures = bridge.failures(spark, sf_dir).withColumn("error_detail", F.lit(None).cast("string"))
+    places = failures.select("restaurant_id").distinct().withColumn("scraped_at", F.lit(None).cast("timestamp"))
+    snapshot.commit(0, places=places, items=items.limit(0), failures=failures)
+    menus = items.groupBy("restaurant_id").agg(F.collect_list(F.struct("name")).alias("items"))
+
+    def read(due: DataFrame) -> DataFrame:
+        return due.select("restaurant_id").join(menus, "restaurant_id", "left").select("restaurant_id", F.when(F.col("restaurant_id") % 3 == 0, "exception").alias("error_type"), F.coalesce("items", F.array().cast("array<struct<name:string>>")).alias("items"))
+
+    commits.retry(snapshot, read, vq.now(), "timeout")
+    counts = snapshot.read("items").groupBy("restaurant_id").agg(F.count("*").alias("n_items"))
+    after = snapshot.read("failures").join(counts, "restaurant_id", "left")
+    last = materialise(after.select("restaurant_id", "error_type", "attempts", "resolved", F.coalesce("n_items", F.lit(0)).alias("n_items")))
+    remove(spark, place)
+    return last
+
+
+RETRIED_SQL = f"""with {sq.BRIDGE_SQL}, f as (
+  select user_id as restaurant_id, (['bot_blocked', 'js_spa_empty', 'timeout', 'extraction_fail'])[count(*) % 4 + 1] as error_type, count(*) as attempts, min(event_id) % 5 = 0 as resolved from events where event_type = 'error' group by user_id
+), n as (select restaurant_id, count(*) as n from items group by restaurant_id), tried as (select *, error_type = 'timeout' and not resolved as due from f)
+select restaurant_id, case when due and restaurant_id % 3 = 0 then 'exception' else error_type end as error_type, attempts + (due and restaurant_id % 3 = 0)::int as attempts, resolved or (due and restaurant_id % 3 <> 0) as resolved,
+  case when due and restaurant_id % 3 <> 0 then coalesce(n, 0) else 0 end as n_items from tried left join n using (restaurant_id)"""
+
+
 def _built(spark: SparkSession, sf_dir: str, item: Column, head: str = "", tail: str = "", between: str = "") -> DataFrame:
     """A page per place from its items in order; price is (item_id % 60) + 0.5."""
     i = bridge.menu_items(spark, sf_dir).withColumn("shown", (F.col("item_id") % 60).cast("double") + 0.5)
@@ -187,6 +244,9 @@ QUERIES = {
     "snk13_json": (json_response, f"with {sq.BRIDGE_SQL} select restaurant_id, item_id, '{{\"item_id\":' || item_id || ',\"name\":\"' || name || '\",\"category\":\"' || category || '\"}}' as json from items"),
     "snk12_dump": (dumped, f"with {sq.BRIDGE_SQL} select * from items"),
     "sm03_failure_state": (failure_state, FAILURE_STATE_SQL),
+    "sm03_stateful": (stateful_failures, FAILURE_STATE_SQL),
+    "ag16_seen_once": (seen_once, "select user_id, min(event_id) as first_event from events group by user_id"),
+    "sm06_retry": (retried, RETRIED_SQL),
     "ex01_jsonld": (jsonld, JSONLD_SQL),
     "ex05_platform": (platform, PLATFORM_SQL),
     "ex08_heuristic": (heuristic, HEURISTIC_SQL),

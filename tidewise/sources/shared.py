@@ -29,6 +29,17 @@ _WRITTEN: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
 _SCOPES: ContextVar[tuple[set[str], ...]] = ContextVar("scopes", default=())
 
 
+def file_system(spark: SparkSession, path: str):
+    """(Hadoop's file system of a path, the path for it)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, where = file_system(spark, path)
+    fs.delete(where, True)
+
+
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Tables that are written inside go at the end, but for those given to the function that it yields.
@@ -50,8 +61,7 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     finally:
         _SCOPES.reset(token)
         for path in mine:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+            remove(spark, path)
 
 
 def materialise(df: DataFrame, **options: str) -> DataFrame:
@@ -74,7 +84,6 @@ def versions(spark: SparkSession, *paths: str) -> tuple[tuple[str, int, int], ..
     """(path, size, time of change) of every file below the paths: what a result that is kept depends on."""
     found = []
     for path in paths:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        files = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(where)
-        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in files]
+        fs, where = file_system(spark, path)
+        found += [(f.getPath().toString(), f.getLen(), f.getModificationTime()) for f in fs.listStatus(where)]
     return tuple(sorted(found))
