@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
+import time
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewise.operators import accounts, commits, ingest, reports
+from tidewise.operators import accounts, commits, ingest, providers, reports, results
 from tidewise.operators import extract as ex
 from tidewise.operators import search as s
 from tidewise.queries import search as sq
@@ -163,6 +165,44 @@ select restaurant_id, case when due and restaurant_id % 3 = 0 then 'exception' e
   case when due and restaurant_id % 3 <> 0 then coalesce(n, 0) else 0 end as n_items from tried left join n using (restaurant_id)"""
 
 
+def _answer(row: dict) -> dict:
+    """A service that hangs on every hundredth place and refuses every seventh."""
+    if row["restaurant_id"] % 100 == 0:
+        time.sleep(60)
+    if row["restaurant_id"] % 7 == 0:
+        raise ValueError("refused")
+    return {"answer": f"menu of {row['name']}"}
+
+
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers of such a service, five calls at once, a deadline for each."""
+    places = bridge.restaurants(spark, sf_dir).select("restaurant_id", "name").repartition(8, "restaurant_id")
+    return providers.call_each(places, _answer, "answer string", at_once=5, deadline_s=4.0).select("restaurant_id", F.col("result.answer").alias("answer"), "error_type")
+
+
+def results_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Searches of all users in two orders, where results of every second event are stored for 20 days in one of them."""
+    place = f"{shared_dir(spark)}/tidewise/results-{uuid.uuid4().hex}"
+    store = results.ResultStore(spark, place)
+    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    lat = 32.0 + (F.col("user_id") % 40) / 100.0
+    key = lambda sort: results.result_key(F.col("event_type"), lat, F.lit(-117.0), F.lit(5000.0), sort, F.lit(20))
+    store.put(e.where("event_id % 2 = 0").select(key(F.lit("distance")).alias("key"), F.to_json(F.struct("event_id")).alias("results"), F.col("ts").alias("stored_at")), "INTERVAL 20 DAYS")
+    asked = e.select("event_type", "user_id").distinct().withColumn("sort", F.explode(F.array(F.lit("distance"), F.lit("rating")))).withColumn("key", key(F.col("sort")))
+    found = store.get(asked, dt.datetime.fromisoformat(bridge.AS_OF))
+    last = materialise(results.decoded(found, "event_id long").select("event_type", "user_id", "sort", "state", F.col("results.event_id").alias("event_id")))
+    remove(spark, place)
+    return last
+
+
+RESULTS_SQL = f"""with stored as (
+  select event_type, user_id % 40 as place, max(ts) as newest, arg_max(event_id, (ts, '{{"event_id":' || event_id || '}}')) as event_id from events where event_id % 2 = 0 group by all
+), asked as (select distinct event_type, user_id, unnest(['distance', 'rating']) as sort from events)
+select event_type, user_id, sort, case when newest + interval 20 days > timestamp '{bridge.AS_OF}' then 'hit' when newest is not null then 'expired' else 'miss' end as state,
+  case when newest + interval 20 days > timestamp '{bridge.AS_OF}' then event_id end as event_id
+from asked left join stored on sort = 'distance' and asked.event_type = stored.event_type and asked.user_id % 40 = stored.place"""
+
+
 def _built(spark: SparkSession, sf_dir: str, item: Column, head: str = "", tail: str = "", between: str = "") -> DataFrame:
     """A page per place from its items in order; price is (item_id % 60) + 0.5."""
     i = bridge.menu_items(spark, sf_dir).withColumn("shown", (F.col("item_id") % 60).cast("double") + 0.5)
@@ -246,6 +286,8 @@ QUERIES = {
     "sm03_failure_state": (failure_state, FAILURE_STATE_SQL),
     "sm03_stateful": (stateful_failures, FAILURE_STATE_SQL),
     "ag16_seen_once": (seen_once, "select user_id, min(event_id) as first_event from events group by user_id"),
+    "sm07_answers": (answered, f"select s_suppkey as restaurant_id, case when s_suppkey % 100 <> 0 and s_suppkey % 7 <> 0 then 'menu of ' || s_name end as answer, case when s_suppkey % 100 = 0 then 'timeout' when s_suppkey % 7 = 0 then 'exception' end as error_type from supplier"),
+    "sm05_results": (results_kept, RESULTS_SQL),
     "sm06_retry": (retried, RETRIED_SQL),
     "ex01_jsonld": (jsonld, JSONLD_SQL),
     "ex05_platform": (platform, PLATFORM_SQL),
