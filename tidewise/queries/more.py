@@ -198,7 +198,7 @@ def results_kept(spark: SparkSession, sf_dir: str) -> DataFrame:
 RESULTS_SQL = f"""with stored as (
   select event_type, user_id % 40 as place, max(ts) as newest, arg_max(event_id, (ts, '{{"event_id":' || event_id || '}}')) as event_id from events where event_id % 2 = 0 group by all
 ), asked as (select distinct event_type, user_id, unnest(['distance', 'rating']) as sort from events)
-select event_type, user_id, sort, case when newest + interval 20 days > timestamp '{bridge.AS_OF}' then 'hit' when newest is not null then 'expired' else 'miss' end as state,
+select asked.event_type, user_id, sort, case when newest + interval 20 days > timestamp '{bridge.AS_OF}' then 'hit' when newest is not null then 'expired' else 'miss' end as state,
   case when newest + interval 20 days > timestamp '{bridge.AS_OF}' then event_id end as event_id
 from asked left join stored on sort = 'distance' and asked.event_type = stored.event_type and asked.user_id % 40 = stored.place"""
 
