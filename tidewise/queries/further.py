@@ -19,14 +19,18 @@ from tidewise.sources import bridge
 
 
 def curated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The hand-placed grid, and one that is made, of one metro."""
+    """Points of the hand-placed grid, and of one that is made, of one metro, with the number of places within 3 km."""
     placed, made = bridge.metro_grid(spark, "san_diego"), bridge.metro_grid(spark, "san_diego", 5.0)
-    return placed.select("label", "lat", "lng", F.lit("placed").alias("kind")).unionByName(made.select("label", "lat", "lng", F.lit("made").alias("kind")))
+    points = placed.select("label", "lat", "lng", F.lit("placed").alias("kind")).unionByName(made.select("label", "lat", "lng", F.lit("made").alias("kind")))
+    near = geo.nearby_pairs(points, bridge.restaurants(spark, sf_dir).select("restaurant_id", "lat", "lng"), 3000.0).groupBy("label", "kind").agg(F.count("*").alias("n"))
+    return points.join(near, ["label", "kind"], "left").select("label", "lat", "lng", "kind", F.coalesce("n", F.lit(0)).alias("n_places"))
 
 
 _PLACED = "placed as (select * from (values " + ", ".join(f"('{label}', {lat}::double, {lng}::double)" for lat, lng, label in bridge.SAN_DIEGO) + ") as t(label, lat, lng))"
-CURATED_SQL = f"""with {_PLACED}, {vq.GRID_SQL}
-select *, 'placed' as kind from placed union all select metro || '_' || row || '_' || col, lat, lng, 'made' from grid where metro = 'san_diego'"""
+_SAN_DIEGO = next(m for m in bridge.METROS if m[0] == "san_diego")
+CURATED_SQL = f"""with {sq.BRIDGE_SQL}, {_PLACED}, {vq.GRID_SQL.replace(vq.METROS_SQL, "metros as (select 'san_diego' as name, {3}::double as sw_lat, {4}::double as sw_lng, {5}::double as ne_lat, {6}::double as ne_lng)".format(*_SAN_DIEGO))},
+points as (select *, 'placed' as kind from placed union all select metro || '_' || row || '_' || col, lat, lng, 'made' from grid)
+select label, p.lat, p.lng, kind, count(restaurant_id) as n_places from points p left join restaurants r on {geo.distance_sql('p.lat', 'p.lng', 'r.lat', 'r.lng')} <= 3000 group by label, p.lat, p.lng, kind"""
 
 _SERVED = ["mexican", "pizza", "sushi"]
 

@@ -46,7 +46,7 @@ select row_number() over (order by -n, {sq._FAR}, ord) as position, restaurant_i
 
 def checkpoints(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Where each metro stands after a run of 300 searches from the start."""
-    work = ingest.searches(vq._grid(spark), bridge.food_types(spark))
+    work = ingest.searches(vq._grid(spark, sf_dir), bridge.food_types(spark))
     none = spark.createDataFrame([], "metro string, next_ordinal int, completed_at timestamp")
     saved = ingest.save_checkpoints(ingest.remaining(work, none, 300), work, vq.now())
     return saved.select("metro", F.col("next_ordinal").cast("long").alias("next_ordinal"), "searches", F.col("completed_at").isNotNull().alias("completed"))

@@ -18,7 +18,11 @@ def now() -> Column:
 
 
 NOW_SQL = f"timestamp '{bridge.AS_OF}'"
-METROS_SQL = "metros as (select * from (values " + ", ".join("('{0}', {2}, {3}::double, {4}::double, {5}::double, {6}::double, {7}::double)".format(*x) for x in bridge.METROS) + ") as t(name, rank, sw_lat, sw_lng, ne_lat, ne_lng, spacing))"
+METROS_SQL = """metros as (
+  select replace(lower(n_name), ' ', '_') as name, row_number() over (order by count(*) desc, replace(lower(n_name), ' ', '_')) as rank,
+         floor(min(lat) * 100) / 100 as sw_lat, floor(min(lng) * 100) / 100 as sw_lng, ceil(max(lat) * 100) / 100 as ne_lat, ceil(max(lng) * 100) / 100 as ne_lng
+  from (select s_nationkey, 32.8755::double + ((s_suppkey * 37 + 40) % 101 - 50)::double / 50.0::double * 0.2::double as lat, -117.2295::double + ((s_suppkey * 91 + 30) % 97 - 48)::double / 48.0::double * 0.2::double as lng from supplier)
+  join nation on n_nationkey = s_nationkey group by n_name)"""
 GRID_SQL = METROS_SQL + """, grid as (
   select name as metro, r::int as row, c::int as col, round(sw_lat + r * dy, 4) as lat, round(sw_lng + c * dx, 4) as lng from (
     select *, unnest(range(0, floor((ne_lng - sw_lng) / dx)::bigint + 1)) as c from (
@@ -35,16 +39,17 @@ FAVOURITES_SQL = """favourites as (
 PREMIUM_SQL = f"is_active and (tier = 'lifetime' or tier = 'trial' and expires_at is not null and expires_at > {NOW_SQL})"
 
 
-def _grid(spark: SparkSession) -> DataFrame:
-    return geo.grid_points(bridge.metros(spark), 5.0)
+def _grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Grid of 5 km over the metros of the tables."""
+    return geo.grid_points(bridge.supplier_metros(spark, sf_dir), 5.0)
 
 
 def grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grid(spark).select("metro", "row", "col", "lat", "lng", "label")
+    return _grid(spark, sf_dir).select("metro", "row", "col", "lat", "lng", "label")
 
 
 def searches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    work = ingest.searches(_grid(spark), bridge.food_types(spark))
+    work = ingest.searches(_grid(spark, sf_dir), bridge.food_types(spark))
     return work.select("metro", F.col("ordinal").cast("long").alias("ordinal"), "lat", "lng", "food_type")
 
 
@@ -53,24 +58,26 @@ select metro, ((row_number() over (partition by metro, n order by row, col) - 1)
 
 
 def resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run with a budget of 50, from checkpoints."""
-    work = ingest.searches(_grid(spark), bridge.food_types(spark))
-    saved = spark.createDataFrame([("seattle", 100, None), ("denver", 7, bridge.AS_OF)], "metro string, next_ordinal int, completed_at string")
+    """A run with a budget of 50, from checkpoints: the first metro goes on, the second one was completed and starts over."""
+    work = ingest.searches(_grid(spark, sf_dir), bridge.food_types(spark))
+    is_first = F.col("rank") == 1
+    saved = bridge.metros_by_rank(bridge.supplier_metros(spark, sf_dir), 1, 2)
+    saved = saved.select(F.col("name").alias("metro"), F.when(is_first, 100).otherwise(7).alias("next_ordinal"), F.when(~is_first, bridge.AS_OF).alias("completed_at"))
     return ingest.remaining(work, saved, 50).select("metro", F.col("ordinal").cast("long").alias("ordinal"), F.col("run_no").cast("long").alias("run_no"))
 
 
 def search_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return reports.search_plan(_grid(spark))
+    return reports.search_plan(_grid(spark, sf_dir))
 
 
 def ranked_metros(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bridge.metros_by_rank(spark, 10, 20).select("name", "rank")
+    return bridge.metros_by_rank(bridge.supplier_metros(spark, sf_dir), 2, 20).select("name", F.col("rank").cast("long").alias("rank"))
 
 
 def nearby(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places within 3 km of grid points around them, as a join by cells."""
     places = bridge.restaurants(spark, sf_dir).select("restaurant_id", "lat", "lng")
-    points = _grid(spark).select("label", "lat", "lng")
+    points = _grid(spark, sf_dir).select("label", "lat", "lng")
     return geo.nearby_pairs(points, places, 3000.0).select("label", F.col("place_restaurant_id").alias("restaurant_id"), F.round("distance_m", 3).alias("distance_m"))
 
 
@@ -262,13 +269,13 @@ def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
 MOVED_SQL = f"""with {BRIDGE_SQL}, l as (select *, restaurant_id % 10 as session, lag(lat) over w as a, lag(lng) over w as b from restaurants window w as (partition by restaurant_id % 10 order by restaurant_id))
 select restaurant_id, session, coalesce({geo.distance_sql('a', 'b', 'lat', 'lng')} > 500, true) as moved from l"""
 
-_CORE = "case when metro = 'seattle' then 100 else 0 end"
+_CORE = "case when metro = (select name from metros where rank = 1) then 100 else 0 end"
 QUERIES = {
     "ge05_grid": (grid, f"with {GRID_SQL} select *, metro || '_' || row || '_' || col as label from grid"),
     "jn10_searches": (searches, SEARCHES_SQL),
-    "sm02_budget": (resumed, f"with work as ({SEARCHES_SQL}) select metro, ordinal, row_number() over (partition by metro order by ordinal) as run_no from work where ordinal >= {_CORE} qualify run_no <= 50"),
+    "sm02_budget": (resumed, f"with {METROS_SQL}, work as ({SEARCHES_SQL}) select metro, ordinal, row_number() over (partition by metro order by ordinal) as run_no from work where ordinal >= {_CORE} qualify run_no <= 50"),
     "ag12_search_plan": (search_plan, f"with {GRID_SQL} select metro, count(*) as points, count(*) * 12 as core_searches, count(*) * 34 as full_searches, count(*) * 12 // 8000 + 1 as months from grid group by metro"),
-    "flt14_metros_by_rank": (ranked_metros, f"with {METROS_SQL} select name, rank from metros where rank between 10 and 20"),
+    "flt14_metros_by_rank": (ranked_metros, f"with {METROS_SQL} select name, rank from metros where rank between 2 and 20"),
     "jn11_nearby": (nearby, NEARBY_SQL),
     "jn09_totals": (totals, f"with {BRIDGE_SQL} select count(distinct r.restaurant_id) as n_restaurants, count(i.item_id) as n_items from restaurants r left join items i on r.restaurant_id = i.restaurant_id"),
     "ag09_failures": (failure_breakdown, f"with {FAILURES_SQL} select error_type, count(*) as n, min(extractor_version) as min_version from failures group by error_type"),
