@@ -219,15 +219,16 @@ _SETS = [(name, n, box, parts) for name, sets in ex.PLATFORM_SELECTORS.items() f
 
 
 def selector_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A page for every platform and set of selectors, with three items."""
-    item = lambda box, parts, k: _element(box, "".join(_element(p, text) for p, text in zip(parts, (f"Dish {k}", f"${k}.50", "served with bread"))))
-    pages = [(f"{name}-{n}", name, "".join(item(box, parts, k) for k in (1, 2, 3))) for name, n, box, parts in _SETS]
-    found = ex.extract_free(spark.createDataFrame(pages, "url string, platform_type string, html string"))
-    return found.select("url", "method", F.col("ord").cast("long").alias("ord"), "name", "description", "price")
+    """A page of three items for every place, by one of all platforms' sets of selectors after another."""
+    item = lambda box, parts, k: _element(box, "".join(_element(p, text) for p, text in zip(parts, (f"Dish {k} of @", f"${k}.50", "served with bread"))))
+    of = F.element_at(F.array(*[F.struct(F.lit(name).alias("platform_type"), F.lit("".join(item(box, parts, k) for k in (1, 2, 3))).alias("page")) for name, _, box, parts in _SETS]), (F.col("restaurant_id") % len(_SETS) + 1).cast("int"))
+    pages = bridge.restaurants(spark, sf_dir).withColumn("of", of).select(F.col("restaurant_id").cast("string").alias("url"), "of.platform_type", F.replace("of.page", F.lit("@"), "name").alias("html"))
+    found = ex.extract_free(pages)
+    return found.select("url", "platform_type", "method", F.col("ord").cast("long").alias("ord"), "name", "description", "price")
 
 
-SELECTOR_SETS_SQL = f"""select url, 'platform' as method, k - 1 as ord, 'Dish ' || k as name, 'served with bread' as description, k + 0.5::double as price
-from (values {', '.join(f"('{name}-{n}')" for name, n, _, _ in _SETS)}) as t(url), range(1, 4) as r(k)"""
+SELECTOR_SETS_SQL = f"""select s_suppkey::varchar as url, ({[name for name, *_ in _SETS]!r})[s_suppkey % {len(_SETS)} + 1] as platform_type, 'platform' as method, k - 1 as ord, 'Dish ' || k || ' of ' || s_name as name, 'served with bread' as description, k + 0.5::double as price
+from supplier, range(1, 4) as r(k)"""
 
 QUERIES = {
     "ex05_selector_sets": (selector_sets, SELECTOR_SETS_SQL),
