@@ -191,30 +191,31 @@ class SearchIndex:
         stored = self.counts.where(cover.holds(cover.inner) & _in_buckets([(w,) for w in words]) & F.col("word").isin(words))
         one = lambda a, b: F.coalesce(F.sum(F.when((F.col("word") == a) & F.col("other").eqNullSafe(F.lit(b)), F.col("n"))), F.lit(0))
         stored = stored.agg(*[one(a, b).alias(name) for name, a, b in ones + pairs])
-        border = s._statistics(self._border(cover, point, radius_m), words)
+        border = s._statistics(self._border(cover, point, radius_m), words, "n")
         columns = ["n_items", *[name for name, _, _ in ones + pairs]]
         zero = lambda df: df.select(*[(F.col(c) if c in df.columns else F.lit(0)).cast("long").alias(c) for c in columns])
         whole = zero(inside).unionByName(zero(stored)).unionByName(zero(border))
         if pairs and cover.long:
             names = self.texts.where(F.col("region").isin(cover.regions) & (F.col("n_words") > MOST_PAIRED)).select("region", "text_id", "name")
-            local = self.items.where(cover.holds(cover.long)).select("region", "text_id").join(names, ["region", "text_id"])
-            whole = whole.unionByName(zero(s._statistics(local, words).drop("n_items", *[name for name, _, _ in ones])))
+            local = self.items.where(cover.holds(cover.long)).groupBy("region", "text_id").agg(F.count("*").alias("n")).join(names, ["region", "text_id"])
+            whole = whole.unionByName(zero(s._statistics(local, words, "n").drop("n_items", *[name for name, _, _ in ones])))
         return whole.agg(*[F.sum(c).alias(c) for c in columns])
 
     def _border(self, cover: Cover, point: tuple[float, float], radius_m: float) -> DataFrame:
-        """Items, with their names, of the places within the radius in the cells on its border."""
+        """Names of the items of places within the radius in the cells on its border, with the number n of such items; every different text is read once."""
         places = s.near(self.places.where(cover.holds(cover.border)), point, radius_m).select("restaurant_id")
         local = self.items.where(cover.holds(cover.border)).select("restaurant_id", "region", "text_id").join(places, "restaurant_id")
+        local = local.groupBy("region", "text_id").agg(F.count("*").alias("n"))
         return local.join(self.texts.where(F.col("region").isin(cover.regions)).select("region", "text_id", "name"), ["region", "text_id"])
 
     def word_table(self, point: tuple[float, float], radius_m: float = s.STATISTICS_M) -> DataFrame:
         """(word, n, n_items): items within the radius that have each word in their name, and all of them."""
         cover = self.cover(point, radius_m)
         border = self._border(cover, point, radius_m)
-        of_border = border.select(F.explode(name_words(F.col("name"))).alias("word"), F.lit(1).cast("long").alias("n"))
+        of_border = border.select(F.explode(name_words(F.col("name"))).alias("word"), "n")
         words = self.counts.where(cover.holds(cover.inner) & F.col("other").isNull()).select("word", "n").unionByName(of_border).groupBy("word").agg(F.sum("n").alias("n"))
         inside = self.cells.where(F.col("cell").isin(cover.inner)).select(F.col("n_items").alias("n"))
-        total = inside.unionByName(border.select(F.lit(1).cast("long").alias("n"))).agg(F.coalesce(F.sum("n"), F.lit(0)))
+        total = inside.unionByName(border.select("n")).agg(F.coalesce(F.sum("n"), F.lit(0)))
         return words.withColumn("n_items", total.scalar())
 
     # --- searches ---

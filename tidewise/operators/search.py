@@ -109,12 +109,15 @@ def word_statistics(restaurants: DataFrame, items: DataFrame, words: list[str],
     return _statistics(items.join(places, "restaurant_id"), words)
 
 
-def _statistics(local: DataFrame, words: list[str]) -> DataFrame:
+def _statistics(local: DataFrame, words: list[str], times: str | None = None) -> DataFrame:
+    """Counts over rows with name, each as often as the column `times` says."""
     words = list(dict.fromkeys(words))
-    local = local.select(*[tx.whole_word(F.col("name"), [w]).alias(f"h{i}") for i, w in enumerate(words)])
-    ones = [F.count_if(F.col(f"h{i}")).alias(f"n_{i}") for i in range(len(words))]
-    pairs = [F.count_if(F.col(f"h{i}") & F.col(f"h{j}")).alias(f"n_{i}_{j}") for i in range(len(words)) for j in range(i + 1, len(words))]
-    return local.agg(F.count(F.lit(1)).alias("n_items"), *ones, *pairs)
+    n = F.lit(1) if times is None else F.col(times)
+    local = local.select(n.cast("long").alias("n"), *[tx.whole_word(F.col("name"), [w]).alias(f"h{i}") for i, w in enumerate(words)])
+    total = lambda when: F.coalesce(F.sum(F.when(when, F.col("n"))), F.lit(0))
+    ones = [total(F.col(f"h{i}")).alias(f"n_{i}") for i in range(len(words))]
+    pairs = [total(F.col(f"h{i}") & F.col(f"h{j}")).alias(f"n_{i}_{j}") for i in range(len(words)) for j in range(i + 1, len(words))]
+    return local.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_items"), *ones, *pairs)
 
 
 def rarity(stats: dict[str, int], words: list[str]) -> tuple[dict[str, float], dict[str, dict[str, float]]]:
