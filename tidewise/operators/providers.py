@@ -5,14 +5,15 @@ from __future__ import annotations
 import queue
 import threading
 import time
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-_TOGETHER = 256
+#: Rows of a batch that comes out, and of one that came in that are Python objects at the same time.
+_TOGETHER, _AT_A_TIME = 256, 16
 
 
 def in_flight(rows: Iterable[dict], call: Callable[[dict], dict], at_once: int, deadline_s: float) -> Iterator[tuple[dict, dict | None, str | None, str | None]]:
@@ -51,19 +52,19 @@ def in_flight(rows: Iterable[dict], call: Callable[[dict], dict], at_once: int,
                 yield under_way.pop(late)[0], None, "timeout", f"no answer within {deadline_s:g} s"
 
 
-def call_each(df: DataFrame, call: Callable[[dict], dict], result: str, at_once: int = 5, deadline_s: float = 120.0) -> DataFrame:
-    """df with `result` (a struct of the fields that call gives for a row), error_type (null, `timeout` or `exception`) and error_detail; columns named so are replaced.
+def call_each(df: DataFrame, call: Callable[[dict], dict], result: str, at_once: int = 5, deadline_s: float = 120.0, drop: Collection[str] = ()) -> DataFrame:
+    """df with `result` (a struct of the fields that call gives for a row), error_type (null, `timeout` or `exception`) and error_detail; columns named so are replaced. Columns in `drop` are for the call only.
 
     Every row comes out once, whatever its call does. Calls at once in all are `at_once` times the tasks that run, so repartition df for more or fewer.
     """
     kept = df.select(*[c for c in df.columns if c not in ("result", "error_type", "error_detail")])
-    schema = T.StructType([*kept.schema, T.StructField("result", T._parse_datatype_string(f"struct<{result}>")), T.StructField("error_type", T.StringType()), T.StructField("error_detail", T.StringType())])
+    schema = T.StructType([*(f for f in kept.schema if f.name not in drop), T.StructField("result", T._parse_datatype_string(f"struct<{result}>")), T.StructField("error_type", T.StringType()), T.StructField("error_detail", T.StringType())])
     arrow = to_arrow_schema(schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[dict] = []
-        for row, found, kind, detail in in_flight((r for b in batches for r in b.to_pylist()), call, at_once, deadline_s):
-            out.append(row | {"result": found, "error_type": kind, "error_detail": detail})
+        for row, found, kind, detail in in_flight((r for b in batches for at in range(0, b.num_rows, _AT_A_TIME) for r in b.slice(at, _AT_A_TIME).to_pylist()), call, at_once, deadline_s):
+            out.append({k: v for k, v in row.items() if k not in drop} | {"result": found, "error_type": kind, "error_detail": detail})
             if len(out) == _TOGETHER:
                 yield pa.RecordBatch.from_pylist(out, arrow)
                 out = []

@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from tidewise.queries import fetching, further, more, pages, rules, search, service
+from tidewise.queries import fetching, further, models, more, pages, rules, search, service
 
-ALL = {**search.QUERIES, **service.QUERIES, **pages.QUERIES, **more.QUERIES, **rules.QUERIES, **further.QUERIES, **fetching.QUERIES}
+ALL = {**search.QUERIES, **service.QUERIES, **pages.QUERIES, **more.QUERIES, **rules.QUERIES, **further.QUERIES, **fetching.QUERIES, **models.QUERIES}
