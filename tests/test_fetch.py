@@ -89,6 +89,13 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert len(read()) == len(rows)
 
 
+def test_recording_keeps_the_first_exchange(spark, tmp_path):
+    rows = [("a", 2, 200, "a", "new"), ("a", 1, 404, "a", "old"), ("b", 1, None, "b", "x"), ("b", 2, 200, "b", "y"), (None, 1, 200, None, "z"), ("c", 1, 200, None, None), ("c", 1, 200, None, None)]
+    record(spark.createDataFrame(rows, "url string, n int, status int, final_url string, html string"), str(tmp_path / "r"), 3, "n")
+    got = {r.url: (r.status, r.html) for r in spark.read.parquet(str(tmp_path / "r")).collect()}
+    assert got == {"a": (404, "old"), "c": (200, None)} and spark.read.parquet(str(tmp_path / "r")).count() == 2
+
+
 def test_newest_snapshot(spark):
     rows = [("a", "s1", "2020", True), ("a", "s2", "2022", False), ("a", "s3", "2021", True), ("b", "s4", "2020", False), (None, "s5", "2020", True), ("c", None, "2020", True), ("d", "s6", "2020", True), ("d", "s7", "2020", True)]
     got = newest_snapshots(spark.createDataFrame(rows, "url string, snapshot_url string, taken_at string, available boolean")).collect()

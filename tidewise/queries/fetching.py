@@ -20,11 +20,10 @@ TOGETHER = 20_000
 
 
 def _exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What the sites answer: every page, the first of an address; some are busy, some gone, some redirected."""
-    first = spark.read.parquet(f"{sf_dir}/pages.parquet").where("url is not null").groupBy("url").agg(F.min(F.struct("page_id", "html")).alias("p")).select("url", "p.*")
-    status = F.when(F.col("page_id") % 10 == 3, 503).when(F.col("page_id") % 17 == 5, 404).otherwise(200)
+    """What the sites answer, by page; some are busy, some gone, some redirected and some never answered."""
+    status = F.when(F.col("page_id") % 19 == 7, None).when(F.col("page_id") % 10 == 3, 503).when(F.col("page_id") % 17 == 5, 404).otherwise(200)
     final = F.when(F.col("page_id") % 4 == 1, F.concat("url", F.lit("/"))).otherwise(F.col("url"))
-    return first.where("page_id % 19 <> 7").select("url", status.alias("status"), final.alias("final_url"), "html")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", status.alias("status"), final.alias("final_url"), "html")
 
 
 @contextmanager
@@ -37,7 +36,7 @@ def _planned(spark: SparkSession, sf_dir: str) -> Iterator[tuple[dict[str, str],
     try:
         with scratch(spark) as keep:
             fetch.plan_pages(pages, f"{folder}/plan", RATE, parts)
-            fetch.record(_exchanges(spark, sf_dir), f"{folder}/recording", parts)
+            fetch.record(_exchanges(spark, sf_dir), f"{folder}/recording", parts, "page_id")
             yield {"plan": f"{folder}/plan", "recording": f"{folder}/recording", "transport": "tidewise.sources.fetch:recorded", "state": f"{folder}/state", "folder": folder}, keep
     finally:
         remove(spark, folder)

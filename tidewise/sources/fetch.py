@@ -199,10 +199,14 @@ class PageSource(DataSource):
         return PageStreamReader(self.options)
 
 
-def record(exchanges: DataFrame, path: str, parts: int = 8) -> None:
-    """Write exchanges (url, status, final_url, html; one row an address) for `recorded`; parts as in the plan."""
-    out = exchanges.select("url", F.col("status").cast("int").alias("status"), "final_url", "html").withColumn("part", part_of(F.col("url"), parts))
-    out.repartition(parts, "part").write.partitionBy("part").parquet(path)
+def record(exchanges: DataFrame, path: str, parts: int = 8, order: str = "url") -> None:
+    """Write exchanges (url, status, final_url, html) for `recorded`; parts as in the plan.
+
+    Of several for one address the one with the least `order` stays. One without a status is none: its address counts as not recorded. Texts are shuffled once, by part.
+    """
+    dealt = exchanges.where("url is not null").withColumn("part", part_of(F.col("url"), parts)).repartition(parts, "part")
+    kept = dealt.groupBy("part", "url").agg(F.min(F.struct(F.col(order).alias("o"), F.col("status").cast("int").alias("status"), "final_url", "html")).alias("x"))
+    kept.where("x.status is not null").select("part", "url", "x.status", "x.final_url", "x.html").write.partitionBy("part").parquet(path)
 
 
 def recorded(options: dict[str, str], part: int) -> Callable[[str, float], dict]:
