@@ -139,3 +139,17 @@ def test_parts_are_not_broadcast_and_lines_are_dealt_once(spark):
 
     plan = menu_items(spark, "/root/testdata/sf0.01")._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" not in plan and "ShuffledHashJoin" in plan and len(re.findall(r"Exchange hashpartitioning\(l_", plan)) == 1
+
+
+def test_items_are_made_once(spark, tables, tmp_path):
+    """The rows of items were made again for places, texts and items; here every row that is made counts."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    items = tables[1].mapInArrow(count, tables[1].schema)
+    SearchIndex.build(tables[0], items, folder=str(tmp_path / "i"))
+    assert made.value == tables[1].count()
